@@ -6,21 +6,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, toxicity
+from . import embeddings, hosts, html, mixing, packing, quality, repetition, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return hosts.judge(pages, hosts.page_outcomes(pages, _table(spark, sf_dir, "labels")))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(_table(spark, sf_dir, "pages"))
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "base_failed", "kept"
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,8 +68,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_host_reputation": op1_host_reputation,
+        "op2_warc": op2_warc,
+        "op3_main_text": op3_main_text,
         "op4_toxicity": op4_toxicity,
+        "op5_embeddings": op5_embeddings,
         "op6_simhash": op6_simhash,
+        "op7_repetition": op7_repetition,
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
@@ -84,5 +112,72 @@ def _mixing_sql() -> str:
     FROM p JOIN f USING (c_source, c_lang, c_topic)"""
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+r AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT >> (5 * (3 - i % 4))::INT) & 31))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM r
+"""
+
+
+def _host_sql() -> str:
+    p = hosts.Params()
+    part = lambda col: f"CASE WHEN instr({col}, '://') > 0 THEN substr({col}, instr({col}, '://') + 3) ELSE '' END"
+    ranked = sorted(hosts.RULES, key=lambda r: -len(r[1]))
+    fits = [(kind, rule, *rule.split("/", 1)) for kind, rule in ranked]
+    case = lambda i: "CASE " + " ".join(f"WHEN (host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '/{t}') THEN '{(k, r)[i]}'" for k, r, d, t in fits) + " END"
+    seconds = ", ".join(repr(x) for x in hosts.SECOND_LEVEL)
+    strength = lambda name, src, by: f"""{name}_sums AS (SELECT sum(n)::DOUBLE AS tn, sum(k)::DOUBLE AS tk, count(*) AS g, sum((n * n)::DOUBLE) AS nn, sum((k * k)::DOUBLE / n) AS kk FROM {src} {'GROUP BY ' + by if by else ''}),
+{name}_r AS (SELECT sum((kk - tk * (tk / tn)) / ((tk / tn) * (1 - tk / tn)) - (g - 1)) AS a, sum(tn - nn / tn - (g - 1)) AS b FROM {name}_sums WHERE tk > 0 AND tk < tn AND g > 1),
+{name} AS (SELECT CASE WHEN a IS NULL OR b <= 0 OR a <= 0 THEN {p.max_strength!r} ELSE least(greatest(round((1 - least(a / b, 0.999)) / least(a / b, 0.999), 6), {p.min_strength!r}), {p.max_strength!r}) END AS s FROM {name}_r)"""
+    return f"""
+WITH u AS (SELECT page_id, coalesce({part('url')}, '') AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{hosts.UPPER}', '{hosts.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT doc_id, bool_and(coalesce(quality, 0) = 1 AND coalesce(toxic, 0) = 0) AS good FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+o AS (SELECT host, good FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]+)', 1), '') AS BIGINT) AS doc_id FROM p) JOIN m USING (doc_id)),
+h0 AS (SELECT host, count(*) AS n, sum(good::INT) AS k, regexp_replace(host, ':[0-9]*$', '') AS nm FROM o GROUP BY host),
+h1 AS (SELECT *, regexp_matches(nm, '^[0-9.]+$|^\\[') AS num, CASE WHEN regexp_extract(nm, '([^.]+)\\.[^.][^.]$', 1) IN ({seconds}) THEN 2 ELSE 1 END AS labs, string_split(nm, '.') AS x FROM h0),
+hosts AS (SELECT host, n, k, CASE WHEN num THEN nm ELSE array_to_string(x[-(labs + 1):], '.') END AS domain, CASE WHEN num THEN '' ELSE array_to_string(x[-labs:], '.') END AS suffix FROM h1),
+doms AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+sufs AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM doms GROUP BY ALL),
+{strength('s_suf', 'sufs', '')},
+{strength('s_dom', 'doms', 'suffix')},
+{strength('s_host', 'hosts', 'suffix, domain')},
+w AS (SELECT sum(k)::DOUBLE / sum(n) AS mean FROM hosts),
+sm AS (SELECT suffix, (k + s * mean) / (n + s) AS mean FROM sufs, s_suf, w),
+dm AS (SELECT suffix, domain, (k + s * mean) / (n + s) AS mean FROM doms JOIN sm USING (suffix), s_dom),
+q AS (SELECT host, n, k, k + s * mean AS a, n - k + s * (1 - mean) AS b FROM hosts JOIN dm USING (suffix, domain), s_host),
+rep AS (SELECT host, n, round(a / (a + b), 6) AS posterior_mean, round(least(1.0, a / (a + b) + {p.sigmas!r} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))), 6) AS posterior_upper FROM q)
+SELECT page_id, p.host, path, {case(1)} AS rule,
+  coalesce({case(0)}, CASE WHEN posterior_upper < {p.min_good!r} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(n, 0)::BIGINT AS n_labelled, posterior_mean, posterior_upper
+FROM p LEFT JOIN rep USING (host)"""
+
+
+def _repetition_sql() -> str:
+    p = repetition.Params()
+    windows = lambda k, where="": f"""g{k} AS (SELECT doc_id, unnest(range(1, len(w) - {k - 2})) AS i, w FROM t WHERE len(w) >= {k} {where}),
+r{k} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {k - 1}]) AS c FROM g{k}) WHERE c > 1)"""
+    cover = lambda k: f"c{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r{k}, range(0, {k}) AS s(j) GROUP BY doc_id)"
+    longer = p.max_repeat + 1
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{windows(3)}, {cover(3)}, {windows(p.min_words)}, {cover(p.min_words)},
+{windows(longer, f"AND doc_id IN (SELECT doc_id FROM c{p.min_words} WHERE n >= {longer})")}, long AS (SELECT DISTINCT doc_id FROM r{longer}),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(text) - length(translate(text, '{repetition.SYMBOLS}', '')))::BIGINT AS n_symbols,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+  coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(c{p.min_words}.n, 0)::BIGINT AS n_covered_words, long.doc_id IS NOT NULL AS too_long
+  FROM t LEFT JOIN c3 USING (doc_id) LEFT JOIN c{p.min_words} USING (doc_id) LEFT JOIN long USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, n_covered_words, base_failed,
+  NOT base_failed AND n_covered_words <= {p.max_covered!r} * n_words AND NOT too_long AS kept
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": _mixing_sql()}
+    return {"op1_host_reputation": _host_sql(), "op2_warc": WARC_SQL, "op7_repetition": _repetition_sql(), "op10_mixing": _mixing_sql()}
