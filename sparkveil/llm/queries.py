@@ -160,14 +160,19 @@ FROM p LEFT JOIN rep USING (host)"""
 
 def _repetition_sql() -> str:
     p = repetition.Params()
-    windows = lambda k, where="": f"""g{k} AS (SELECT doc_id, unnest(range(1, len(w) - {k - 2})) AS i, w FROM t WHERE len(w) >= {k} {where}),
-r{k} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {k - 1}]) AS c FROM g{k}) WHERE c > 1)"""
-    cover = lambda k: f"c{k} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r{k}, range(0, {k}) AS s(j) GROUP BY doc_id)"
-    longer = p.max_repeat + 1
+    k, longer = p.min_words, p.max_repeat + 1
+    leads = ", ".join(f"lead(word, {j}) OVER x AS w{j}" for j in range(1, max(3, k)))
+    names = lambda n: ", ".join(["word", *(f"w{j}" for j in range(1, n))])
+    repeated = lambda n: f"r{n} AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, {names(n)}) AS c FROM g WHERE w{n - 1} IS NOT NULL) WHERE c > 1)"
+    cover = lambda n: f"c{n} AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r{n}, range(0, {n}) AS s(j) GROUP BY doc_id)"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-{windows(3)}, {cover(3)}, {windows(p.min_words)}, {cover(p.min_words)},
-{windows(longer, f"AND doc_id IN (SELECT doc_id FROM c{p.min_words} WHERE n >= {longer})")}, long AS (SELECT DISTINCT doc_id FROM r{longer}),
+wd AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+g AS (SELECT doc_id, i, word, {leads} FROM wd WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+{repeated(3)}, {cover(3)}, {repeated(k)}, {cover(k)},
+rl AS (SELECT r{k}.* FROM r{k} JOIN c{k} USING (doc_id) WHERE n >= {longer}),
+pairs AS (SELECT doc_id, a.i, b.i - a.i AS d FROM rl a JOIN rl b USING (doc_id, {names(k)}) WHERE a.i < b.i),
+long AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS run FROM pairs) GROUP BY doc_id, d, run HAVING count(*) >= {longer - k + 1}),
 b AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(text) - length(translate(text, '{repetition.SYMBOLS}', '')))::BIGINT AS n_symbols,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
