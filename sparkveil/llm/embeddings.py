@@ -37,7 +37,7 @@ class Params:
     sample_rows: int = 20_000
     subspaces: int = 8
     codes: int = 64
-    margin_sigmas: float = 4.0
+    margin_sigmas: float = 2.5
     block_rows: int = 2048
     seed: int = 7
     rounds: int = 8
