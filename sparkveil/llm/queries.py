@@ -53,16 +53,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighed = mixing.weigh(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    return weighed.select(
+    return mixing.weigh(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id",
-        F.col("_source").alias("source_group"),
-        F.col("_lang").alias("lang_group"),
-        F.col("_topic").alias("topic"),
-        F.col("_mass").alias("words"),
-        F.round("_weight", 6).alias("weight"),
-        F.round("_probability", 6).alias("probability"),
-        F.col("_sampled").alias("sampled"),
+        F.col("_mix_source").alias("source_group"),
+        F.col("_mix_lang").alias("lang_group"),
+        F.col("_mix_topic").alias("topic"),
+        F.col("_mix_mass").alias("words"),
+        F.round("_mix_weight", 6).alias("weight"),
+        F.round("_mix_probability", 6).alias("probability"),
+        F.col("_mix_sampled").alias("sampled"),
     )
 
 

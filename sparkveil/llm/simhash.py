@@ -28,6 +28,8 @@ RADIUS = 3
 #: Bits of the five groups: 7, 7, 6, 6 and 6 segments of two bits.
 GROUPS = (14, 14, 12, 12, 12)
 LOW_BITS = 0x5555555555555555
+#: Columns that the operator adds to documents on its way.
+FP, ROW = "_simhash_fp", "_simhash_row"
 
 
 def fingerprint(text: str) -> int:
@@ -56,21 +58,18 @@ def fingerprint(text: str) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` and `fp`, the fingerprint as a signed long, and `row_id`, unique per
-    row. A null text counts as empty. Every partition is read once; write the result before using
-    `row_id` twice."""
+    """The columns `keep` of `docs` and FP, the fingerprint as a signed long, and ROW, unique per row. A null text counts as empty. Every partition is read once; write the result before using ROW
+    twice."""
     keep = docs.columns if keep is None else keep
-    if clash := {"fp", "row_id"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} are taken")
     base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    schema = T.StructType([*[base.schema[c] for c in keep], T.StructField("fp", T.LongType()), T.StructField("row_id", T.LongType())])
+    schema = T.StructType([*[base.schema[c] for c in keep], T.StructField(FP, T.LongType()), T.StructField(ROW, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, text):
             fps = np.array([fingerprint(t) for t in texts_of(b, text)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fps), b.column("_row")], names=[*keep, "fp", "row_id"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fps), b.column(ROW)], names=[*keep, FP, ROW])
 
-    return base.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, schema)
+    return base.withColumn(ROW, F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def embedding(fp: F.Column) -> F.Column:
@@ -169,14 +168,15 @@ def _forest(cell: np.ndarray, fp: np.ndarray, radius: int, step_rows: int = 256)
 
 
 def components(printed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`printed` (a written frame with `fp`, `row_id` and `key`) with `component_id`, the smallest `key`
-    of the row's component, and `keeper`, true for one row of each component (smallest key, then row).
+    """`printed` (a written frame with FP, ROW and `key`) with `component_id`, the smallest `key` of the
+    row's component, and `keeper`, true for one row of each component (smallest key, then row).
 
     Copies are counted once: the grid sees distinct fingerprints. Null keys never name a component
     unless all of its keys are null; then component_id is null. An empty table gives no rows.
     """
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("row_id").alias("row")))
-    classes = materialize(printed.groupBy("fp").agg(first.alias("first")), "classes")
+    rows = printed.select(F.col(f"`{key}`").alias("key"), F.col(FP).alias("fp"), F.col(ROW).alias("row"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    classes = materialize(rows.groupBy("fp").agg(first.alias("first")), "classes")
     roots = connected_components(near_edges(classes.select("fp")))
     rooted = materialize(
         classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted"
@@ -185,7 +185,7 @@ def components(printed: DataFrame, key: str = "doc_id") -> DataFrame:
     named = materialize(
         rooted.join(tops, "root").select("fp", F.col("top.key").alias("component_id"), F.col("top.row").alias("keeper_row")), "named"
     )
-    return printed.join(named, "fp").withColumn("keeper", F.col("row_id") == F.col("keeper_row")).drop("keeper_row")
+    return rows.join(named, "fp").select("key", "fp", "row", "component_id", (F.col("row") == F.col("keeper_row")).alias("keeper"))
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,11 +195,11 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Repeated rows each return a row.
     """
     printed = materialize(with_fingerprints(docs, text, [key]), "fingerprints")
-    return components(printed, key).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keeper")
+    return components(printed, key).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keeper")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` without all but one row of each component; columns and their order stay."""
     printed = materialize(with_fingerprints(docs, text), "fingerprints")
-    kept = materialize(components(printed.select(key, "fp", "row_id"), key).where("keeper").select("row_id"), "kept")
-    return printed.join(kept, "row_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = materialize(components(printed, key).where("keeper").select(F.col("row").alias(ROW)), "kept")
+    return printed.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
