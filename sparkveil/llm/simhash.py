@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, sliced, texts_of
-from .components import Forest, connected_components
+from .components import connected_components
 
 RADIUS = 3
 #: Bits of the five groups: 7, 7, 6, 6 and 6 segments of two bits.
@@ -88,13 +88,9 @@ def _masks() -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in signed]
 
 
-def _counted(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
 def near_edges(fps: DataFrame, block_rows: int = 4096, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints `fp` that give every two of them within `radius`
-    bits the same component. A block emits a spanning forest, not its pairs.
+    bits the same component. A cell emits a spanning forest (a small one its few pairs), never all pairs.
 
     A cell of over `block_rows` fingerprints is cut into blocks; each pair of blocks is a unit of work
     of its own, so no cell has to fit in a task and none is capped.
@@ -142,29 +138,52 @@ def _and_last(frames):
     yield True, held if held is not None else pd.DataFrame({"cell": np.zeros(0, np.int64), "fp": np.zeros(0, np.int64)})
 
 
-def _forest(cell: np.ndarray, fp: np.ndarray, radius: int, step_rows: int = 256) -> pd.DataFrame:
-    """Spanning edges of the pairs within `radius` bits in each cell; rows are sorted by cell."""
+#: Cells of up to so many rows are compared by shifting the whole partition against itself.
+SMALL = 8
+
+
+def _forest(cell: np.ndarray, fp: np.ndarray, radius: int) -> pd.DataFrame:
+    """Edges that connect what pairs within `radius` bits connect, cell by cell; rows are sorted by cell."""
     low = np.uint64(LOW_BITS)
     high = (fp >> np.uint64(1)) & low
     unary = (fp & low) | high | ((fp & low & high) << np.uint64(1))
-    out_u: list = []
-    out_v: list = []
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([starts, [len(cell)]]))
-    for start, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-        own, own_unary = fp[start : start + size], unary[start : start + size]
-        forest = Forest()
-        for i in range(0, size, step_rows):
-            near = _counted(own_unary[i : i + step_rows, None] ^ own_unary[None, i:]) <= radius
-            a, b = np.nonzero(near)
-            a, b = a[b > a] + i, b[b > a] + i
-            if len(a):
-                good = _counted(own[a] ^ own[b]) <= radius
-                for x, y in zip(own[a[good]].view(np.int64).tolist(), own[b[good]].view(np.int64).tolist(), strict=True):
-                    if x != y and forest.join(x, y):
-                        out_u.append(x)
-                        out_v.append(y)
-    return pd.DataFrame({"u": np.array(out_u, dtype=np.int64), "v": np.array(out_v, dtype=np.int64)})
+    sizes = np.diff(np.concatenate([starts, [len(cell)]])).astype(np.int64)
+    us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    some = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
+    c, f, e = cell[some], fp[some], unary[some]
+    for d in range(1, SMALL):
+        near = (c[d:] == c[:-d]) & (np.bitwise_count(e[d:] ^ e[:-d]) <= radius) if len(c) > d else np.zeros(0, bool)
+        i = np.flatnonzero(near)
+        i = i[(np.bitwise_count(f[i] ^ f[i + d]) <= radius) & (f[i] != f[i + d])]
+        us.append(f[i])
+        vs.append(f[i + d])
+    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        u, v = _spread(fp[start : start + size], unary[start : start + size], radius)
+        us.append(u)
+        vs.append(v)
+    return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
+
+
+def _spread(fp: np.ndarray, unary: np.ndarray, radius: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of one cell: from a seed, take in all rows that are near, then those near to
+    these, until none is left. Each row is held against the rest once, whatever the number of pairs."""
+    rest = np.arange(len(fp))
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    front = np.zeros(0, np.int64)
+    while len(rest):
+        if not len(front):
+            front, rest = rest[:1], rest[1:]
+        now, front = front[:batch], front[batch:]
+        near = np.bitwise_count(unary[now, None] ^ unary[None, rest]) <= radius
+        near &= np.bitwise_count(fp[now, None] ^ fp[None, rest]) <= radius
+        hit = near.any(axis=0)
+        if hit.any():
+            us.append(fp[now[near[:, hit].argmax(axis=0)]])
+            vs.append(fp[rest[hit]])
+            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
 def components(printed: DataFrame, key: str = "doc_id") -> DataFrame:
