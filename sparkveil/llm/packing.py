@@ -7,6 +7,7 @@ found in a segment tree over the remaining capacities.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,11 +15,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, texts_of
+from .common import materialize, sliced
 
 
 @dataclass(frozen=True)
@@ -30,12 +32,19 @@ class Params:
     window: int = 2048
     end_id: int = 1
     group_pieces: int = 32_768
-    cache_words: int = 400_000
+    cache_words: int = 1_000_000
+
+
+#: What may follow a word of letters without changing how it is encoded.
+STOPS = ".,;:!?"
+#: Latin letters that are composed already and have one lower case: all but the dotted capital i.
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that drops white space and never merges across it: each
-    white-space word is encoded once and remembered. The result equals encoding the whole text."""
+    """Ids of whole texts from a tokenizer that drops white space, splits letters from other characters
+    and never merges across either: each distinct word is encoded once and remembered. The result
+    equals encoding the whole text."""
 
     def __init__(self, path: str, cache_words: int) -> None:
         from tokenizers import Tokenizer
@@ -43,38 +52,67 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = "<|endoftext|>"
         self.separator_id = self.tokenizer.token_to_id(self.separator)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _learn(self, words: list[bytes]) -> None:
-        mark = self.separator.encode()
-        for w in [w for w in words if mark in w]:
-            self.known[w] = self._encode(w.decode()).tobytes()
-        words = [w for w in words if mark not in w]
-        for start in range(0, len(words), 1000):
-            part = words[start : start + 1000]
-            ids = self._encode(f" {self.separator} ".join(w.decode() for w in part))
-            cuts = np.flatnonzero(ids == self.separator_id)
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha()]
+        for start in range(0, len(plain), 500):  # a run of letters ends with its only word-end piece
+            part = plain[start : start + 500]
+            ids = self._encode(" ".join(part))
+            self._keep(part, ids, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), 0)
+        mixed = [w for w in words if not w.isalpha() and self.separator not in w]
+        for start in range(0, len(mixed), 500):
+            part = mixed[start : start + 500]
+            ids = self._encode(f" {self.separator} ".join(part))
+            self._keep(part, ids, [*(4 * np.flatnonzero(ids == self.separator_id)).tolist(), 4 * len(ids)], 4)
+        for w in words:
+            if w not in self.known:
+                self.known[w] = self._encode(w).tobytes()
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: list[int], skip: int) -> None:
+        """Remember the ids up to each end; `skip` bytes lie between two words. Unless there is an end for
+        each word, all are left to be encoded alone."""
+        if len(ends) == len(words):
             raw = ids.tobytes()
-            bounds = zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True)
-            self.known.update((w, raw[a:b]) for w, (a, b) in zip(part, bounds, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        lists = [t.encode("utf-8", "replace").split() for t in texts]
-        needed: set[bytes] = set()
-        for words in lists:
-            needed.update(words)
+            self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(e + skip for e in ends[:-1])], ends, strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the bounds of each text."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = pc.dictionary_encode(lists.flatten())
+        heads = pc.utf8_rtrim(coded.dictionary, characters=STOPS)
+        simple = pc.match_substring_regex(heads, LETTERS)
+        # what stands behind the letters: the word without its leading letters, in ASCII or not
+        tails = pc.if_else(simple, pc.replace_substring_regex(coded.dictionary, f"^[^{re.escape(STOPS)}]+", ""), "")
+        heads = pc.dictionary_encode(pc.if_else(simple, pc.utf8_lower(heads), coded.dictionary))
+        tails = pc.dictionary_encode(tails)
+        head_words, tail_words = heads.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        needed = {*head_words, *tail_words}
         new = needed.difference(self.known)
         if new and len(self.known) + len(new) > self.cache_words:
-            self.known.clear()
-            new = needed
+            self.known = {"": b""}
+            new = needed - {""}
         self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        raw = list(map(self.known.__getitem__, head_words + tail_words))
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        pool, starts = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
+        number = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # each word is a head and a tail, which is empty for most
+        index = number(coded)
+        parts = np.stack([number(heads)[index], number(tails)[index] + len(head_words)], axis=1).ravel()
+        lengths = sizes[parts]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.repeat(starts[parts] - ends[:-1], lengths) + np.arange(ends[-1])]
+        ends = ends[::2]
+        words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return ids, ends[words]
 
 
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}
@@ -102,12 +140,13 @@ def pieces(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = tokenizer(path, p.cache_words), np.array([p.end_id], dtype="<u4").tobytes()
         number = None
-        for b in sliced(batches, text):
+        for b in sliced(batches, text, max_bytes=8 << 20, max_rows=8000):
             if number is None:  # the rows' high bits are the partition's own
                 number = b.column("_row")[0].as_py() >> 33 << 33
             at, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, raw in enumerate(t.encode(texts_of(b, text))):
-                raw += end
+            encoded, bounds = t.encode(b.column(text))
+            for i, (first, past) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                raw = encoded[first:past].tobytes() + end
                 n = len(raw) // 4
                 for s in range(0, n, p.window):
                     part = raw[4 * s : 4 * (s + p.window)]
