@@ -114,7 +114,7 @@ def near_edges(fps: DataFrame, block_rows: int = 4096, radius: int = RADIUS) ->
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("fp", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
         )
-    units = usual if large is None else usual.union(large)
+    units = usual if large is None else usual.unionByName(large)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest_cell, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
