@@ -53,29 +53,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
-
-
-class Forest:
-    """Union-find over arbitrary hashable ids, for the pairs of one block."""
-
-    def __init__(self) -> None:
-        self.parent: dict = {}
-
-    def find(self, x):
-        path = []
-        while (up := self.parent.get(x, x)) != x:
-            path.append(x)
-            x = up
-        for y in path:
-            self.parent[y] = x
-        return x
-
-    def join(self, x, y) -> bool:
-        """True if x and y were apart."""
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        if y < x:
-            x, y = y, x
-        self.parent[y] = x
-        return True

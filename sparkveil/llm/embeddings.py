@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .components import Forest, connected_components
+from .components import connected_components
 
 
 @dataclass(frozen=True)
@@ -174,7 +174,7 @@ FOUND = "u long, v long, n long"
 
 
 def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
-    """Of vectors of one length: rows (u, null, n), parts of u's number of links, and forest edges (u, v, null)."""
+    """Of vectors of one length: rows (u, null, n), parts of u's number of links, and edges (u, v, null) that connect what links connect."""
     spark = classes.sparkSession
     sample = classes.orderBy(F.xxhash64("class"), "class").limit(p.sample_rows).select(F.col("v").cast("array<double>")).toPandas()
     index = fit(unit(np.array(sample["v"].tolist(), dtype=np.float64)), n, p)
@@ -251,7 +251,6 @@ class Unit:
         self.entries: list[pa.RecordBatch] = []
         self.ready = False
         self.links: dict[int, int] = {}
-        self.forest = Forest()
         self.edges: list[tuple[int, int]] = []
 
     def take(self, b: pa.RecordBatch) -> None:
@@ -270,6 +269,7 @@ class Unit:
         t = pa.Table.from_batches(self.entries).combine_chunks() if self.entries else None
         self.entries = []
         self.size = t.num_rows if t is not None else 0
+        self.part = np.arange(self.size)  # entries that edges connect share a number
         if not self.size:
             return
         c = {n: t.column(n).combine_chunks() for n in ("class", "copies", "v", "codes", "error", "at")}
@@ -307,12 +307,16 @@ class Unit:
         names, inverse = np.unique(ids, return_inverse=True)
         for name, n in zip(names.tolist(), np.bincount(inverse, np.concatenate([self.copies[e], copies[q]])).tolist(), strict=True):
             self.links[name] = self.links.get(name, 0) + int(n)
-        for x, y in zip(cls[q].tolist(), self.cls[e].tolist(), strict=True):
-            if self.forest.join(x, y):
-                self.edges.append((x, y))
+        bounds = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1], [True]]))
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):  # one query's entries: an edge for each part of the block they lie in
+            own_entries = e[a:z]
+            parts, first_of = np.unique(self.part[own_entries], return_index=True)
+            self.edges += [(int(cls[q[a]]), int(x)) for x in self.cls[own_entries[first_of]]]
+            if len(parts) > 1:
+                self.part[np.isin(self.part, parts[1:])] = parts[0]
 
     def result(self) -> tuple[list, list, list]:
-        """Columns u, v, n: this unit's share of the link counts, then its forest."""
+        """Columns u, v, n: this unit's share of the link counts, then edges enough to connect what it links."""
         return (
             [*self.links, *(x for x, _ in self.edges)],
             [*([None] * len(self.links)), *(y for _, y in self.edges)],
