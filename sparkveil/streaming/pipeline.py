@@ -51,11 +51,12 @@ def deduplicated(events: DataFrame, key: str, ts: str, late: str = "1 hour") ->
 THRESHOLD_OUT = "metric string, ts timestamp, value double, previous_state string, state string"
 
 
-def thresholds(samples: DataFrame, warning: float, critical: float, above: bool = True, cooldown_s: int = 60, emit_recovery: bool = True, idle: str = "1 hour") -> DataFrame:
+def thresholds(samples: DataFrame, warning: float, critical: float, above: bool = True, cooldown_s: int = 60, emit_recovery: bool = True, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """State changes of each metric of `samples` (metric, ts, value): normal, warning, critical.
 
     The state per metric is its last state and the time of the last change told; a change within the
-    cooldown is not told, escalation to critical always is. Metrics idle for `idle` are forgotten.
+    cooldown is not told, escalation to critical always is. Metrics idle for `idle` of event time are
+    forgotten; samples later than `late` may be dropped.
     """
     ranks = {"normal": 0, "warning": 1, "critical": 2}
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -70,7 +71,8 @@ def thresholds(samples: DataFrame, warning: float, critical: float, above: bool
             return
         last, told = state.get if state.exists else ("normal", -1.0)
         out = []
-        for r in pd.concat(list(frames)).sort_values("ts").itertuples():
+        rows = pd.concat(list(frames)).sort_values("ts")
+        for r in rows.itertuples():
             now, at = grade(r.value), r.ts.timestamp()
             if now == last:
                 continue
@@ -80,11 +82,13 @@ def thresholds(samples: DataFrame, warning: float, critical: float, above: bool
                 told = at
             last = now
         state.update((last, told))
-        state.setTimeoutDuration(idle_ms)
+        newest = int(rows["ts"].iloc[-1].timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["metric", "ts", "value", "previous_state", "state"])
 
-    return samples.groupBy("metric").applyInPandasWithState(run, THRESHOLD_OUT, "last string, told double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = samples.withWatermark("ts", late).groupBy("metric")
+    return timed.applyInPandasWithState(run, THRESHOLD_OUT, "last string, told double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str, every: str = "10 seconds", kind: str = "json", by: tuple[str, ...] = ()):

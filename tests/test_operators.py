@@ -1,0 +1,165 @@
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkveil.operators import anonymize as anon
+from sparkveil.operators import audit, correlate, metrics, spans, vault
+from sparkveil.schemas import AUDIT_EVENT, DETECTION
+from sparkveil.sources import logs, tables
+
+TEXT = "Email jane@x.io or call Bob"
+
+
+def detections(*rows):
+    made = [F.struct(F.lit(e).alias("entity_type"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(float(s)).alias("score")) for e, a, b, s in rows]
+    return F.array(*made) if made else F.array().cast(f"array<{DETECTION.simpleString()}>")
+
+
+def test_replace_by_default(one):
+    out = one(anon.anonymize(F.lit(TEXT), detections(("EMAIL_ADDRESS", 6, 15, 0.9), ("PERSON", 24, 27, 0.8))))
+    assert out.text == "Email <EMAIL_ADDRESS> or call <PERSON>"
+    assert [(i.start, i.end, i.operator) for i in out["items"]] == [(6, 21, "replace"), (30, 38, "replace")]
+
+
+@pytest.mark.parametrize(("strategy", "expected"), [("none", "ab<A>gh<C>"), ("keep_best", "abcd<B>h<C>"), ("trim", "ab<A><B>h<C>")])
+def test_conflicts(one, strategy, expected):
+    found = detections(("A", 2, 6, 0.5), ("B", 4, 7, 0.9), ("C", 8, 10, 0.1), ("D", 9, 10, 0.05))
+    assert one(anon.anonymize(F.lit("abcdefghij"), found, {}, strategy)["text"]) == expected
+
+
+def test_operators_and_reverse(spark):
+    ops = {"EMAIL": anon.Operator("encrypt", {"key": "k"}), "PERSON": anon.Operator("mask", {"masking_char": "#", "chars_to_mask": 2}), "X": anon.Operator("redact")}
+    df = spark.createDataFrame([(TEXT,)], "t string").select(anon.anonymize(F.col("t"), detections(("EMAIL", 6, 15, 1), ("PERSON", 24, 27, 1), ("X", 0, 5, 1)), ops).alias("r"))
+    back = df.select("r.text", anon.deanonymize(F.col("r.text"), F.col("r.items"), ops)["text"].alias("back")).first()
+    assert back.text.endswith("##b") and back.text.startswith(" ")
+    assert back.back == " jane@x.io or call ##b"
+
+
+def test_edges(one):
+    assert one(anon.anonymize(F.lit(None).cast("string"), detections(("A", 0, 1, 1)))) is None
+    assert one(anon.anonymize(F.lit("abc"), detections(("A", 2, 9, 1), ("B", -1, 2, 1), ("C", 1, 1, 1)))["text"]) == "abc"
+    assert one(anon.anonymize(F.lit("ä€b"), detections(("A", 1, 2, 1)))["text"]) == "ä<A>b"
+    assert one(anon.redact_all(F.lit("SSN 123-45-6789."), detections(("US_SSN", 4, 15, 1)))) == "SSN ."
+
+
+@pytest.mark.parametrize("op", [
+    anon.Operator("nope"), anon.Operator("mask", {"masking_char": ""}), anon.Operator("hash", {"salt": "short"}), anon.Operator("encrypt"), anon.Operator("custom"), anon.Operator("redact", {"x": 1}),
+])
+def test_bad_configurations_fail_first(op):
+    with pytest.raises(ValueError):
+        anon.validate({"A": op})
+
+
+def test_record(one):
+    out = one(anon.anonymize_record(F.lit('{"user": "bob", "n": 1}'), {"user": anon.Operator("hash"), "absent": anon.Operator("redact")}))
+    assert out["n"] == "1" and out["user"].startswith("sha256:") and "absent" not in out
+
+
+def test_correlation(spark):
+    rows = [(1, 0, 6, "a@b.co", "email"), (1, 20, 30, "password=x", "password"), (1, 5000, 5006, "c@d.co", "email"), (2, 0, 6, "e@f.co", "email")]
+    found = spark.createDataFrame(rows, "doc_id long, start int, end int, matched_text string, identifier_type string")
+    pairs = correlate.proximate_pairs(found)
+    assert [(r.primary_start, r.secondary_start, r.gap, r.pair_type) for r in pairs.collect()] == [(0, 20, 14, "credential_pair")]
+    docs = spark.createDataFrame([(1, "x" * 6 + "\n" * 10 + "y" * 100)], "doc_id long, text string")
+    assert correlate.within_lines(pairs, docs).count() == 0
+    assert [r.confidence for r in correlate.correlations(pairs).collect()] == ["high"]
+
+
+def test_correlation_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for d in range(4):
+        for _ in range(40):
+            a = rng.randrange(4000)
+            rows.append((d, a, a + rng.randrange(1, 900), "m", rng.choice(["email", "password", "phone"])))
+    rows = sorted(set(rows))
+    got = correlate.proximate_pairs(spark.createDataFrame(rows, "doc_id long, start int, end int, matched_text string, identifier_type string"))
+    expected = [(d, a, b, k, x, y, m) for d, a, b, _, k in rows for e, x, y, _, m in rows if d == e and (a, b, k) < (x, y, m) and max(0, x - b) <= 500]
+    assert sorted((r.doc_id, r.primary_start, r.primary_end, r.primary_identifier_type, r.secondary_start, r.secondary_end, r.secondary_identifier_type) for r in got.collect()) == sorted(expected)
+
+
+def test_audit_query(spark):
+    rows = [(i, datetime(2024, 1, 1 + i % 5), "error" if i % 2 else "view", "error" if i % 2 else "debug", i % 3 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, timestamp timestamp, event_type string, severity string, security_relevant boolean")
+    q = audit.AuditQuery(min_severity="warning")
+    assert q.count(df) == 10
+    assert [r.id for r in q.page(2, 3).run(df).collect()] == [r.id for r in q.run(df).collect()][2:5]
+    assert q.page(0, 10).has_more(df) is False and q.page(0, 9).has_more(df) is True
+    assert audit.AuditQuery(event_types=()).count(df) == 0
+    assert audit.AuditQuery(security_only=True).count(df) == 7
+    assert [r.id for r in audit.recent(df, 2).collect()] == [19, 14]
+
+
+def test_histogram_is_nearest_rank(spark):
+    values = [5.0, 1.0, 3.0, 3.0, 9.0, 7.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [("a", None)], "k string, v double")
+    r = metrics.histogram(df, ["k"], "v").first()
+    ordered = sorted(values)
+    assert (r.n, r["min"], r["max"]) == (6, 1.0, 9.0)
+    assert [r[n] for n, _ in metrics.PERCENTILES] == [ordered[int((len(ordered) - 1) * p)] for _, p in metrics.PERCENTILES]
+
+
+def test_thresholds_and_exports(spark):
+    rows = [("m", datetime(2024, 1, 1, 0, 0, i), i, v) for i, v in enumerate([1.0, 70.0, 95.0, 95.0, 2.0])]
+    df = spark.createDataFrame(rows, "m string, ts timestamp, i int, v double")
+    found = metrics.transitions(df, ["m"], "v", "ts", "i", 60, 90)
+    assert [(r.previous_state, r.state) for r in found.orderBy("i").collect()] == [("normal", "warning"), ("warning", "critical"), ("critical", "normal")]
+    assert metrics.transitions(df, ["m"], "v", "ts", "i", 60, 90, emit_recovery=False).count() == 2
+    lines = [r.line for r in metrics.prometheus(spark.createDataFrame([('a"b', 1)], "l string, v int"), "x.y", "v", ["l"]).collect()]
+    assert lines == ["# TYPE x_y gauge", 'x_y{l="a\\"b"} 1']
+    assert metrics.statsd(df.limit(1), "n", "i").first()[0] == "n:0|g"
+    key = metrics.labelled_key(F.lit("n"), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))
+    assert spark.range(1).select(key).first()[0] == 'n{a="1",b="2"}'
+
+
+def test_vault(spark):
+    values = spark.createDataFrame([("s", "name", "Ann"), ("s", "name", "Ann"), ("t", "name", "Ann"), ("s", "name", None)], "session_id string, entity_type string, original string")
+    known = spark.createDataFrame([("s", "name", "Ann", "NAME_OLD")], "session_id string, entity_type string, original string, token string")
+    out, fresh = vault.get_or_put(known, values, "k")
+    assert sorted((r.session_id, r.token == "NAME_OLD") for r in out.where("original is not null").collect()) == [("s", True), ("s", True), ("t", False)]
+    assert fresh.count() == 1 and out.count() == 4
+    assert vault.reveal(known, spark.createDataFrame([("s", "NAME_OLD"), ("x", "NAME_OLD")], "session_id string, token string")).where("original = 'Ann'").count() == 1
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([("a@b.co",), ("x",), (None,)], "v string")
+    good, rest = spans.partition_batch(df, "v", "email")
+    assert (good.count(), rest.count()) == (1, 2)
+    with pytest.raises(ValueError):
+        spans.validate_batch(df, "v", "nope")
+
+
+def test_log_files(spark, tmp_path):
+    import gzip
+
+    event = {"id": "1", "timestamp": "2024-01-01T00:00:00Z", "event_type": "view", "severity": "info", "message": "m", "context": {"user_id": "u"}, "metadata": {"k": "v"}}
+    (tmp_path / "audit.log").write_text(json.dumps(event) + "\n\nnot json\n")
+    with gzip.open(tmp_path / "audit.log.1.gz", "wt") as f:
+        f.write(json.dumps(event | {"id": "2"}) + "\n")
+    paths = logs.log_paths(str(tmp_path / "audit.log"))
+    assert sorted(r.id for r in logs.read_events(spark, paths).collect()) == ["1", "2"]
+    assert [r.preview for r in logs.parse_errors(spark, paths).collect()] == ["not json"]
+    logs.write_events(logs.read_events(spark, paths), str(tmp_path / "out"))
+    assert spark.read.schema(AUDIT_EVENT).json(str(tmp_path / "out")).count() == 2
+    assert "[INFO]" in logs.human_lines(logs.read_events(spark, paths)).first().line
+
+
+def test_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("1", datetime(2024, 1, 1)), ("1", datetime(2024, 1, 1)), ("2", datetime(2024, 2, 1))], "id string, timestamp timestamp")
+    tables.append_idempotent(spark, path, rows)
+    tables.append_idempotent(spark, path, rows)
+    assert spark.read.parquet(path).count() == 2
+    assert tables.retained(spark.read.parquet(path), 10, datetime(2024, 2, 5)).count() == 1
+    (tmp_path / "x.bin").write_bytes(b"%PDF-1.7 ...")
+    assert tables.read_typed_files(spark, str(tmp_path / "x.bin")).first().file_type == "pdf"
+    (tmp_path / "y.yaml").write_text("a: 1\n---\na: 2\n")
+    assert sorted(r.a for r in tables.read_format(spark, str(tmp_path / "y.yaml"), "yaml", rows.schema.__class__.fromDDL("a int")).collect()) == [1, 2]
+    (tmp_path / "z.xml").write_text("<rs><row><a>3</a></row></rs>")
+    assert tables.read_format(spark, str(tmp_path / "z.xml"), "xml", rows.schema.__class__.fromDDL("a int")).first().a == 3
