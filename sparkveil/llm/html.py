@@ -47,23 +47,30 @@ DROP_TAGS = frozenset(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 DROP_WORDS = frozenset(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs header masthead banner topbar footer bottombar copyright sidebar aside widget widgets rail "
-    "related recommended recommendations more-stories notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
+    "related recommended recommendations more-stories notice notices cookie cookies consent gdpr announcement disclaimer alert popup modal overlay newsletter subscribe subscription signup login "
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted "
     "comment comments commentlist disqus replies respond discussion share sharing social pager pagination skip-link toolbar form search searchbox hidden sr-only".split()
 )
-#: Names made of parts are looked up whole and part by part; these parts alone say too little.
+#: A name made of parts goes if its first or last part is one of the words, unless that alone says too little ...
 WEAK = frozenset(["header", "form", "more", "search", "hidden", "alert", "rail", "discussion", "respond", "replies"])
+#: ... but these do go, and names that begin with one of `ABOUT` only tell what an element has or lacks.
+WHOLE = frozenset(
+    "site-header page-header global-header main-header top-header search-form search-box login-form contact-form signup-form comment-form "
+    "site-notice legal-notice back-to-top".split()
+)
+ABOUT = frozenset(["has", "no", "with", "without", "is", "not"])
 LEVELS = {f"h{i}" for i in range(1, 7)}
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "holds_main")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent = tag, attributes, parent
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
+        self.holds_main = False
 
 
 def parse(page: str) -> Node:
@@ -101,6 +108,11 @@ def parse(page: str) -> Node:
             here = here.parent
         node = Node(tag, m[3], here)
         here.children.append(node)
+        if tag == "main" or tag == "article" and not (m[3] and _named(node)):
+            outer = here
+            while outer is not None and not outer.holds_main:  # what holds the article is not boilerplate by name
+                outer.holds_main = True
+                outer = outer.parent
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
             continue
         if tag in RAW:
@@ -140,25 +152,32 @@ def _closed(here: Node, tags: frozenset[str]) -> Node:
 
 def _names(value: str) -> bool:
     for name in value.lower().split():
-        if name in DROP_WORDS:
+        if name in DROP_WORDS or name in WHOLE:
             return True
         parts = [x for x in re.split(r"[-_:.]+", re.sub(r"\d+$", "", name)) if x]
-        if parts and (parts[0] in DROP_WORDS or parts[-1] in DROP_WORDS) and not {parts[0], parts[-1]} & WEAK - (DROP_WORDS - WEAK if len(parts) == 1 else set()):
+        if parts and parts[0] not in ABOUT and "with" not in parts and {parts[0], parts[-1]} & (DROP_WORDS - WEAK):
             return True
     return False
 
 
+def _named(node: Node) -> bool:
+    """Whether class or id call the element boilerplate."""
+    return any(m[1].lower() in ("class", "id") and _names(html.unescape(m[2] or m[3] or m[4] or "")) for m in ATTRIBUTE.finditer(node.attributes))
+
+
 def boilerplate(node: Node) -> bool:
     """Whether tag, role, class, id or style mark the element as none of the main text."""
     if node.tag in DROP_TAGS:
         return True
     if node.tag == "header" and not (_inside(node.parent, "article") or _inside(node.parent, "main")):
         return True
-    if not node.attributes or node.tag in ("html", "body", "article", "main"):
+    if not node.attributes or node.tag in ("html", "body", "main"):
         return False
+    if not node.holds_main and _named(node):
+        return True
     for m in ATTRIBUTE.finditer(node.attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and _names(html.unescape(value)) or name == "role" and value.strip().lower() in DROP_ROLES:
+        if name == "role" and value.strip().lower() in DROP_ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -198,8 +217,14 @@ def measure(nodes: list[Node]) -> None:
         n.density = n.chars / tags * max(math.log(max(ratio, 1.0)) / base, 0.0)
 
 
+def _titled(node: Node) -> bool:
+    """A first-level heading, or an element around one: short, but the text's own title."""
+    return node.tag == "h1" or any(not isinstance(c, str) and c.tag == "h1" for c in node.children)
+
+
 def main_nodes(page: str) -> list[Node]:
-    """The subtrees of the main text, in page order."""
+    """The subtrees of the main text, in page order: the best one, and on its path what is as dense as the
+    path's threshold or holds the title."""
     nodes = _postorder(parse(page))
     measure(nodes)
     best, most = None, 0.0
@@ -227,7 +252,8 @@ def main_nodes(page: str) -> list[Node]:
         if node is best or id(node) not in on_path:
             chosen.append(node)
             continue
-        joins = lambda c: id(c) in on_path or c.tag in BLOCKS and c.chars and c.density >= threshold and c.link_chars * 2 < c.chars
+        dense = lambda c: c.chars and c.link_chars * 2 < c.chars and (c.density >= threshold or _titled(c))
+        joins = lambda c: id(c) in on_path or c.tag in BLOCKS and dense(c)
         stack += [c for c in node.children[::-1] if not isinstance(c, str) and joins(c)]
     return chosen
 

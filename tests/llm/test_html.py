@@ -16,6 +16,9 @@ LONG = "This sentence belongs to the article and is long enough to count. " * 4
     (f"<div class='sidebar'><p>{LONG * 3}</p></div><div><p>{LONG}</p><p>More of it.</p></div>", f"{LONG.strip()}\n\nMore of it."),
     (f"<article><h1>T</h1><p>{LONG}</p><section class=comments><p>{LONG * 5}</p></section><form><p>{LONG}</p></form></article>", f"T\n\n{LONG.strip()}"),
     (f"<div id=cookie-banner>{LONG}</div><article><p>Short.</p></article><div class='ad-slot'>{LONG}</div>", "Short."),
+    (f"<div class='page-wrap nav-open'><div class='site-header'>{LONG}</div><div class='content with-sidebar'><article><p>Text.</p></article></div></div>", "Text."),
+    (f"<main><p>{LONG}</p><div id='comments-4'><article class='comment'><p>{LONG * 9}</p></article></div></main><div class='search-form'>q</div>", LONG.strip()),
+    (f"<div class=entry-header><h1>Head</h1></div><div class=body><p>{LONG}</p><p>{LONG}</p></div><div class='post-comments'><p>{LONG * 9}</p></div>", f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"),
     ("<article><p><b>open<br><p>next</article>", "open\n\nnext"), ("<script>if (a<b) '</p>'</script><p>t</p><!-- <p>no</p> -->", "t"), ("<p>x</p", "x</p"), ("<p title='a>b'>x</p>", "x"),
     ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"), ("<p>5 < 6 & 7 > 2</p>", "5 < 6 & 7 > 2"),
 ])
