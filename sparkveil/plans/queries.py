@@ -17,7 +17,7 @@ from ..functions import checksums, context, detect, entropy, files, masking, net
 from ..functions.patterns import BY_NAME, IPV4
 from ..functions.times import micros
 from ..operators import anonymize as anon
-from ..operators import audit, correlate, metrics, spans, vault
+from ..operators import audit, correlate, lexicon, metrics, spans, vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,17 +187,17 @@ def count_by_type(spark, sf_dir):
     return spans.count_by_type(spans.spans_table(table(spark, sf_dir, "documents"), _KINDS))
 
 
-@query("""SELECT doc_id, list_filter(['email', 'ip_address', 'api_key'], lambda n: (n = 'email' AND e) OR (n = 'ip_address' AND i) OR (n = 'api_key' AND a)) AS pii_types FROM (
+@query("""SELECT doc_id, array_to_string(list_filter(['email', 'ip_address', 'api_key'], lambda n: (n = 'email' AND e) OR (n = 'ip_address' AND i) OR (n = 'api_key' AND a)), ',') AS pii_types FROM (
 SELECT doc_id, """ + f"{GUARD} AND regexp_matches(text, {pattern('email')}) AS e, {GUARD} AND regexp_matches(text, {quoted(IPV4)}) AS i, {GUARD} AND regexp_matches(text, {pattern('api_key')}) AS a FROM documents)")
 def scan_types(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_compact(F.array(*[F.when(detect.present(t, n), n) for n in _KINDS])).alias("pii_types"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array(*[F.when(detect.present(t, n), n) for n in _KINDS]), ",").alias("pii_types"))
 
 
 @query()
 def scan_default(spark, sf_dir):
     """Every type of the default domains; the country checksums have no short SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", detect.scan(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(detect.scan(F.col("text")), ",").alias("pii_types"))
 
 
 # ---- redaction and masking
@@ -349,6 +349,17 @@ def proximity_pairs(spark, sf_dir):
     )
 
 
+_WORDS = {"article": ("the", "la", "der"), "pair": ("in the", "de la", "in der")}
+
+
+@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ws FROM conversations), e AS (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS (SELECT conv_id, lower(ws[i]) AS phrase FROM e UNION ALL SELECT conv_id, lower(ws[i] || ' ' || ws[i + 1]) FROM e WHERE i < len(ws))
+SELECT phrase, count(*)::BIGINT AS n FROM p WHERE phrase IN ('the', 'la', 'der', 'in the', 'de la', 'in der') GROUP BY phrase""")
+def lexicon_hits(spark, sf_dir):
+    found = lexicon.hits(table(spark, sf_dir, "conversations"), lexicon.table(spark, _WORDS), "conv_id")
+    return found.groupBy("phrase").agg(F.count("*").alias("n"))
+
+
 # ---- audit
 
 _EVENTS_SQL = """SELECT event_id, ts, user_id, event_type, value,
@@ -486,10 +497,10 @@ def host_private(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(network.ip_class(ip).alias("ip_class")).groupBy("ip_class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CAST([] AS VARCHAR[]) AS threats FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#@]*@') AND regexp_matches(url, '^https?://')")
+@query("SELECT page_id, '' AS threats FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#@]*@') AND regexp_matches(url, '^https?://')")
 def ssrf_flags(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").where(u.rlike("^https?://") & ~u.rlike("^https?://[^/?#@]*@")).select("page_id", network.ssrf_threats(u).alias("threats"))
+    return table(spark, sf_dir, "pages").where(u.rlike("^https?://") & ~u.rlike("^https?://[^/?#@]*@")).select("page_id", F.array_join(network.ssrf_threats(u), ",").alias("threats"))
 
 
 def _any_sql(col: str, patterns: dict[str, str]) -> str:

@@ -109,3 +109,8 @@ def to_many(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkp
             batch.unpersist()
 
     return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def to_console(df: DataFrame, every: str = "10 seconds", rows: int = 20):
+    """A console sink, for watching."""
+    return df.writeStream.format("console").option("numRows", rows).option("truncate", False).trigger(processingTime=every).outputMode("append").start()
