@@ -186,12 +186,12 @@ def graded(texts: list[str], dense: np.ndarray, m: Model, min_grade: int) -> tup
 
 
 def rated(docs: DataFrame, model: Model | None, keep: list[str], p: Params = Params(), text: str = "text", only: bool = False) -> DataFrame:
-    """The columns `keep` of `docs` with expected_grade, tail (P(grade >= min_grade)) and selected; with
-    `only`, the selected rows without these. Null texts count as empty; without a model nothing is
+    """The columns `keep` of `docs` with expected_grade, tail (P(grade >= min_grade)) and kept; with
+    `only`, the kept rows without these. Null texts count as empty; without a model nothing is
     known against a text: expected_grade is null, tail 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    extra = [] if only else [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("selected", T.BooleanType())]
+    extra = [] if only else [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -202,21 +202,21 @@ def rated(docs: DataFrame, model: Model | None, keep: list[str], p: Params = Par
             if only:
                 yield own.filter(good)
             else:
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(expected, from_pandas=True), pa.array(tail), good], names=[*keep, "expected_grade", "tail", "selected"])
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(expected, from_pandas=True), pa.array(tail), good], names=[*keep, "expected_grade", "tail", "kept"])
 
     return base.mapInArrow(run, T.StructType([*[base.schema[c] for c in keep], *extra]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str = "doc_id") -> DataFrame:
-    """One row per document: key, held_out, expected_grade, tail, selected.
+    """One row per document: key, held_out, expected_grade, tail, kept.
 
     Ratings are learned outside the held-out fold only. Repeated rows repeat; see `rated` for nulls
     and missing ratings.
     """
     out = rated(docs, train(docs, labels, p, key=key), [key], p)
-    return out.select(key, held_out(key).alias("held_out"), "expected_grade", "tail", "selected")
+    return out.select(key, held_out(key).alias("held_out"), "expected_grade", "tail", "kept")
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """`docs` without the rows that are not selected; columns stay."""
+    """`docs` without the rows that are not kept; columns stay."""
     return rated(docs, train(docs, labels, p), docs.columns, p, only=True)

@@ -51,7 +51,7 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(record_id: str, uri: str, payload: bytes, refers_to: str | None, refers_uri: str | None = None) -> bytes:
+def record_bytes(record_id: str, uri: str, payload: bytes, refers_to: str | None) -> bytes:
     """One record, not compressed. A revisit's block is the HTTP header alone, whose Content-Length
     still tells the payload's."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -119,8 +119,7 @@ def write_archives(pages: DataFrame, folder: str, p: Params = Params(), key: str
             out.close()
             done.append((name, records, size))
         if done:
-            scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
-            names = [f"{scheme}{n}" if not scheme or scheme == "file://" else f"{folder.rstrip('/')}/{n.rpartition('/')[2]}" for n, _, _ in done]
+            names = [f"{folder.rstrip('/')}/{n.rpartition('/')[2]}" for n, _, _ in done]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names), pa.array([r for _, r, _ in done], pa.int64()), pa.array([s for _, _, s in done], pa.int64())], names=["path", "records", "bytes"]
             )
@@ -155,17 +154,6 @@ class Source:
             pass
         return bytes(self.data[offset - self.at : offset - self.at + size])
 
-    def find(self, mark: bytes, offset: int) -> int:
-        """Offset of the next `mark`, or -1; bytes passed over are dropped."""
-        while True:
-            found = self.data.find(mark, offset - self.at)
-            if found >= 0:
-                return self.at + found
-            offset = max(offset, self.at + len(self.data) - len(mark) + 1)
-            self.drop_to(offset)
-            if not self.more():
-                return -1
-
 
 class Damaged(Exception):
     pass

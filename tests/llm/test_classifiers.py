@@ -80,10 +80,10 @@ def test_quality(frames):
     rows = quality.quality(docs, labels).collect()
     assert len(rows) == docs.count()
     held = [r for r in rows if r.held_out and r.doc_id is not None and r.doc_id >= 0]
-    assert np.mean([r.selected == (r.doc_id % 7 != 0) for r in held]) > 0.97
+    assert np.mean([r.kept == (r.doc_id % 7 != 0) for r in held]) > 0.97
     kept = quality.drop_low_quality(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    assert {r.selected for r in quality.quality(docs, labels.limit(0)).collect()} == {True}
+    assert {r.kept for r in quality.quality(docs, labels.limit(0)).collect()} == {True}
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
