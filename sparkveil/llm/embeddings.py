@@ -38,7 +38,7 @@ class Params:
     subspaces: int = 8
     codes: int = 64
     margin_sigmas: float = 2.5
-    block_rows: int = 2048
+    block_rows: int = 512
     seed: int = 7
     rounds: int = 8
 
