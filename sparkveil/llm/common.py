@@ -39,9 +39,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 20, max_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `max_bytes` of `column` (one long text alone may
-    be more) and at most `max_rows` rows."""
+    be more) and at most `max_rows` rows. Between batches Arrow gives unused memory back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -54,6 +54,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 <<
             stop = min(max(stop, start + 1), start + max_rows, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

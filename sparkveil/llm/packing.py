@@ -32,7 +32,7 @@ class Params:
     window: int = 2048
     end_id: int = 1
     group_pieces: int = 32_768
-    cache_words: int = 1_000_000
+    cache_words: int = 600_000
 
 
 #: What may follow a word of letters without changing how it is encoded.
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = tokenizer(path, p.cache_words), np.array([p.end_id], dtype="<u4").tobytes()
         number = None
-        for b in sliced(batches, text, max_bytes=8 << 20, max_rows=8000):
+        for b in sliced(batches, text, max_bytes=4 << 20, max_rows=4000):
             if number is None:  # the rows' high bits are the partition's own
                 number = b.column("_row")[0].as_py() >> 33 << 33
             at, start, length, crc, total, ids = [], [], [], [], [], []
