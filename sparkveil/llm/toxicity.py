@@ -23,10 +23,10 @@ class Params:
 
     bits: int = 20
     sample_rows: int = 16_000
-    alpha: float = 1.0
+    alpha: float = 5.0
     beta: float = 1.0
-    l1: float = 10.0
-    l2: float = 1.0
+    l1: float = 8.0
+    l2: float = 0.1
     passes: int = 6
 
 
