@@ -197,7 +197,7 @@ def scan_types(spark, sf_dir):
 @query()
 def scan_default(spark, sf_dir):
     """Every type of the default domains; the country checksums have no short SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(detect.scan(F.col("text")), ",").alias("pii_types"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(detect.scan(F.col("text"), max_bytes=None), ",").alias("pii_types"))
 
 
 # ---- redaction and masking
@@ -320,7 +320,7 @@ def text_char_diversity(spark, sf_dir):
 def entropy_words(spark, sf_dir):
     """High-entropy words of every document."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S{20,}"))
-    return docs.select("doc_id", F.explode(entropy.high_entropy_words(F.col("text"))).alias("word"))
+    return docs.select("doc_id", F.explode(entropy.high_entropy_words(F.col("text"), max_bytes=None)).alias("word"))
 
 
 @query(f"""WITH m AS (SELECT doc_id, text, string_split_regex(text, {quoted(HEX_SECRET)}) AS gaps, regexp_extract_all(text, {quoted(HEX_SECRET)}) AS ms FROM documents WHERE {GUARD}),
