@@ -2,7 +2,8 @@
 
 Vectors are compared within their label. Coarse centroids cut the space into inverted lists; a vector's
 residual to its centroid is coded by sub-space centroids. Every vector queries its own list and all
-lists whose border to its own lies within a margin. In a list, table look-ups give the query's asymmetric
+lists whose border to its own lies within half a link's greatest length: the distances of two linked
+vectors to the border of their lists add up to at most that length, so one of them finds the other. In a list, table look-ups give the query's asymmetric
 distance to each code; since each code's reconstruction error is stored, distance less error bounds
 the true distance from below, and only what may reach the threshold is ranked again by exact cosine.
 """
@@ -27,9 +28,8 @@ from .components import connected_components
 class Params:
     """threshold: least cosine of a link; list_rows: about how many vectors of a sample a list holds;
     max_lists; sample_rows: bound of the sample that centroids are fitted on; subspaces, codes: of the
-    product quantiser; margin_sigmas: width of the border within which other lists are probed, in
-    standard deviations of a random displacement of the threshold's length; block_rows: largest
-    part of a list that one task compares at once; seed, rounds: of k-means."""
+    product quantiser; block_rows: largest part of a list that one task compares at once; seed,
+    rounds: of k-means."""
 
     threshold: float = 0.93
     list_rows: int = 256
@@ -37,7 +37,6 @@ class Params:
     sample_rows: int = 20_000
     subspaces: int = 8
     codes: int = 64
-    margin_sigmas: float = 2.5
     block_rows: int = 512
     seed: int = 7
     rounds: int = 8
@@ -69,7 +68,6 @@ class Index:
     books: list[np.ndarray]
     cuts: list[int]
     radius: float
-    margin: float
     gaps: np.ndarray
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,7 +86,7 @@ class Index:
         """For unit rows in lists `own`, which lists they query."""
         d = _nearest(x, self.centres)
         border = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.gaps[own], 1e-12)
-        near = border <= self.margin
+        near = border <= self.radius / 2 + 1e-6
         near[np.arange(len(x)), own] = True
         return near
 
@@ -111,7 +109,7 @@ def fit(sample: np.ndarray, rows: int, p: Params) -> Index:
     cuts = [round(i * width / parts) for i in range(parts + 1)]
     books = [kmeans(rest[:, a:b], min(p.codes, len(sample)), p) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     radius = math.sqrt(2 - 2 * p.threshold)
-    return Index(centres, books, cuts, radius, p.margin_sigmas * radius / math.sqrt(width), np.sqrt(_nearest(centres, centres)))
+    return Index(centres, books, cuts, radius, np.sqrt(_nearest(centres, centres)))
 
 
 def unit(raw: np.ndarray) -> np.ndarray:

@@ -70,3 +70,20 @@ def test_bound_never_exceeds_distance():
         mine = np.flatnonzero(own == at)
         bound = index.distances(x[:50], at, codes[mine]) - error[mine]
         assert (bound <= np.linalg.norm(x[:50, None] - x[None, mine], axis=2) + 1e-9).all()
+
+
+def test_every_link_of_low_rank_groups(spark):
+    rng = np.random.default_rng(8)
+    line, plane = rng.normal(size=(2, 64)), rng.normal(size=(3, 64))
+    line /= np.linalg.norm(line, axis=1, keepdims=True)
+    drift = line[0] + rng.uniform(-2, 2, size=(1000, 1)) * line[1] + rng.normal(scale=0.005, size=(1000, 64))
+    groups = [np.concatenate([drift, rng.normal(size=(2000, 64))]), rng.normal(size=(1000, 3)) @ plane]
+    rows, expected = [], []
+    for label, group in enumerate(groups):
+        x = np.float32(group)
+        u = embeddings.unit(x.astype(float))
+        expected += ((u @ u.T >= 0.93).sum(1) - 1).tolist()
+        rows += [(len(rows) + i, [float(c) for c in r], label, "") for i, r in enumerate(x)]
+    got = sorted(map(tuple, embeddings.link(spark.createDataFrame(rows, SCHEMA), embeddings.Params(list_rows=32)).collect()))
+    kept = sum(g[1] for g in got) / sum(expected)
+    assert [g[1] for g in got] == expected, kept
