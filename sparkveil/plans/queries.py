@@ -500,7 +500,7 @@ def host_private(spark, sf_dir):
 @query("SELECT page_id, '' AS threats FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#@]*@') AND regexp_matches(url, '^https?://')")
 def ssrf_flags(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").where(u.rlike("^https?://") & ~u.rlike("^https?://[^/?#@]*@")).select("page_id", F.array_join(network.ssrf_threats(u), ",").alias("threats"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(network.ssrf_threats(u), ",").alias("threats"))
 
 
 def _any_sql(col: str, patterns: dict[str, str]) -> str:

@@ -19,3 +19,15 @@ def test_entropy_words_long_text(spark, tmp_path):
     secret = "aB3xK9mQ2wE7rT5yU8iO1pL4"
     rows = [(1, "word " * 30_000 + secret), (2, "word " * 30_000)]
     assert run(spark, tmp_path, "entropy_words", "documents", rows, "doc_id long, text string") == [(1, secret)]
+
+
+def test_ssrf_flags_every_url(spark, tmp_path):
+    rows = [
+        (1, "https://example.com/"), (2, "http://169.254.169.254/latest"), (3, "http://localhost/"), (4, "http://2130706433/"), (5, "http://a.nip.io/"),
+        (6, "file:///etc/passwd"), (7, "gopher://example.com/"), (8, "https://user:word@example.com/"), (9, None),
+    ]
+    got = dict(run(spark, tmp_path, "ssrf_flags", "pages", rows, "page_id long, url string"))
+    assert sorted(got) == list(range(1, 10))
+    has = {2: "cloud_metadata", 3: "internal_host", 4: "encoded_ip", 5: "dns_rebinding", 6: "dangerous_scheme", 7: "dangerous_scheme", 8: "credentials"}
+    assert all(name in got[i].split(",") for i, name in has.items())
+    assert got[1] == got[9] == ""
