@@ -1,10 +1,11 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of elements. What pages mark as boilerplate (scripts, menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments) is cut first. Each node then has a composite density,
-its characters per tag, adjusted for characters and tags of links. The node whose children's densities
-sum highest holds the main text; the smallest density on its path to the body is the threshold by which
-its ancestors' other children join it.
+A page becomes a tree of elements. What can't be main text by its tag, role or name (scripts, menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) is cut first; that only ever removes, it never
+chooses. Each node then has a composite density, its characters per tag, adjusted for characters and tags
+of links; block tags and links count, inline markup does not. The node whose children's densities sum
+highest holds the main text; the smallest density on its path to the body is the threshold by which its
+ancestors' other children join it.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +24,11 @@ from pyspark.sql import types as T
 
 from .common import sliced, texts_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# What begins a comment, a declaration or a tag, and the rest of a tag: quotes count after "=" only, as in
+# browsers. Possessive, so that no pattern looks at a character twice from the same start.
+BEGIN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,95 +65,129 @@ WHOLE = frozenset(
     "site-notice legal-notice back-to-top".split()
 )
 ABOUT = frozenset(["has", "no", "with", "without", "is", "not"])
-LEVELS = {f"h{i}" for i in range(1, 7)}
+LEVELS = frozenset(f"h{i}" for i in range(1, 7))
+P = frozenset(["p"])
+LOOSE = re.compile(r"([^>]*+)>")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "holds_main")
+    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "blocks", "density", "holds_main", "in_main")
 
-    def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
-        self.tag, self.attributes, self.parent = tag, attributes, parent
+    def __init__(self, tag: str, attributes: str, parent: Node | None, in_main: bool = False) -> None:
+        self.tag, self.attributes, self.parent, self.in_main = tag, attributes, parent, in_main
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = 0
         self.density = 0.0
         self.holds_main = False
 
 
+class Open:
+    """The open elements, with their depths by tag: no question walks up the tree, and each element is
+    closed once, so parsing takes time in proportion to the page."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack = [root]
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def has(self, tag: str) -> bool:
+        return bool(self.depths[tag])
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths[node.tag].append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+        if node.tag in SCOPES:
+            self.scopes.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close the elements at `depth` and deeper."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.depths[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        """A closing tag: inline ones don't reach over an open block, and strays are ignored."""
+        depth = self.depths[tag][-1] if self.depths[tag] else 0
+        if depth and (tag in BLOCKS or not self.blocks or self.blocks[-1] < depth):
+            self.cut(depth)
+
+    def finish(self, tags: frozenset[str]) -> None:
+        """Close the nearest open element of `tags` in scope, and those of `tags` right around it."""
+        depth = max((self.depths[t][-1] for t in tags if self.depths[t]), default=0)
+        if depth and depth >= (self.scopes[-1] if self.scopes else 0):
+            self.cut(depth)
+            while self.stack[-1].tag in tags:
+                self.cut(len(self.stack) - 1)
+
+
 def parse(page: str) -> Node:
     """A tree under a root without tag. Tags that never close end with their parents; stray closing tags
-    are ignored; `<p>` ends where a block begins."""
+    are ignored; `<p>` ends where a block begins. Where no tag can end outside quotes any more, quotes stop
+    counting; a tag without any end is text."""
     root = Node("", "", None)
-    at, here = 0, root
+    at, still, rest = 0, Open(root), REST
     while True:
-        m = TOKEN.search(page, at)
+        m = BEGIN.search(page, at)
+        here = still.stack[-1]
         if m is None:
             here.children.append(page[at:])
             return root
         if m.start() > at:
             here.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else ">", m.end())
+            at = end + (3 if m[1] else 1) if end >= 0 else len(page)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None and (tag in BLOCKS or not _block_between(here, node)):
-                here = node.parent
+        body = rest.match(page, m.end())
+        if body is None:
+            rest = LOOSE
+            body = rest.match(page, m.end())
+        if body is None:
+            here.children.append(page[m.start() :])
+            return root
+        at, tag, attributes = body.end(), m[4].lower(), body[1]
+        if m[3]:
+            still.end(tag)
             continue
-        if tag in ("html", "body", "head") and _inside(here, tag):
+        if tag in ("html", "body", "head") and still.has(tag):
             continue
         if tag in CLOSES_P:
-            here = _closed(here, frozenset(["p"]))
+            still.finish(P)
         if tag in ENDS:
-            here = _closed(here, ENDS[tag])
-        if tag in LEVELS and here.tag in LEVELS:
-            here = here.parent
-        if tag == "body" and here.tag == "head":
-            here = here.parent
-        node = Node(tag, m[3], here)
+            still.finish(ENDS[tag])
+        here = still.stack[-1]
+        if tag in LEVELS and here.tag in LEVELS or tag == "body" and here.tag == "head":
+            still.cut(len(still.stack) - 1)
+            here = still.stack[-1]
+        node = Node(tag, attributes, here, still.has("article") or still.has("main"))
         here.children.append(node)
-        if tag == "main" or tag == "article" and not (m[3] and _named(node)):
+        if tag == "main" or tag == "article" and not (attributes and _named(node)):
             outer = here
             while outer is not None and not outer.holds_main:  # what holds the article is not boilerplate by name
                 outer.holds_main = True
                 outer = outer.parent
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW and tag != "a":
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+            end = _end_of(tag).search(page, at)
             node.children.append(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else len(page)
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else len(page)
             continue
-        here = node
+        still.push(node)
 
 
-def _inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
-def _block_between(inner: Node, outer: Node) -> bool:
-    while inner is not outer:
-        if inner.tag in BLOCKS:
-            return True
-        inner = inner.parent
-    return False
-
-
-def _closed(here: Node, tags: frozenset[str]) -> Node:
-    """The parent of the nearest open element of `tags` in scope, or `here`. Inline elements close with it."""
-    node = here
-    while node.parent is not None and (node.tag in tags or node.tag not in SCOPES):
-        if node.tag in tags:
-            outer = node.parent
-            return _closed(outer, tags) if outer.tag in tags else outer
-        node = node.parent
-    return here
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
 
 def _names(value: str) -> bool:
@@ -169,7 +209,7 @@ def boilerplate(node: Node) -> bool:
     """Whether tag, role, class, id or style mark the element as none of the main text."""
     if node.tag in DROP_TAGS:
         return True
-    if node.tag == "header" and not (_inside(node.parent, "article") or _inside(node.parent, "main")):
+    if node.tag == "header" and not node.in_main:
         return True
     if not node.attributes or node.tag in ("html", "body", "main"):
         return False
@@ -202,7 +242,8 @@ def measure(nodes: list[Node]) -> None:
             if isinstance(c, str):
                 n.chars += len("".join(html.unescape(c).split()))
             else:
-                n.chars, n.tags = n.chars + c.chars, n.tags + c.tags + 1
+                block = c.tag in BLOCKS
+                n.chars, n.tags, n.blocks = n.chars + c.chars, n.tags + c.tags + (block or c.tag == "a"), n.blocks + c.blocks + block
                 n.link_chars, n.link_tags = n.link_chars + c.link_chars, n.link_tags + c.link_tags
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
@@ -222,23 +263,34 @@ def _titled(node: Node) -> bool:
     return node.tag == "h1" or any(not isinstance(c, str) and c.tag == "h1" for c in node.children)
 
 
+def density_sum(node: Node) -> float:
+    """The densities of the children, where text and inline elements right under the node count once, with the
+    node's own density."""
+    total, own = 0.0, False
+    for c in node.children:
+        if isinstance(c, str):
+            own = own or not c.isspace()
+        elif c.blocks or c.tag in BLOCKS:
+            total += c.density
+        else:
+            own = own or c.chars > 0
+    return total + node.density if own else total
+
+
 def main_nodes(page: str) -> list[Node]:
-    """The subtrees of the main text, in page order: the best one, and on its path what is as dense as the
-    path's threshold or holds the title."""
+    """The subtrees of the main text, in page order: the block with the highest density sum (of equal ones the
+    outermost), and on its path to the body what is as dense as the path's threshold or holds the title."""
     nodes = _postorder(parse(page))
     measure(nodes)
     best, most = None, 0.0
     for n in nodes:
-        total = sum(c.density for c in n.children if not isinstance(c, str)) + (n.density if any(isinstance(c, str) and not c.isspace() for c in n.children) else 0.0)
-        if total >= most and total > 0 and n.tag not in ("html", "") or best is None and n.chars and n.tag in ("body", ""):
+        if n.tag not in BLOCKS or n.tag == "html":
+            continue
+        total = density_sum(n)
+        if total >= most and total > 0:
             best, most = n, total
     if best is None:
         return [nodes[-1]] if nodes[-1].chars else []
-    node = best
-    while node.parent is not None:  # an article holds its own heading and all of its text
-        node = node.parent
-        if node.tag in ("article", "main"):
-            best = node
     path, node = [best], best
     while node.parent is not None and node.tag != "body":
         node = node.parent

@@ -1,7 +1,11 @@
 from __future__ import annotations
 
 import html
+import math
+import random
 import re
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -57,3 +61,103 @@ def test_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, 9), (1, "u", None, 9), (None, None, "<p>x", 9)], "page_id long, url string, html string, n_chars int")
     assert sorted(map(tuple, extraction.extract(rows).collect()), key=repr) == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "x", 1)], key=repr)
     assert extraction.extract(rows.limit(0)).count() == 0
+
+
+class Tree(HTMLParser):
+    """A plain tree (tag, children) of a well-formed page."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack = [("", [])]
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, [])
+        self.stack[-1][1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def text_of(node):
+    return node if isinstance(node, str) else "".join(map(text_of, node[1]))
+
+
+def under(node):
+    return [] if isinstance(node, str) else [x for c in node[1] if not isinstance(c, str) for x in (c, *under(c))]
+
+
+def counts(node):
+    """Characters, block and link tags below, characters and tags of links, each from its definition."""
+    links = [n for n in ([node] if node[0] == "a" else []) + under(node) if n[0] == "a"]
+    size = lambda n: len("".join(text_of(n).split()))
+    return size(node), sum(n[0] in extraction.BLOCKS or n[0] == "a" for n in under(node)), sum(map(size, links)), len(links)
+
+
+def plain_best(root):
+    """The chosen block by the formulas, every count taken from the whole subtree again."""
+    chars, _, link_chars, _ = counts(root)
+    share = link_chars / max(chars, 1)
+
+    def density(node):
+        c, t, lc, lt = counts(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / max(t, 1) * max(math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base, 0.0)
+
+    def total(node):
+        blocks = [c for c in node[1] if not isinstance(c, str) and any(n[0] in extraction.BLOCKS for n in (c, *under(c)))]
+        own = any(text_of(c).strip() for c in node[1] if not any(c is b for b in blocks))
+        return sum(map(density, blocks)) + (density(node) if own else 0.0)
+
+    candidates = [n for n in under(root) if n[0] in extraction.BLOCKS and n[0] != "html"]
+    most = max((total(n) for n in candidates), default=0.0)
+    return next((n for n in candidates if math.isclose(total(n), most)), None) if most else None
+
+
+def some_page(rng, depth=0):
+    words = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 30)))
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["div", "section", "p", "ul", "b", ""]) if depth < 4 else rng.choice(["p", ""])
+        if kind == "":
+            out.append(words())
+        elif kind in ("p", "b"):
+            out.append(f"<{kind}>{words()}{f'<a>{words()}</a>' if rng.random() < 0.3 else ''}</{kind}>")
+        elif kind == "ul":
+            out.append("<ul>" + "".join(f"<li><a>{words()}</a></li>" for _ in range(rng.randrange(1, 6))) + "</ul>")
+        else:
+            out.append(f"<{kind}>{some_page(rng, depth + 1)}</{kind}>")
+    return "".join(out)
+
+
+def test_choice_equals_plain_density():
+    rng = random.Random(12)
+    for _ in range(300):
+        page = f"<html><body>{some_page(rng)}</body></html>"
+        tree = Tree()
+        tree.feed(page)
+        best = plain_best(tree.stack[0])
+        got = ["".join(extraction.blocks([n])).replace(" ", "") for n in extraction.main_nodes(page)]
+        assert best is None or any("".join(text_of(best).split()) in "".join(g.split()) for g in got), page
+
+
+def test_article_tags_are_not_needed(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    for page in pages:
+        bare = (page or "").replace("<article>", "<div>").replace("</article>", "</div>")
+        assert extraction.main_text(bare) == plain(page)
+
+
+@pytest.mark.parametrize("page", [
+    "<b>" * 170_000 + "</i>" * 120_000, '<p "' * 250_000, '<p "' * 250_000 + ">", "<p '" + '<a "x' * 200_000, "<b>" * 150_000 + "<p>x</p>" * 60_000, "<i><div>" + "<b>" * 150_000 + "</i>" * 120_000,
+    '<p a="' * 160_000, "<p a=\"'>" * 120_000, "<script></script" * 60_000, "<a " * 300_000, "<b>" * 120_000 + "<header>x" * 70_000, "<table>" * 60_000 + "<td>" * 120_000,
+])
+def test_a_megabyte_of_odd_markup_takes_seconds(page):
+    began = time.perf_counter()
+    extraction.main_text(page)
+    assert time.perf_counter() - began < 20
