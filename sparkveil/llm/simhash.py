@@ -1,17 +1,18 @@
 """SimHash near-duplicates: segment-popcount embedding, grid range join, exact verification.
 
-A fingerprint's embedding counts the set bits of each of its 32 two-bit segments. The Manhattan
-distance of two embeddings never exceeds the Hamming distance of the fingerprints, so pairs within
-`RADIUS` bits lie within Manhattan distance `RADIUS`. The grid has one table for each choice of two of
-five groups of segments; a table's cell is the embedding restricted to its two groups. `RADIUS` = 3
-steps of distance touch at most three groups, so each such pair agrees on two whole groups and meets
-in a cell. In a cell pairs are first held against the Manhattan bound, then against the bits.
+A fingerprint's embedding counts the set bits of each of its 16 four-bit segments. The Manhattan distance
+of two embeddings never exceeds the Hamming distance of the fingerprints. Of two fingerprints within
+`RADIUS` = 3 bits, one 32-bit half differs in one bit at most, so the counts of that half's eight segments lie
+within Manhattan distance 1. Each half has a grid over these counts, with cells as wide as that radius:
+a fingerprint is stored in its own cell and visits those where one count is one higher, which is where any
+partner lies that isn't in its own. Cells that many meet in are refined by further segments: the same range
+join over counts of two bits, then of one. In a cell, pairs are first held against the Manhattan distance of
+the whole embedding, then against the bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,15 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, texts_of
+from .common import materialize, positional, sliced, texts_of
 from .components import connected_components
 
 RADIUS = 3
-#: Bits of the five groups: 7, 7, 6, 6 and 6 segments of two bits.
-GROUPS = (14, 14, 12, 12, 12)
-LOW_BITS = 0x5555555555555555
-#: Columns that the operator adds to documents on its way.
-FP, ROW = "_simhash_fp", "_simhash_row"
+#: Bits of a half, and of a segment at each level of the grid.
+HALF, WIDTHS = 32, (4, 2, 1)
+#: Columns that the operator adds to documents, whose own are named by position meanwhile.
+FP, ROW = "fp", "row"
 
 
 def fingerprint(text: str) -> int:
@@ -57,11 +57,10 @@ def fingerprint(text: str) -> int:
     return int(bits.view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` and FP, the fingerprint as a signed long, and ROW, unique per row. A null text counts as empty. Every partition is read once; write the result before using ROW
-    twice."""
-    keep = docs.columns if keep is None else keep
-    base = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+def with_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of `docs` (named by position) and FP, the fingerprint as a signed long, and ROW, unique per row. A null text
+    counts as empty. Every partition is read once; write the result before using ROW twice."""
+    base = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*[base.schema[c] for c in keep], T.StructField(FP, T.LongType()), T.StructField(ROW, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,60 +71,114 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: list[str] | Non
     return base.withColumn(ROW, F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
-def embedding(fp: F.Column) -> F.Column:
-    """The per-segment bit counts in unary: count 0, 1, 2 as 00, 01, 11. The Manhattan distance of two
-    embeddings is the number of bits in which these differ."""
-    high, low = F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(LOW_BITS)), fp.bitwiseAND(F.lit(LOW_BITS))
-    return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
+#: Merges of sorted bits (low positions, distance), by which a segment's set bits move to its low end.
+MERGES = {1: (), 2: ((0x5555555555555555, 1),), 4: ((0x5555555555555555, 1), (0x3333333333333333, 2), (0x2222222222222222, 1))}
+GRID = "cell long, fp long, half int, segment int"
 
 
-def _masks() -> list[int]:
-    groups, at = [], 0
-    for width in GROUPS:
-        groups.append(((1 << width) - 1) << at)
-        at += width
-    signed = [a | b for a, b in combinations(groups, 2)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in signed]
+def embedding(fp: np.ndarray, width: int = WIDTHS[0]) -> np.ndarray:
+    """The bit counts of the segments of `width` bits, each in unary in its segment's bits: a count of 3 is
+    0111. The Manhattan distance of two embeddings is the number of bits in which these differ."""
+    for low, by in MERGES[width]:
+        a, b = fp & np.uint64(low), (fp >> np.uint64(by)) & np.uint64(low)
+        fp = (fp & np.uint64(((1 << 64) - 1) ^ (low | low << by))) | a | b | ((a & b) << np.uint64(by))
+    return fp
+
+
+def _raised(own: np.ndarray, segment: np.ndarray, width: int) -> np.ndarray:
+    """Cells `own` with the count of `segment` one higher; the same where it is full."""
+    at = (segment * width).astype(np.uint64)
+    return own | ((own << np.uint64(1)) & (np.uint64((1 << width) - 1) << at)) | (np.uint64(1) << at)
+
+
+def _half_of(counts: np.ndarray, half: np.ndarray) -> np.ndarray:
+    return counts & (np.uint64((1 << HALF) - 1) << (half * HALF).astype(np.uint64))
+
+
+def _grid(cell: np.ndarray, fp: np.ndarray, half: np.ndarray, segment: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(half.astype(np.int32)), pa.array(segment.astype(np.int32))], names=["cell", "fp", "half", "segment"])
+
+
+def placed(fps: DataFrame) -> DataFrame:
+    """The coarsest grid: (cell, fp, half, segment). A row with segment -1 stores the fingerprint in its
+    cell, one with another visits the cell where that segment's count is one higher."""
+    width = WIDTHS[0]
+    # one step for each half: to the own cell and to each neighbour above
+    half, segment = (np.array(x) for x in zip(*((h, s) for h in range(64 // HALF) for s in (-1, *range(HALF * h // width, HALF * (h + 1) // width))), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.repeat(b.column("fp").to_numpy().view(np.uint64), len(half))
+            h, s = np.tile(half, b.num_rows), np.tile(segment, b.num_rows)
+            own = _half_of(embedding(fp, width), h)
+            cell = np.where(s < 0, own, _raised(own, np.maximum(s, 0), width))
+            there = (s < 0) | (cell != own)
+            yield _grid(cell[there], fp[there], h[there], s[there])
+
+    return fps.select("fp").mapInArrow(run, GRID)
+
+
+def refined(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of crowded cells, placed anew within their cells by segments half as wide. A visitor's higher count
+    lies in one of the two parts of its segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, fp, half, segment = (b.column(c).to_numpy() for c in ("cell", "fp", "half", "segment"))
+            twice = np.flatnonzero(segment >= 0)
+            rows = np.concatenate([np.arange(b.num_rows), twice])
+            s = np.concatenate([np.where(segment < 0, -1, 2 * segment), 2 * segment[twice] + 1])
+            cell, fp, half = cell[rows].view(np.uint64), fp[rows].view(np.uint64), half[rows]
+            own = _half_of(embedding(fp, width), half)
+            code = np.where(s < 0, own, _raised(own, np.maximum(s, 0), width))
+            there = (s < 0) | (code != own)
+            with np.errstate(over="ignore"):  # within a cell codes differ, so its parts get cells of their own
+                mixed = ((cell ^ (cell >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)) ^ (code * np.uint64(0xC2B2AE3D27D4EB4F))
+                mixed ^= mixed >> np.uint64(29)
+            yield _grid(mixed[there], fp[there], half[there], s[there])
+
+    return rows.select("cell", "fp", "half", "segment").mapInArrow(run, GRID)
 
 
 def near_edges(fps: DataFrame, block_rows: int = 4096, radius: int = RADIUS) -> DataFrame:
     """Edges (u, v) between the distinct fingerprints `fp` that give every two of them within `radius`
     bits the same component. A cell emits a spanning forest (a small one its few pairs), never all pairs.
 
-    A cell of over `block_rows` fingerprints is cut into blocks; each pair of blocks is a unit of work
-    of its own, so no cell has to fit in a task and none is capped.
+    A cell in which over `block_rows` rows meet is refined; one that stays so at the finest level, where
+    half the bits are equal but for one, is cut into blocks, and each pair of blocks is a unit of work of
+    its own. So no cell has to fit in a task and none is capped.
     """
     if radius > RADIUS:
-        raise ValueError(f"two groups are only certain to agree up to {RADIUS} bits")
-    e = embedding(F.col("fp"))
-    cells = F.array(*[F.struct(F.lit(i).alias("grid"), e.bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(_masks())])
-    placed = fps.select("fp", F.explode(cells).alias("c")).select("fp", F.xxhash64("c.grid", "c.cell").alias("cell"))
-    hot = (
-        placed.groupBy("cell").count().where(F.col("count") > block_rows)
-        .select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
-    )
-    hot = materialize(hot, "hot-cells")
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    usual, large = placed, None
-    if hot.take(1):
-        usual = placed.join(hot, "cell", "left_anti")
-        large = (
-            placed.join(hot, "cell").withColumn("block", mine)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("fp", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
-        )
-    units = usual if large is None else usual.unionByName(large)
+        raise ValueError(f"one half is only certain to differ in one bit at most up to {RADIUS} bits")
+    rows, units = placed(fps), []
+    for width in (*WIDTHS[1:], None):
+        hot = rows.groupBy("cell").count().where(F.col("count") > block_rows)
+        hot = materialize(hot.select("cell", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")), "hot-cells")
+        if not hot.take(1):
+            units.append(rows)
+            break
+        units.append(rows.join(hot, "cell", "left_anti"))
+        crowded = rows.join(hot, "cell")
+        if width:
+            rows = refined(crowded, width)
+        else:
+            mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
+            pairs = crowded.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            units.append(pairs.withColumn("cell", F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))))
+    every = units[0].select("cell", "fp", (F.col("segment") >= 0).alias("visits"))
+    for more in units[1:]:
+        every = every.union(more.select("cell", "fp", (F.col("segment") >= 0).alias("visits")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest_cell, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rest = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
         for last, frame in _and_last(frames):
-            cell = np.concatenate([rest_cell, frame["cell"].to_numpy()])
-            fp = np.concatenate([rest_fp, frame["fp"].to_numpy().view(np.uint64)])
+            now = frame["cell"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["visits"].to_numpy().astype(bool)
+            cell, fp, visits = (np.concatenate(x) for x in zip(rest, now, strict=True))
             stop = len(cell) if last else int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            rest_cell, rest_fp = cell[stop:], fp[stop:]
-            yield _forest(cell[:stop], fp[:stop], radius)
+            rest = cell[stop:], fp[stop:], visits[stop:]
+            yield _forest(cell[:stop], fp[:stop], visits[:stop], radius)
 
-    return units.repartition("cell").sortWithinPartitions("cell", "fp").mapInPandas(run, "u long, v long").distinct()
+    return every.repartition("cell").sortWithinPartitions("cell", "visits", "fp").mapInPandas(run, "u long, v long").distinct()
 
 
 def _and_last(frames):
@@ -135,65 +188,85 @@ def _and_last(frames):
         if held is not None:
             yield False, held
         held = frame
-    yield True, held if held is not None else pd.DataFrame({"cell": np.zeros(0, np.int64), "fp": np.zeros(0, np.int64)})
+    yield True, held if held is not None else pd.DataFrame({"cell": np.zeros(0, np.int64), "fp": np.zeros(0, np.int64), "visits": np.zeros(0, bool)})
 
 
-#: Cells of up to so many rows are compared by shifting the whole partition against itself.
-SMALL = 8
+#: Cells with up to so many pairs to compare are compared together, so many pairs at a time.
+SMALL, TOGETHER = 4096, 1 << 20
 
 
-def _forest(cell: np.ndarray, fp: np.ndarray, radius: int) -> pd.DataFrame:
-    """Edges that connect what pairs within `radius` bits connect, cell by cell; rows are sorted by cell."""
-    low = np.uint64(LOW_BITS)
-    high = (fp >> np.uint64(1)) & low
-    unary = (fp & low) | high | ((fp & low & high) << np.uint64(1))
+def _forest(cell: np.ndarray, fp: np.ndarray, visits: np.ndarray, radius: int) -> pd.DataFrame:
+    """Edges that connect what pairs within `radius` bits connect, cell by cell. Rows are sorted by cell and
+    whether they visit; two visitors are never compared."""
+    counts = embedding(fp)
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    sizes = np.diff(np.concatenate([starts, [len(cell)]])).astype(np.int64)
+    ends = np.concatenate([starts[1:], [len(cell)]]).astype(np.int64)
+    stored = np.add.reduceat(~visits, starts).astype(np.int64) if len(cell) else np.zeros(0, np.int64)
+    work = stored * (ends - starts)
     us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    some = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-    c, f, e = cell[some], fp[some], unary[some]
-    for d in range(1, SMALL):
-        near = (c[d:] == c[:-d]) & (np.bitwise_count(e[d:] ^ e[:-d]) <= radius) if len(c) > d else np.zeros(0, bool)
-        i = np.flatnonzero(near)
-        i = i[(np.bitwise_count(f[i] ^ f[i + d]) <= radius) & (f[i] != f[i + d])]
-        us.append(f[i])
-        vs.append(f[i + d])
-    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        u, v = _spread(fp[start : start + size], unary[start : start + size], radius)
+    some = np.flatnonzero((work > 1) & (work <= SMALL))
+    # the pairs of a stored row are it and each row behind it in its cell
+    left = np.repeat(starts[some], stored[some]) + np.arange(stored[some].sum()) - np.repeat(np.cumsum(stored[some]) - stored[some], stored[some])
+    sizes = np.repeat(ends[some], stored[some]) - left - 1
+    upto = np.cumsum(sizes)
+    first = 0
+    while first < len(left):
+        last = max(int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOGETHER, side="right")), first + 1)
+        n, i = sizes[first:last], left[first:last]
+        a = np.repeat(i, n)
+        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        near = np.bitwise_count(counts[a] ^ counts[b]) <= radius
+        a, b = a[near], b[near]
+        near = (np.bitwise_count(fp[a] ^ fp[b]) <= radius) & (fp[a] != fp[b])
+        us.append(fp[a[near]])
+        vs.append(fp[b[near]])
+        first = last
+    for c in np.flatnonzero(work > SMALL).tolist():
+        s = slice(int(starts[c]), int(ends[c]))
+        u, v = _spread(fp[s], counts[s], int(stored[c]), radius)
         us.append(u)
         vs.append(v)
     return pd.DataFrame({"u": np.concatenate(us).view(np.int64), "v": np.concatenate(vs).view(np.int64)})
 
 
-def _spread(fp: np.ndarray, unary: np.ndarray, radius: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of one cell: from a seed, take in all rows that are near, then those near to
-    these, until none is left. Each row is held against the rest once, whatever the number of pairs."""
-    rest = np.arange(len(fp))
+def _spread(fp: np.ndarray, counts: np.ndarray, stored: int, radius: int, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of one cell, whose first `stored` rows are stored and the others visit: from a stored
+    seed, take in all rows that are near, then those near to these, until none is left. Each row is held
+    against the rest once, whatever the number of pairs; visitors against stored rows only."""
+    rest, guests = np.arange(stored), np.arange(stored, len(fp))
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     front = np.zeros(0, np.int64)
-    while len(rest):
+
+    def take(now: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of `of` near to one of `now`, the others)."""
+        if not len(now) or not len(of):
+            return of[:0], of
+        near = np.bitwise_count(counts[now, None] ^ counts[None, of]) <= radius
+        near &= np.bitwise_count(fp[now, None] ^ fp[None, of]) <= radius
+        hit = near.any(axis=0)
+        us.append(fp[now[near[:, hit].argmax(axis=0)]])
+        vs.append(fp[of[hit]])
+        return of[hit], of[~hit]
+
+    while len(front) or len(rest):
         if not len(front):
             front, rest = rest[:1], rest[1:]
         now, front = front[:batch], front[batch:]
-        near = np.bitwise_count(unary[now, None] ^ unary[None, rest]) <= radius
-        near &= np.bitwise_count(fp[now, None] ^ fp[None, rest]) <= radius
-        hit = near.any(axis=0)
-        if hit.any():
-            us.append(fp[now[near[:, hit].argmax(axis=0)]])
-            vs.append(fp[rest[hit]])
-            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+        found, rest = take(now, rest)
+        also, guests = take(now[now < stored], guests)
+        front = np.concatenate([front, found, also])
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def components(printed: DataFrame, key: str = "doc_id") -> DataFrame:
+def components(printed: DataFrame, key: str) -> DataFrame:
     """`printed` (a written frame with FP, ROW and `key`) with `component_id`, the smallest `key` of the
     row's component, and `keeper`, true for one row of each component (smallest key, then row).
 
     Copies are counted once: the grid sees distinct fingerprints. Null keys never name a component
     unless all of its keys are null; then component_id is null. An empty table gives no rows.
     """
-    rows = printed.select(F.col(f"`{key}`").alias("key"), F.col(FP).alias("fp"), F.col(ROW).alias("row"))
+    rows = printed.select(F.col(key).alias("key"), F.col(FP).alias("fp"), F.col(ROW).alias("row"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
     classes = materialize(rows.groupBy("fp").agg(first.alias("first")), "classes")
     roots = connected_components(near_edges(classes.select("fp")))
@@ -211,14 +284,17 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     """One row per document: key, fingerprint (16 hex digits), component_id, keeper.
 
     Null texts count as empty; empty texts share fingerprint zero and are linked like any other.
-    Repeated rows each return a row.
+    Repeated rows each return a row; columns beside key and text may have any name.
     """
-    printed = materialize(with_fingerprints(docs, text, [key]), "fingerprints")
-    return components(printed, key).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keeper")
+    plain, of = positional(docs)
+    printed = materialize(with_fingerprints(plain, of[text], [of[key]]), "fingerprints")
+    return components(printed, of[key]).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keeper")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without all but one row of each component; columns and their order stay."""
-    printed = materialize(with_fingerprints(docs, text), "fingerprints")
-    kept = materialize(components(printed, key).where("keeper").select(F.col("row").alias(ROW)), "kept")
-    return printed.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without all but one row of each component (smallest key, then row); columns, whatever their names, and their order
+    stay. Nulls, empty texts and empty tables as in `simhash_components`."""
+    plain, of = positional(docs)
+    printed = materialize(with_fingerprints(plain, of[text], plain.columns), "fingerprints")
+    kept = materialize(components(printed, of[key]).where("keeper").select(F.col("row").alias(ROW)), "kept")
+    return printed.join(kept, ROW, "left_semi").select(*plain.columns).toDF(*docs.columns)

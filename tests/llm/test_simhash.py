@@ -92,14 +92,42 @@ def test_edges_connect_what_brute_force_connects(spark, block_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_embedding_bounds_hamming(spark):
+@pytest.mark.parametrize("width", simhash.WIDTHS)
+def test_embedding_bounds_hamming(width):
     rng = random.Random(2)
-    pairs = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)]
-    signed = [tuple(int(np.uint64(x).view(np.int64)) for x in p) for p in pairs]
-    df = spark.createDataFrame(signed, "a long, b long")
-    for (a, b), r in zip(pairs, df.select(simhash.embedding(df.a).alias("a"), simhash.embedding(df.b).alias("b")).collect(), strict=True):
-        counts = [abs((a >> s & 3).bit_count() - (b >> s & 3).bit_count()) for s in range(0, 64, 2)]
-        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() == sum(counts) <= (a ^ b).bit_count()
+    field = (1 << width) - 1
+    for _ in range(300):
+        a, b = rng.getrandbits(64), rng.getrandbits(64)
+        counts = [abs((a >> s & field).bit_count() - (b >> s & field).bit_count()) for s in range(0, 64, width)]
+        x, y = simhash.embedding(np.array([a, b], np.uint64), width).tolist()
+        assert (x ^ y).bit_count() == sum(counts) <= (a ^ b).bit_count()
+
+
+def test_every_near_pair_meets_in_the_grid(spark):
+    """Pairs at each distance up to three, at each level of refinement."""
+    rng = random.Random(21)
+    pairs = []
+    for i in range(600):
+        a = rng.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in rng.sample(range(64), 1 + i % 3))))
+    signed = lambda x: int(np.uint64(x).view(np.int64))
+    rows = simhash.placed(spark.createDataFrame([(signed(x),) for p in pairs for x in p], "fp long"))
+    for width in (None, *simhash.WIDTHS[1:]):
+        rows = rows if width is None else simhash.refined(rows, width)
+        stored, seen = {}, {}
+        for r in rows.collect():
+            (stored if r.segment < 0 else seen).setdefault(r.fp, set()).add(r.cell)
+        for a, b in pairs:
+            a, b = signed(a), signed(b)
+            assert stored[a] & (stored[b] | seen[b]) or stored[b] & seen[a]
+
+
+def test_awkward_names_and_rows(spark):
+    rows = [(1, "a b c d e", "x", 1), (1, "a b c d e", "y", 2), (None, None, None, None), (4, "q w e r t y", "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, row int").toDF("doc_id", "text", "_simhash_row", "a.b")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 3
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_components_of_paths_and_stars(spark):
