@@ -61,11 +61,17 @@ def _kind(c: str) -> str:
 
 def shape(word: bytes) -> bytes:
     """Runs of lower-case, upper-case letters and digits as a, A and 9; a run of any other character
-    as it, doubled if it is longer."""
-    out = []
-    for k, run in groupby(word.decode("utf-8", "replace")[:64], _kind):
-        out.append(k if k in "aA9" or sum(1 for _ in run) == 1 else 2 * k)
-    return "".join(out).encode()
+    as it, doubled if it is longer. The whole word counts, however long."""
+    text = word.decode("utf-8", "replace")
+    if len(text) <= 64:
+        runs = ((k, sum(1 for _ in run)) for k, run in groupby(text, _kind))
+    else:
+        chars, index = np.unique(np.frombuffer(text.encode("utf-32-le"), "<u4"), return_inverse=True)
+        kinds = [_kind(chr(c)) for c in chars]
+        codes = np.array([ord(k) for k in kinds])[index]
+        starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        runs = zip(map(chr, codes[starts].tolist()), np.diff([*starts, len(codes)]).tolist(), strict=True)
+    return "".join(k if k in "aA9" or n == 1 else 2 * k for k, n in runs).encode()
 
 
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

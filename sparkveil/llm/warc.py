@@ -1,8 +1,9 @@
 """WARC archives: writing pages with identical-payload revisits, and a reader that salvages.
 
 The writer puts every record in a gzip member of its own, in archives of bounded size. The reader
-streams an archive; when a check fails (gzip checksum, record header, length), it searches for the next
-valid member or version line, goes on from there, and reports the bytes it passed over as a gap.
+streams an archive; when a check fails (gzip checksum, record header, length, digest), it searches for the
+next valid member or version line, goes on from there, and reports the bytes it passed over as a gap.
+Records and members may be of any length: blocks run through the digest piece by piece.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -20,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, written
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -31,19 +33,20 @@ ID_PREFIX = "urn:page:"
 
 MANIFEST = "path string, records long, bytes long"
 RECORDS = (
-    "path string, offset long, kind string, record_id string, record_type string, target_uri string, payload_bytes long, "
+    "path string, offset long, content_offset long, kind string, record_id string, record_type string, target_uri string, payload_bytes long, "
     "payload_digest string, refers_to string, payload binary, gap_bytes long, reason string"
 )
 
 
 @dataclass(frozen=True)
 class Params:
-    """archive_bytes: size at which the writer starts another archive; read_bytes: of one read;
-    max_record_bytes: the longest record believed; level: of the compression."""
+    """archive_bytes: size at which the writer starts another archive; read_bytes: of one read; held_bytes:
+    content of a member that is kept while its checksum is verified (a longer one is inflated twice); level:
+    of the compression."""
 
     archive_bytes: int = 256 << 20
     read_bytes: int = 1 << 20
-    max_record_bytes: int = 1 << 30
+    held_bytes: int = 4 << 20
     level: int = 1
 
 
@@ -128,169 +131,264 @@ def write_archives(pages: DataFrame, folder: str, p: Params = Params(), key: str
 
 
 class Source:
-    """A forward window over a stream: bytes by absolute offset, dropped once passed."""
+    """A window over bytes that are read in order: an archive's or a member's content. `parts(offset)`
+    yields the bytes from there on; going back behind the window calls it again."""
 
-    def __init__(self, stream, read_bytes: int) -> None:
-        self.stream, self.read_bytes = stream, read_bytes
-        self.data, self.at, self.ended = bytearray(), 0, False
+    def __init__(self, parts: Callable[[int], Iterator[bytes]]) -> None:
+        self.parts = parts
+        self.start(0)
+
+    def start(self, offset: int) -> None:
+        self.rest, self.data, self.at = self.parts(offset), bytearray(), offset
 
     def more(self) -> bool:
-        if self.ended:
-            return False
-        part = self.stream.read(self.read_bytes)
+        part = next(self.rest, None)
         if not part:
-            self.ended = True
             return False
         self.data += part
         return True
 
-    def drop_to(self, offset: int) -> None:
-        del self.data[: offset - self.at]
-        self.at = offset
-
     def view(self, offset: int, size: int) -> bytes:
         """Up to `size` bytes from `offset`; fewer only at the end."""
+        if offset < self.at:
+            self.start(offset)
         while self.at + len(self.data) < offset + size and self.more():
             pass
         return bytes(self.data[offset - self.at : offset - self.at + size])
 
+    def drop_to(self, offset: int) -> None:
+        """Forget what lies before `offset`."""
+        if offset > self.at + len(self.data):
+            self.view(offset, 0)
+        if offset > self.at:
+            del self.data[: offset - self.at]
+            self.at = offset
+
+    def find(self, marks: tuple[bytes, ...], offset: int, passing: bool = False) -> int:
+        """The next offset at which one of `marks` begins, or -1; `passing` forgets what is searched."""
+        longest = max(map(len, marks))
+        if offset < self.at:
+            self.start(offset)
+        while True:
+            found = [x for x in (self.data.find(m, offset - self.at) for m in marks) if x >= 0]
+            if found:
+                return self.at + min(found)
+            offset = max(offset, self.at + len(self.data) - longest + 1)
+            if passing:
+                self.drop_to(offset)
+            if not self.more():
+                return -1
+
+    def size(self) -> int:
+        """The offset behind the last byte."""
+        while self.more():
+            self.drop_to(self.at + len(self.data))
+        return self.at + len(self.data)
+
 
 class Damaged(Exception):
     pass
 
 
-def _member_at(src: Source, offset: int, p: Params) -> tuple[bytes, int]:
-    """The content of the gzip member at `offset` and the offset behind it. zlib checks its sums."""
-    d = zlib.decompressobj(31)
-    out, at, size = bytearray(), offset, 8 << 10
+def _read_parts(stream, p: Params) -> Callable[[int], Iterator[bytes]]:
+    def parts(offset: int) -> Iterator[bytes]:
+        while True:
+            stream.seek(offset)  # others read the same stream
+            part = stream.read(p.read_bytes)
+            if not part:
+                return
+            offset += len(part)
+            yield part
+
+    return parts
+
+
+def _inflated(src: Source, at: int, p: Params) -> Iterator[tuple[bytes, int]]:
+    """The content of the gzip member at `at` in pieces, each with the offset behind what was read for it. zlib
+    checks its sums; the last offset lies behind the member."""
+    d, size = zlib.decompressobj(31), 8 << 10
     while not d.eof:
-        part = src.view(at, size)
-        size = min(2 * size, p.read_bytes)
+        part = d.unconsumed_tail
         if not part:
-            raise Damaged("member cut off")
+            part = src.view(at, size)
+            at, size = at + len(part), min(2 * size, p.read_bytes)
         try:
-            out += d.decompress(part, p.max_record_bytes - len(out) + 1)
+            out = d.decompress(part, p.read_bytes)
         except zlib.error as e:
             raise Damaged(f"bad member: {e}") from e
-        if len(out) > p.max_record_bytes:
-            raise Damaged("record too long")
-        at += len(part) - len(d.unconsumed_tail)
-    return bytes(out), at - len(d.unused_data)
-
-
-def _header(data: bytes) -> tuple[dict[str, str], int]:
-    """Fields (lower-case names) and the length of the header, blank line included."""
-    end = data.find(b"\r\n\r\n")
-    if not data.startswith(VERSION_MARK) or end < 0:
-        raise Damaged("no record header")
+        if not part and not out and not d.eof:
+            raise Damaged("member cut off")
+        yield out, at - len(d.unused_data if d.eof else d.unconsumed_tail)
+
+
+def _member_at(src: Source, at: int, p: Params) -> tuple[Source, int]:
+    """The content of the member at `at`, once its checksum is verified, and the offset behind it."""
+    held: list[bytes] | None = []
+    size, end = 0, at
+    for part, end in _inflated(src, at, p):
+        size += len(part)
+        if held is not None:
+            held = [*held, part] if size <= p.held_bytes else None
+        if held is None:
+            src.drop_to(end)
+    if held is not None:
+        content = b"".join(held)
+        return Source(lambda offset: iter([content[offset:]])), end
+
+    def parts(offset: int) -> Iterator[bytes]:
+        seen = 0
+        for part, upto in _inflated(src, at, p):
+            src.drop_to(upto)
+            if seen + len(part) > offset:
+                yield part[max(0, offset - seen) :]
+            seen += len(part)
+
+    return Source(parts), end
+
+
+def _header(src: Source, at: int) -> tuple[dict[str, str], int]:
+    """Fields (lower-case names) of the record header at `at` and the offset behind its blank line. A header may
+    be of any length; a line without a colon ends the attempt."""
+    if not src.view(at, len(VERSION_MARK)).startswith(VERSION_MARK):
+        raise Damaged("no version line")
     fields: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    first = True
+    while True:
+        end = src.find((b"\r\n",), at)
+        if end < 0:
+            raise Damaged("header cut off")
+        line, at = src.view(at, end - at), end + 2
+        if first:
+            first = False
+            if len(line) > 64:
+                raise Damaged("no version line")
+            continue
+        if not line:
+            break
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         raise Damaged("no length or type")
-    return fields, end + 4
-
-
-def _plain_at(src: Source, offset: int, p: Params) -> tuple[bytes, int]:
-    """The record that is not compressed at `offset` and the offset behind it."""
-    head = src.view(offset, 64 << 10)
-    fields, size = _header(head)
-    total = size + int(fields["content-length"])
-    if total > p.max_record_bytes:
-        raise Damaged("record too long")
-    data = src.view(offset, total + 4)
-    if len(data) < total or data[total : total + 4] not in (b"\r\n\r\n", b""):
-        raise Damaged("block doesn't end where its length says")
-    return data[:total], offset + len(data)
-
-
-def _checked(data: bytes) -> dict:
-    """The record in `data`, with its payload digest verified."""
-    fields, size = _header(data)
-    length = int(fields["content-length"])
-    block = data[size : size + length]
-    if len(block) < length:
-        raise Damaged("block cut off")
-    payload, n, kind = block, len(block), fields["warc-type"]
-    said = fields.get("warc-payload-digest", "")
+    return fields, at
+
+
+def _record_at(src: Source, at: int, p: Params, payloads: bool) -> tuple[dict, int]:
+    """The record at `at`, with its payload digest verified, and the offset behind it. Without `payloads`
+    the block passes through and only a read's worth is held."""
+    fields, at = _header(src, at)
+    end, kind = at + int(fields["content-length"]), fields["warc-type"]
+    said, told = fields.get("warc-payload-digest", ""), None
     if fields.get("content-type", "").startswith("application/http"):
-        head, gap, payload = block.partition(b"\r\n\r\n")
-        if not gap:
+        gap = src.find((b"\r\n\r\n",), at)
+        if gap < 0 or gap + 4 > end:
             raise Damaged("no http header")
-        n = len(payload)
-        if kind == "revisit":
-            for line in head.split(b"\r\n"):
-                name, _, value = line.partition(b":")
-                if name.lower() == b"content-length" and value.strip().isdigit():
-                    n = int(value)
-    found = digest(payload) if kind != "revisit" else said.removeprefix("sha1:")
+        for line in src.view(at, gap - at).split(b"\r\n"):
+            name, _, value = line.partition(b":")
+            if name.lower() == b"content-length" and value.strip().isdigit():
+                told = int(value)
+        at = gap + 4
+    sums, kept, size = hashlib.sha1(), [], end - at
+    while at < end:
+        part = src.view(at, min(p.read_bytes, end - at))
+        if len(part) < min(p.read_bytes, end - at):
+            raise Damaged("block cut off")
+        sums.update(part)
+        if payloads:
+            kept.append(part)
+        at += len(part)
+        src.drop_to(at)
+    if src.view(end, 4) not in (b"\r\n\r\n", b""):
+        raise Damaged("block doesn't end where its length says")
+    found = said.removeprefix("sha1:") if kind == "revisit" else base64.b32encode(sums.digest()).decode()
     if kind != "revisit" and said.startswith("sha1:") and said != f"sha1:{found}":
         raise Damaged("payload digest differs")
     clean = lambda x: x.strip("<>") if x else None
     return {
-        "record_id": clean(fields.get("warc-record-id")), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "payload_bytes": n,
-        "payload_digest": found, "refers_to": clean(fields.get("warc-refers-to")), "payload": payload if kind != "revisit" else None,
-    }
+        "kind": "record", "record_id": clean(fields.get("warc-record-id")), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
+        "payload_bytes": told if kind == "revisit" and told is not None else size, "payload_digest": found, "refers_to": clean(fields.get("warc-refers-to")),
+        "payload": b"".join(kept) if payloads and kind != "revisit" else None,
+    }, end + len(src.view(end, 4))
 
 
-def salvage(stream, p: Params = Params()) -> Iterator[dict]:
-    """Records (kind `record`) and gaps (kind `gap`, with gap_bytes and the reason) of an archive, in
-    order; together they cover each byte once. Members and plain records may alternate. An empty
-    archive yields nothing."""
-    src = Source(stream, p.read_bytes)
+def _records_in(content: Source, p: Params, payloads: bool) -> Iterator[dict]:
+    """The records of a member's content and, by their `content_offset`, the gaps between them."""
     at, gap_from, reason = 0, None, ""
     while True:
-        src.drop_to(at)
-        start = src.view(at, len(VERSION_MARK))
-        if not start:
-            if gap_from is not None:
-                yield {"kind": "gap", "offset": gap_from, "gap_bytes": at - gap_from, "reason": reason}
-            return
-        try:
-            if start.startswith(MEMBER_MARK):
-                data, end = _member_at(src, at, p)
-            elif start.startswith(VERSION_MARK):
-                data, end = _plain_at(src, at, p)
-            else:
-                raise Damaged("neither member nor version line")
-            record = _checked(data)
-        except Damaged as e:
-            if gap_from is None:
-                gap_from, reason = at, str(e)
-            at = _next_start(src, at + 1)
-            continue
+        content.drop_to(at)
+        ended = not content.view(at, 1)
+        if not ended:
+            try:
+                record, end = _record_at(content, at, p, payloads)
+            except Damaged as e:
+                if gap_from is None:
+                    gap_from, reason = at, str(e)
+                found = content.find((VERSION_MARK,), at + 1, passing=True)
+                at = content.size() if found < 0 else found
+                continue
         if gap_from is not None:
-            yield {"kind": "gap", "offset": gap_from, "gap_bytes": at - gap_from, "reason": reason}
+            yield {"kind": "gap", "content_offset": gap_from, "gap_bytes": at - gap_from, "reason": reason}
             gap_from = None
-        yield {"kind": "record", "offset": at} | record
+        if ended:
+            return
+        yield record | {"content_offset": at}
         at = end
 
 
-def _next_start(src: Source, offset: int) -> int:
-    """The next offset at which a member or version line may begin, or the end of the archive."""
+def salvage(stream, p: Params = Params(), payloads: bool = True) -> Iterator[dict]:
+    """Records (kind `record`) and gaps (kind `gap`, with gap_bytes and the reason) of an archive that can be
+    sought in, in order. Together they cover each byte once; within a member of several records or with
+    bytes that are none, `content_offset` tells where in its content. Members and plain records may alternate.
+    An empty archive yields nothing."""
+    src = Source(_read_parts(stream, p))
+    at, gap_from, reason = 0, None, ""
     while True:
-        marks = [x for x in (src.data.find(m, offset - src.at) for m in (MEMBER_MARK, VERSION_MARK)) if x >= 0]
-        if marks:
-            return src.at + min(marks)
-        offset = max(offset, src.at + len(src.data) - len(VERSION_MARK) + 1)
-        src.drop_to(offset)
-        if not src.more():
-            return src.at + len(src.data)
+        src.drop_to(at)
+        start = src.view(at, len(VERSION_MARK))
+        found: Iterator[dict] = iter(())
+        if start:
+            try:
+                if start.startswith(MEMBER_MARK):
+                    content, end = _member_at(src, at, p)
+                    found, held = _records_in(content, p, payloads), []
+                    while not held or held[-1]["kind"] == "gap":  # a member without any record is no member
+                        item = next(found, None)
+                        if item is None:
+                            raise Damaged(held[0]["reason"] if held else "empty member")
+                        held.append(item)
+                    found = chain(held, found)
+                elif start.startswith(VERSION_MARK):
+                    record, end = _record_at(src, at, p, payloads)
+                    found = iter([record])
+                else:
+                    raise Damaged("neither member nor version line")
+            except Damaged as e:
+                if gap_from is None:
+                    gap_from, reason = at, str(e)
+                found_at = src.find((MEMBER_MARK, VERSION_MARK), at + 1, passing=True)
+                at = src.size() if found_at < 0 else found_at
+                continue
+        if gap_from is not None:
+            yield {"kind": "gap", "offset": gap_from, "gap_bytes": at - gap_from, "reason": reason}
+            gap_from = None
+        if not start:
+            return
+        for item in found:
+            yield item | {"offset": at}
+        at = end
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, p: Params = Params(), payloads: bool = True) -> DataFrame:
     """Records and gaps of the archives whose `path` the manifest lists (see `RECORDS`).
 
-    An archive is streamed by one task; its memory is bounded by the longest record. Archives with no
-    bytes and empty manifests give no rows.
+    An archive is streamed by one task; its memory is bounded by the longest payload, without `payloads` by a few
+    reads and the longest header line. Archives with no bytes and empty manifests give no rows.
     """
     names = [f.split()[0] for f in RECORDS.split(", ")]
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"offset": pa.int64(), "payload_bytes": pa.int64(), "gap_bytes": pa.int64(), "payload": pa.binary()}
+        kinds = {"offset": pa.int64(), "content_offset": pa.int64(), "payload_bytes": pa.int64(), "gap_bytes": pa.int64(), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,10 +396,8 @@ def read_archives(spark: SparkSession, manifest: DataFrame, p: Params = Params()
             for path in b.column("path").to_pylist():
                 filesystem, name = pafs.FileSystem.from_uri(path)
                 rows, held = [], 0
-                with filesystem.open_input_stream(name, compression=None) as stream:
-                    for r in salvage(stream, p):
-                        if not payloads:
-                            r["payload"] = None
+                with filesystem.open_input_file(name) as stream:
+                    for r in salvage(stream, p, payloads):
                         rows.append(r | {"path": path})
                         held += len(r.get("payload") or b"")
                         if len(rows) >= 2000 or held > 4 << 20:
@@ -314,11 +410,25 @@ def read_archives(spark: SparkSession, manifest: DataFrame, p: Params = Params()
     return paths.repartition(max(1, min(10_000, manifest.count()))).mapInArrow(run, RECORDS)
 
 
+def quarantine(found: DataFrame) -> DataFrame:
+    """The log of what a reader passed over: path, offset, content_offset, gap_bytes, reason."""
+    return found.where("kind = 'gap'").select("path", "offset", "content_offset", "gap_bytes", "reason")
+
+
 def page_records(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """Write all pages, read the archives back, and return a row per record: page_id, payload_bytes,
-    payload_digest, record_type, refers_to."""
+    payload_digest, record_type, refers_to.
+
+    The records and the gaps between them are written beside the archives first. Gaps, or records that are not as
+    many as the manifest names, mean that an archive was damaged in between: the job then fails and
+    names the log.
+    """
     spark = pages.sparkSession
     manifest = write_archives(pages, new_path(spark, "warc"), p)
-    found = read_archives(spark, manifest, p, payloads=False).where("kind = 'record'")
+    found, path = written(read_archives(spark, manifest, p, payloads=False).drop("payload"), "warc-records")
+    due = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    got = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    if got.get("gap") or got.get("record", 0) != due:
+        raise RuntimeError(f"{got.get('record', 0)} of {due} records came back, with {got.get('gap', 0)} gaps; see {path}")
     number = lambda c: F.substring(c, len(ID_PREFIX) + 1, 30).try_cast("bigint")
     return found.select(number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", number(F.col("refers_to")).alias("refers_to"))

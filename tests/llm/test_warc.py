@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkveil.llm import warc
@@ -44,6 +45,7 @@ def read(data, p=warc.Params(read_bytes=701)):
 def covers(found, size):
     """Records and gaps follow each other without holes."""
     at = 0
+    found = [r for r in found if not r.get("content_offset")]
     for i, r in enumerate(found):
         assert r["offset"] == at
         at = found[i + 1]["offset"] if i + 1 < len(found) else size
@@ -103,3 +105,45 @@ def test_archives_on_spark(spark):
     assert found.where("record_type = 'response'").count() == 100
     assert found.where("record_type = 'response' and payload is null").count() == 0
     assert warc.read_archives(spark, manifest.limit(0)).count() == 0
+
+
+def test_several_records_in_a_member():
+    """All of them come out, whatever is held; what is no record in between is a gap of the content."""
+    parts = archive(12, compressed=False)
+    content = b"".join([*parts[:5], b"no record" * 99, *parts[5:11], parts[11][:-30]])
+    data = b"".join([warc.member(content, 6), *archive(3)])
+    for p in (warc.Params(read_bytes=701), warc.Params(read_bytes=701, held_bytes=100)):
+        found = read(data, p)
+        assert [r["record_id"] for r in found if r["kind"] == "record"] == [f"urn:page:{i}" for i in [*range(11), 0, 1, 2]]
+        gaps = [(r["content_offset"], r["gap_bytes"]) for r in found if r["kind"] == "gap"]
+        start = sum(map(len, parts[:5]))
+        assert gaps == [(start, 9 * 99), (len(content) - len(parts[11]) + 30, len(parts[11]) - 30)]
+        covers(found, len(data))
+
+
+def test_long_records_and_headers():
+    """No length is too long: a record beyond any buffer, a header of 70 KB, plain and in members."""
+    body, url = random.Random(3).randbytes(300_000), "http://x/" + "u" * 70_000
+    for compressed in (True, False):
+        parts = [warc.record_bytes(f"urn:page:{i}", url, body, None) for i in range(3)]
+        data = b"".join(warc.member(x, 1) if compressed else x for x in parts)
+        for payloads in (True, False):
+            found = list(warc.salvage(io.BytesIO(data), warc.Params(read_bytes=4096, held_bytes=8192), payloads))
+            assert [(r["kind"], r["payload_bytes"], r["target_uri"] == url) for r in found] == [("record", 300_000, True)] * 3
+            assert all(r["payload"] == (body if payloads else None) for r in found)
+            assert found[0]["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+
+def test_a_damaged_archive_fails_the_query(spark, monkeypatch):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("body "), "id").alias("html"))
+    folder = new_path(spark, "t")
+    manifest = warc.write_archives(pages, folder)
+    path = manifest.first().path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    open(path, "wb").write(data)
+    log = warc.quarantine(warc.read_archives(spark, manifest)).collect()
+    assert len(log) == 1 and log[0].gap_bytes > 0 and log[0].reason
+    monkeypatch.setattr(warc, "write_archives", lambda *_: manifest)
+    with pytest.raises(RuntimeError, match="39 of 40"):
+        warc.page_records(pages)
