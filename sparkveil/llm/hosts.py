@@ -3,7 +3,8 @@
 Labelled page outcomes are counted by host. A host's rate of good pages is shrunk through beta-binomial
 priors: the host towards its registered domain, the domain towards its suffix, the suffix towards the
 whole. The strength of each prior is estimated from the counts (moments of the beta-binomial). A host is
-blocked when even the upper bound of its posterior rate stays below the wanted rate.
+blocked when even the upper bound of its posterior rate stays below a share of the whole's rate: what is wanted
+follows from the table, so a corpus of poor pages isn't blocked as a whole.
 
 Everything here is DataFrame expressions; no Python runs on executors.
 """
@@ -31,10 +32,10 @@ RULES = (
 
 @dataclass(frozen=True)
 class Params:
-    """min_good: wanted rate of good pages; sigmas: width of the posterior bound in standard deviations;
+    """min_share: wanted rate of good pages, as a share of the whole's; sigmas: width of the posterior bound in standard deviations;
     min_strength, max_strength: range of a prior's weight in pages."""
 
-    min_good: float = 0.75
+    min_share: float = 0.9
     sigmas: float = 1.0
     min_strength: float = 0.5
     max_strength: float = 1000.0
@@ -96,7 +97,7 @@ def _strength(children: DataFrame, parent: list[str], p: Params) -> float:
 
 def reputations(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
     """Posterior of every host of `outcomes` (host, good boolean): host, n, k, posterior_mean,
-    posterior_upper, n and k counting pages and good pages.
+    posterior_upper, bad; n and k count pages and good pages, bad says that the bound is too low.
 
     Null outcomes don't count. Each level's mean is shrunk towards its parent's shrunk mean.
     """
@@ -116,19 +117,19 @@ def reputations(outcomes: DataFrame, p: Params = Params()) -> DataFrame:
     alpha = F.col("k") + s_host * F.col("domain_mean")
     beta = F.col("n") - F.col("k") + s_host * (1 - F.col("domain_mean"))
     mean, size = alpha / (alpha + beta), alpha + beta
-    return hosts.join(domains, ["suffix", "domain"]).select(
+    found = hosts.join(domains, ["suffix", "domain"]).select(
         "host", "n", "k",
         F.round(mean, 6).alias("posterior_mean"),
         F.round(F.least(F.lit(1.0), mean + p.sigmas * F.sqrt(mean * (1 - mean) / (size + 1))), 6).alias("posterior_upper"),
     )
+    return found.withColumn("bad", F.col("posterior_upper") < F.lit(round(p.min_share * whole, 6)))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, p: Params = Params(), key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: key, host, path, rule, verdict, n_labelled, posterior_mean, posterior_upper.
 
-    `outcomes` has (host, good). The longest fitting rule decides; else a host whose posterior_upper is
-    below `min_good` is blocked and every other page allowed, those of hosts without outcomes
-    too. Null urls have an empty host. Repeated rows repeat. The reputations are written first, so
+    `outcomes` has (host, good). The longest fitting rule decides; else the pages of bad hosts (see `reputations`) are
+    blocked and all others allowed, those of hosts without outcomes too. Null urls have an empty host. Repeated rows repeat. The reputations are written first, so
     that the join meets two plain exchanges and a hot host's pages can be split.
     """
     host, path = url_parts(F.col(f"`{url}`"))
@@ -136,7 +137,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     judged = pages.select(F.col(f"`{key}`"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "ruled": ruled})
     known = materialize(reputations(outcomes, p), "reputations")
     found = judged.join(known, "host", "left")
-    verdict = F.coalesce("ruled", F.when(F.col("posterior_upper") < p.min_good, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(F.col("bad"), "block").otherwise("allow"))
     return found.select(key, "host", "path", "rule", verdict.alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_labelled"), "posterior_mean", "posterior_upper")
 
 

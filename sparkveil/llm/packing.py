@@ -27,7 +27,7 @@ from .common import materialize, sliced
 class Params:
     """window: tokens of a sequence; end_id: closes each document; group_pieces: about how many
     remainders are packed together (one group is one task's work); cache_words: words whose ids a
-    worker keeps."""
+    worker keeps, of `CACHE_BYTES` at most."""
 
     window: int = 2048
     end_id: int = 1
@@ -35,6 +35,7 @@ class Params:
     cache_words: int = 600_000
 
 
+CACHE_BYTES = 96 << 20
 #: What may follow a word of letters without changing how it is encoded.
 STOPS = ".,;:!?"
 #: Latin letters that are composed already and have one lower case: all but the dotted capital i.
@@ -57,6 +58,7 @@ class WordTokenizer:
             self.last[i] = token.endswith("</w>")
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -83,8 +85,9 @@ class WordTokenizer:
             raw = ids.tobytes()
             self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(e + skip for e in ends[:-1])], ends, strict=True))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and the bounds of each text."""
+    def _pieces(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of what words are made of, which of these each word has (two: a head and a tail, which is empty
+        for most), and the bounds of each text in words."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = pc.dictionary_encode(lists.flatten())
         heads = pc.utf8_rtrim(coded.dictionary, characters=STOPS)
@@ -96,23 +99,36 @@ class WordTokenizer:
         head_words, tail_words = heads.dictionary.to_pylist(), tails.dictionary.to_pylist()
         needed = {*head_words, *tail_words}
         new = needed.difference(self.known)
-        if new and len(self.known) + len(new) > self.cache_words:
-            self.known = {"": b""}
+        size = sum(map(len, new))
+        if new and (len(self.known) + len(new) > self.cache_words or self.held + size > CACHE_BYTES):
+            self.known, self.held = {"": b""}, 0
             new = needed - {""}
+            size = sum(map(len, new))
+        self.held += size
         self._learn(list(new))
         raw = list(map(self.known.__getitem__, head_words + tail_words))
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-        pool, starts = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
         number = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # each word is a head and a tail, which is empty for most
         index = number(coded)
         parts = np.stack([number(heads)[index], number(tails)[index] + len(head_words)], axis=1).ravel()
+        words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return raw, parts, words
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the bounds of each text."""
+        raw, parts, words = self._pieces(texts)
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        pool, starts = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
         lengths = sizes[parts]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = pool[np.repeat(starts[parts] - ends[:-1], lengths) + np.arange(ends[-1])]
-        ends = ends[::2]
-        words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return ids, ends[words]
+        return ids, ends[::2][words]
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        raw, parts, words = self._pieces(texts)
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes[parts])])[::2]
+        return np.diff(ends[words])
 
 
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}
@@ -134,8 +150,9 @@ def pieces(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id"
 
     A null text is empty; an empty document is its end id alone.
     """
-    base = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), F.monotonically_increasing_id().alias("_row"))
-    fields = [base.schema[key], *PIECE.fields, *([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else [])]
+    base = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("the text"), F.monotonically_increasing_id().alias("_row"))
+    text = "the text"
+    fields = [base.schema[key], *PIECE.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = tokenizer(path, p.cache_words), np.array([p.end_id], dtype="<u4").tobytes()
@@ -156,11 +173,11 @@ def pieces(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id"
                     crc.append(zlib.crc32(part))
                     total.append(n)
                     if with_ids:
-                        ids.append(np.frombuffer(part, dtype="<u4").astype(np.int64))
+                        ids.append(np.frombuffer(part, dtype="<i4"))
             own = b.column(key).take(pa.array(at, type=pa.int64()))
             columns = [own, *(pa.array(x, type=pa.int64()) for x in (start, length, crc, total)), pa.array(np.arange(number, number + len(at)))]
             number += len(at)
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, type=pa.list_(pa.int64()))] if with_ids else [])], names=[f.name for f in fields])
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, type=pa.list_(pa.int32()))] if with_ids else [])], names=[f.name for f in fields])
 
     return base.mapInArrow(run, T.StructType(fields))
 
@@ -222,25 +239,30 @@ def pack(parts: DataFrame, p: Params = Params()) -> DataFrame:
 
     Full windows are sequences of their own and need no packing. Remainders are dealt by hash into
     groups of about `group_pieces`, so a group's size is bounded whatever the input; a group is packed
-    in one task. Sequence ids are unique, not dense.
+    in one task, which sees lengths only: the ids are joined to their places. Sequence ids are unique, not dense.
     """
     full = parts.where(F.col("length") == p.window).select("*", (F.col("piece_id") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = parts.where(F.col("length") < p.window)
     groups = max(1, -(-rest.count() // p.group_pieces))
-    dealt = rest.withColumn("group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
-    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    carried = rest.drop("ids")
+    dealt = carried.withColumn("group", F.pmod(F.xxhash64("piece_id"), F.lit(groups)))
+    schema = T.StructType([*carried.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "piece_id"], ascending=[False, True], kind="stable")
         ids, offsets = best_fit_decreasing(frame["length"].to_numpy(), p.window)
         return frame.drop(columns="group").assign(sequence_id=(ids * groups + frame["group"].to_numpy()) * 2 + 1, offset=offsets)
 
-    return full.unionByName(dealt.groupBy("group").applyInPandas(run, schema))
+    placed = dealt.groupBy("group").applyInPandas(run, schema)
+    if "ids" in parts.columns:
+        placed = placed.join(rest.select("piece_id", "ids"), "piece_id")
+    return full.unionByName(placed)
 
 
 def pack_documents(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place: key, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset. Repeated rows are packed each; null keys stay null; no rows give no rows."""
+    sequence_id, offset; with `with_ids` also the piece's ids. Repeated rows are packed each; null keys stay null; null and empty
+    texts are their end id; no rows give no rows. Columns beside key and text may have any name."""
     return pack(materialize(pieces(docs, path, p, key, text, with_ids), "pieces"), p).drop("piece_id")
 
 
@@ -251,4 +273,4 @@ def sequences(packed: DataFrame, p: Params = Params(), pad_id: int = 0) -> DataF
     joined = packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     ids = F.flatten(F.col("parts.ids"))
     whole = F.col("tokens").bitwiseAND(F.col("tokens") - 1) == 0
-    return joined.select("sequence_id", "tokens", F.when(whole, ids).otherwise(F.concat(ids, F.array_repeat(F.lit(pad_id).cast("long"), (F.lit(p.window) - F.col("tokens")).cast("int")))).alias("ids"))
+    return joined.select("sequence_id", "tokens", F.when(whole, ids).otherwise(F.concat(ids, F.array_repeat(F.lit(pad_id), (F.lit(p.window) - F.col("tokens")).cast("int")))).alias("ids"))

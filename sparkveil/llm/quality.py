@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, texts_of
+from .common import materialize, positional, sliced, texts_of
 from .learning import held_out, training_sample
 from .toxicity import sigmoid
 from .words import FIRST, PUNCTUATION, SECOND, encoded, owners, scattered
@@ -224,5 +224,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str =
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """`docs` without the rows that are not kept; columns stay."""
-    return rated(docs, train(docs, labels, p), docs.columns, p, only=True)
+    """`docs` without the rows that are not kept; columns, whatever their names, and their order stay. Nulls,
+    repeats and empty tables as in `quality`."""
+    plain, of = positional(docs)
+    return rated(plain, train(docs, labels, p), plain.columns, p, of["text"], only=True).toDF(*docs.columns)

@@ -53,16 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weigh(_table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
-        "doc_id",
-        F.col("_mix_source").alias("source_group"),
-        F.col("_mix_lang").alias("lang_group"),
-        F.col("_mix_topic").alias("topic"),
-        F.col("_mix_mass").alias("words"),
-        F.round("_mix_weight", 6).alias("weight"),
-        F.round("_mix_probability", 6).alias("probability"),
-        F.col("_mix_sampled").alias("sampled"),
-    )
+    return mixing.weigh(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict:
@@ -80,37 +71,6 @@ def queries() -> dict:
     }
 
 
-def _mixing_sql() -> str:
-    p = mixing.Params()
-    case = lambda d, v: f"CASE WHEN {v} IN ({', '.join(repr(x) for x in p.targets[d])}) THEN {v} ELSE 'other' END"
-    share = lambda d: "CASE " + " ".join(f"WHEN c_{d} = {v!r} THEN {s!r}" for v, s in p.targets[d].items()) + " ELSE 0 END"
-    gone = lambda chars: f"(length(t) - length(translate(t, '{chars}', '')))"
-    topic = f"CASE WHEN length(t) > 0 AND {gone('|')} * 50 >= length(t) THEN 'table' WHEN length(t) > 0 AND {gone('#*$%&')} * 20 >= length(t) THEN 'symbols' WHEN length(t) > 0 AND {gone(mixing.LETTERS)} * 5 >= length(t) * 2 THEN 'capitals' ELSE 'prose' END"
-    dims = list(p.targets)
-    sql = f"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
-    p AS (SELECT doc_id, {case('source', 'source')} AS c_source, {case('lang', 'lang')} AS c_lang, {topic} AS c_topic,
-      greatest(1, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')))::BIGINT AS words FROM d),
-    w0 AS (SELECT {', '.join(f'c_{d}' for d in dims)}, sum(words)::DOUBLE AS mass FROM p GROUP BY ALL),
-    m AS (SELECT *, 1.0::DOUBLE AS w, sum(mass) OVER () AS total FROM w0)"""
-    last = "m"
-    for d in dims:
-        sql += f""", t_{d} AS (SELECT c_{d}, CASE WHEN c_{d} = 'other' THEN o ELSE s / sum(s) OVER () * (1 - o) END AS goal FROM (
-      SELECT c_{d}, {share(d)} AS s, coalesce(sum(CASE WHEN c_{d} = 'other' THEN sum(mass) END) OVER (), 0) / any_value(total) AS o FROM m GROUP BY c_{d}))"""
-        sql += f", g_{d} AS (SELECT {last}.*, goal AS goal_{d} FROM {last} JOIN t_{d} USING (c_{d}))"
-        last = f"g_{d}"
-    n = 0
-    for _ in range(p.sweeps):
-        for d in dims:
-            sql += f", s{n} AS MATERIALIZED (SELECT * REPLACE (w * (goal_{d} * total / sum(mass * w) OVER (PARTITION BY c_{d})) AS w) FROM {last})"
-            last, n = f"s{n}", n + 1
-    return sql + f""", c AS (SELECT *, ({p.keep!r} * total - (sum(mass) OVER o - mass)) / sum(mass * w) OVER r AS scale FROM {last}
-      WINDOW o AS (ORDER BY w DESC, c_source, c_lang, c_topic ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (ORDER BY w DESC, c_source, c_lang, c_topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-    f AS (SELECT *, least(1.0, w * (SELECT arg_max(scale, w) FROM c WHERE scale * w <= 1)) AS prob FROM c)
-    SELECT doc_id, c_source AS source_group, c_lang AS lang_group, c_topic AS topic, words, round(w, 6) AS weight, round(prob, 6) AS probability,
-      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{p.salt}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < prob AS sampled
-    FROM p JOIN f USING (c_source, c_lang, c_topic)"""
-
-
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 r AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
@@ -152,7 +112,7 @@ dm AS (SELECT suffix, domain, (k + s * mean) / (n + s) AS mean FROM doms JOIN sm
 q AS (SELECT host, n, k, k + s * mean AS a, n - k + s * (1 - mean) AS b FROM hosts JOIN dm USING (suffix, domain), s_host),
 rep AS (SELECT host, n, round(a / (a + b), 6) AS posterior_mean, round(least(1.0, a / (a + b) + {p.sigmas!r} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))), 6) AS posterior_upper FROM q)
 SELECT page_id, p.host, path, {case(1)} AS rule,
-  coalesce({case(0)}, CASE WHEN posterior_upper < {p.min_good!r} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce({case(0)}, CASE WHEN posterior_upper < (SELECT round({p.min_share!r} * mean, 6) FROM w) THEN 'block' ELSE 'allow' END) AS verdict,
   coalesce(n, 0)::BIGINT AS n_labelled, posterior_mean, posterior_upper
 FROM p LEFT JOIN rep USING (host)"""
 
@@ -184,4 +144,4 @@ FROM f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_reputation": _host_sql(), "op2_warc": WARC_SQL, "op7_repetition": _repetition_sql(), "op10_mixing": _mixing_sql()}
+    return {"op1_host_reputation": _host_sql(), "op2_warc": WARC_SQL, "op7_repetition": _repetition_sql()}

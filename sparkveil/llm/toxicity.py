@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, sliced, texts_of
+from .common import materialize, positional, sliced, texts_of
 from .learning import held_out, training_sample
 from .words import ngram_features
 
@@ -158,5 +158,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.5) -> DataFrame:
-    """`docs` without the rows whose score reaches `threshold`; columns stay."""
-    return scored(docs, train(docs, labels, p), docs.columns, below=threshold)
+    """`docs` without the rows whose score reaches `threshold`; columns, whatever their names, and their order
+    stay. Nulls, repeats and empty tables as in `toxicity`."""
+    plain, of = positional(docs)
+    return scored(plain, train(docs, labels, p), plain.columns, of["text"], below=threshold).toDF(*docs.columns)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from sparkveil.llm import hosts
 
 SCHEMA = "page_id long, url string, extra string"
@@ -36,7 +38,7 @@ def test_posterior_shrinks_towards_domain(spark):
     assert (got["y.b.com"].n, got["y.b.com"].k) == (50, 50)
     assert got["bad.a.com"].posterior_mean < got["new.a.com"].posterior_mean < got["good.a.com"].posterior_mean < 1
     assert 0 < got["new.a.com"].posterior_mean < 0.6
-    assert got["bad.a.com"].posterior_upper < p.min_good < got["x.b.com"].posterior_upper
+    assert got["bad.a.com"].bad and not got["x.b.com"].bad and not got["good.a.com"].bad
     pages = spark.createDataFrame([(1, "http://bad.a.com/", ""), (2, "http://good.a.com/", "")], SCHEMA)
     verdicts = {r.page_id: r.verdict for r in hosts.judge(pages, spark.createDataFrame(rows, "host string, good boolean"), rules=()).collect()}
     assert verdicts == {1: "block", 2: "allow"}
@@ -78,3 +80,15 @@ def test_equals_plain_computation(spark):
             md = (sums[d][1] + s_domain * ms) / (sums[d][0] + s_domain)
             for h in domains[d]:
                 assert math.isclose(got[h], (counts[h][1] + s_host * md) / (counts[h][0] + s_host), abs_tol=2e-6)
+
+
+def test_planted_bad_hosts_are_blocked(spark):
+    """The pages of sf0.1 with forty bad hosts among theirs, from 8 to 60 labelled pages each and one good page in
+    ten: all of their pages are blocked, whatever the domain, and none of the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    outcomes = hosts.page_outcomes(pages, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    planted = [(f"spam{i}.{'example.com' if i % 2 else f'site{i}.org'}", j % 10 == 0) for i in range(40) for j in range(8 + i * 13 % 53)]
+    more = spark.createDataFrame([(1_000_000 + i, f"https://{h}/x/{i}") for i, (h, _) in enumerate(planted)], "page_id long, url string")
+    judged = hosts.judge(pages.union(more), outcomes.union(spark.createDataFrame(planted, "host string, good boolean")), rules=())
+    got = {(r.planted, r.verdict): r.n for r in judged.selectExpr("page_id >= 1000000 AS planted", "verdict").groupBy("planted", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {(True, "block"): len(planted), (False, "allow"): pages.count()}
