@@ -1,21 +1,29 @@
 """Detection: spans, counts and presence of identifiers in text columns, all as Column expressions.
 
-Offsets are in characters, half-open; `byte_spans` gives UTF-8 bytes. Texts of over `max_bytes` bytes
-match nothing (the guard's default is 10,000 bytes; None lifts it). Null text gives null.
+Offsets are in characters, half-open; `byte_spans` gives UTF-8 bytes. Texts of any length are scanned whole;
+with `max_bytes`, a guard that is off by default (`GUARD_BYTES` is a usual size), longer ones match nothing.
+Null text gives null.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import CONFIDENCE, SPAN
 from .checksums import VALIDATORS
-from .patterns import BY_NAME, PRESETS, TYPES, Type
+from .patterns import BY_NAME, GATES, POSTAL_WINDOW, POSTAL_WORDS, PRESETS, PROVIDERS, TYPES, Gate, Type
+from .words import AMBIGUOUS
 
-MAX_BYTES = 10_000
+#: A usual guard for single messages.
+GUARD_BYTES = 10_000
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def phone(value: Column, strict: bool = True) -> Column:
@@ -32,32 +40,64 @@ def guard(text: Column, max_bytes: int | None) -> Column:
     return F.lit(True) if max_bytes is None else F.octet_length(text) <= max_bytes
 
 
+#: Types whose validator takes the digits alone, and those whose validator takes what stands last.
+DIGITS_ONLY = frozenset(["credit_card", "ssn", "routing_number", "npi", "uk_nhs", "poland_pesel", "turkey_tckn", "india_aadhaar", "italy_vat", *(t.name for t in TYPES if t.name.startswith("australia_"))])
+LAST_PART = frozenset(["vin", "dea_number"])
+
+
 def passes(kind: Type, match: Column) -> Column:
     """Whether a match passes its type's validator."""
     if kind.check is None:
         return F.lit(True)
     if kind.check == "phone":
         return phone(match)
+    if kind.check == "hostname":
+        return match.rlike("[-0-9:]")
+    if kind.check == "username":
+        return match.rlike("[_.-]") & ~match.rlike("^[0-9]+$")
+    if kind.check == "postal":  # the short forms only count with context: see `find`
+        return ~match.rlike("^[0-9]{4}$") & ~match.rlike("^[0-9]{6}$")
     bare = match
-    if kind.name in ("credit_card", "ssn", "routing_number", "npi", "uk_nhs", "poland_pesel", "turkey_tckn", "india_aadhaar", "italy_vat") or kind.name.startswith("australia_"):
+    if kind.name in DIGITS_ONLY:
         bare = F.regexp_replace(match, r"[^0-9]", "")
-    elif kind.name in ("vin", "dea_number"):
+    elif kind.name in LAST_PART:
         bare = F.regexp_extract(match, r"([A-Za-z0-9]+)$", 1)
     return F.coalesce(VALIDATORS[kind.check](bare), F.lit(False))
 
 
+def _in_place(kind: Type, text: Column, span: Column) -> Column:
+    """`passes` for a span of a text, which also sees what stands around it."""
+    match = span["matched_text"]
+    if kind.words:
+        capital = match.rlike(r"^\p{Lu}")
+        return capital | ~F.lower(match).isin(*AMBIGUOUS) if set(kind.words) & AMBIGUOUS else F.lit(True)
+    if kind.check != "postal":
+        return passes(kind, match)
+    low = F.greatest(span["start"] - POSTAL_WINDOW, F.lit(0))
+    near = F.substring(text, low + 1, span["end"] + POSTAL_WINDOW - low).rlike(POSTAL_WORDS)
+    return passes(kind, match) | (near & (match.rlike("^[0-9]{6}$") | (match >= "0200")))
+
+
 def raw_spans(text: Column, pattern: str) -> Column:
     """All matches of one pattern as array<struct(start, end, matched_text)>. The gaps that `split`
-    leaves and the matches' lengths add up to the offsets."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    step = lambda acc, m, i: F.struct(
-        (acc["at"] + F.get(gaps, i) + F.length(m)).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.get(gaps, i)).alias("start"), (acc["at"] + F.get(gaps, i) + F.length(m)).alias("end"), m.alias("matched_text")))).alias("out"),
-    )
-    numbered = F.transform(matches, lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,matched_text:string>>").alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(numbered, zero, lambda acc, x: step(acc, x["m"], x["i"]))["out"]).otherwise(zero["out"])
+    leaves and the matches' lengths add up to the offsets; both are found once a text."""
+    empty = F.array().cast("array<struct<start:int,end:int,matched_text:string>>")
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("matched_text"))))
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("out")))
+
+    return F.when(text.isNotNull(), F.aggregate(pairs, zero, step)["out"])
+
+
+def replaced(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
+    """`text` with each match of `pattern` rewritten (or left, where `rewrite` gives it back): gaps and matches are
+    laid side by side and joined once."""
+    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, F.coalesce(rewrite(m), F.lit("")))))
+    return F.array_join(parts, "")
 
 
 def dedupe(spans: Column) -> Column:
@@ -69,45 +109,91 @@ def dedupe(spans: Column) -> Column:
         F.array_sort(keyed), F.array().cast(f"array<{SPAN.simpleString()}>"),
         lambda acc, x: F.when((F.size(acc) == 0) | (x["s"]["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x["s"]))).otherwise(acc),
     )
-    return F.when(F.size(spans) > 1, kept).otherwise(spans)
+    return kept
 
 
-def find(text: Column, name: str, max_bytes: int | None = MAX_BYTES) -> Column:
+def find(text: Column, name: str, max_bytes: int | None = None) -> Column:
     """Spans of one type: array of `SPAN`, in order, without overlaps."""
     kind = BY_NAME[name]
     found = []
     for pattern in kind.patterns:
-        spans = F.filter(raw_spans(text, pattern), lambda s: passes(kind, s["matched_text"]))
-        found.append(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["matched_text"].alias("matched_text"), F.lit(name).alias("identifier_type"), F.lit(kind.confidence).alias("confidence"))))
-    every = found[0] if len(found) == 1 else dedupe(F.concat(*found))
+        spans = F.filter(raw_spans(text, pattern), lambda s: _in_place(kind, text, s))
+        made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["matched_text"].alias("matched_text"), F.lit(name).alias("identifier_type"), F.lit(kind.confidence).alias("confidence")))
+        found.append(F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{SPAN.simpleString()}>")) if len(kind.patterns) > 1 else made)
+    every = found[0] if len(found) == 1 else bind(F.concat(*found), lambda x: F.when(F.size(x) > 1, dedupe(x)).otherwise(x))
     empty = F.array().cast(f"array<{SPAN.simpleString()}>")
     return F.when(text.isNotNull(), F.when(guard(text, max_bytes) & gate(text, kind), every).otherwise(empty))
 
 
+def densest(text: Column) -> Column:
+    """The most digits in a row, where up to three other characters between two digits don't part them."""
+    joined = F.regexp_replace(text, "(?<=[0-9])[^0-9]{1,3}(?=[0-9])", "")
+    return F.coalesce(F.array_max(F.transform(F.split(joined, "[^0-9]+", -1), F.length)), F.lit(0))
+
+
+def facts(text: Column) -> Column:
+    """What the gates of all types look at, once a text."""
+    lower = F.lower(text)
+    words = F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    return F.struct(text.alias("text"), lower.alias("lower"), F.when(text.rlike("[0-9]"), densest(text)).otherwise(0).alias("digits"), words.alias("words"))
+
+
+def _marked(lower: Column, marks: Iterable[str]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | lower.contains(m)
+    return out
+
+
+def open_gate(seen: Column, kind: Type) -> Column:
+    """Whether a text, by its `facts`, may hold the type at all."""
+    g = GATES.get(kind.name, Gate())
+    out = F.lit(True) if not g.digits else seen["digits"] >= g.digits
+    if kind.words:
+        out = out & F.arrays_overlap(seen["words"], F.array(*[F.lit(w.split()[0]) for w in kind.words]))
+    if g.marks:
+        out = out & _marked(seen["lower"], g.marks)
+    if g.hint:
+        out = out & seen["text"].rlike(g.hint)
+    return out
+
+
 def gate(text: Column, kind: Type) -> Column:
     """The cheap test that runs first: whether any pattern of the type occurs at all."""
-    out = text.rlike(kind.patterns[0])
-    for pattern in kind.patterns[1:]:
-        out = out | text.rlike(pattern)
-    return out
+    g = GATES.get(kind.name, Gate())
+    out = bind(F.lower(text), lambda low: _marked(low, g.marks)) if g.marks else F.lit(True)
+    any_of = F.lit(False)
+    for pattern in kind.patterns:
+        any_of = any_of | text.rlike(pattern)
+    return out & any_of
 
 
-def count(text: Column, name: str, max_bytes: int | None = MAX_BYTES) -> Column:
+def count(text: Column, name: str, max_bytes: int | None = None) -> Column:
     """Number of matches. A type with one pattern and no validator needs no spans."""
     kind = BY_NAME[name]
-    if len(kind.patterns) == 1 and kind.check is None:
+    if len(kind.patterns) == 1 and kind.check is None and not kind.words:
         return F.when(text.isNotNull(), F.when(guard(text, max_bytes), F.regexp_count(text, F.lit(kind.patterns[0]))).otherwise(0))
     return F.size(find(text, name, max_bytes))
 
 
-def present(text: Column, name: str, max_bytes: int | None = MAX_BYTES) -> Column:
-    kind = BY_NAME[name]
-    if kind.check is None:
-        return guard(text, max_bytes) & gate(text, kind)
+def _holds(text: Column, kind: Type) -> Column:
+    """Whether a text has a match that passes."""
     out = F.lit(False)
     for pattern in kind.patterns:
-        out = out | F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: passes(kind, m))
-    return guard(text, max_bytes) & gate(text, kind) & out
+        some = text.rlike(pattern)
+        if kind.check == "postal" or set(kind.words) & AMBIGUOUS:
+            some = some & F.exists(raw_spans(text, pattern), lambda s: _in_place(kind, text, s))
+        elif kind.check is not None:
+            some = some & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: passes(kind, m))
+        out = out | some
+    return out
+
+
+def present(text: Column, name: str, max_bytes: int | None = None) -> Column:
+    kind = BY_NAME[name]
+    g = GATES.get(name, Gate())
+    marked = bind(F.lower(text), lambda low: _marked(low, g.marks)) if g.marks else F.lit(True)
+    return guard(text, max_bytes) & marked & _holds(text, kind)
 
 
 def matches(value: Column, name: str) -> Column:
@@ -121,9 +207,22 @@ def matches(value: Column, name: str) -> Column:
     return whole & passes(kind, v)
 
 
+#: Types that most single values have the form of: only what is nothing else is one of these.
+LOOSE = ("postal_code", "domain", "username", "hostname", "port")
+
+
 def identifier_type(value: Column, preset: str = "all") -> Column:
-    """The first type, in scanner order, that the whole value belongs to; null if none."""
-    return F.coalesce(*[F.when(matches(value, t.name), t.name) for t in types_of(preset)], F.lit(None).cast("string"))
+    """The first type, in scanner order but with `LOOSE` last, that the whole value belongs to; null if none."""
+    kinds = [t.name for t in types_of(preset)]
+    ordered = [n for n in kinds if n not in LOOSE] + [n for n in LOOSE if n in kinds]
+    return F.coalesce(*[F.when(matches(value, n), n) for n in ordered], F.lit(None).cast("string"))
+
+
+def session_like(text: Column) -> Column:
+    """Whether a whole value looks like a session id: 20 characters at least, letters and digits, and over half of the
+    characters different."""
+    v = F.trim(text)
+    return (F.length(v) >= 20) & v.rlike(r"\p{L}") & v.rlike(r"\p{N}") & (F.size(F.array_distinct(F.split(v, ""))) > F.length(v) / 2)
 
 
 def types_of(preset: str | Iterable[str] = "default") -> list[Type]:
@@ -131,39 +230,43 @@ def types_of(preset: str | Iterable[str] = "default") -> list[Type]:
     return [t for t in TYPES if t.domain in domains]
 
 
-def scan(text: Column, preset: str | Iterable[str] = "default", max_bytes: int | None = MAX_BYTES) -> Column:
+def scan(text: Column, preset: str | Iterable[str] = "default", max_bytes: int | None = None) -> Column:
     """The types present, in scanner order: array<string>.
 
-    Types that need a digit are tried only where there is one: that test costs a small part of theirs.
+    Each text is looked at once for what the gates need; a type's patterns run only behind its gate. A user name
+    counts where the text has other personal data, `api_key` where no provider's token was found; `session_id` is
+    told of whole texts.
     """
     kinds = types_of(preset)
-    some = lambda names: F.array_compact(F.array(*[F.when(present(text, n, max_bytes), n) for n in names])) if names else F.array().cast("array<string>")
-    digits = [t.name for t in kinds if needs_digit(t)]
-    others = some([t.name for t in kinds if not needs_digit(t)])
-    if not digits:
-        return others.alias("pii_types")
-    found = F.concat(others, F.when(text.rlike("[0-9]"), some(digits)).otherwise(F.array().cast("array<string>")))
-    order = F.array(*[F.lit(t.name) for t in kinds])
-    return F.when(text.isNotNull(), F.array_intersect(order, found)).alias("pii_types")
-
 
-#: Types that may occur without any digit; the tokens domain is tried as a whole.
-DIGITLESS = frozenset(["email", "name", "payment_token", "crypto_address", "driver_license", "vin", "insurance_number", "ip_address", "mac_address", "url", "dna_id", "employee_id", "student_id", "badge_number"])
+    def found(seen: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(open_gate(seen, t) & _holds(seen["text"], t), t.name) for t in kinds if t.name != "username"]))
 
+    def settled(names: Column) -> Column:
+        has = lambda some: F.arrays_overlap(names, F.array(*[F.lit(n) for n in some]))
+        out = F.filter(names, lambda n: ~((n == "api_key") & has(PROVIDERS)))
+        if any(t.domain == "tokens" for t in kinds):
+            out = F.concat(out, F.when(session_like(text), F.array(F.lit("session_id"))).otherwise(F.array().cast("array<string>")))
+        if any(t.name == "username" for t in kinds):
+            person = has(("email", "phone", "name", "birthdate")) & _holds(text, BY_NAME["username"])
+            out = F.concat(out, F.when(person, F.array(F.lit("username"))).otherwise(F.array().cast("array<string>")))
+        order = [t.name for t in kinds] + ["session_id"]
+        return F.array_intersect(F.array(*[F.lit(n) for n in order]), out)
 
-def needs_digit(kind: Type) -> bool:
-    """Whether no pattern of the type matches a text without digits."""
-    return kind.domain not in ("tokens", "biometric") and kind.name not in DIGITLESS
+    if not kinds:
+        return F.when(text.isNotNull(), F.array().cast("array<string>")).alias("pii_types")
+    types = bind(bind(facts(text), found), settled)
+    return F.when(text.isNotNull(), F.when(guard(text, max_bytes), types).otherwise(F.array().cast("array<string>"))).alias("pii_types")
 
 
-def is_pii_present(text: Column, preset: str | Iterable[str] = "default", max_bytes: int | None = MAX_BYTES) -> Column:
+def is_pii_present(text: Column, preset: str | Iterable[str] = "default", max_bytes: int | None = None) -> Column:
     out = F.lit(False)
     for t in types_of(preset):
         out = out | F.coalesce(present(text, t.name, max_bytes), F.lit(False))
     return out
 
 
-def find_all(text: Column, names: Iterable[str], max_bytes: int | None = MAX_BYTES) -> Column:
+def find_all(text: Column, names: Iterable[str], max_bytes: int | None = None) -> Column:
     """Spans of several types, concatenated; overlaps between types stay."""
     return F.concat(*[find(text, n, max_bytes) for n in names])
 

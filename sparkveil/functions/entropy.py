@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_BYTES = 100_000
 DELIMITERS = r"[\s\"'`,;:=(){}\[\]<>|&]+"
 HEX_BITS, OTHER_BITS, MIN_LENGTH, DIGIT_PENALTY = 3.0, 4.5, 20, 1.2
 
@@ -52,7 +51,7 @@ def is_high_entropy(value: Column) -> Column:
     return (F.length(value) >= MIN_LENGTH) & ~excluded(value) & (adjusted(value) >= limit)
 
 
-def high_entropy_words(text: Column, max_bytes: int | None = MAX_BYTES) -> Column:
+def high_entropy_words(text: Column, max_bytes: int | None = None) -> Column:
     """The words of a text, split at white space, quotes and brackets, that have high entropy."""
     long = F.filter(F.split(text, DELIMITERS), lambda w: F.length(w) >= MIN_LENGTH)
     found = F.filter(long, is_high_entropy)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import masking
-from .detect import MAX_BYTES, find, gate, guard
+from .detect import gate, guard
 from .patterns import BY_NAME
-from .redact import splice
+from .redact import rewritten
 
 POLICIES = ("skip", "partial", "complete", "anonymous")
 
@@ -47,7 +47,7 @@ def redact_value(value: Column, kind: str, policy: str = "complete") -> Column:
     return F.when(value.isNotNull(), BY_NAME[kind].label if policy == "complete" else "[REDACTED]")
 
 
-def redact_texts(df: DataFrame, column: str, names: Iterable[str], policy: str = "complete", max_bytes: int | None = MAX_BYTES) -> DataFrame:
+def redact_texts(df: DataFrame, column: str, names: Iterable[str], policy: str = "complete", max_bytes: int | None = None) -> DataFrame:
     """`df` with the identifiers of `names` in `column` rewritten by one policy, a projection per type."""
     if policy not in POLICIES:
         raise ValueError(f"no policy {policy!r}; there are {POLICIES}")
@@ -55,10 +55,10 @@ def redact_texts(df: DataFrame, column: str, names: Iterable[str], policy: str =
         return df
     for name in names:
         t = F.col(column)
-        done = splice(t, find(t, name, None), _rewrite(name, policy))
+        done = rewritten(t, BY_NAME[name], _rewrite(name, policy))
         df = df.withColumn(column, F.when(guard(t, max_bytes) & gate(t, BY_NAME[name]), done).otherwise(t))
     return df
 
 
 def _rewrite(name: str, policy: str) -> Callable[[Column], Column]:
-    return lambda span: redact_value(span["matched_text"], name, policy)
+    return lambda match: redact_value(match, name, policy)

@@ -56,9 +56,9 @@ def truncate(text: Column, n: int, suffix: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, keep), F.lit(suffix[: n - keep]))).otherwise(text)
 
 
-def log_line(text: Column, max_chars: int | None = 10_000, control_by: str = "", escape_unicode: bool = False) -> Column:
+def log_line(text: Column, max_chars: int | None = None, control_by: str = "", escape_unicode: bool = False) -> Column:
     """One safe line: escapes gone, line breaks and tabs written out, control characters replaced,
-    length bounded."""
+    length bounded by `max_chars`, if given."""
     out = F.replace(strip_ansi(text), F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         out = F.replace(out, F.lit(raw), F.lit(shown))

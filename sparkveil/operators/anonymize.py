@@ -6,14 +6,14 @@ on the driver before anything runs. The result is a struct column (text, items).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import masking, tokens
+from ..functions.detect import bind
 from ..functions.patterns import SECRET_TYPES
 from ..schemas import DETECTION, ENGINE_RESULT, ITEM
 
@@ -107,27 +107,21 @@ def valid_in(text: Column, spans: Column) -> Column:
 
 
 def _trimmed(spans: Column) -> Column:
-    """Each span, best first, cut to the longest part that better ones leave free: interval subtraction
-    has no expression form, so this runs in Arrow."""
+    """Each span, best first, cut to the longest part that better ones leave free (of equal ones the first): a part
+    begins with the span or where a better one ends, and ends with the span or where the next begins."""
 
-    @F.pandas_udf(EMPTY)
-    def run(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in frames:
-            yield s.map(_trim, na_action="ignore")
-
-    return run(spans)
+    def step(acc: Column, s: Column) -> Column:
+        def cut(near: Column) -> Column:
+            begins = F.concat(F.array(s["start"]), F.transform(near, lambda t: t["end"]))
+            free = F.filter(begins, lambda b: (b >= s["start"]) & (b < s["end"]) & ~F.exists(near, lambda t: (t["start"] <= b) & (b < t["end"])))
+            upto = lambda b: F.coalesce(F.array_min(F.filter(F.transform(near, lambda t: t["start"]), lambda x: x >= b)), s["end"])
+            return F.array_max(F.transform(free, lambda b: F.struct((F.least(upto(b), s["end"]) - b).alias("n"), (-b).alias("back"))))
 
+        part = cut(F.filter(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+        made = bind(part, lambda x: F.struct(s["entity_type"].alias("entity_type"), (-x["back"]).alias("start"), (x["n"] - x["back"]).alias("end"), s["score"].alias("score")))
+        return bind(made, lambda m: F.when(m["start"].isNotNull(), F.concat(acc, F.array(m))).otherwise(acc))
 
-def _trim(spans) -> list[dict]:
-    taken: list[dict] = []
-    for s in sorted(spans, key=lambda s: (-s["score"], s["start"] - s["end"], s["start"], s["entity_type"])):
-        free = [(s["start"], s["end"])]
-        for t in taken:
-            free = [part for a, b in free for part in ((a, min(b, t["start"])), (max(a, t["end"]), b)) if part[0] < part[1]]
-        if free:
-            a, b = max(free, key=lambda p: (p[1] - p[0], -p[0]))
-            taken.append({"entity_type": s["entity_type"], "start": a, "end": b, "score": s["score"]})
-    return taken
+    return F.aggregate(by_priority(spans), F.array().cast(EMPTY), step)
 
 
 def resolve(spans: Column, strategy: str = "keep_best") -> Column:
@@ -162,17 +156,43 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
         raise ValueError("this hash runs in Arrow and can't stand inside an array expression; use anonymize_frame")
     spans = resolve(valid_in(text, typed(F.coalesce(detections, F.array().cast(EMPTY)))), strategy)
 
-    def step(acc: Column, s: Column) -> Column:
-        value = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        new, name = _chosen(operators, value, s["entity_type"])
-        head = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        item = F.struct(F.length(head).alias("start"), (F.length(head) + F.length(new)).alias("end"), s["entity_type"].alias("entity_type"), new.alias("text"), name.alias("operator"))
-        return F.struct(s["end"].alias("at"), F.concat(head, new).alias("out"), F.concat(acc["items"], F.array(item)).alias("items"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast(f"array<{ITEM.simpleString()}>").alias("items"))
-    done = F.aggregate(spans, zero, step)
-    tail = F.substring(text, done["at"] + 1, F.length(text))
-    return F.when(text.isNotNull(), F.struct(F.concat(done["out"], tail).alias("text"), done["items"].alias("items")).cast(ENGINE_RESULT))
+    empty = F.array().cast(f"array<{ITEM.simpleString()}>")
+
+    def laid(parts: Column) -> Column:
+        """The text and items of (gap, new, name, entity_type) in order: strings are joined once, only lengths run on."""
+        zero = F.struct(F.lit(0).alias("at"), empty.alias("items"))
+
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.coalesce(F.length(x["new"]), F.lit(0))
+            item = F.struct(start.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["name"].alias("operator"))
+            return F.struct(end.alias("at"), F.concat(acc["items"], F.array(item)).alias("items"))
+
+        joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+        return F.struct(joined.alias("text"), F.aggregate(parts, zero, step)["items"].alias("items"))
+
+    def over(found: Column, pieces: Column) -> Column:
+        def part(s: Column, i: Column) -> Column:
+            new, name = _chosen(operators, cut(pieces, s["start"], s["end"]), s["entity_type"])
+            gap = cut(pieces, F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"])
+            return F.struct(gap.alias("gap"), new.alias("new"), name.alias("name"), s["entity_type"].alias("entity_type"))
+
+        tail = cut(pieces, F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)), F.length(text))
+        return bind(bind(F.transform(found, part), laid), lambda done: F.struct(F.concat(done["text"], tail).alias("text"), done["items"].alias("items")))
+
+    some = bind(F.struct(spans.alias("found"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), lambda x: over(x["found"], x["pieces"]))
+    none = F.struct(text.alias("text"), empty.alias("items"))
+    return F.when(text.isNotNull(), F.when(F.coalesce(F.size(detections), F.lit(0)) > 0, some).otherwise(none).cast(ENGINE_RESULT))
+
+
+#: Texts are cut into pieces of so many characters, so that no part of a long one is sought from its beginning.
+PIECE = 1024
+
+
+def cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters [start, end) of a text given in pieces of `PIECE`."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
 
 
 def deanonymize(text: Column, items: Column, operators: dict[str, Operator]) -> Column:

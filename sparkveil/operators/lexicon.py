@@ -1,7 +1,7 @@
 """Lexicon hits: named places, nationalities, religions and political groups in texts.
 
 Texts are cut into phrases of up to three words, which meet the lexicon in an equi-join; the size of the
-lexicon only matters to the join. The lists are fixed values and may be replaced by a table.
+lexicon only matters to the join. The lists are short ones of our own; a table may take their place.
 """
 
 from __future__ import annotations
@@ -9,29 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.words import AMBIGUOUS, LEXICON
+
 MAX_WORDS = 3
-LEXICON: dict[str, tuple[str, ...]] = {
-    "city": (
-        "amsterdam", "athens", "bangkok", "barcelona", "beijing", "berlin", "bogota", "boston", "brussels", "budapest", "cairo", "chicago", "copenhagen", "dallas", "delhi", "dublin", "geneva",
-        "hamburg", "helsinki", "hong kong", "houston", "istanbul", "jakarta", "lagos", "lima", "lisbon", "london", "los angeles", "lyon", "madrid", "manila", "melbourne", "mexico city", "miami",
-        "milan", "montreal", "moscow", "mumbai", "munich", "nairobi", "new york", "oslo", "paris", "prague", "rio de janeiro", "rome", "san francisco", "santiago", "seattle", "seoul", "shanghai",
-        "singapore", "stockholm", "sydney", "tokyo", "toronto", "vienna", "warsaw", "washington", "zurich",
-    ),
-    "country": (
-        "argentina", "australia", "austria", "belgium", "brazil", "canada", "chile", "china", "colombia", "denmark", "egypt", "finland", "france", "germany", "greece", "india", "indonesia",
-        "ireland", "israel", "italy", "japan", "kenya", "mexico", "netherlands", "new zealand", "nigeria", "norway", "pakistan", "peru", "philippines", "poland", "portugal", "romania", "russia",
-        "south africa", "south korea", "spain", "sweden", "switzerland", "thailand", "turkey", "ukraine", "united kingdom", "united states", "vietnam",
-    ),
-    "nationality": (
-        "american", "argentine", "australian", "austrian", "belgian", "brazilian", "british", "canadian", "chilean", "chinese", "colombian", "danish", "dutch", "egyptian", "finnish", "french",
-        "german", "greek", "indian", "indonesian", "irish", "israeli", "italian", "japanese", "kenyan", "korean", "mexican", "nigerian", "norwegian", "pakistani", "polish", "portuguese",
-        "romanian", "russian", "spanish", "swedish", "swiss", "thai", "turkish", "ukrainian", "vietnamese",
-    ),
-    "religion": ("agnostic", "atheist", "baptist", "buddhist", "catholic", "christian", "hindu", "jewish", "lutheran", "methodist", "mormon", "muslim", "orthodox", "protestant", "sikh", "sunni", "shia"),
-    "political": ("communist", "conservative", "democrat", "liberal", "libertarian", "republican", "socialist", "social democrat", "green party", "labour party"),
-}
-#: Names that are words or first names as well: only with a capital, and then with low confidence.
-AMBIGUOUS = frozenset(["chile", "turkey", "china", "washington", "paris", "lima", "orthodox", "polish", "liberal", "conservative", "democrat", "republican"])
 
 
 def table(spark, lexicon: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -44,9 +24,10 @@ def hits(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "te
     """(key, position, phrase, kind, confidence): phrases of the lexicon by the number of the word at which
     they start. A phrase in several lists gives a row for each. Ambiguous ones need a capital letter."""
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = df.select(F.col(key), words.alias("words")).select(key, "words", F.posexplode("words").alias("position", "word"))
-    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("words") - F.col("position"))))
-    phrases = each.select(key, "position", "word", "words", size.alias("n")).select(
-        key, "position", F.col("word").rlike(r"^\p{Lu}").alias("capital"), F.lower(F.array_join(F.slice("words", F.col("position") + 1, F.col("n")), " ")).alias("phrase")
-    )
+    # the words, and those 1, 2, ... places on, side by side: a row never holds more than its own phrase
+    shifted = [F.slice(F.col("words"), i + 1, F.greatest(F.size("words") - i, F.lit(0))).alias(f"w{i}") for i in range(max_words)]
+    each = df.select(F.col(key), words.alias("words")).select(key, F.posexplode(F.arrays_zip(*shifted)).alias("position", "w"))
+    parts = [F.col(f"w.w{i}") for i in range(max_words)]
+    made = F.explode(F.array(*[F.concat_ws(" ", *parts[: i + 1]) if i == 0 else F.when(parts[i].isNotNull(), F.concat_ws(" ", *parts[: i + 1])) for i in range(max_words)]))
+    phrases = each.select(key, "position", parts[0].rlike(r"^\p{Lu}").alias("capital"), made.alias("made")).where("made IS NOT NULL").select(key, "position", "capital", F.lower("made").alias("phrase"))
     return phrases.join(lexicon, "phrase").where("capital or confidence <> 'low'").select(key, "position", "phrase", "kind", "confidence")

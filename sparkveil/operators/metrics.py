@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,45 +26,160 @@ def gauge(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str) -> Da
     return df.groupBy(*by).agg(F.max_by(value, F.struct(ts, tie)).alias("last"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+#: Parts that the range of a group's values is cut into for percentiles, and length of a time bucket for lags.
+PARTS, BUCKET_S = 1024, 86_400
+
+
 def histogram(df: DataFrame, by: Sequence[str], value: str, percentiles: Sequence[tuple[str, float]] = PERCENTILES) -> DataFrame:
     """count, sum, mean, min, max and nearest-rank percentiles, the element floor((n - 1) * p) of the
     sorted values.
 
-    Values are first counted, so a group's state is its distinct values; their running counts give the
-    rank. No list of all samples is built.
+    No group is ever sorted as a whole. Values are counted; the range of a group's values is cut into `PARTS`,
+    whose counts, few for each group, tell in which part a rank lies; only the distinct values of these parts are
+    ranked, each part apart.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("sum"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    place = F.nanvl((F.col("_v") - F.col("min")) / F.nullif(F.col("max") - F.col("min"), F.lit(0.0)) * PARTS, F.lit(0.0))
+    part = F.when(F.col("_v") == F.col("max"), PARTS - 1).otherwise(F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(PARTS - 1))).cast("int")
+    keyed = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+    on = lambda extra=None: _all([*keyed, *([extra] if extra is not None else [])])
+    placed = counts.alias("l").join(whole.alias("r"), on()).select("l.*", part.alias("_part"))
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    w = W.partitionBy(*by).orderBy("_part")
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in percentiles]))
+    upto = parts.withColumn("_before", F.sum("_in").over(w) - F.col("_in")).withColumn("_all", F.sum("_in").over(W.partitionBy(*by)))
+    rank = F.floor((F.col("_all") - 1) * F.col("q.p"))
+    wanted = upto.withColumn("q", ranks).where((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in"))).select(*by, "_part", (rank - F.col("_before")).alias("_rank"), F.col("q.name").alias("_name"))
+    inside = placed.alias("l").join(wanted.select(*by, "_part").distinct().alias("r"), on(F.col("l._part") == F.col("r._part")), "left_semi")
+    running = inside.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)))
+    met = wanted.alias("l").join(running.alias("r"), on((F.col("l._part") == F.col("r._part")) & (F.col("_upto") > F.col("_rank")))).select(*[F.col(f"l.{c}").alias(c) for c in by], "_name", "_v")
+    found = met.groupBy(*by).agg(*[F.min(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name, _ in percentiles])
+    out = whole.alias("l").join(found.alias("r"), on())
+    return out.select(*[F.col(f"l.{c}").alias(c) for c in by], "n", "sum", (F.col("sum") / F.col("n")).alias("mean"), "min", "max", *[name for name, _ in percentiles])
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def timer(df: DataFrame, by: Sequence[str], started: str, ended: str) -> DataFrame:
+    """The histogram of milliseconds between two timestamps; rows that end before they start don't count."""
+    took = df.withColumn("_ms", (micros(ended) - micros(started)) / 1000.0).where("_ms >= 0")
+    return histogram(took, by, "_ms")
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """warning, critical: limits, either may be None; comparison: above, below (both strict), equal (within 1e-9) or
+    rate_exceeds (absolute change per second since the sample before); cooldown_s: after which a state that lasts is
+    alerted again; emit_recovery: whether the return to normal is told."""
+
+    warning: float | None = None
+    critical: float | None = None
+    comparison: str = "above"
+    cooldown_s: float = 60.0
+    emit_recovery: bool = True
+
+    def __post_init__(self) -> None:
+        if self.comparison not in ("above", "below", "equal", "rate_exceeds"):
+            raise ValueError(f"no comparison {self.comparison!r}")
+
+    def crossed(self, value, limit: float, rate):
+        """For columns and for numbers alike; `rate` is null or None without a sample before."""
+        if self.comparison == "above":
+            return value > limit
+        if self.comparison == "below":
+            return value < limit
+        return (value - limit < 1e-9) & (limit - value < 1e-9) if self.comparison == "equal" else rate > limit
+
+    def state(self, value: Column, rate: Column) -> Column:
+        out = F.lit("normal")
+        for name, limit in (("warning", self.warning), ("critical", self.critical)):
+            if limit is not None:
+                out = F.when(self.crossed(value, limit, rate), name).otherwise(out)
+        return out
+
+    def state_of(self, value: float, rate: float | None) -> str:
+        for name, limit in (("critical", self.critical), ("warning", self.warning)):
+            if limit is not None and (self.comparison != "rate_exceeds" or rate is not None) and self.crossed(value, limit, rate):
+                return name
+        return "normal"
+
+    def alert(self, old: str, new: str, since_s: float | None) -> str | None:
+        """What a sample tells: alert, recovery or nothing. A worse state always alerts, as does critical that falls to
+        warning; a state that lasts alerts again once the cooldown since the last alert (None: never) is over."""
+        if new == "normal":
+            return "recovery" if old != "normal" and self.emit_recovery else None
+        if new != old or since_s is None or since_s >= self.cooldown_s:
+            return "alert"
+        return None
+
+
+def with_previous(df: DataFrame, by: Sequence[str], ts: str, tie: str, columns: Sequence[str], bucket_s: int = BUCKET_S) -> DataFrame:
+    """`df` with previous_<column>, the value at the sample before by (ts, tie), null at the first.
+
+    Samples are sorted within time buckets, so that a key with most of the rows spreads over its buckets; the
+    first of a bucket takes the last of the bucket before, found among the buckets' last rows.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*by)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
-    at = lambda p: F.min(F.when(F.col("_upto") > F.floor((F.col("_all") - 1) * p), F.col("_v")))
-    return ranked.groupBy(*by).agg(
-        F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("sum"), (F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias("mean"),
-        F.min("_v").alias("min"), F.max("_v").alias("max"), *[at(p).alias(name) for name, p in percentiles],
-    )
+    cut = df.withColumn("_bucket", F.floor(micros(ts) / (bucket_s * 1_000_000)))
+    held = F.struct(*[F.col(c).alias(f"previous_{c}") for c in columns])
+    last = cut.groupBy(*by, "_bucket").agg(F.max_by(held, F.struct(ts, tie)).alias("_last"))
+    last = last.withColumn("_carried", F.lag("_last").over(W.partitionBy(*by).orderBy("_bucket"))).drop("_last")
+    w = W.partitionBy(*by, "_bucket").orderBy(ts, tie)
+    inside = cut.withColumn("_own", F.lag(held).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    on = _all([*[F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], F.col("l._bucket") == F.col("r._bucket")])
+    joined = inside.alias("l").join(last.alias("r"), on, "left").select("l.*", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_own")).alias("_previous"))
+    return joined.select(*df.columns, *[F.col(f"_previous.previous_{c}") for c in columns])
 
 
-def state(value: Column, warning: float, critical: float, above: bool = True) -> Column:
-    over = (lambda limit: value >= limit) if above else (lambda limit: value <= limit)
-    return F.when(over(critical), "critical").when(over(warning), "warning").otherwise("normal")
+def rate_of_change(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str) -> DataFrame:
+    """Change per second against the sample before."""
+    both = with_previous(df, by, ts, tie, [value, ts])
+    seconds = (micros(ts) - micros(f"previous_{ts}")) / 1e6
+    return both.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.col(f"previous_{value}")) / seconds)).drop(f"previous_{value}", f"previous_{ts}")
 
 
-def transitions(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str, warning: float, critical: float, above: bool = True, cooldown_s: int = 0, emit_recovery: bool = True) -> DataFrame:
-    """Rows at which a metric's state changes: previous_state and state. A change within `cooldown_s` of
-    the one before is left out, as are recoveries unless wanted."""
-    w = W.partitionBy(*by).orderBy(ts, tie)
-    now = df.withColumn("state", state(F.col(value), warning, critical, above))
-    changed = now.withColumn("previous_state", F.coalesce(F.lag("state").over(w), F.lit("normal"))).where("state <> previous_state")
-    if cooldown_s:
-        gap = (micros(ts) - micros(F.lag(ts).over(w))) / 1e6
-        changed = changed.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= cooldown_s)).drop("_gap")
-    return changed if emit_recovery else changed.where("state <> 'normal'")
+def _graded(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str, t: Threshold) -> DataFrame:
+    rated = rate_of_change(df, by, value, ts, tie) if t.comparison == "rate_exceeds" else df.withColumn("rate", F.lit(None).cast("double"))
+    graded = rated.withColumn("state", F.coalesce(t.state(F.col(value), F.abs("rate")), F.lit("normal"))).drop("rate")
+    return with_previous(graded, by, ts, tie, ["state"]).withColumn("previous_state", F.coalesce("previous_state", F.lit("normal")))
 
 
-def rate_of_change(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str) -> DataFrame:
-    """Change per second against the sample before."""
-    w = W.partitionBy(*by).orderBy(ts, tie)
-    seconds = (micros(ts) - micros(F.lag(ts).over(w))) / 1e6
-    return df.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+def transitions(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str, t: Threshold) -> DataFrame:
+    """Rows at which a metric's state changes: previous_state and state, recoveries among them if wanted."""
+    changed = _graded(df, by, value, ts, tie, t).where("state <> previous_state")
+    return changed if t.emit_recovery else changed.where("state <> 'normal'")
+
+
+def alerts(df: DataFrame, metric: str, value: str, ts: str, tie: str, t: Threshold) -> DataFrame:
+    """What a threshold tells: (metric, ts, tie, value, previous_state, state, kind), kind alert or recovery (see
+    `Threshold.alert`).
+
+    States and changes come from `transitions`' bucketed windows. When a lasting state is told again depends on when it
+    was told last, so each metric's samples outside of normal, and its recoveries, run in order through one task; this holds
+    one time, not the samples.
+    """
+    rows = _graded(df, [metric], value, ts, tie, t).where("state <> 'normal' OR previous_state <> 'normal'").select(*dict.fromkeys([metric, ts, tie, value]), "previous_state", "state", micros(ts).alias("_us"))
+    schema = rows.drop("_us").withColumn("kind", F.lit("")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, told = None, None
+        for frame in frames:
+            kinds = []
+            for key, old, new, us in zip(frame[metric], frame["previous_state"], frame["state"], frame["_us"], strict=True):
+                if key != now:
+                    now, told = key, None
+                kind = t.alert(old, new, None if told is None else (us - told) / 1e6)
+                told = us if kind == "alert" else told
+                kinds.append(kind)
+            out = frame.drop(columns="_us").assign(kind=kinds)
+            yield out[out["kind"].notna()]
+
+    return rows.repartition(metric).sortWithinPartitions(metric, ts, tie).mapInPandas(run, schema)
 
 
 def labelled_key(name: Column, labels: Column) -> Column:

@@ -13,15 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import checksums, context, detect, entropy, files, masking, network, redact, text, threats, tokens
-from ..functions.patterns import BY_NAME, IPV4
+from ..functions import checksums, context, detect, entropy, files, masking, network, redact, text, threats, tokens, words
+from ..functions.patterns import BY_NAME
 from ..functions.times import micros
 from ..operators import anonymize as anon
 from ..operators import audit, correlate, lexicon, metrics, spans, vault
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-GUARD = f"strlen(text) <= {detect.MAX_BYTES}"
 
 
 def query(sql: str | None = None):
@@ -38,44 +37,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over four partitions a core where their files give fewer: scanning a text costs far more than
+    moving it. A table of many files or row groups stays as it is."""
+    df = table(spark, sf_dir, "documents")
+    parts = 4 * spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
+
+
 def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def pattern(name: str, i: int = 0) -> str:
-    return quoted(BY_NAME[name].patterns[i])
+def _all(name: str) -> str:
+    """All patterns of a type as one, which holds where they don't overlap."""
+    return "|".join(f"(?:{p})" for p in BY_NAME[name].patterns)
+
+
+def pattern(name: str) -> str:
+    return quoted(_all(name) if len(BY_NAME[name].patterns) > 1 else BY_NAME[name].patterns[0])
 
 
 # ---- finding
 
 HEX_SECRET = r"\b[0-9a-f]{40}\b"
 PHONE_SHAPE = r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"
-CARD = r"\b[0-9]{16}\b"
 LUHN_SQL = "(list_sum(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN (length({v}) - i) % 2 = 1 THEN (substr({v}, i, 1)::INT * 2) // 10 + (substr({v}, i, 1)::INT * 2) % 10 ELSE substr({v}, i, 1)::INT END)) % 10 = 0)"
 
 
 def _found_sql(p: str) -> str:
-    return f"SELECT doc_id, unnest(regexp_extract_all(text, {quoted(p)})) AS matched_text FROM documents WHERE {GUARD}"
+    return f"SELECT doc_id, unnest(regexp_extract_all(text, {quoted(p)})) AS matched_text FROM documents"
 
 
 def _raw(spark: SparkSession, sf_dir: str, p: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(detect.guard(F.col("text"), detect.MAX_BYTES) & F.col("text").rlike(p))
+    docs = documents(spark, sf_dir).where(F.col("text").rlike(p))
     return docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias("matched_text"))
 
 
 @query(_found_sql(BY_NAME["email"].patterns[0]))
 def find_emails(spark, sf_dir):
-    return spans.spans_table(table(spark, sf_dir, "documents"), ["email"]).select("doc_id", "matched_text")
+    return spans.spans_table(documents(spark, sf_dir), ["email"]).select("doc_id", "matched_text")
 
 
-@query(_found_sql(IPV4))
+@query(_found_sql(_all("ip_address")))
 def find_ipv4(spark, sf_dir):
-    return spans.spans_table(table(spark, sf_dir, "documents"), ["ip_address"]).select("doc_id", "matched_text")
+    return spans.spans_table(documents(spark, sf_dir), ["ip_address"]).select("doc_id", "matched_text")
 
 
-@query(_found_sql(CARD))
+_CARDS_SQL = f"""SELECT doc_id, m AS matched_text FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, {pattern('credit_card')})) AS m FROM documents))
+WHERE {LUHN_SQL.format(v='v')} AND NOT regexp_matches(v, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$')"""
+
+
+@query(_CARDS_SQL)
 def find_cards(spark, sf_dir):
-    return _raw(spark, sf_dir, CARD)
+    return spans.spans_table(documents(spark, sf_dir), ["credit_card"]).select("doc_id", "matched_text")
+
+
+@query(f"""SELECT doc_id, m AS matched_text FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9+]', '', 'g') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, {pattern('phone')})) AS m FROM documents))
+WHERE regexp_matches(v, '^[+][1-9][0-9]{{7,14}}$') AND (NOT starts_with(v, '+1') OR (regexp_matches(v, '^[+]1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AND substr(v, 6, 3) <> '555' AND substr(v, 7, 2) <> '11'))""")
+def find_phones(spark, sf_dir):
+    return spans.spans_table(documents(spark, sf_dir), ["phone"]).select("doc_id", "matched_text")
 
 
 @query(_found_sql(PHONE_SHAPE))
@@ -90,31 +111,33 @@ def find_hex_secret(spark, sf_dir):
 
 @query(_found_sql(BY_NAME["ssn"].patterns[1]))
 def find_ssn(spark, sf_dir):
-    return spans.spans_table(table(spark, sf_dir, "documents"), ["ssn"]).select("doc_id", "matched_text")
+    return spans.spans_table(documents(spark, sf_dir), ["ssn"]).select("doc_id", "matched_text")
 
 
-@query(f"SELECT doc_id, unnest(regexp_extract_all(text, {pattern('api_key')})) AS matched_text FROM documents WHERE {GUARD}")
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, {pattern('api_key')})) AS matched_text FROM documents")
 def find_api_keys(spark, sf_dir):
-    return spans.spans_table(table(spark, sf_dir, "documents"), ["api_key"]).select("doc_id", "matched_text")
+    return spans.spans_table(documents(spark, sf_dir), ["api_key"]).select("doc_id", "matched_text")
 
 
-@query(f"SELECT page_id, unnest(regexp_extract_all(url, {pattern('url')})) AS matched_text FROM pages WHERE strlen(url) <= {detect.MAX_BYTES}")
+@query(f"SELECT page_id, unnest(regexp_extract_all(url, {pattern('url')})) AS matched_text FROM pages")
 def find_urls(spark, sf_dir):
     return spans.spans_table(table(spark, sf_dir, "pages"), ["url"], "page_id", "url").select("page_id", "matched_text")
 
 
-@query(f"""SELECT doc_id, m AS matched_text FROM ({_found_sql(CARD).replace('matched_text', 'm')})
-WHERE {LUHN_SQL.format(v='m')} AND NOT regexp_matches(m, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$')""")
+@query(f"""SELECT doc_id, matched_text, CASE WHEN v[1] = '4' THEN 'visa' WHEN left(v, 2)::INT BETWEEN 51 AND 55 OR left(v, 4)::INT BETWEEN 2221 AND 2720 THEN 'mastercard' WHEN left(v, 2) IN ('34', '37') THEN 'amex'
+WHEN left(v, 4) = '6011' OR left(v, 3)::INT BETWEEN 644 AND 649 OR left(v, 2) = '65' THEN 'discover' WHEN left(v, 3)::INT BETWEEN 300 AND 305 OR left(v, 2) IN ('36', '38') THEN 'diners' WHEN left(v, 4)::INT BETWEEN 3528 AND 3589 THEN 'jcb'
+WHEN left(v, 6)::INT BETWEEN 506099 AND 506198 THEN 'verve' WHEN left(v, 2) = '62' THEN 'unionpay' WHEN left(v, 4)::INT IN (5018, 5020, 5038, 5893, 6304, 6759, 6761, 6762, 6763) THEN 'maestro'
+WHEN left(v, 2) IN ('60', '82') OR left(v, 3) = '508' THEN 'rupay' END AS brand FROM (SELECT *, regexp_replace(matched_text, '[^0-9]', '', 'g') AS v FROM ({_CARDS_SQL}))""")
 def card_luhn_valid(spark, sf_dir):
-    return find_cards(spark, sf_dir).where(checksums.card(F.col("matched_text")))
+    return find_cards(spark, sf_dir).withColumn("brand", checksums.card_brand(F.regexp_replace("matched_text", "[^0-9]", "")))
 
 
-@query(f"""WITH m AS (SELECT doc_id, string_split_regex(text, {pattern('email')}) AS gaps, regexp_extract_all(text, {pattern('email')}) AS ms FROM documents WHERE {GUARD}),
+@query(f"""WITH m AS (SELECT doc_id, string_split_regex(text, {pattern('email')}) AS gaps, regexp_extract_all(text, {pattern('email')}) AS ms FROM documents),
 e AS (SELECT doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) AS i FROM m)
 SELECT doc_id, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS start,
   (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(ms[1:i], lambda x: length(x))))::INT AS "end", ms[i] AS matched_text FROM e""")
 def span_offsets(spark, sf_dir):
-    return spans.spans_table(table(spark, sf_dir, "documents"), ["email"]).select("doc_id", "start", "end", "matched_text")
+    return spans.spans_table(documents(spark, sf_dir), ["email"]).select("doc_id", "start", "end", "matched_text")
 
 
 _COUNTED = ("email", "ip_address", "api_key", "uuid")
@@ -125,12 +148,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def _report_sql(by: str) -> str:
-    counts = ", ".join(f"sum(CASE WHEN {GUARD} THEN len(regexp_extract_all(text, {quoted(IPV4) if n == 'ip_address' else pattern(n)})) ELSE 0 END)::BIGINT AS n_{n}" for n in _COUNTED)
+    counts = ", ".join(f"sum(len(regexp_extract_all(text, {pattern(n)})))::BIGINT AS n_{n}" for n in _COUNTED)
     return f"SELECT {by}, count(*)::BIGINT AS n_docs, {counts} FROM documents GROUP BY {by}"
 
 
 def _report(spark, sf_dir, by: str) -> DataFrame:
-    return _counted(table(spark, sf_dir, "documents")).groupBy(by).agg(F.count("*").alias("n_docs"), *[F.sum(f"n_{n}").alias(f"n_{n}") for n in _COUNTED])
+    return _counted(documents(spark, sf_dir)).groupBy(by).agg(F.count("*").alias("n_docs"), *[F.sum(f"n_{n}").alias(f"n_{n}") for n in _COUNTED])
 
 
 @query(_report_sql("lang"))
@@ -143,7 +166,7 @@ def pii_by_source(spark, sf_dir):
     return _report(spark, sf_dir, "source")
 
 
-_DIRTY = f"({GUARD} AND (regexp_matches(text, {pattern('email')}) OR regexp_matches(text, {quoted(IPV4)}) OR regexp_matches(text, {pattern('api_key')})))"
+_DIRTY = f"(regexp_matches(text, {pattern('email')}) OR regexp_matches(text, {pattern('ip_address')}) OR regexp_matches(text, {pattern('api_key')}))"
 
 
 def _dirty() -> Column:
@@ -153,7 +176,7 @@ def _dirty() -> Column:
 
 @query(f"SELECT quality, toxic, count(*)::BIGINT AS n_docs, sum({_DIRTY}::INT)::BIGINT AS n_dirty FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
 def pii_vs_labels(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", _dirty().cast("int").alias("dirty"))
+    docs = documents(spark, sf_dir).select("doc_id", _dirty().cast("int").alias("dirty"))
     return docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count("*").alias("n_docs"), F.sum("dirty").alias("n_dirty"))
 
 
@@ -162,69 +185,75 @@ _KINDS = ("email", "ip_address", "api_key")
 
 @query(f"SELECT doc_id FROM documents d WHERE NOT {_DIRTY}")
 def clean_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return spans.without_any(docs, spans.spans_table(docs, _KINDS)).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents d WHERE {_DIRTY}")
 def dirty_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return spans.with_any(docs, spans.spans_table(docs, _KINDS)).select("doc_id")
 
 
 _TYPED_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{n}' AS identifier_type, '{BY_NAME[n].domain}' AS domain, unnest(regexp_extract_all(text, {quoted(IPV4) if n == 'ip_address' else pattern(n)})) AS m FROM documents WHERE {GUARD}" for n in _KINDS
+    f"SELECT doc_id, '{n}' AS identifier_type, '{BY_NAME[n].domain}' AS domain, unnest(regexp_extract_all(text, {pattern(n)})) AS m FROM documents" for n in _KINDS
 )
 
 
 @query(f"SELECT domain, identifier_type, count(*)::BIGINT AS n FROM ({_TYPED_SQL}) GROUP BY ROLLUP (domain, identifier_type)")
 def type_dimension_rollup(spark, sf_dir):
-    return spans.rollup_report(spans.spans_table(table(spark, sf_dir, "documents"), _KINDS))
+    return spans.rollup_report(spans.spans_table(documents(spark, sf_dir), _KINDS))
 
 
 @query(f"SELECT identifier_type, count(*)::BIGINT AS n FROM ({_TYPED_SQL}) GROUP BY ALL")
 def count_by_type(spark, sf_dir):
-    return spans.count_by_type(spans.spans_table(table(spark, sf_dir, "documents"), _KINDS))
+    return spans.count_by_type(spans.spans_table(documents(spark, sf_dir), _KINDS))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(['email', 'ip_address', 'api_key'], lambda n: (n = 'email' AND e) OR (n = 'ip_address' AND i) OR (n = 'api_key' AND a)), ',') AS pii_types FROM (
-SELECT doc_id, """ + f"{GUARD} AND regexp_matches(text, {pattern('email')}) AS e, {GUARD} AND regexp_matches(text, {quoted(IPV4)}) AS i, {GUARD} AND regexp_matches(text, {pattern('api_key')}) AS a FROM documents)")
+SELECT doc_id, """ + f"regexp_matches(text, {pattern('email')}) AS e, regexp_matches(text, {pattern('ip_address')}) AS i, regexp_matches(text, {pattern('api_key')}) AS a FROM documents)")
 def scan_types(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array(*[F.when(detect.present(t, n), n) for n in _KINDS]), ",").alias("pii_types"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.array(*[F.when(detect.present(t, n), n) for n in _KINDS]), ",").alias("pii_types"))
 
 
 @query()
 def scan_default(spark, sf_dir):
     """Every type of the default domains; the country checksums have no short SQL."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(detect.scan(F.col("text"), max_bytes=None), ",").alias("pii_types"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(detect.scan(F.col("text")), ",").alias("pii_types"))
 
 
 # ---- redaction and masking
 
 
-@query(f"SELECT doc_id, sha256(CASE WHEN {GUARD} THEN regexp_replace(text, {pattern('email')}, '[EMAIL]', 'g') ELSE text END) AS redacted FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace(text, {pattern('email')}, '[EMAIL]', 'g')) AS redacted FROM documents")
 def redact_email_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(redact.redact_type(F.col("text"), "email"), 256).alias("redacted"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(redact.redact_type(F.col("text"), "email"), 256).alias("redacted"))
 
 
-_STRICT_SQL = f"regexp_replace(regexp_replace(regexp_replace(text, {pattern('email')}, '[EMAIL]', 'g'), '\\b([0-9]{{1,3}})\\.(?:[0-9]{{1,3}}\\.){{2}}[0-9]{{1,3}}\\b', '\\1.***.***.***', 'g'), {pattern('api_key')}, '[API_KEY]', 'g')"
+_STRICT_SQL = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {pattern('email')}, '[EMAIL]', 'g'), '\\b([0-9]{{1,3}})\\.(?:[0-9]{{1,3}}\\.){{2}}[0-9]{{1,3}}\\b', '\\1.***.***.***', 'g'), {quoted(BY_NAME['ip_address'].patterns[1])}, '[IP_ADDRESS]', 'g'), {pattern('api_key')}, '[API_KEY]', 'g')"
 
 
-@query(f"SELECT doc_id, sha256(CASE WHEN {GUARD} THEN {_STRICT_SQL} ELSE text END) AS redacted FROM documents")
+@query(f"SELECT doc_id, sha256({_STRICT_SQL}) AS redacted FROM documents")
 def redact_profile_strict(spark, sf_dir):
-    return redact.redact_frame(table(spark, sf_dir, "documents"), "text", _KINDS).select("doc_id", F.sha2("text", 256).alias("redacted"))
+    return redact.redact_frame(documents(spark, sf_dir), "text", _KINDS).select("doc_id", F.sha2("text", 256).alias("redacted"))
 
 
 _LENIENT_SQL = _STRICT_SQL.replace(f"regexp_replace(text, {pattern('email')}, '[EMAIL]', 'g')", f"regexp_replace(text, '\\b([A-Za-z0-9_%+-])[A-Za-z0-9._%+-]*(@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\b)', '\\1***\\2', 'g')")
 
 
-@query(f"SELECT doc_id, sha256(CASE WHEN {GUARD} THEN {_LENIENT_SQL} ELSE text END) AS redacted FROM documents")
+@query(f"SELECT doc_id, sha256({_LENIENT_SQL}) AS redacted FROM documents")
 def redact_profile_lenient(spark, sf_dir):
-    return redact.redact_frame(table(spark, sf_dir, "documents"), "text", _KINDS, "production_lenient").select("doc_id", F.sha2("text", 256).alias("redacted"))
+    return redact.redact_frame(documents(spark, sf_dir), "text", _KINDS, "production_lenient").select("doc_id", F.sha2("text", 256).alias("redacted"))
 
 
-@query(f"SELECT doc_id, repeat('*', 12) || right(matched_text, 4) AS masked FROM ({_found_sql(CARD)})")
+@query()
+def redact_default_strict(spark, sf_dir):
+    """The whole default scan, each type found redacted by the strict profile; tests hold it against plain Python."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(redact.redact(F.col("text")), 256).alias("redacted"))
+
+
+@query(f"SELECT doc_id, repeat('*', length(matched_text) - 4) || right(matched_text, 4) AS masked FROM ({_CARDS_SQL})")
 def mask_card_last4(spark, sf_dir):
     return find_cards(spark, sf_dir).select("doc_id", masking.show_last(F.col("matched_text"), 4).alias("masked"))
 
@@ -247,14 +276,14 @@ def age_bucket(spark, sf_dir):
 # ---- anonymization
 
 
-@query(f"""SELECT doc_id, sha256(CASE WHEN {GUARD} THEN regexp_replace(regexp_replace(text, {pattern('email')}, '<email>', 'g'), {quoted(IPV4)}, '<ip_address>', 'g') ELSE text END) AS anonymized,
-CASE WHEN {GUARD} THEN len(regexp_extract_all(text, {pattern('email')})) + len(regexp_extract_all(text, {quoted(IPV4)})) ELSE 0 END::INT AS n_items FROM documents""")
+@query(f"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, {pattern('email')}, '<email>', 'g'), {pattern('ip_address')}, '<ip_address>', 'g')) AS anonymized,
+(len(regexp_extract_all(text, {pattern('email')})) + len(regexp_extract_all(text, {pattern('ip_address')})))::INT AS n_items FROM documents""")
 def anonymize_replace(spark, sf_dir):
     detections = F.transform(
         detect.find_all(F.col("text"), ["email", "ip_address"]),
         lambda s: F.struct(s["identifier_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")),
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", detections.alias("detections"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", detections.alias("detections"))
     return anon.anonymize_frame(docs, "text", "detections").select("doc_id", F.sha2("anonymized.text", 256).alias("anonymized"), F.size("anonymized.items").alias("n_items"))
 
 
@@ -294,11 +323,12 @@ def json_props_anonymize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.element_at(anon.anonymize_record(F.col("props"), {"k": op}), "k").alias("k"))
 
 
-@query("""SELECT c_custkey, 'CUSTOMER_NAME_' || left(sha256('secret' || chr(31) || 's' || c_nationkey::VARCHAR || chr(31) || 'customer_name' || chr(31) || c_name), 16) AS token FROM customer""")
+@query("""SELECT c_custkey, 'CUSTOMER_NAME_' || left(sha256(CASE WHEN c_custkey % 3 = 0 THEN 'older' ELSE 'secret' END || chr(31) || 's' || c_nationkey::VARCHAR || chr(31) || 'customer_name' || chr(31) || c_name), 16) AS token FROM customer""")
 def vault_tokens(spark, sf_dir):
+    """A third of the values are in the vault already, under tokens of an older secret, and keep them."""
     values = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("s"), F.col("c_nationkey").cast("string")).alias("session_id"), F.lit("customer_name").alias("entity_type"), F.col("c_name").alias("original"))
-    empty = vault.entries(values.limit(0), "secret")
-    return vault.get_or_put(empty, values, "secret")[0].select("c_custkey", "token")
+    known = vault.entries(values.where("c_custkey % 3 = 0"), "older")
+    return vault.get_or_put(known, values, "secret")[0].select("c_custkey", "token")
 
 
 # ---- scores
@@ -319,47 +349,85 @@ def text_char_diversity(spark, sf_dir):
 @query()
 def entropy_words(spark, sf_dir):
     """High-entropy words of every document."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\S{20,}"))
-    return docs.select("doc_id", F.explode(entropy.high_entropy_words(F.col("text"), max_bytes=None)).alias("word"))
+    docs = documents(spark, sf_dir).where(F.col("text").rlike(r"\S{20,}"))
+    return docs.select("doc_id", F.explode(entropy.high_entropy_words(F.col("text"))).alias("word"))
 
 
-@query(f"""WITH m AS (SELECT doc_id, text, string_split_regex(text, {quoted(HEX_SECRET)}) AS gaps, regexp_extract_all(text, {quoted(HEX_SECRET)}) AS ms FROM documents WHERE {GUARD}),
+@query(f"""WITH m AS (SELECT doc_id, text, string_split_regex(text, {quoted(HEX_SECRET)}) AS gaps, regexp_extract_all(text, {quoted(HEX_SECRET)}) AS ms FROM documents),
 e AS (SELECT doc_id, text, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM m),
 s AS (SELECT doc_id, text, ms[i] AS matched_text, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + 40 * (i - 1))::BIGINT AS st FROM e)
-SELECT doc_id, st::INT AS start, CASE WHEN regexp_matches(lower(substr(text, greatest(st - 100, 0) + 1, st + 140 - greatest(st - 100, 0))), '(?:^|[^a-z])(?:key|token|secret|api)(?:[^a-z]|$)') THEN 0.85 ELSE 0.5 END::DOUBLE AS score FROM s""")
+SELECT doc_id, st::INT AS start, CASE WHEN len(list_filter([{', '.join(repr(w) for w in context.KEYWORDS['api_key'])}], lambda w: contains(lower(substr(text, greatest(st - 100, 0) + 1, st + 140 - greatest(st - 100, 0))), w))) > 0 THEN 0.85 ELSE 0.5 END::DOUBLE AS score FROM s""")
 def context_boost(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(detect.guard(F.col("text"), detect.MAX_BYTES))
+    docs = documents(spark, sf_dir)
     found = docs.select("doc_id", "text", F.inline(detect.raw_spans(F.col("text"), HEX_SECRET)))
     return found.select("doc_id", "start", context.score(F.col("text"), F.col("start"), F.col("end"), "api_key").cast("double").alias("score"))
 
 
 def _offsets_sql(name: str, p: str) -> str:
-    return f"""(WITH m AS (SELECT doc_id, string_split_regex(text, {quoted(p)}) AS gaps, regexp_extract_all(text, {quoted(p)}) AS ms FROM documents WHERE {GUARD}),
-e AS (SELECT doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM m)
-SELECT doc_id, '{name}' AS kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS st, length(ms[i])::INT AS n FROM e)"""
+    return f"""(WITH m AS (SELECT doc_id, text, string_split_regex(text, {quoted(p)}) AS gaps, regexp_extract_all(text, {quoted(p)}) AS ms FROM documents),
+e AS (SELECT doc_id, text, ms, gaps, unnest(range(1, len(ms) + 1)) AS i FROM m),
+o AS (SELECT doc_id, text, ms[i] AS m, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS st FROM e)
+SELECT doc_id, text, '{name}' AS kind, m, st, length(m)::INT AS n FROM o)"""
+
+
+def _pairs_sql(kinds) -> str:
+    """Pairs of spans at most 500 characters and five line breaks apart."""
+    between = "substr(a.text, a.st + a.n + 1, greatest(0, b.st - a.st - a.n))"
+    return f"""SELECT a.doc_id, a.kind AS primary_type, a.m AS x, a.st AS primary_start, b.kind AS secondary_type, b.m AS y, b.st AS secondary_start, greatest(0, b.st - a.st - a.n)::INT AS gap
+FROM s a JOIN s b ON a.doc_id = b.doc_id AND (a.st, a.st + a.n, a.kind) < (b.st, b.st + b.n, b.kind) AND b.st - a.st - a.n <= 500 WHERE length({between}) - length(replace({between}, chr(10), '')) <= 5"""
+
 
+def _spans_sql(kinds) -> str:
+    return f"s AS ({' UNION ALL '.join(_offsets_sql(n, _all(n)) for n in kinds)})"
 
-@query(f"""WITH s AS ({' UNION ALL '.join(_offsets_sql(n, IPV4 if n == 'ip_address' else BY_NAME[n].patterns[0]) for n in _KINDS)})
-SELECT a.doc_id, a.kind AS primary_type, a.st AS primary_start, b.kind AS secondary_type, b.st AS secondary_start, greatest(0, b.st - a.st - a.n)::INT AS gap
-FROM s a JOIN s b ON a.doc_id = b.doc_id AND (a.st, a.st + a.n, a.kind) < (b.st, b.st + b.n, b.kind) AND b.st - a.st - a.n <= 500""")
+
+@query(f"WITH {_spans_sql(_KINDS)} SELECT doc_id, primary_type, primary_start, secondary_type, secondary_start, gap FROM ({_pairs_sql(_KINDS)})")
 def proximity_pairs(spark, sf_dir):
-    found = spans.spans_table(table(spark, sf_dir, "documents"), _KINDS)
+    found = spans.spans_table(documents(spark, sf_dir), _KINDS, lines=True)
     return correlate.proximate_pairs(found).select(
         "doc_id", F.col("primary_identifier_type").alias("primary_type"), "primary_start", F.col("secondary_identifier_type").alias("secondary_type"), "secondary_start", F.col("gap").cast("int").alias("gap")
     )
 
 
+_PAIRED = ("email", "password", "api_key", "jwt", "url", "uuid", "aws_access_key")
+_KEY = "IN ('api_key')"
+_ORDERED = lambda a, x, b, y: f"""CASE WHEN {a} = 'aws_access_key' AND {b} {_KEY} AND regexp_full_match(trim({y}), '[A-Za-z0-9+/=]{{40}}') THEN 'aws_key_pair'
+WHEN {a} {_KEY} AND {b} {_KEY} AND regexp_full_match(trim({x}), 'AC[0-9a-fA-F]{{32}}') AND regexp_full_match(trim({y}), '[0-9a-fA-F]{{32}}') THEN 'twilio_pair'
+WHEN ({a} = 'jwt' AND {b} IN ('jwt', 'api_key')) OR ({a} {_KEY} AND {b} = 'jwt') THEN 'token_pair'
+WHEN {a} {_KEY} AND {b} {_KEY} AND ((regexp_matches(lower({x}), '^pk_|^pub_|public') AND regexp_matches(lower({y}), '^sk_|^sec_|private|secret')) OR (regexp_matches(lower({x}), '^sk_|^sec_|private|secret') AND regexp_matches(lower({y}), '^pk_|^pub_|public'))) THEN 'key_pair'
+WHEN {a} IN ('url', 'domain') AND {b} IN ('api_key', 'password') AND regexp_matches(lower({x}), 'oauth|client|authorize|token|auth0|okta') THEN 'oauth_client_pair'
+WHEN {a} IN ('username', 'email') AND {b} = 'password' THEN 'username_password_pair' WHEN {a} = 'uuid' AND {b} IN ('api_key', 'password') THEN 'azure_service_principal' END"""
+
+
+@query(f"""WITH {_spans_sql(_PAIRED)}, p AS (SELECT *, coalesce({_ORDERED('primary_type', 'x', 'secondary_type', 'y')}, {_ORDERED('secondary_type', 'y', 'primary_type', 'x')}) AS pair_type FROM ({_pairs_sql(_PAIRED)}))
+SELECT doc_id, pair_type, x AS primary_text, y AS secondary_text, gap FROM p WHERE pair_type IS NOT NULL""")
+def credential_pairs(spark, sf_dir):
+    found = spans.spans_table(documents(spark, sf_dir), _PAIRED, lines=True)
+    return correlate.credential_pairs(correlate.proximate_pairs(found)).select(
+        "doc_id", "pair_type", F.col("primary_matched_text").alias("primary_text"), F.col("secondary_matched_text").alias("secondary_text"), F.col("gap").cast("int").alias("gap")
+    )
+
+
 _WORDS = {"article": ("the", "la", "der"), "pair": ("in the", "de la", "in der")}
+_PHRASES_SQL = """WITH w AS (SELECT {key} AS k, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table}), e AS (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+p AS (SELECT k, i, ws[i] AS first, lower(ws[i]) AS phrase FROM e UNION ALL SELECT k, i, ws[i], lower(ws[i] || ' ' || ws[i + 1]) FROM e WHERE i < len(ws)
+UNION ALL SELECT k, i, ws[i], lower(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) FROM e WHERE i + 1 < len(ws))"""
 
 
-@query("""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS ws FROM conversations), e AS (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-p AS (SELECT conv_id, lower(ws[i]) AS phrase FROM e UNION ALL SELECT conv_id, lower(ws[i] || ' ' || ws[i + 1]) FROM e WHERE i < len(ws))
-SELECT phrase, count(*)::BIGINT AS n FROM p WHERE phrase IN ('the', 'la', 'der', 'in the', 'de la', 'in der') GROUP BY phrase""")
+@query(_PHRASES_SQL.format(key="conv_id", table="conversations") + "\nSELECT phrase, count(*)::BIGINT AS n FROM p WHERE phrase IN ('the', 'la', 'der', 'in the', 'de la', 'in der') GROUP BY phrase")
 def lexicon_hits(spark, sf_dir):
     found = lexicon.hits(table(spark, sf_dir, "conversations"), lexicon.table(spark, _WORDS), "conv_id")
     return found.groupBy("phrase").agg(F.count("*").alias("n"))
 
 
+_PLACES = ", ".join(f"('{phrase}', '{kind}', '{'low' if phrase in words.AMBIGUOUS else 'medium'}')" for kind, phrases in words.LEXICON.items() for phrase in phrases)
+
+
+@query(_PHRASES_SQL.format(key="doc_id", table="documents") + f"\nSELECT k AS doc_id, i::INT - 1 AS position, phrase, kind, confidence FROM p JOIN (VALUES {_PLACES}) AS l(phrase, kind, confidence) USING (phrase) WHERE confidence <> 'low' OR regexp_matches(first, '^\\p{{Lu}}')")
+def lexicon_documents(spark, sf_dir):
+    return lexicon.hits(documents(spark, sf_dir), lexicon.table(spark))
+
+
 # ---- audit
 
 _EVENTS_SQL = """SELECT event_id, ts, user_id, event_type, value,
@@ -433,12 +501,31 @@ def metric_gauge_last_min_max(spark, sf_dir):
     return metrics.gauge(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", "event_id")
 
 
-_STATE = "CASE WHEN value >= 90 THEN 'critical' WHEN value >= 60 THEN 'warning' ELSE 'normal' END"
+_STATE = "CASE WHEN value > 90 THEN 'critical' WHEN value > 60 THEN 'warning' ELSE 'normal' END"
+_LIMITS = metrics.Threshold(60, 90, cooldown_s=86_400)
 
 
 @query(f"""SELECT * FROM (SELECT event_id, event_type, {_STATE} AS state, coalesce(lag({_STATE}) OVER (PARTITION BY event_type ORDER BY ts, event_id), 'normal') AS previous_state FROM events) WHERE state <> previous_state""")
 def threshold_transitions(spark, sf_dir):
-    return metrics.transitions(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", "event_id", 60, 90).select("event_id", "event_type", "state", "previous_state")
+    return metrics.transitions(table(spark, sf_dir, "events"), ["event_type"], "value", "ts", "event_id", _LIMITS).select("event_id", "event_type", "state", "previous_state")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT event_id, event_type, epoch_us(ts) AS us, {_STATE} AS state, coalesce(lag({_STATE}) OVER w, 'normal') AS previous_state, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+t AS (SELECT event_type, 0::BIGINT AS i, NULL::BIGINT AS told, 0::BIGINT AS event_id, 'normal' AS state, 'normal' AS previous_state, NULL::VARCHAR AS kind FROM (SELECT DISTINCT event_type FROM events)
+UNION ALL SELECT event_type, i, CASE WHEN kind = 'alert' THEN us ELSE told END, event_id, state, previous_state, kind FROM (
+SELECT r.*, t.told, CASE WHEN r.state = 'normal' THEN CASE WHEN r.previous_state <> 'normal' THEN 'recovery' END WHEN r.state <> r.previous_state OR t.told IS NULL OR r.us - t.told >= 86400000000 THEN 'alert' END AS kind
+FROM t JOIN r ON r.event_type = t.event_type AND r.i = t.i + 1))
+SELECT event_id, event_type, previous_state, state, kind FROM t WHERE kind IS NOT NULL""")
+def threshold_alerts(spark, sf_dir):
+    return metrics.alerts(table(spark, sf_dir, "events"), "event_type", "value", "ts", "event_id", _LIMITS).select("event_id", "event_type", "previous_state", "state", "kind")
+
+
+@query("""WITH t AS (SELECT event_type, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 1000.0::DOUBLE AS ms FROM events)
+SELECT event_type, count(*)::BIGINT AS n, round(avg(ms), 4) AS mean, min(ms) AS min, max(ms) AS max, """ + ", ".join(f"list_sort(list(ms))[(floor((count(ms) - 1) * {p}::DOUBLE) + 1)::INT] AS {name}" for name, p in metrics.PERCENTILES) + " FROM t WHERE ms >= 0 GROUP BY event_type")
+def metric_timer(spark, sf_dir):
+    """Milliseconds since the user's event before, by type."""
+    timed = metrics.with_previous(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", ["ts"], 7 * 86_400)
+    return metrics.timer(timed.where(F.col("previous_ts").isNotNull()), ["event_type"], "previous_ts", "ts").drop("sum").withColumn("mean", F.round("mean", 4))
 
 
 @query("""SELECT event_id, round(CASE WHEN s > 0 THEN d / s END, 6) AS rate FROM (SELECT event_id, value - lag(value) OVER w AS d, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))""")
@@ -514,7 +601,7 @@ _SQLI = f"({_any_sql('text', threats.SQL)} OR ((regexp_matches(text, {quoted(thr
 
 @query(f"SELECT doc_id, {_SQLI} AS sqli FROM documents")
 def threat_sqli(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", threats.is_sql_injection(F.col("text")).alias("sqli"))
+    return documents(spark, sf_dir).select("doc_id", threats.is_sql_injection(F.col("text")).alias("sqli"))
 
 
 @query(f"SELECT conv_id, turn, {_any_sql('text', threats.SHELL)} AS shell, {_any_sql('text', threats.NOSQL)} AS nosql, {_any_sql('text', threats.XSS)} AS xss FROM conversations")
@@ -556,12 +643,12 @@ _COORDS = "(n_nationkey * 7 % 90)::DOUBLE AS lat, (n_nationkey * 13 % 180)::DOUB
 
 @query(f"""SELECT a.n_nationkey AS first, b.n_nationkey AS second, round(2 * 6371.0 * atan2(sqrt(h), sqrt(1 - h)), 4) AS km FROM (
 SELECT a.n_nationkey, b.n_nationkey, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2 AS h
-FROM (SELECT n_nationkey, n_regionkey, {_COORDS} FROM nation) a JOIN (SELECT n_nationkey, n_regionkey, {_COORDS} FROM nation) b ON a.n_regionkey = b.n_regionkey) x(a, b, h), LATERAL (SELECT x.a AS n_nationkey) a, LATERAL (SELECT x.b AS n_nationkey) b""")
+FROM (SELECT n_nationkey, n_regionkey, {_COORDS} FROM nation) a JOIN (SELECT n_nationkey, n_regionkey, {_COORDS} FROM nation) b ON a.n_nationkey + 1 = b.n_nationkey) x(a, b, h), LATERAL (SELECT x.a AS n_nationkey) a, LATERAL (SELECT x.b AS n_nationkey) b""")
 def geo_haversine(spark, sf_dir):
     at = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", (F.col("n_nationkey") * 7 % 90).cast("double").alias("lat"), (F.col("n_nationkey") * 13 % 180).cast("double").alias("lon"))
     a, b = at.alias("a"), at.alias("b")
     km = network.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    return a.join(b, F.col("a.n_regionkey") == F.col("b.n_regionkey")).select(F.col("a.n_nationkey").alias("first"), F.col("b.n_nationkey").alias("second"), F.round(km, 4).alias("km"))
+    return a.join(b, F.col("a.n_nationkey") + 1 == F.col("b.n_nationkey")).select(F.col("a.n_nationkey").alias("first"), F.col("b.n_nationkey").alias("second"), F.round(km, 4).alias("km"))
 
 
 # ---- checksums over numbers made from keys
@@ -617,9 +704,9 @@ def checksum_iban(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", checksums.iban(made).alias("valid"))
 
 
-@query("SELECT doc_id, n > 0 AS jwt FROM (SELECT doc_id, len(regexp_extract_all(text, " + pattern("jwt") + f")) AS n FROM documents WHERE {GUARD})")
+@query("SELECT doc_id, n > 0 AS jwt FROM (SELECT doc_id, len(regexp_extract_all(text, " + pattern("jwt") + f")) AS n FROM documents)")
 def jwt_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(detect.guard(F.col("text"), detect.MAX_BYTES))
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", (detect.count(F.col("text"), "jwt") > 0).alias("jwt"))
 
 

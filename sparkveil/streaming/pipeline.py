@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.detect import MAX_BYTES, find_all
+from ..functions.detect import find_all
+from ..operators.metrics import Threshold
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 16, kind: str = "parquet") -> DataFrame:
@@ -18,7 +19,7 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(kind).load(path)
 
 
-def scan_stream(docs: DataFrame, names: Iterable[str], key: str = "doc_id", text: str = "text", max_bytes: int | None = MAX_BYTES) -> DataFrame:
+def scan_stream(docs: DataFrame, names: Iterable[str], key: str = "doc_id", text: str = "text", max_bytes: int | None = None) -> DataFrame:
     """Spans of each document as it comes; stateless."""
     return docs.select(F.col(key), F.inline(find_all(F.col(text), names, max_bytes)))
 
@@ -48,47 +49,42 @@ def deduplicated(events: DataFrame, key: str, ts: str, late: str = "1 hour") ->
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-THRESHOLD_OUT = "metric string, ts timestamp, value double, previous_state string, state string"
+THRESHOLD_OUT = "metric string, ts timestamp, value double, previous_state string, state string, kind string"
 
 
-def thresholds(samples: DataFrame, warning: float, critical: float, above: bool = True, cooldown_s: int = 60, emit_recovery: bool = True, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """State changes of each metric of `samples` (metric, ts, value): normal, warning, critical.
+def thresholds(samples: DataFrame, t: Threshold, idle: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """What a threshold tells of each metric of `samples` (metric, ts, value): alerts and recoveries, by the rules of
+    `operators.metrics`, whose `alerts` gives the same rows for a table.
 
-    The state per metric is its last state and the time of the last change told; a change within the
-    cooldown is not told, escalation to critical always is. Metrics idle for `idle` of event time are
-    forgotten; samples later than `late` may be dropped.
+    The state per metric is its last state, value and time, and the time of the last alert. Metrics idle for `idle` of
+    event time are forgotten; samples later than `late` may be dropped.
     """
-    ranks = {"normal": 0, "warning": 1, "critical": 2}
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def grade(v: float) -> str:
-        over = (lambda limit: v >= limit) if above else (lambda limit: v <= limit)
-        return "critical" if over(critical) else "warning" if over(warning) else "normal"
-
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, told = state.get if state.exists else ("normal", -1.0)
+        last, told, value, seen = state.get if state.exists else ("normal", -1.0, 0.0, -1.0)
         out = []
-        rows = pd.concat(list(frames)).sort_values("ts")
+        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
         for r in rows.itertuples():
-            now, at = grade(r.value), r.ts.timestamp()
-            if now == last:
-                continue
-            quiet = told >= 0 and at - told < cooldown_s and ranks[now] < 2
-            if not quiet and (emit_recovery or now != "normal"):
-                out.append((key[0], r.ts, r.value, last, now))
-                told = at
-            last = now
-        state.update((last, told))
+            at = r.ts.timestamp()
+            rate = abs(r.value - value) / (at - seen) if seen >= 0 and at > seen else None
+            now = t.state_of(r.value, rate)
+            kind = t.alert(last, now, None if told < 0 else round(at - told, 6))
+            if kind:
+                out.append((key[0], r.ts, r.value, last, now, kind))
+            told = at if kind == "alert" else told
+            last, value, seen = now, r.value, at
+        state.update((last, told, value, seen))
         newest = int(rows["ts"].iloc[-1].timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["metric", "ts", "value", "previous_state", "state"])
+            yield pd.DataFrame(out, columns=["metric", "ts", "value", "previous_state", "state", "kind"])
 
     timed = samples.withWatermark("ts", late).groupBy("metric")
-    return timed.applyInPandasWithState(run, THRESHOLD_OUT, "last string, told double", "append", GroupStateTimeout.EventTimeTimeout)
+    return timed.applyInPandasWithState(run, THRESHOLD_OUT, "last string, told double, value double, seen double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str, every: str = "10 seconds", kind: str = "json", by: tuple[str, ...] = ()):

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.functions import checksums
+from sparkveil.functions import checksums, context
 
 GOOD = {
     "luhn": "4532015112830366", "card": "378282246310005", "aba": "021000021", "iban": "GB82 WEST 1234 5698 7654 32", "ssn": "517-29-8346", "npi": "1245319599", "dea": "AB1234563",
@@ -42,5 +42,16 @@ def test_brand_and_license(one):
     assert one(checksums.card_brand(F.col("v")), v="4242424242424242") == "visa"
     assert one(checksums.card_brand(F.col("v")), v="378282246310005") == "amex"
     assert one(checksums.card_brand(F.col("v")), v="4242") is None
+    for number, brand in [("2221000000000009", "mastercard"), ("6445000000000000", "discover"), ("5060990000000000", "verve"), ("6200000000000005", "unionpay"), ("5893000000000000", "maestro"), ("6080000000000000", "rupay"), ("9999990000000000", None)]:
+        assert one(checksums.card_brand(F.col("v")), v=number) == brand
     assert one(checksums.driver_license(F.col("v"), F.col("s")), v="A1234567", s="CA") is True
     assert one(checksums.driver_license(F.col("v"), F.col("s")), v="A1234567", s="ZZ") is None
+
+
+def test_card_score(one):
+    """The sum of the steps: shape, Luhn, brand, its length, test card, context, runs of digits."""
+    score = lambda v, c=None: one(context.card_score(F.col("v"), F.col("c").cast("string")), v=v, c=c or "")
+    assert score("4539 1488 0343 6467") == 0.9 and score("4539148803436467", "my visa") == 1.1
+    assert score("4242424242424242") == 0.6 and score("4539148803436468") == 0.1
+    assert score("1234567890123452") == 0.3 and score("1234") is None
+    assert one(context.confidence(F.lit(0.9)), v="") == "high" and one(context.confidence(F.lit(0.1)), v="") is None

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkveil.operators import spans
+from sparkveil.operators.metrics import Threshold, alerts
 from sparkveil.streaming import pipeline
 
 
@@ -46,13 +47,19 @@ def test_duplicates(events):
     assert drained(pipeline.deduplicated(stream.union(stream), "event_id", "ts", "60 days"), "dup").count() == batch.count()
 
 
-def test_threshold_states(spark, tmp_path):
+def test_thresholds_equal_the_table_form(spark, tmp_path):
     start = datetime(2024, 1, 1)
-    rows = [("m", start + timedelta(seconds=30 * i), v) for i, v in enumerate([1.0, 70.0, 1.0, 70.0, 95.0, 95.0, 1.0])]
+    rows = [("m", start + timedelta(seconds=30 * i), v) for i, v in enumerate([1.0, 60.0, 70.0, 1.0, 70.0, 95.0, 95.0, 95.0, 95.0, 70.0, 70.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "metric string, ts timestamp, value double")
     df.coalesce(1).write.parquet(str(tmp_path / "m"))
-    out = drained(pipeline.thresholds(pipeline.read_stream(spark, str(tmp_path / "m"), df.schema), 60, 90, cooldown_s=60), "thr")
-    assert [(r.previous_state, r.state) for r in out.orderBy("ts").collect()] == [("normal", "warning"), ("normal", "warning"), ("warning", "critical"), ("critical", "normal")]
+    t = Threshold(60, 90, cooldown_s=60)
+    out = drained(pipeline.thresholds(pipeline.read_stream(spark, str(tmp_path / "m"), df.schema), t), "thr").orderBy("ts").collect()
+    assert [(r.previous_state, r.state, r.kind) for r in out] == [
+        ("normal", "warning", "alert"), ("warning", "normal", "recovery"), ("normal", "warning", "alert"), ("warning", "critical", "alert"), ("critical", "critical", "alert"), ("critical", "warning", "alert"),
+        ("warning", "normal", "recovery"),
+    ]
+    table = alerts(df, "metric", "value", "ts", "value", t).orderBy("ts").collect()
+    assert [(r.ts, r.previous_state, r.state, r.kind) for r in table] == [(r.ts, r.previous_state, r.state, r.kind) for r in out]
 
 
 def test_many_sinks(events, tmp_path):

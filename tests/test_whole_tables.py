@@ -12,7 +12,7 @@ def run(spark, folder, name, table, rows, schema):
 
 def test_scan_default_long_text(spark, tmp_path):
     rows = [(1, "word " * 3000 + "mail a@example.com"), (2, "word " * 3000), (3, None)]
-    assert run(spark, tmp_path, "scan_default", "documents", rows, "doc_id long, text string") == [(1, "email"), (2, ""), (3, None)]
+    assert run(spark, tmp_path, "scan_default", "documents", rows, "doc_id long, text string") == [(1, "email,domain"), (2, ""), (3, None)]
 
 
 def test_entropy_words_long_text(spark, tmp_path):
@@ -31,3 +31,19 @@ def test_ssrf_flags_every_url(spark, tmp_path):
     has = {2: "cloud_metadata", 3: "internal_host", 4: "encoded_ip", 5: "dns_rebinding", 6: "dangerous_scheme", 7: "dangerous_scheme", 8: "credentials"}
     assert all(name in got[i].split(",") for i, name in has.items())
     assert got[1] == got[9] == ""
+
+
+def test_entropy_words_equal_plain(spark, sf_dir):
+    """The words of every document, by counting characters."""
+    import math
+    import re
+
+    def high(w):
+        bits = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) - (1.2 / math.log2(len(w)) if w.isdigit() else 0)
+        odd = re.search(r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$|^v?[0-9]+(?:\.[0-9]+)+|^#[0-9a-fA-F]{3,8}$|^(.)\1+$", w)
+        return not odd and bits >= (3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 4.5)
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    expected = [(r.doc_id, w) for r in docs for w in re.split(r"[\s\"'`,;:=(){}\[\]<>|&]+", r.text or "", flags=re.ASCII) if len(w) >= 20 and high(w)]
+    assert sorted(map(tuple, queries.QUERIES["entropy_words"](spark, folder).collect())) == sorted(expected)
