@@ -6,6 +6,9 @@ lists whose border to its own lies within half a link's greatest length: the dis
 vectors to the border of their lists add up to at most that length, so one of them finds the other. In a list, table look-ups give the query's asymmetric
 distance to each code; since each code's reconstruction error is stored, distance less error bounds
 the true distance from below, and only what may reach the threshold is ranked again by exact cosine.
+The coarse lists are bounded in number, since their centroids reach every task; a list that grows crowded is cut
+by centroids of its own, which travel with its rows: a query visits all parts whose border is no further than a
+link is long.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,17 +32,22 @@ from .components import connected_components
 @dataclass(frozen=True)
 class Params:
     """threshold: least cosine of a link; list_rows: about how many vectors of a sample a list holds;
-    max_lists; sample_rows: bound of the sample that centroids are fitted on; subspaces, codes: of the
-    product quantiser; block_rows: largest part of a list that one task compares at once; seed,
-    rounds: of k-means."""
+    max_lists: coarse lists at most; sample_rows, sample_values: bounds of the sample that centroids are fitted on, in
+    vectors and numbers; subspaces, codes: of the product quantiser; block_rows: largest part of a list that one
+    task compares at once; crowded_rows: a list of more is cut by centroids of its own, `levels` times at most, fitted
+    on about refine_rows of its vectors; seed, rounds: of k-means."""
 
     threshold: float = 0.93
     list_rows: int = 256
     max_lists: int = 1024
     sample_rows: int = 20_000
+    sample_values: int = 8_000_000
     subspaces: int = 8
     codes: int = 64
     block_rows: int = 512
+    crowded_rows: int = 8192
+    refine_rows: int = 4096
+    levels: int = 2
     seed: int = 7
     rounds: int = 8
 
@@ -47,6 +57,15 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * x @ centres.T, 0.0)
 
 
+def _within(d: np.ndarray, own: np.ndarray, gaps: np.ndarray, reach: float) -> np.ndarray:
+    """Which lists have a border with the rows' `own` that is no further off than `reach`; d: squared distances to the
+    centres, gaps: the centres' distances."""
+    border = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * gaps[own], 1e-12)
+    near = border <= reach + 1e-6
+    near[np.arange(len(d)), own] = True
+    return near
+
+
 def kmeans(x: np.ndarray, k: int, p: Params) -> np.ndarray:
     rng = np.random.default_rng(p.seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
@@ -84,11 +103,7 @@ class Index:
 
     def probes(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
         """For unit rows in lists `own`, which lists they query."""
-        d = _nearest(x, self.centres)
-        border = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.gaps[own], 1e-12)
-        near = border <= self.radius / 2 + 1e-6
-        near[np.arange(len(x)), own] = True
-        return near
+        return _within(_nearest(x, self.centres), own, self.gaps, self.radius / 2)
 
     def distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of unit rows `q` to the codes of list `at`, by table look-up."""
@@ -174,7 +189,7 @@ FOUND = "u long, v long, n long"
 def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
     """Of vectors of one length: rows (u, null, n), parts of u's number of links, and edges (u, v, null) that connect what links connect."""
     spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("class"), "class").limit(p.sample_rows).select(F.col("v").cast("array<double>")).toPandas()
+    sample = classes.orderBy(F.xxhash64("class"), "class").limit(min(p.sample_rows, max(1, p.sample_values // width))).select(F.col("v").cast("array<double>")).toPandas()
     index = fit(unit(np.array(sample["v"].tolist(), dtype=np.float64)), n, p)
     shared = spark.sparkContext.broadcast(index)
 
@@ -195,38 +210,33 @@ def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
 
     plain = classes.select("class", F.col("label").cast("string").alias("label"), "copies", F.col("v").cast("array<double>").alias("v"))
     coded = materialize(plain.mapInArrow(code, CODED), "vector-codes")
-    # a list of a label is cut into blocks on both sides; each pair of blocks is a unit of work
-    parts = lambda n: F.ceil(F.col(n) / p.block_rows).cast("int")
-    stored = coded.groupBy("label", "own").agg(F.count("*").alias("n")).select("label", F.col("own").alias("at"), parts("n").alias("stored_blocks"))
-    asked = coded.select("label", F.explode("probes").alias("at")).groupBy("label", "at").agg(F.count("*").alias("n")).select("label", "at", parts("n").alias("asked_blocks"))
-    blocks = materialize(stored.join(asked, ["label", "at"]), "vector-blocks")
-    entry = coded.select(F.lit(0).alias("role"), F.col("own").alias("at"), *CODED.names[:-1])
-    query = coded.select(F.lit(1).alias("role"), F.explode("probes").alias("at"), *CODED.names[:-1])
-    mine = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
-    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    placed = (
-        entry.join(blocks, ["label", "at"]).withColumn("i", mine("stored_blocks")).withColumn("j", other("asked_blocks"))
-        .unionByName(query.join(blocks, ["label", "at"]).withColumn("j", mine("asked_blocks")).withColumn("i", other("stored_blocks")))
-    )
-    placed = placed.select(F.concat_ws("/", "label", "at", "i", "j").alias("unit"), "role", "at", *CODED.names[:-1])
+    cell = F.concat_ws("|", "at", "label").alias("cell")
+    entry = coded.select(F.lit(0).alias("role"), F.col("own").alias("at"), *CODED.names[:-1]).select("role", cell, "at", *CODED.names[:-1])
+    query = coded.select(F.lit(1).alias("role"), F.explode("probes").alias("at"), *CODED.names[:-1]).select("role", cell, "at", *CODED.names[:-1])
+    rows, placed = entry.union(query), None
+    for level in range(p.levels + 1):
+        sizes = rows.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("stored"), F.count_if(F.col("role") == 1).alias("asked"))
+        sizes = materialize(sizes.where("stored > 0 AND asked > 0"), "vector-cells")
+        crowded = F.col("stored") > p.crowded_rows
+        last = level == p.levels or not sizes.where(crowded).take(1)
+        now = _blocked(rows, sizes if last else sizes.where(~crowded), p)
+        placed = now if placed is None else placed.union(now)
+        if last:
+            break
+        rows = materialize(_refined(rows, sizes.where(crowded), width, p), "vector-parts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, now, held = shared.value, None, []
         unit_of: Unit | None = None
-        for whole in batches:
-            names = whole.column("unit")
-            number = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            run_at = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if whole.num_rows else []
-            for start, stop in zip(run_at, [*run_at[1:], whole.num_rows], strict=True):
-                name = names[int(start)].as_py()
-                if name != now:
-                    if unit_of:
-                        held.append(unit_of.result())
-                    now, unit_of = name, Unit(ix, width, p)
-                unit_of.take(whole.slice(int(start), int(stop - start)))
-            if sum(len(h[0]) for h in held) > 50_000:
-                yield _found(held)
-                held = []
+        for name, part in _runs(batches, "unit"):
+            if name != now:
+                if unit_of:
+                    held.append(unit_of.result())
+                if sum(len(h[0]) for h in held) > 50_000:
+                    yield _found(held)
+                    held = []
+                now, unit_of = name, Unit(ix, width, p)
+            unit_of.take(part)
         if unit_of:
             held.append(unit_of.result())
         if held:
@@ -235,6 +245,80 @@ def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
     return placed.repartition("unit").sortWithinPartitions("unit", "role").mapInArrow(compare, FOUND)
 
 
+def _blocked(rows: DataFrame, sizes: DataFrame, p: Params) -> DataFrame:
+    """The rows of the cells in `sizes`, cut into blocks on both sides; each pair of blocks is a unit of work."""
+    parts = lambda n: F.ceil(F.col(n) / p.block_rows).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(sizes.select("cell", parts("stored").alias("stored_blocks"), parts("asked").alias("asked_blocks")), "cell")
+    placed = (
+        held.where("role = 0").withColumn("i", mine("stored_blocks")).withColumn("j", other("asked_blocks"))
+        .unionByName(held.where("role = 1").withColumn("j", mine("asked_blocks")).withColumn("i", other("stored_blocks")))
+    )
+    return placed.select(F.concat_ws(",", "i", "j", "cell").alias("unit"), "role", "at", *CODED.names[:-1])
+
+
+def _refined(rows: DataFrame, crowded: DataFrame, width: int, p: Params) -> DataFrame:
+    """The rows of crowded cells, placed anew by centroids of the cell's own, which are fitted on a bounded part of its
+    entries. An entry lies in one part; a query visits all that may hold a vector it links with. Every slice of a
+    cell's rows gets the centroids, so that a hot cell spreads."""
+    slices = F.ceil((F.col("stored") + F.col("asked")) / p.crowded_rows).cast("int")
+    held = rows.join(crowded.withColumn("slices", slices), "cell")
+    some = held.where((F.col("role") == 0) & (F.pmod(F.xxhash64("class", F.lit(11)), F.col("stored")) < p.refine_rows))
+
+    def centred(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("class")
+        x = unit(np.stack(frame["v"].to_list()))
+        centres = kmeans(x, max(2, min(int(frame["stored"].iloc[0]) // p.list_rows, len(x) // 8)), p)
+        return pd.DataFrame({"cell": frame["cell"].iloc[0], "class": np.arange(len(centres)), "v": list(centres)})
+
+    heads = materialize(some.select("cell", "class", "stored", "v").groupBy("cell").applyInPandas(centred, "cell string, class long, v array<double>"), "vector-part-centres")
+    heads = heads.join(crowded.select("cell", slices.alias("slices")), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    sliced_rows = held.withColumn("slice", F.pmod(F.xxhash64("class", "role"), F.col("slices")).cast("int"))
+    names = ["role", "cell", "at", *CODED.names[:-1]]
+    both = sliced_rows.select("slice", *names).unionByName(heads.select("slice", "cell", "class", "v", F.lit(-1).alias("role")), allowMissingColumns=True)
+    both = both.select(F.concat_ws(",", "slice", "cell").alias("piece"), *names)
+    radius = math.sqrt(2 - 2 * p.threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, centres, gaps = None, [], None, None
+        for name, part in _runs(batches, "piece"):
+            if name != now:
+                now, seen, centres = name, [], None
+            first = int(np.searchsorted(part.column("role").to_numpy(), 0))
+            if first:
+                seen.append(_matrix(part.column("v").slice(0, first), width))
+            for start in range(first, part.num_rows, 512):
+                b = part.slice(start, min(512, part.num_rows - start)).select(names)
+                if not seen:  # no centroids: the cell stays whole
+                    yield b
+                    continue
+                if centres is None:
+                    centres = np.concatenate(seen)
+                    gaps = np.sqrt(_nearest(centres, centres))
+                d = _nearest(unit(_matrix(b.column("v"), width)), centres)
+                own = d.argmin(1)
+                near = _within(d, own, gaps, radius)
+                near[b.column("role").to_numpy() == 0] = False
+                near[np.arange(len(d)), own] = True
+                at, to = np.nonzero(near)
+                taken = b.take(pa.array(at))
+                cells = pc.binary_join_element_wise(pa.array(to).cast(pa.string()), taken.column("cell").cast(pa.string()), ":")
+                yield pa.RecordBatch.from_arrays([cells if n == "cell" else taken.column(n) for n in names], names=names)
+
+    return both.repartition("piece").sortWithinPartitions("piece", "role", "class").mapInArrow(run, rows.schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Slices of rows with equal `column`, and its value; one value may come in several, one after the other."""
+    for whole in batches:
+        names = whole.column(column)
+        number = names.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if whole.num_rows else []
+        for start, stop in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+            yield names[int(start)].as_py(), whole.slice(int(start), int(stop - start))
+
+
 def _found(held: list) -> pa.RecordBatch:
     u, v, n = ([x for h in held for x in h[i]] for i in range(3))
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])

@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from sparkveil.llm import embeddings
@@ -46,7 +48,7 @@ def test_edges(spark):
     assert sorted(map(tuple, unusable)) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-@pytest.mark.parametrize("params", [embeddings.Params(list_rows=8, block_rows=16, sample_rows=300), embeddings.Params()])
+@pytest.mark.parametrize("params", [embeddings.Params(list_rows=8, block_rows=16, sample_rows=300), embeddings.Params(list_rows=8, max_lists=2, block_rows=16, crowded_rows=20, refine_rows=64), embeddings.Params()])
 def test_recall_against_brute_force(spark, params):
     rng = np.random.default_rng(5)
     rows = []
@@ -87,3 +89,21 @@ def test_every_link_of_low_rank_groups(spark):
     got = sorted(map(tuple, embeddings.link(spark.createDataFrame(rows, SCHEMA), embeddings.Params(list_rows=32)).collect()))
     kept = sum(g[1] for g in got) / sum(expected)
     assert [g[1] for g in got] == expected, kept
+
+
+@pytest.mark.parametrize("params", [embeddings.Params(), embeddings.Params(max_lists=8, crowded_rows=2048)])
+def test_recall_on_many_clustered_vectors(spark, tmp_path, params):
+    rng = np.random.default_rng(9)
+    n, centres = 50_000, rng.normal(size=(12_000, 64))
+    label = np.where(rng.random(n) < 1 / 3, 0, rng.integers(1, 12, n))
+    which = np.where(rng.random(n) < 0.02, 0, rng.integers(0, len(centres), n))
+    x = np.float32(centres[which] + rng.normal(scale=0.2, size=(n, 64)))
+    unit, expected = embeddings.unit(x.astype(float)), np.zeros(n, np.int64)
+    for value in range(12):
+        own = np.flatnonzero(label == value)
+        for rows in np.array_split(own, 1 + len(own) // 2000):
+            expected[rows] = (unit[rows] @ unit[own].T >= 0.93).sum(1) - 1
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x), "label": pa.array(label, pa.int32())}), tmp_path / "v.parquet")
+    got = embeddings.link(spark.read.parquet(str(tmp_path / "v.parquet")), params).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    print("recall", got.sum() / expected.sum(), "of", expected.sum() // 2, "links")
+    assert expected.sum() > 20_000 and (got == expected).all()
