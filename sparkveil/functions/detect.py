@@ -218,6 +218,11 @@ def identifier_type(value: Column, preset: str = "all") -> Column:
     return F.coalesce(*[F.when(matches(value, n), n) for n in ordered], F.lit(None).cast("string"))
 
 
+def medical_type(value: Column) -> Column:
+    """The first medical type that the whole value belongs to: provider, DEA number, record, insurance, prescription, code."""
+    return identifier_type(value, ("medical",))
+
+
 def session_like(text: Column) -> Column:
     """Whether a whole value looks like a session id: 20 characters at least, letters and digits, and over half of the
     characters different."""

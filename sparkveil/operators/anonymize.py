@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import masking, tokens
 from ..functions.detect import bind
@@ -195,17 +196,20 @@ def cut(pieces: Column, start: Column, end: Column) -> Column:
     return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
 
 
-def deanonymize(text: Column, items: Column, operators: dict[str, Operator]) -> Column:
-    """The text with the items' outputs turned back by each type's reverse: decrypt, custom's reverse, or
-    as it is."""
-    reverse: dict[str, Operator] = {}
-    for kind, op in operators.items():
-        if op.name == "encrypt":
-            reverse[kind] = Operator("decrypt", {"key": op.params["key"], "strict": False})
-        elif op.name == "custom" and op.params.get("reverse"):
-            reverse[kind] = Operator("custom", {"function": op.params["reverse"]})
-        else:
-            reverse[kind] = Operator("keep")
+def _reverse(op: Operator, strict: bool) -> Operator:
+    """What undoes an operator: decrypt, custom's reverse, or nothing. A value that doesn't decrypt fails the query if
+    `strict`, else it stays as it is."""
+    if op.name == "encrypt":
+        key = op.params["key"]
+        return Operator("decrypt", {"key": key}) if strict else Operator("custom", {"function": lambda v, kind: F.coalesce(tokens.decrypt(v, key, kind, False), v)})
+    if op.name == "custom" and op.params.get("reverse"):
+        return Operator("custom", {"function": op.params["reverse"]})
+    return Operator("keep")
+
+
+def deanonymize(text: Column, items: Column, operators: dict[str, Operator], strict: bool = False) -> Column:
+    """The text with the items' outputs turned back by each type's reverse; see `_reverse` for `strict`."""
+    reverse = {kind: _reverse(op, strict) for kind, op in operators.items()}
     spans = F.transform(items, lambda i: F.struct(i["entity_type"].alias("entity_type"), i["start"].alias("start"), i["end"].alias("end"), F.lit(1.0).alias("score")))
     return anonymize(text, spans, reverse | {"DEFAULT": reverse.get("DEFAULT", Operator("keep"))}, "none")
 
@@ -231,5 +235,59 @@ def anonymize_record(value: Column, fields: dict[str, Operator], kinds: dict[str
     return out
 
 
+def rewrite_nested(value: Column, kind: T.DataType, rewrites: dict[str, Callable[[Column], Column]]) -> Column:
+    """A value of type `kind` (structs, arrays and maps, nested at will) with the strings at dotted paths rewritten.
+
+    The elements of an array have its path; keys of maps are parts of a path like names of fields. Nulls stay null,
+    and what no path names stays as it is. A path that leads to no string of the type is an error.
+    """
+    reached = set()
+
+    def at(value: Column, kind: T.DataType, path: str) -> Column:
+        under = f"{path}." if path else ""
+        if path not in rewrites and not any(p.startswith(under) for p in rewrites):
+            return value
+        if isinstance(kind, T.StructType):
+            fields = [at(value.getField(f.name), f.dataType, under + f.name).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: at(x, kind.elementType, path))
+        if isinstance(kind, T.MapType):
+            keys = sorted({p[len(under) :].split(".")[0] for p in rewrites if p.startswith(under)})
+
+            def entry(k: Column, v: Column) -> Column:
+                out = v
+                for key in keys:
+                    out = F.when(k == key, at(v, kind.valueType, under + key)).otherwise(out)
+                return out
+
+            return F.transform_values(value, entry)
+        if isinstance(kind, T.StringType) and path in rewrites:
+            reached.add(path)
+            return F.when(value.isNotNull(), rewrites[path](value))
+        return value
+
+    made = at(value, kind, "")
+    if missing := set(rewrites) - reached:
+        raise ValueError(f"no strings at {sorted(missing)}")
+    return made
+
+
+def _by_path(fields: dict[str, Operator]) -> dict[str, Callable[[Column], Column]]:
+    validate(fields)
+    return {path: lambda v, op=op, path=path: apply(op, v, F.lit(path)) for path, op in fields.items()}
+
+
+def anonymize_nested(value: Column, kind: T.DataType, fields: dict[str, Operator]) -> Column:
+    """A nested record with the operators of the dotted paths applied to whole values; see `rewrite_nested`. JSON text is
+    read with `from_json` and written with `to_json`."""
+    return rewrite_nested(value, kind, _by_path(fields))
+
+
+def deanonymize_nested(value: Column, kind: T.DataType, fields: dict[str, Operator], strict: bool = False) -> Column:
+    """`anonymize_nested` undone, as far as its operators can be; see `_reverse` for `strict`."""
+    return rewrite_nested(value, kind, _by_path({path: _reverse(op, strict) for path, op in fields.items()}))
+
+
 def _without(record: Column, name: str) -> Column:
     return F.map_filter(record, lambda k, _: k != name)

@@ -50,6 +50,14 @@ def rollup_report(spans: DataFrame) -> DataFrame:
     return joined.rollup("domain", "identifier_type").agg(F.count("*").alias("n"))
 
 
+def scan_stats(scanned: DataFrame, types: str = "pii_types", by: Iterable[str] = ()) -> DataFrame:
+    """Of a scanned table (an array of types a text): texts scanned, types found, texts with any, and the share of these.
+    Null arrays count as scanned without a find."""
+    n = F.coalesce(F.size(F.col(types)), F.lit(0))
+    counts = scanned.groupBy(*by).agg(F.count("*").alias("total_scans"), F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias("total_found"), F.count_if(n > 0).alias("texts_with_any"))
+    return counts.withColumn("share", F.when(F.col("total_scans") > 0, F.col("texts_with_any") / F.col("total_scans")).otherwise(0.0))
+
+
 def validate_batch(df: DataFrame, value: str, name: str, into: str = "is_valid") -> DataFrame:
     if name not in BY_NAME:
         raise ValueError(f"no identifier type {name!r}")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import checksums, context, detect, entropy, files, masking, network, redact, text, threats, tokens, words
+from ..functions import checksums, context, dates, detect, entropy, files, masking, network, redact, text, threats, tokens, words
 from ..functions.patterns import BY_NAME
 from ..functions.times import micros
 from ..operators import anonymize as anon
@@ -323,6 +323,37 @@ def json_props_anonymize(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.element_at(anon.anonymize_record(F.col("props"), {"k": op}), "k").alias("k"))
 
 
+@query("""SELECT c_custkey, left(c_name, 3) || repeat('#', greatest(length(c_name) - 3, 0)) AS name, c_mktsegment AS tag, 'sha256:' || sha256(c_mktsegment) AS code, c_name AS back FROM customer""")
+def nested_record(spark, sf_dir):
+    """Fields of a nested record by dotted path: masked, kept, hashed, and one encrypted and turned back."""
+    made = F.struct(F.struct(F.col("c_name").alias("name"), F.array("c_mktsegment").alias("tags")).alias("user"), F.create_map(F.lit("code"), F.col("c_mktsegment"), F.lit("raw"), F.col("c_mktsegment")).alias("props"), F.col("c_name").alias("sealed"))
+    df = table(spark, sf_dir, "customer").select("c_custkey", made.alias("r"))
+    kind, sealed = df.schema["r"].dataType, {"sealed": anon.Operator("encrypt", {"key": "key"})}
+    rest = {"user.name": anon.Operator("custom", {"function": lambda v, k: F.concat(F.left(v, F.lit(3)), F.repeat(F.lit("#"), F.greatest(F.length(v) - 3, F.lit(0))))}), "props.code": anon.Operator("hash")}
+    df = df.withColumn("r", anon.anonymize_nested(F.col("r"), kind, rest | sealed)).withColumn("r", anon.deanonymize_nested(F.col("r"), kind, sealed, strict=True))
+    return df.select("c_custkey", F.col("r.user.name"), F.get(F.col("r.user.tags"), F.lit(0)).alias("tag"), F.element_at("r.props", "code").alias("code"), F.col("r.sealed").alias("back"))
+
+
+@query("""SELECT o_orderkey, born, CASE WHEN born IS NULL THEN NULL ELSE 2024 - year(born) - (month(born) * 100 + day(born) > 630)::INT END AS age FROM (
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN CASE WHEN day(d) > 12 THEN d ELSE make_date(year(d), day(d), month(d)) END WHEN 3 THEN NULL ELSE d END AS born FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders))""")
+def birthdates(spark, sf_dir):
+    """Dates in three forms and one that no calendar has, read back, with the age of one born then."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    written = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, " M/d/yyyy ")).when(k == 2, F.date_format(d, "dd/MM/yyyy")).otherwise(F.concat(F.lit("02/30/"), F.year(d)))
+    born = table(spark, sf_dir, "orders").select("o_orderkey", dates.birthdate(written).alias("born"))
+    return born.select("o_orderkey", "born", dates.age_at(F.col("born"), F.lit("2024-06-30").cast("date")).alias("age"))
+
+
+_PLAIN_TYPES = ("email", "mac_address", "uuid", "jwt")
+
+
+@query(f"""SELECT lang, count(*) AS total_scans, sum(n)::BIGINT AS total_found, count(*) FILTER (n > 0) AS texts_with_any, count(*) FILTER (n > 0) / count(*) AS share
+FROM (SELECT lang, {" + ".join(f"coalesce(regexp_matches(text, {pattern(n)}), FALSE)::INT" for n in _PLAIN_TYPES)} AS n FROM documents) GROUP BY lang""")
+def scan_statistics(spark, sf_dir):
+    found = F.array_compact(F.array(*[F.when(detect.present(F.col("text"), n), n) for n in _PLAIN_TYPES]))
+    return spans.scan_stats(documents(spark, sf_dir).select("lang", found.alias("pii_types")), by=["lang"])
+
+
 @query("""SELECT c_custkey, 'CUSTOMER_NAME_' || left(sha256(CASE WHEN c_custkey % 3 = 0 THEN 'older' ELSE 'secret' END || chr(31) || 's' || c_nationkey::VARCHAR || chr(31) || 'customer_name' || chr(31) || c_name), 16) AS token FROM customer""")
 def vault_tokens(spark, sf_dir):
     """A third of the values are in the vault already, under tokens of an older secret, and keep them."""

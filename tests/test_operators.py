@@ -61,6 +61,33 @@ def test_record(one):
     assert out["n"] == "1" and out["user"].startswith("sha256:") and "absent" not in out
 
 
+def test_nested(spark):
+    schema = "r struct<user: struct<`full.name`: string, name: string, tags: array<string>>, list: array<struct<id: string, n: int>>, props: map<string, string>>"
+    rows = [((("x", "bob", ["a", None]), [("k", 1), None], {"code": "c", "other": "o"}),), ((None, None, None),), (None,)]
+    df = spark.createDataFrame(rows, schema)
+    kind = df.schema["r"].dataType
+    ops = {"user.name": anon.Operator("encrypt", {"key": "k", "deterministic": True}), "user.tags": anon.Operator("replace", {"new_value": "T"}), "list.id": anon.Operator("redact"), "props.code": anon.Operator("encrypt", {"key": "k"})}
+    out = df.select(anon.anonymize_nested(F.col("r"), kind, ops).alias("r"))
+    first, empty, null = (r.r for r in out.collect())
+    assert first.user["full.name"] == "x" and first.user.tags == ["T", None] and first.user.name != "bob" and first.list[0].id == "" and first.list[0].n == 1 and first.list[1] is None
+    assert first.props["other"] == "o" and first.props["code"] != "c" and (empty.user, empty.list, empty.props) == (None, None, None) and null is None
+    for strict in (False, True):
+        back = out.select(anon.deanonymize_nested(F.col("r"), kind, ops, strict).alias("r")).first().r
+        assert (back.user.name, back.props["code"], back.user.tags[0]) == ("bob", "c", "T")
+    wrong = ops | {"user.name": anon.Operator("encrypt", {"key": "other"})}
+    assert out.select(anon.deanonymize_nested(F.col("r"), kind, wrong).alias("r")).first().r.user.name == first.user.name  # stays as it is
+    with pytest.raises(Exception, match="(?i)aes|tag|decrypt"):
+        out.select(anon.deanonymize_nested(F.col("r"), kind, wrong, strict=True).alias("r")).collect()
+    with pytest.raises(ValueError, match="user.nme"):
+        anon.anonymize_nested(F.col("r"), kind, {"user.nme": anon.Operator("redact")})
+
+
+def test_scan_stats(spark):
+    df = spark.createDataFrame([(["email", "phone"],), ([],), (None,)], "pii_types array<string>")
+    assert tuple(spans.scan_stats(df).first()) == (3, 2, 1, 1 / 3)
+    assert tuple(spans.scan_stats(df.limit(0)).first()) == (0, 0, 0, 0.0)
+
+
 SPANS = "doc_id long, start int, end int, matched_text string, identifier_type string"
 
 
