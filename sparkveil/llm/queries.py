@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, hosts, html, mixing, packing, quality, repetition, simhash, toxicity, warc
+from . import clustering, embeddings, hosts, html, mixing, packing, quality, repetition, sharding, simhash, toxicity, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_host_reputation": op1_host_reputation,
@@ -68,6 +80,9 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_mixing": op10_mixing,
+        "op11_clusters": op11_clusters,
+        "op12_whitening": op12_whitening,
+        "op13_shards": op13_shards,
     }
 
 
@@ -143,5 +158,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(l
 FROM f"""
 
 
+def _clusters_sql() -> str:
+    """Every vector against every centroid, round by round."""
+    p = clustering.Params()
+    steps = []
+    for r in range(p.rounds + 1):
+        steps.append(f"""d{r} AS (SELECT k.id, k.vec_id, k.x, c.cluster, list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM k, c{r} c),
+a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster) = 1)""")
+        if r < p.rounds:
+            steps.append(f"""m{r} AS (SELECT cluster, i, (sum(v) - (sum(v) % count(*) + count(*)) % count(*)) // count(*) AS v FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY cluster, i),
+c{r + 1} AS (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{r} c LEFT JOIN (SELECT cluster, list(v::BIGINT ORDER BY i) AS x FROM m{r} GROUP BY cluster) n USING (cluster))""")
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda c: floor({p.scale} * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {p.width} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('{p.salt}:' || vec_id) NULLS LAST, x) - 1)::INT AS cluster, x FROM k ORDER BY cluster LIMIT {p.clusters}),
+{','.join(steps)}
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{p.rounds} a JOIN c{p.rounds} c USING (cluster)"""
+
+
+def _shards_sql(shards: int = 40) -> str:
+    """All scores of a record side by side; the checksum nibble by nibble."""
+    word = lambda s: f"('0x' || substr(md5(concat_ws(':', coalesce(doc_id::VARCHAR, ''), '{s // sharding.WORDS}')), {1 + 8 * (s % sharding.WORDS)}, 8))::BIGINT"
+    u = ", ".join(f"-ln(({word(s)} + 1) / 4294967296.0::DOUBLE)" for s in range(shards + 1))
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    step = lambda crc, nibble: f"xor({crc} >> 4, (CAST({table} AS BIGINT[]))[(xor({crc}, {nibble}) & 15) + 1])"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, [{u}] AS u FROM documents),
+b AS (SELECT doc_id, (strlen(text) + {sharding.OVERHEAD})::BIGINT AS size, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes,
+  list_position(u[1:{shards}], list_min(u[1:{shards}])) - 1 AS shard, list_position(u, list_min(u)) - 1 AS grown_shard FROM t),
+r AS (SELECT doc_id, size, shard, grown_shard, xor(4294967295, list_reduce(list_concat([4294967295], bytes), lambda crc, x: {step('(' + step('crc', 'x') + ')', '(x >> 4)')})) AS text_crc32 FROM b)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_reputation": _host_sql(), "op2_warc": WARC_SQL, "op7_repetition": _repetition_sql()}
+    return {"op1_host_reputation": _host_sql(), "op2_warc": WARC_SQL, "op7_repetition": _repetition_sql(), "op11_clusters": _clusters_sql(), "op13_shards": _shards_sql()}
