@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .checksums import TEST_CARDS, brand_length, card_brand, runs
-from .detect import bind
+from .arrays import bind
 
 BASE, BOOST, CAP, WINDOW = 0.5, 0.35, 0.95, 100
 # Words that speak for a type, as they stand in lower-cased text.

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import CONFIDENCE, SPAN
+from .arrays import bind, cut, measured, pieces, scan as running
 from .checksums import VALIDATORS
 from .patterns import BY_NAME, GATES, POSTAL_WINDOW, POSTAL_WORDS, PRESETS, PROVIDERS, TYPES, Gate, Type
 from .words import AMBIGUOUS
@@ -21,11 +22,6 @@ from .words import AMBIGUOUS
 GUARD_BYTES = 10_000
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of `value`, which is evaluated once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def phone(value: Column, strict: bool = True) -> Column:
     """E.164 shape. Strict: North American numbers also need an area and exchange of [2-9], other than
     N11 and the fictional exchange 555."""
@@ -65,32 +61,41 @@ def passes(kind: Type, match: Column) -> Column:
     return F.coalesce(VALIDATORS[kind.check](bare), F.lit(False))
 
 
-def _in_place(kind: Type, text: Column, span: Column) -> Column:
-    """`passes` for a span of a text, which also sees what stands around it."""
-    match = span["matched_text"]
-    if kind.words:
-        capital = match.rlike(r"^\p{Lu}")
-        return capital | ~F.lower(match).isin(*AMBIGUOUS) if set(kind.words) & AMBIGUOUS else F.lit(True)
-    if kind.check != "postal":
-        return passes(kind, match)
-    low = F.greatest(span["start"] - POSTAL_WINDOW, F.lit(0))
-    near = F.substring(text, low + 1, span["end"] + POSTAL_WINDOW - low).rlike(POSTAL_WORDS)
-    return passes(kind, match) | (near & (match.rlike("^[0-9]{6}$") | (match >= "0200")))
+def _in_place(kind: Type, text: Column) -> Callable[[Column], Column]:
+    """`passes` for a span of a text, or of its pieces for types that also look at what stands around."""
+
+    def holds(span: Column) -> Column:
+        match = span["matched_text"]
+        if kind.words:
+            capital = match.rlike(r"^\p{Lu}")
+            return capital | ~F.lower(match).isin(*AMBIGUOUS) if set(kind.words) & AMBIGUOUS else F.lit(True)
+        if kind.check != "postal":
+            return passes(kind, match)
+        near = cut(text, F.greatest(span["start"] - POSTAL_WINDOW, F.lit(0)), span["end"] + POSTAL_WINDOW).rlike(POSTAL_WORDS)
+        return passes(kind, match) | (near & (match.rlike("^[0-9]{6}$") | (match >= "0200")))
+
+    return holds
+
+
+def _valid_spans(kind: Type, text: Column, pattern: str) -> Column:
+    """The spans of one of a type's patterns that pass."""
+    spans = raw_spans(text, pattern)
+    if kind.check == "postal":
+        return bind(pieces(text), lambda parts: F.filter(spans, _in_place(kind, parts)))
+    return F.filter(spans, _in_place(kind, text))
 
 
 def raw_spans(text: Column, pattern: str) -> Column:
     """All matches of one pattern as array<struct(start, end, matched_text)>. The gaps that `split`
     leaves and the matches' lengths add up to the offsets; both are found once a text."""
-    empty = F.array().cast("array<struct<start:int,end:int,matched_text:string>>")
     pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("matched_text"))))
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("out")))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start, end = at + x["gap"], at + x["gap"] + F.length(x["m"])
+        made = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("matched_text"))
+        return F.coalesce(end, at), F.when(x["m"].isNotNull(), made)
 
-    return F.when(text.isNotNull(), F.aggregate(pairs, zero, step)["out"])
+    return F.when(text.isNotNull(), running(pairs, F.lit(0), step, "struct<start:int,end:int,matched_text:string>"))
 
 
 def replaced(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
@@ -105,11 +110,8 @@ def dedupe(spans: Column) -> Column:
     confident."""
     rank = lambda s: F.array_position(F.array(*[F.lit(c) for c in CONFIDENCE]), s["confidence"])
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-(s["end"] - s["start"])).alias("b"), (-rank(s)).alias("c"), s.alias("s")))
-    kept = F.aggregate(
-        F.array_sort(keyed), F.array().cast(f"array<{SPAN.simpleString()}>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x["s"]["start"] >= F.element_at(acc, -1)["end"]), F.concat(acc, F.array(x["s"]))).otherwise(acc),
-    )
-    return kept
+    sorted_spans = F.transform(F.array_sort(keyed), lambda x: x["s"])
+    return running(sorted_spans, F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), SPAN.simpleString())
 
 
 def find(text: Column, name: str, max_bytes: int | None = None) -> Column:
@@ -117,7 +119,7 @@ def find(text: Column, name: str, max_bytes: int | None = None) -> Column:
     kind = BY_NAME[name]
     found = []
     for pattern in kind.patterns:
-        spans = F.filter(raw_spans(text, pattern), lambda s: _in_place(kind, text, s))
+        spans = _valid_spans(kind, text, pattern)
         made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["matched_text"].alias("matched_text"), F.lit(name).alias("identifier_type"), F.lit(kind.confidence).alias("confidence")))
         found.append(F.when(text.rlike(pattern), made).otherwise(F.array().cast(f"array<{SPAN.simpleString()}>")) if len(kind.patterns) > 1 else made)
     every = found[0] if len(found) == 1 else bind(F.concat(*found), lambda x: F.when(F.size(x) > 1, dedupe(x)).otherwise(x))
@@ -182,7 +184,7 @@ def _holds(text: Column, kind: Type) -> Column:
     for pattern in kind.patterns:
         some = text.rlike(pattern)
         if kind.check == "postal" or set(kind.words) & AMBIGUOUS:
-            some = some & F.exists(raw_spans(text, pattern), lambda s: _in_place(kind, text, s))
+            some = some & (F.size(_valid_spans(kind, text, pattern)) > 0)
         elif kind.check is not None:
             some = some & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: passes(kind, m))
         out = out | some
@@ -278,5 +280,10 @@ def find_all(text: Column, names: Iterable[str], max_bytes: int | None = None) -
 
 def byte_spans(text: Column, spans: Column) -> Column:
     """The same spans with byte_start and byte_end."""
-    upto = lambda n: F.octet_length(F.substring(text, F.lit(1), n))
-    return F.transform(spans, lambda s: s.withField("byte_start", upto(s["start"])).withField("byte_end", upto(s["end"])))
+    return measured(text, F.octet_length, lambda upto: F.transform(spans, lambda s: s.withField("byte_start", upto(s["start"])).withField("byte_end", upto(s["end"]))))
+
+
+def line_spans(text: Column, spans: Column) -> Column:
+    """The same spans with start_line and end_line, the line breaks before each."""
+    breaks = lambda part: F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))
+    return measured(text, breaks, lambda upto: F.transform(spans, lambda s: s.withField("start_line", upto(s["start"])).withField("end_line", upto(s["end"]))))

@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import masking
-from .detect import bind, gate, guard, passes, replaced, scan, types_of
+from .arrays import bind
+from .detect import gate, guard, passes, replaced, scan, types_of
 from .patterns import BY_NAME, Type
 
 PROFILES = ("production_strict", "production_lenient", "development", "testing")

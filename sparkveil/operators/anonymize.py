@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import masking, tokens
-from ..functions.detect import bind
+from ..functions.arrays import bind, cut, pieces, scan
 from ..functions.patterns import SECRET_TYPES
 from ..schemas import DETECTION, ENGINE_RESULT, ITEM
+from .sweep import best_spans, trimmed_spans
 
 STRATEGIES = ("none", "keep_best", "trim")
 Custom = Callable[[Column, Column], Column]
@@ -83,21 +84,11 @@ def apply(op: Operator, value: Column, entity: Column) -> Column:
 EMPTY = f"array<{DETECTION.simpleString()}>"
 
 
-def _fold(spans: Column, keep: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(spans, F.array().cast(EMPTY), lambda acc, s: F.when(keep(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-
-
 def by_place(spans: Column) -> Column:
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("c"), (-s["score"]).alias("d"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
-def by_priority(spans: Column) -> Column:
-    """Best score first, then longest, then leftmost."""
-    keyed = F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["entity_type"].alias("d"), s.alias("s")))
-    return F.transform(F.array_sort(keyed), lambda x: x["s"])
-
-
 def typed(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(*[s[f.name].cast(f.dataType).alias(f.name) for f in DETECTION.fields]))
 
@@ -107,35 +98,15 @@ def valid_in(text: Column, spans: Column) -> Column:
     return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
 
 
-def _trimmed(spans: Column) -> Column:
-    """Each span, best first, cut to the longest part that better ones leave free (of equal ones the first): a part
-    begins with the span or where a better one ends, and ends with the span or where the next begins."""
-
-    def step(acc: Column, s: Column) -> Column:
-        def cut(near: Column) -> Column:
-            begins = F.concat(F.array(s["start"]), F.transform(near, lambda t: t["end"]))
-            free = F.filter(begins, lambda b: (b >= s["start"]) & (b < s["end"]) & ~F.exists(near, lambda t: (t["start"] <= b) & (b < t["end"])))
-            upto = lambda b: F.coalesce(F.array_min(F.filter(F.transform(near, lambda t: t["start"]), lambda x: x >= b)), s["end"])
-            return F.array_max(F.transform(free, lambda b: F.struct((F.least(upto(b), s["end"]) - b).alias("n"), (-b).alias("back"))))
-
-        part = cut(F.filter(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-        made = bind(part, lambda x: F.struct(s["entity_type"].alias("entity_type"), (-x["back"]).alias("start"), (x["n"] - x["back"]).alias("end"), s["score"].alias("score")))
-        return bind(made, lambda m: F.when(m["start"].isNotNull(), F.concat(acc, F.array(m))).otherwise(acc))
-
-    return F.aggregate(by_priority(spans), F.array().cast(EMPTY), step)
-
-
 def resolve(spans: Column, strategy: str = "keep_best") -> Column:
     """Detections without overlaps, in order. none: a span that starts before the last one ends goes;
     keep_best: the better one of two that overlap stays; trim: the worse one keeps its longest free part."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {STRATEGIES}")
     spans = typed(spans)
-    if strategy == "keep_best":
-        spans = _fold(by_priority(spans), lambda acc, s: ~F.exists(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    elif strategy == "trim":
-        spans = _trimmed(spans)
-    return _fold(by_place(spans), lambda acc, s: (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]))
+    if strategy == "none":
+        return scan(by_place(spans), F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), DETECTION.simpleString())
+    return best_spans(spans) if strategy == "keep_best" else trimmed_spans(spans)
 
 
 def _chosen(operators: dict[str, Operator], value: Column, entity: Column) -> tuple[Column, Column]:
@@ -161,41 +132,28 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
 
     def laid(parts: Column) -> Column:
         """The text and items of (gap, new, name, entity_type) in order: strings are joined once, only lengths run on."""
-        zero = F.struct(F.lit(0).alias("at"), empty.alias("items"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            start = at + F.length(x["gap"])
             end = start + F.coalesce(F.length(x["new"]), F.lit(0))
-            item = F.struct(start.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["name"].alias("operator"))
-            return F.struct(end.alias("at"), F.concat(acc["items"], F.array(item)).alias("items"))
+            return end, F.struct(start.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["name"].alias("operator"))
 
         joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
-        return F.struct(joined.alias("text"), F.aggregate(parts, zero, step)["items"].alias("items"))
+        return F.struct(joined.alias("text"), scan(parts, F.lit(0), step, ITEM.simpleString()).alias("items"))
 
-    def over(found: Column, pieces: Column) -> Column:
+    def over(found: Column, whole: Column) -> Column:
         def part(s: Column, i: Column) -> Column:
-            new, name = _chosen(operators, cut(pieces, s["start"], s["end"]), s["entity_type"])
-            gap = cut(pieces, F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"])
+            new, name = _chosen(operators, cut(whole, s["start"], s["end"]), s["entity_type"])
+            gap = cut(whole, F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"])
             return F.struct(gap.alias("gap"), new.alias("new"), name.alias("name"), s["entity_type"].alias("entity_type"))
 
-        tail = cut(pieces, F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)), F.length(text))
+        tail = cut(whole, F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)), F.length(text))
         return bind(bind(F.transform(found, part), laid), lambda done: F.struct(F.concat(done["text"], tail).alias("text"), done["items"].alias("items")))
 
-    some = bind(F.struct(spans.alias("found"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces")), lambda x: over(x["found"], x["pieces"]))
+    some = bind(F.struct(spans.alias("found"), pieces(text).alias("whole")), lambda x: over(x["found"], x["whole"]))
     none = F.struct(text.alias("text"), empty.alias("items"))
     return F.when(text.isNotNull(), F.when(F.coalesce(F.size(detections), F.lit(0)) > 0, some).otherwise(none).cast(ENGINE_RESULT))
 
 
-#: Texts are cut into pieces of so many characters, so that no part of a long one is sought from its beginning.
-PIECE = 1024
-
-
-def cut(pieces: Column, start: Column, end: Column) -> Column:
-    """Characters [start, end) of a text given in pieces of `PIECE`."""
-    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
-    return F.when(end > start, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
-
-
 def _reverse(op: Operator, strict: bool) -> Operator:
     """What undoes an operator: decrypt, custom's reverse, or nothing. A value that doesn't decrypt fails the query if
     `strict`, else it stays as it is."""

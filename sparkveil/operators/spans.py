@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.detect import bind, find_all, identifier_type, matches, raw_spans
+from ..functions.detect import find_all, identifier_type, line_spans, matches
 from ..functions.patterns import BY_NAME, TYPES
 
 
@@ -15,13 +15,8 @@ def spans_table(df: DataFrame, names: Iterable[str], key: str = "doc_id", text:
     """(key, start, end, matched_text, identifier_type, confidence), one row per span; with `lines` also start_line
     and end_line, the line breaks before each. One scan, no shuffle."""
     t = F.col(text)
-    found = df.select(F.col(key), F.inline(find_all(t, names, max_bytes))) if not lines else None
-    if found is not None:
-        return found
-    breaks = F.transform(raw_spans(t, "\n"), lambda s: s["start"])
-    before = lambda at, b: F.size(F.filter(b, lambda x: x < at))
-    placed = lambda b: F.transform(find_all(t, names, max_bytes), lambda s: s.withField("start_line", before(s["start"], b)).withField("end_line", before(s["end"], b)))
-    return df.select(F.col(key), F.inline(bind(breaks, placed)))
+    found = find_all(t, names, max_bytes)
+    return df.select(F.col(key), F.inline(line_spans(t, found) if lines else found))
 
 
 def with_any(df: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
