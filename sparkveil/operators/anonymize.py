@@ -93,20 +93,19 @@ def typed(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(*[s[f.name].cast(f.dataType).alias(f.name) for f in DETECTION.fields]))
 
 
-def valid_in(text: Column, spans: Column) -> Column:
-    """Spans with 0 <= start < end <= length."""
-    return F.filter(spans, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= F.length(text)))
-
-
-def resolve(spans: Column, strategy: str = "keep_best") -> Column:
+def resolve(spans: Column, strategy: str = "keep_best", length: Column | None = None) -> Column:
     """Detections without overlaps, in order. none: a span that starts before the last one ends goes;
-    keep_best: the better one of two that overlap stays; trim: the worse one keeps its longest free part."""
+    keep_best: the better one of two that overlap stays; trim: the worse one keeps its longest free part. With the `length` of their
+    text, only spans with 0 <= start < end <= length count."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {STRATEGIES}")
     spans = typed(spans)
-    if strategy == "none":
-        return scan(by_place(spans), F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), DETECTION.simpleString())
-    return best_spans(spans) if strategy == "keep_best" else trimmed_spans(spans)
+    if strategy != "none":
+        return (best_spans if strategy == "keep_best" else trimmed_spans)(spans, F.lit(None).cast("int") if length is None else length)
+    if length is not None:
+        within = spans
+        spans = bind(length, lambda n: F.filter(within, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= n)))
+    return scan(by_place(spans), F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), DETECTION.simpleString())
 
 
 def _chosen(operators: dict[str, Operator], value: Column, entity: Column) -> tuple[Column, Column]:
@@ -126,7 +125,7 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
     validate(operators)
     if any(op.name == "hash" and op.params.get("algorithm", "sha256") not in ("sha256", "sha512") for op in operators.values()):
         raise ValueError("this hash runs in Arrow and can't stand inside an array expression; use anonymize_frame")
-    spans = resolve(valid_in(text, typed(F.coalesce(detections, F.array().cast(EMPTY)))), strategy)
+    spans = resolve(F.coalesce(detections, F.array().cast(EMPTY)), strategy, F.length(text))
 
     empty = F.array().cast(f"array<{ITEM.simpleString()}>")
 

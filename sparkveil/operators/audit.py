@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import micros
 from ..schemas import SEVERITY
+from .windows import trailing_counts
 
 # The severity that an event type has by default.
 EVENT_SEVERITY = {
@@ -118,9 +118,7 @@ def recent(events: DataFrame, n: int, ts: str = "timestamp", tie: str = "id") ->
     return AuditQuery(limit=n).run(events, ts, tie)
 
 
-def failures_in_window(events: DataFrame, failed: Column, seconds: int, limit: int, user: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def failures_in_window(events: DataFrame, failed: Column, seconds: int, limit: int, user: str = "user_id", ts: str = "ts") -> DataFrame:
     """Failed events with `n_failures`, those of the user in the last `seconds`, and `locked` from `limit` on."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(user).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.where(failed).withColumn("n_failures", F.count("*").over(w)).withColumn("locked", F.col("n_failures") >= limit)
+    counted = trailing_counts(events.where(failed), user, ts, seconds, "n_failures")
+    return counted.withColumn("locked", F.col("n_failures") >= limit)

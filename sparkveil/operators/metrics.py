@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -155,31 +156,89 @@ def transitions(df: DataFrame, by: Sequence[str], value: str, ts: str, tie: str,
     return changed if t.emit_recovery else changed.where("state <> 'normal'")
 
 
+#: An alert bucket is so many cooldowns long, `BUCKET_S` at least.
+COOLDOWNS = 64
+ALWAYS = 2**63 - 1
+
+
+def _ends(at: np.ndarray, fresh: np.ndarray, cooldown: int) -> tuple[np.ndarray, np.ndarray]:
+    """For samples outside of normal in order: the next one that alerts if this one does (their number if none), and the last
+    one that alerts then. A fresh sample, whose state is new, always alerts. Chains are followed by pointer doubling."""
+    n = len(at)
+    turns = np.append(np.flatnonzero(fresh), n)
+    order = np.arange(n)
+    following = np.minimum(np.maximum(np.searchsorted(at, at + cooldown), order + 1), turns[np.searchsorted(turns, order, side="right")])
+    last, jump = order.copy(), following
+    while (go := jump < n).any():
+        last = np.where(go, last[np.where(go, jump, 0)], last)
+        jump = np.where(go, jump[np.where(go, jump, 0)], n)
+    return following, last
+
+
 def alerts(df: DataFrame, metric: str, value: str, ts: str, tie: str, t: Threshold) -> DataFrame:
     """What a threshold tells: (metric, ts, tie, value, previous_state, state, kind), kind alert or recovery (see
     `Threshold.alert`).
 
-    States and changes come from `transitions`' bucketed windows. When a lasting state is told again depends on when it
-    was told last, so each metric's samples outside of normal, and its recoveries, run in order through one task; this holds
-    one time, not the samples.
+    States and changes come from `transitions`' bucketed windows. When a lasting state is told again depends on when it was
+    told last, so a time bucket of a metric becomes a function: from the time of the last alert before it to that of the last
+    alert in it. Only the samples of its first cooldown can be the first to alert, so the function is short: (time from which
+    a sample alerts, last alert then). The functions of a metric are applied one after the other; what comes out is where each
+    bucket starts, and all buckets then run apart. A task holds one bucket of a metric, a metric's task one function.
     """
-    rows = _graded(df, [metric], value, ts, tie, t).where("state <> 'normal' OR previous_state <> 'normal'").select(*dict.fromkeys([metric, ts, tie, value]), "previous_state", "state", micros(ts).alias("_us"))
-    schema = rows.drop("_us").withColumn("kind", F.lit("")).schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, told = None, None
+    cooldown = round(t.cooldown_s * 1_000_000)
+    length = max(round(COOLDOWNS * t.cooldown_s), BUCKET_S) * 1_000_000
+    names = list(dict.fromkeys([metric, ts, tie, value]))
+    rows = _graded(df, [metric], value, ts, tie, t).where("state <> 'normal' OR previous_state <> 'normal'").select(*names, "previous_state", "state", micros(ts).alias("_us"))
+    rows = rows.withColumns({"_metric": F.coalesce(F.concat(F.lit("="), F.col(metric).cast("string")), F.lit("")), "_bucket": F.floor(F.col("_us") / length)})
+    narrow = rows.where("state <> 'normal'").select("_metric", "_bucket", "_us", (F.col("state") != F.col("previous_state")).alias("_fresh"), F.col(tie).alias("_tie"))
+
+    def shorten(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_us", "_tie"], na_position="first", kind="stable")
+        at, fresh = frame["_us"].to_numpy(), frame["_fresh"].to_numpy()
+        _, last = _ends(at, fresh, cooldown)
+        start = int(frame["_bucket"].iloc[0]) * length
+        first = np.flatnonzero(fresh | (at >= start + cooldown))
+        count = int(first[0]) + 1 if len(first) else len(at)
+        admit = np.where(fresh[:count], ALWAYS, at[:count])
+        admit, kept = np.unique(admit, return_index=True)
+        return pd.DataFrame({"_metric": [frame["_metric"].iloc[0]], "_bucket": [frame["_bucket"].iloc[0]], "admit": [admit], "told": [at[last[kept]]]})
+
+    functions = narrow.groupBy("_metric", "_bucket").applyInPandas(shorten, "_metric string, _bucket long, admit array<long>, told array<long>")
+
+    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, told = None, -ALWAYS
         for frame in frames:
-            kinds = []
-            for key, old, new, us in zip(frame[metric], frame["previous_state"], frame["state"], frame["_us"], strict=True):
-                if key != now:
-                    now, told = key, None
-                kind = t.alert(old, new, None if told is None else (us - told) / 1e6)
-                told = us if kind == "alert" else told
-                kinds.append(kind)
-            out = frame.drop(columns="_us").assign(kind=kinds)
-            yield out[out["kind"].notna()]
-
-    return rows.repartition(metric).sortWithinPartitions(metric, ts, tie).mapInPandas(run, schema)
+            entered = []
+            for key, admit, after in zip(frame["_metric"], frame["admit"], frame["told"], strict=True):
+                now, told = (now, told) if key == now else (key, -ALWAYS)
+                entered.append(told)
+                i = int(np.searchsorted(admit, told + cooldown))
+                told = int(after[i]) if i < len(admit) else told
+            yield pd.DataFrame({"_key": frame["_metric"], "_at": frame["_bucket"], "_told": entered})
+
+    entries = functions.repartition("_metric").sortWithinPartitions("_metric", "_bucket").mapInPandas(chain, "_key string, _at long, _told long")
+    schema = rows.drop("_us", "_metric", "_bucket").withColumn("kind", F.lit("")).schema
+
+    def tell(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([ts, tie], na_position="first", kind="stable")
+        calm = (frame["state"] == "normal").to_numpy()
+        at, fresh = frame["_us"].to_numpy()[~calm], (frame["state"] != frame["previous_state"]).to_numpy()[~calm]
+        alert = np.zeros(len(at), bool)
+        if len(at):
+            following, _ = _ends(at, fresh, cooldown)
+            entry = np.flatnonzero(fresh | (at >= int(frame["_told"].iloc[0]) + cooldown))
+            i = int(entry[0]) if len(entry) else len(at)
+            while i < len(at):
+                alert[i] = True
+                i = int(following[i])
+        kind = np.full(len(frame), None, object)
+        kind[np.flatnonzero(~calm)[alert]] = "alert"
+        if t.emit_recovery:
+            kind[calm] = "recovery"
+        return frame.assign(kind=kind).loc[pd.notna(kind), schema.names]
+
+    placed = rows.join(entries, (F.col("_metric") == F.col("_key")) & (F.col("_bucket") == F.col("_at")), "left").fillna({"_told": -ALWAYS})
+    return placed.groupBy("_metric", "_bucket").applyInPandas(tell, schema)
 
 
 def labelled_key(name: Column, labels: Column) -> Column:

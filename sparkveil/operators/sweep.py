@@ -86,14 +86,17 @@ class Gaps:
             self.most[block] = max(self.sizes[block])
 
 
-def resolved(spans: pa.ListArray, trim: bool) -> pa.ListArray:
+def resolved(spans: pa.ListArray, trim: bool, texts: pa.Array | None = None) -> pa.ListArray:
     """Each list's spans without overlaps, by place: the better one of two stays, or the worse one keeps its longest free
-    part. Spans that are null or empty go; null lists stay."""
+    part. Spans that are null or empty go, as do those outside of the text where `texts` has its length; null lists stay."""
     lengths = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
     flat = spans.flatten()
     row = np.repeat(np.arange(len(lengths)), lengths)
     field = lambda name: pc.struct_field(flat, name)
     sound = pc.fill_null(pc.less(field("start"), field("end")), False)
+    if texts is not None:
+        limit = texts.take(pa.array(row))
+        sound = pc.and_(sound, pc.fill_null(pc.and_(pc.greater_equal(field("start"), 0), pc.less_equal(field("end"), limit)), pc.is_null(limit)))
     flat, row = flat.filter(sound), row[sound.to_numpy(zero_copy_only=False)]
     n = len(flat)
     start, end = (field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
@@ -135,10 +138,10 @@ KIND = T.ArrayType(DETECTION)
 
 
 @F.arrow_udf(KIND)
-def best_spans(spans: pa.Array) -> pa.Array:
-    return resolved(spans, False)
+def best_spans(spans: pa.Array, length: pa.Array) -> pa.Array:
+    return resolved(spans, False, length)
 
 
 @F.arrow_udf(KIND)
-def trimmed_spans(spans: pa.Array) -> pa.Array:
-    return resolved(spans, True)
+def trimmed_spans(spans: pa.Array, length: pa.Array) -> pa.Array:
+    return resolved(spans, True, length)

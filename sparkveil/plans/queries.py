@@ -17,7 +17,7 @@ from ..functions import checksums, context, dates, detect, entropy, files, maski
 from ..functions.patterns import BY_NAME
 from ..functions.times import micros
 from ..operators import anonymize as anon
-from ..operators import audit, correlate, lexicon, metrics, spans, vault
+from ..operators import audit, correlate, lexicon, metrics, spans, vault, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -567,8 +567,7 @@ def threshold_rate(spark, sf_dir):
 
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)::BIGINT AS n_recent FROM events""")
 def rate_limit_window(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy(micros("ts")).rangeBetween(-3_600_000_000, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.count("*").over(w).alias("n_recent"))
+    return windows.trailing_counts(table(spark, sf_dir, "events"), "user_id", "ts", 3600, "n_recent").select("event_id", "user_id", "n_recent")
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -580,8 +579,7 @@ def tumbling_counts(spark, sf_dir):
 @query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
 SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
 def session_counts(spark, sf_dir):
-    w = F.session_window("ts", "6 hours")
-    return table(spark, sf_dir, "events").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    return windows.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
 @query("""SELECT '# TYPE events_total counter' AS line UNION ALL SELECT 'events_total{event_type="' || event_type || '"} ' || count(*)::VARCHAR FROM events GROUP BY event_type""")
