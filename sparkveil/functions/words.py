@@ -1,4 +1,5 @@
-"""Word lists of the lexical types: named places, nationalities, religions and political groups."""
+"""Word lists of the lexical types: named places, nationalities, religions and political groups. Countries are the members of
+the United Nations and a few more, by their usual English names."""
 
 from __future__ import annotations
 
@@ -10,9 +11,21 @@ LEXICON: dict[str, tuple[str, ...]] = {
         "singapore", "stockholm", "sydney", "tokyo", "toronto", "vienna", "warsaw", "washington", "zurich",
     ),
     "country": (
-        "argentina", "australia", "austria", "belgium", "brazil", "canada", "chile", "china", "colombia", "denmark", "egypt", "finland", "france", "germany", "greece", "india", "indonesia",
-        "ireland", "israel", "italy", "japan", "kenya", "mexico", "netherlands", "new zealand", "nigeria", "norway", "pakistan", "peru", "philippines", "poland", "portugal", "romania", "russia",
-        "south africa", "south korea", "spain", "sweden", "switzerland", "thailand", "turkey", "ukraine", "united kingdom", "united states", "vietnam",
+        "afghanistan", "albania", "algeria", "andorra", "angola", "antigua and barbuda", "argentina", "armenia", "australia", "austria", "azerbaijan", "bahamas", "bahrain", "bangladesh",
+        "barbados", "belarus", "belgium", "belize", "benin", "bhutan", "bolivia", "bosnia and herzegovina", "botswana", "brazil", "brunei", "bulgaria", "burkina faso", "burundi", "cambodia",
+        "cameroon", "canada", "cape verde", "central african republic", "chad", "chile", "china", "colombia", "comoros", "congo", "costa rica", "croatia", "cuba", "cyprus", "czechia",
+        "czech republic", "democratic republic of the congo", "denmark", "djibouti", "dominica", "dominican republic", "ecuador", "egypt", "el salvador", "equatorial guinea", "eritrea",
+        "estonia", "eswatini", "ethiopia", "fiji", "finland", "france", "gabon", "gambia", "georgia", "germany", "ghana", "greece", "grenada", "guatemala", "guinea", "guinea bissau",
+        "guyana", "haiti", "honduras", "hungary", "iceland", "india", "indonesia", "iran", "iraq", "ireland", "israel", "italy", "ivory coast", "jamaica", "japan", "jordan", "kazakhstan",
+        "kenya", "kiribati", "kosovo", "kuwait", "kyrgyzstan", "laos", "latvia", "lebanon", "lesotho", "liberia", "libya", "liechtenstein", "lithuania", "luxembourg", "madagascar", "malawi",
+        "malaysia", "maldives", "mali", "malta", "marshall islands", "mauritania", "mauritius", "mexico", "micronesia", "moldova", "monaco", "mongolia", "montenegro", "morocco",
+        "mozambique", "myanmar", "namibia", "nauru", "nepal", "netherlands", "new zealand", "nicaragua", "niger", "nigeria", "north korea", "north macedonia", "norway", "oman", "pakistan",
+        "palau", "palestine", "panama", "papua new guinea", "paraguay", "peru", "philippines", "poland", "portugal", "qatar", "romania", "russia", "rwanda", "saint kitts and nevis",
+        "saint lucia", "saint vincent and the grenadines", "samoa", "san marino", "sao tome and principe", "saudi arabia", "senegal", "serbia", "seychelles", "sierra leone", "singapore",
+        "slovakia", "slovenia", "solomon islands", "somalia", "south africa", "south korea", "south sudan", "spain", "sri lanka", "sudan", "suriname", "sweden", "switzerland", "syria",
+        "taiwan", "tajikistan", "tanzania", "thailand", "timor leste", "togo", "tonga", "trinidad and tobago", "tunisia", "turkey", "turkmenistan", "tuvalu", "uganda", "ukraine",
+        "united arab emirates", "united kingdom", "united states", "united states of america", "uruguay", "uzbekistan", "vanuatu", "vatican city", "venezuela", "vietnam", "yemen", "zambia",
+        "zimbabwe",
     ),
     "nationality": (
         "american", "argentine", "australian", "austrian", "belgian", "brazilian", "british", "canadian", "chilean", "chinese", "colombian", "danish", "dutch", "egyptian", "finnish", "french",
@@ -23,4 +36,4 @@ LEXICON: dict[str, tuple[str, ...]] = {
     "political": ("communist", "conservative", "democrat", "liberal", "libertarian", "republican", "socialist", "social democrat", "green party", "labour party"),
 }
 #: Names that are words or first names as well: only with a capital, and then with low confidence.
-AMBIGUOUS = frozenset(["chile", "turkey", "china", "washington", "paris", "lima", "orthodox", "polish", "liberal", "conservative", "democrat", "republican"])
+AMBIGUOUS = frozenset(["chile", "turkey", "china", "chad", "jordan", "georgia", "guinea", "niger", "jamaica", "washington", "paris", "lima", "orthodox", "polish", "liberal", "conservative", "democrat", "republican"])

@@ -440,9 +440,9 @@ def credential_pairs(spark, sf_dir):
 
 
 _WORDS = {"article": ("the", "la", "der"), "pair": ("in the", "de la", "in der")}
+_LONGEST = max(len(phrase.split()) for phrases in words.LEXICON.values() for phrase in phrases)
 _PHRASES_SQL = """WITH w AS (SELECT {key} AS k, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS ws FROM {table}), e AS (SELECT k, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-p AS (SELECT k, i, ws[i] AS first, lower(ws[i]) AS phrase FROM e UNION ALL SELECT k, i, ws[i], lower(ws[i] || ' ' || ws[i + 1]) FROM e WHERE i < len(ws)
-UNION ALL SELECT k, i, ws[i], lower(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) FROM e WHERE i + 1 < len(ws))"""
+p AS (SELECT k, i, ws[i] AS first, lower(array_to_string(ws[i:i + n - 1], ' ')) AS phrase FROM e, range(1, """ + str(_LONGEST + 1) + """) AS s(n) WHERE i + n - 1 <= len(ws))"""
 
 
 @query(_PHRASES_SQL.format(key="conv_id", table="conversations") + "\nSELECT phrase, count(*)::BIGINT AS n FROM p WHERE phrase IN ('the', 'la', 'der', 'in the', 'de la', 'in der') GROUP BY phrase")

@@ -31,3 +31,36 @@ def test_hits(spark):
     docs = spark.createDataFrame([(1, "From New York, then Paris by a turkey farm in Turkey."), (2, "the polish was French"), (3, None), (4, "")], "doc_id long, text string")
     got = sorted((r.doc_id, r.position, r.phrase, r.kind) for r in lexicon.hits(docs, lexicon.table(spark)).collect())
     assert got == [(1, 1, "new york", "city"), (1, 4, "paris", "city"), (1, 10, "turkey", "country"), (2, 3, "french", "nationality")]
+
+
+def test_long_phrases_and_overlaps(spark):
+    docs = spark.createDataFrame([(1, "Saint Vincent  and-the GRENADINES; United States of America"), (2, "vincent and the"), (None, "Ünited kingdom, united Kingdom")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.position, r.phrase) for r in lexicon.hits(docs, lexicon.table(spark)).collect()), key=str)
+    assert got == [(1, 0, "saint vincent and the grenadines"), (1, 5, "united states of america"), (1, 5, "united states"), (None, 2, "united kingdom")]
+
+
+def test_large_lexicon_in_parts_equals_brute_force(spark):
+    """500,000 phrases of one to six words of a small vocabulary, so that they nest and overlap."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)] + ["é", "naïve", "ß"]
+    phrases = {" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))) for _ in range(560_000)}
+    assert len(phrases) > 500_000
+    lines = sorted(phrases)
+    table = spark.createDataFrame([("\n".join(lines),)], "t string").selectExpr("explode(split(t, '\n')) AS phrase", "'k' AS kind", "'medium' AS confidence")
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 200))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        ws = t.split()
+        want += [(i, a, p) for a in range(len(ws)) for n in range(1, 7) if a + n <= len(ws) and (p := " ".join(ws[a : a + n])) in phrases]
+    got = lexicon.hits(docs, table)
+    assert "Union" in got._jdf.queryExecution().toString()  # 3 parts of 200,000 at most
+    assert sorted((r.doc_id, r.position, r.phrase) for r in got.collect()) == sorted(want)
+
+
+def test_no_lexicon_and_no_texts(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert lexicon.hits(docs, lexicon.table(spark, {"x": ("--",)})).collect() == []
+    assert lexicon.hits(docs.limit(0), lexicon.table(spark)).collect() == []
