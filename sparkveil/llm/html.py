@@ -1,11 +1,11 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of elements. What can't be main text by its tag, role or name (scripts, menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments) is cut first; that only ever removes, it never
-chooses. Each node then has a composite density, its characters per tag, adjusted for characters and tags
-of links; block tags and links count, inline markup does not. The node whose children's densities sum
-highest holds the main text; the smallest density on its path to the body is the threshold by which its
-ancestors' other children join it.
+A page becomes a tree of elements; only what is never seen as text (scripts, styles, hidden elements) is cut from it. Each
+node has a composite density, its characters per tag, adjusted for characters and tags of links; block tags and links count,
+inline markup does not. What tag, role or name call a menu, header, footer, sidebar, notice, advert, form or comment weighs
+like the text of links. The node whose children's densities sum highest holds the main text; the smallest density on its path
+to the body is the threshold by which its ancestors' other children join it, and under which weighed elements and lists of
+links within it fall.
 """
 
 from __future__ import annotations
@@ -45,11 +45,12 @@ ENDS = {
 SCOPES = frozenset("ul ol dl table tbody thead tfoot select body html article section div main td th".split())
 CLOSES_P = BLOCKS - frozenset(["td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "body", "html", "legend"])
 
-# What pages call their boilerplate.
-DROP_TAGS = frozenset(
-    "script style noscript template iframe object embed svg canvas audio video map nav aside footer form fieldset button select input textarea "
-    "label dialog menu head title noembed noframes xmp".split()
-)
+#: What browsers don't show as text.
+UNSEEN = frozenset("script style noscript template iframe object embed svg canvas audio video map head title noembed noframes xmp".split())
+LISTS = frozenset("ul ol dl menu".split())
+
+# What pages call their boilerplate: it weighs like links.
+DROP_TAGS = frozenset("nav aside footer form fieldset button select input textarea label dialog menu".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 DROP_WORDS = frozenset(
     "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs header masthead banner topbar footer bottombar copyright sidebar aside widget widgets rail "
@@ -71,14 +72,14 @@ LOOSE = re.compile(r"([^>]*+)>")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "blocks", "density", "holds_main", "in_main")
+    __slots__ = ("tag", "attributes", "children", "parent", "chars", "tags", "link_chars", "link_tags", "blocks", "density", "holds_main", "in_main", "weighed")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None, in_main: bool = False) -> None:
         self.tag, self.attributes, self.parent, self.in_main = tag, attributes, parent, in_main
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = 0
         self.density = 0.0
-        self.holds_main = False
+        self.holds_main = self.weighed = False
 
 
 class Open:
@@ -205,33 +206,39 @@ def _named(node: Node) -> bool:
     return any(m[1].lower() in ("class", "id") and _names(html.unescape(m[2] or m[3] or m[4] or "")) for m in ATTRIBUTE.finditer(node.attributes))
 
 
-def boilerplate(node: Node) -> bool:
-    """Whether tag, role, class, id or style mark the element as none of the main text."""
-    if node.tag in DROP_TAGS:
+def unseen(node: Node) -> bool:
+    """Whether the element is not shown as text."""
+    if node.tag in UNSEEN:
         return True
-    if node.tag == "header" and not node.in_main:
+    for m in ATTRIBUTE.finditer(node.attributes) if node.attributes and node.tag not in ("html", "body", "main") else ():
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return True
+    return False
+
+
+def boilerplate(node: Node) -> bool:
+    """Whether tag, role, class or id call the element none of the main text."""
+    if node.tag in DROP_TAGS or node.tag == "header" and not node.in_main:
         return True
     if not node.attributes or node.tag in ("html", "body", "main"):
         return False
     if not node.holds_main and _named(node):
         return True
-    for m in ATTRIBUTE.finditer(node.attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in DROP_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+    return any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").strip().lower() in DROP_ROLES for m in ATTRIBUTE.finditer(node.attributes))
 
 
 def _postorder(root: Node) -> list[Node]:
-    """Kept nodes, children before parents; boilerplate is cut from the tree."""
+    """The nodes that show, children before parents; what does not is cut from the tree."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
         out.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not boilerplate(c)]
-        stack += [c for c in node.children if not isinstance(c, str)]
+        node.children = [c for c in node.children if isinstance(c, str) or not unseen(c)]
+        for c in node.children:
+            if not isinstance(c, str):
+                c.weighed = node.weighed or boilerplate(c)
+                stack.append(c)
     return out[::-1]
 
 
@@ -247,6 +254,8 @@ def measure(nodes: list[Node]) -> None:
                 n.link_chars, n.link_tags = n.link_chars + c.link_chars, n.link_tags + c.link_tags
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
+        if n.weighed:
+            n.link_chars, n.link_tags = n.chars, max(n.tags, 1)
     body = nodes[-1]
     share = body.link_chars / max(body.chars, 1)
     for n in nodes:
@@ -277,11 +286,16 @@ def density_sum(node: Node) -> float:
     return total + node.density if own else total
 
 
-def main_nodes(page: str) -> list[Node]:
-    """The subtrees of the main text, in page order: the block with the highest density sum (of equal ones the
-    outermost), and on its path to the body what is as dense as the path's threshold or holds the title."""
-    nodes = _postorder(parse(page))
-    measure(nodes)
+def _falls(node: Node, threshold: float) -> bool:
+    """Whether an element within the main block is under the threshold for its links, or for what weighs like them. A lone
+    link is no menu."""
+    return node.density < threshold and (node.weighed or node.tag in LISTS and node.link_tags > 1 and node.link_chars * 2 >= node.chars)
+
+
+def dense_nodes(nodes: list[Node]) -> tuple[list[Node], float]:
+    """Of measured nodes, children first, the subtrees of the main text in page order: the block with the highest density sum
+    (of equal ones the outermost), and on its path to the body what is as dense as the path's threshold or holds the title; and
+    the threshold."""
     best, most = None, 0.0
     for n in nodes:
         if n.tag not in BLOCKS or n.tag == "html":
@@ -289,13 +303,12 @@ def main_nodes(page: str) -> list[Node]:
         total = density_sum(n)
         if total >= most and total > 0:
             best, most = n, total
-    if best is None:
-        return [nodes[-1]] if nodes[-1].chars else []
+    best = best or nodes[-1]
     path, node = [best], best
     while node.parent is not None and node.tag != "body":
         node = node.parent
         path.append(node)
-    threshold = min(n.density for n in path)
+    threshold = min(n.density for n in path) or math.inf  # text of links alone has no density
     on_path = {id(n) for n in path}
     chosen: list[Node] = []
     stack = [path[-1]]
@@ -307,6 +320,19 @@ def main_nodes(page: str) -> list[Node]:
         dense = lambda c: c.chars and c.link_chars * 2 < c.chars and (c.density >= threshold or _titled(c))
         joins = lambda c: id(c) in on_path or c.tag in BLOCKS and dense(c)
         stack += [c for c in node.children[::-1] if not isinstance(c, str) and joins(c)]
+    return chosen, threshold
+
+
+def main_nodes(page: str) -> list[Node]:
+    """The subtrees of the main text, in page order, without what falls in them."""
+    nodes = _postorder(parse(page))
+    measure(nodes)
+    chosen, threshold = dense_nodes(nodes)
+    stack = list(chosen)
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not _falls(c, threshold)]
+        stack += [c for c in node.children if not isinstance(c, str)]
     return chosen
 
 
@@ -346,7 +372,8 @@ def main_text(page: str) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """One row per page: key, url, text, n_chars (code points). The whole html is read, however long;
-    null html counts as empty and gives an empty text; repeated rows repeat."""
+    null html counts as empty and gives an empty text; repeated rows repeat. Of blocks with equal sums the outermost counts. An
+    empty table gives no rows. Columns beside the three may have any name and are not kept."""
     base = pages.select(F.col(f"`{key}`"), F.col(f"`{url}`"), F.col(f"`{body}`"))
     schema = T.StructType([base.schema[key], base.schema[url], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 

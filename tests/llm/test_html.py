@@ -142,10 +142,29 @@ def test_choice_equals_plain_density():
         tree = Tree()
         tree.feed(page)
         best = plain_best(tree.stack[0])
-        got = ["".join(extraction.blocks([n])).replace(" ", "") for n in extraction.main_nodes(page)]
+        nodes = extraction._postorder(extraction.parse(page))
+        extraction.measure(nodes)
+        got = ["".join(extraction.blocks([n])).replace(" ", "") for n in extraction.dense_nodes(nodes)[0]]
         assert best is None or any("".join(text_of(best).split()) in "".join(g.split()) for g in got), page
 
 
+def test_density_takes_menus_adverts_and_footers_away(spark):
+    """Nothing that shows is cut before densities are taken: what the whole body would give is another text on every page."""
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
+    shown = lambda page: "\n\n".join(extraction.blocks([extraction._postorder(extraction.parse(page))[-1]]))
+    assert sum(extraction.main_text(p) != shown(p) for p in pages) == sum("<nav>" in p for p in pages) > 2000
+
+
+@pytest.mark.parametrize(("page", "expected"), [
+    (f"<div><p>{LONG}</p><ul><li><a href=/a>one thing</a><li><a href=/b>another</a></ul><p>{LONG}</p></div>", f"{LONG.strip()}\n\n{LONG.strip()}"),  # a menu without a name
+    (f"<div><p>{LONG}</p><p><a href=/a>a lone link</a></p><ul><li>plain</li><li>list</li></ul></div>", f"{LONG.strip()}\n\na lone link\n\nplain\n\nlist"),
+    (f"<article><p>{LONG}</p><p>a <span class=share>Share it</span> b</p></article>", f"{LONG.strip()}\n\na b"),
+    ("<nav><p>" + LONG * 9 + "</p></nav>", ""), ("<div><a href=/>only a link</a></div>", "only a link"), (f"<aside><div><p>{LONG * 9}</p><p>{LONG * 9}</p></div></aside><p>Text.</p>", "Text."),
+])
+def test_what_falls_and_what_stays(page, expected):
+    assert extraction.main_text(page) == expected
+
+
 def test_article_tags_are_not_needed(spark):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()]
     for page in pages:
