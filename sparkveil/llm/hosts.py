@@ -130,7 +130,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
 
     `outcomes` has (host, good). The longest fitting rule decides; else the pages of bad hosts (see `reputations`) are
     blocked and all others allowed, those of hosts without outcomes too. Null urls have an empty host. Repeated rows repeat. The reputations are written first, so
-    that the join meets two plain exchanges and a hot host's pages can be split.
+    that the join meets two plain exchanges and a hot host's pages can be split. Rules that fit equally long: the first. An empty
+    table gives no rows. Columns beside key and url may have any name and are not kept.
     """
     host, path = url_parts(F.col(f"`{url}`"))
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)

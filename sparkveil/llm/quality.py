@@ -217,7 +217,7 @@ def quality(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str =
     """One row per document: key, held_out, expected_grade, tail, kept.
 
     Ratings are learned outside the held-out fold only. Repeated rows repeat; see `rated` for nulls
-    and missing ratings.
+    and missing ratings. An empty table gives no rows. Columns beside key and text may have any name and are not kept.
     """
     out = rated(docs, train(docs, labels, p, key=key), [key], p)
     return out.select(key, held_out(key).alias("held_out"), "expected_grade", "tail", "kept")

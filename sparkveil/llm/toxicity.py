@@ -151,7 +151,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str
     """One row per document: key, held_out, score in [0, 1], predicted (1 if score >= 0.5).
 
     Only texts enter a score. Null and empty texts get the score of a text without words; repeated
-    rows repeat; with no labelled rows to learn from every score is 0.
+    rows repeat; with no labelled rows to learn from every score is 0. An empty table gives no rows. Columns beside key and text may
+    have any name and are not kept.
     """
     out = scored(docs, train(docs, labels, p, key=key), [key])
     return out.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -41,12 +41,13 @@ RECORDS = (
 @dataclass(frozen=True)
 class Params:
     """archive_bytes: size at which the writer starts another archive; read_bytes: of one read; held_bytes:
-    content of a member that is kept while its checksum is verified (a longer one is inflated twice); level:
-    of the compression."""
+    content of a member that is kept while its checksum is verified (a longer one is inflated twice); line_bytes: of the
+    longest header line, such as a url; level: of the compression."""
 
     archive_bytes: int = 256 << 20
     read_bytes: int = 1 << 20
     held_bytes: int = 4 << 20
+    line_bytes: int = 16 << 20
     level: int = 1
 
 
@@ -86,6 +87,8 @@ def write_archives(pages: DataFrame, folder: str, p: Params = Params(), key: str
     the others revisits of it; a null key is smaller than any other. Payloads are compared by SHA-1 and
     length. Only (digest, key) is grouped; the bodies are never shuffled by content but for one join,
     whose hot digests can be split. A repeated or failed task leaves archives that no manifest names.
+    Repeated rows, of equal keys and payloads, each get a record: all responses if theirs is the largest key. An empty table
+    gives an empty manifest. Columns beside the three may have any name and are not written.
     """
     body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("uri"), body.alias("body"))
@@ -132,10 +135,10 @@ def write_archives(pages: DataFrame, folder: str, p: Params = Params(), key: str
 
 class Source:
     """A window over bytes that are read in order: an archive's or a member's content. `parts(offset)`
-    yields the bytes from there on; going back behind the window calls it again."""
+    yields the bytes from there on; going back behind the window calls it again; `seeks` says that this costs nothing. `end` is where they end, once known."""
 
-    def __init__(self, parts: Callable[[int], Iterator[bytes]]) -> None:
-        self.parts = parts
+    def __init__(self, parts: Callable[[int], Iterator[bytes]], seeks: bool = True) -> None:
+        self.parts, self.seeks, self.end = parts, seeks, None
         self.start(0)
 
     def start(self, offset: int) -> None:
@@ -144,6 +147,7 @@ class Source:
     def more(self) -> bool:
         part = next(self.rest, None)
         if not part:
+            self.end = self.at + len(self.data)
             return False
         self.data += part
         return True
@@ -156,6 +160,12 @@ class Source:
             pass
         return bytes(self.data[offset - self.at : offset - self.at + size])
 
+    def peek(self, offset: int, size: int) -> bytes | None:
+        """Up to `size` bytes from `offset`, which may lie far ahead, without reading up to there; None if that can't be done."""
+        if offset + size <= self.at + len(self.data):
+            return self.view(offset, size)
+        return next(self.parts(offset), b"")[:size] if self.seeks else None
+
     def drop_to(self, offset: int) -> None:
         """Forget what lies before `offset`."""
         if offset > self.at + len(self.data):
@@ -164,9 +174,11 @@ class Source:
             del self.data[: offset - self.at]
             self.at = offset
 
-    def find(self, marks: tuple[bytes, ...], offset: int, passing: bool = False) -> int:
-        """The next offset at which one of `marks` begins, or -1; `passing` forgets what is searched."""
+    def find(self, marks: tuple[bytes, ...], offset: int, passing: bool = False, within: int | None = None) -> int:
+        """The next offset at which one of `marks` begins, or -1; `passing` forgets what is searched. With `within` only so many
+        bytes, and what was read with them, are searched."""
         longest = max(map(len, marks))
+        last = None if within is None else offset + within
         if offset < self.at:
             self.start(offset)
         while True:
@@ -174,6 +186,8 @@ class Source:
             if found:
                 return self.at + min(found)
             offset = max(offset, self.at + len(self.data) - longest + 1)
+            if last is not None and offset >= last:
+                return -1
             if passing:
                 self.drop_to(offset)
             if not self.more():
@@ -243,25 +257,33 @@ def _member_at(src: Source, at: int, p: Params) -> tuple[Source, int]:
                 yield part[max(0, offset - seen) :]
             seen += len(part)
 
-    return Source(parts), end
+    return Source(parts, seeks=False), end
+
+
+#: A version line is no longer than this, and a length has no more digits.
+VERSION_BYTES, LENGTH_DIGITS = 64, 18
 
 
-def _header(src: Source, at: int) -> tuple[dict[str, str], int]:
-    """Fields (lower-case names) of the record header at `at` and the offset behind its blank line. A header may
-    be of any length; a line without a colon ends the attempt."""
+def _length(value: str) -> int | None:
+    """A length in decimal digits; null for anything else."""
+    return int(value) if value.isascii() and value.isdigit() and len(value) <= LENGTH_DIGITS else None
+
+
+def _header(src: Source, at: int, p: Params) -> tuple[dict[str, str], int, int]:
+    """Fields (lower-case names) of the record header at `at`, the block's length, and the offset behind the blank line. A
+    header may have any number of lines; one of over `line_bytes`, or without a colon, ends the attempt, so that bytes which only
+    begin like a record are not held up to some line's end far behind."""
     if not src.view(at, len(VERSION_MARK)).startswith(VERSION_MARK):
         raise Damaged("no version line")
     fields: dict[str, str] = {}
     first = True
     while True:
-        end = src.find((b"\r\n",), at)
-        if end < 0:
-            raise Damaged("header cut off")
+        end = src.find((b"\r\n",), at, within=VERSION_BYTES if first else p.line_bytes)
+        if end < 0 or first and end - at > VERSION_BYTES:
+            raise Damaged("no version line" if first else "header cut off")
         line, at = src.view(at, end - at), end + 2
         if first:
             first = False
-            if len(line) > 64:
-                raise Damaged("no version line")
             continue
         if not line:
             break
@@ -269,25 +291,31 @@ def _header(src: Source, at: int) -> tuple[dict[str, str], int]:
         if not colon:
             raise Damaged("bad header line")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
+    length = _length(fields.get("content-length", ""))
+    if length is None or "warc-type" not in fields:
         raise Damaged("no length or type")
-    return fields, at
+    return fields, length, at
 
 
 def _record_at(src: Source, at: int, p: Params, payloads: bool) -> tuple[dict, int]:
     """The record at `at`, with its payload digest verified, and the offset behind it. Without `payloads`
-    the block passes through and only a read's worth is held."""
-    fields, at = _header(src, at)
-    end, kind = at + int(fields["content-length"]), fields["warc-type"]
+    the block passes through and only a read's worth is held. A length that leads behind the bytes' end, once this is
+    known, is refused, and one behind which no record ends is too, both without reading there."""
+    fields, length, at = _header(src, at, p)
+    end, kind = at + length, fields["warc-type"]
+    if src.end is not None and end > src.end:
+        raise Damaged("block cut off")
+    if (behind := src.peek(end, 4)) is not None and (behind not in (b"\r\n\r\n", b"") or not behind and src.peek(end - 1, 1) == b""):
+        raise Damaged("block doesn't end where its length says")
     said, told = fields.get("warc-payload-digest", ""), None
     if fields.get("content-type", "").startswith("application/http"):
-        gap = src.find((b"\r\n\r\n",), at)
+        gap = src.find((b"\r\n\r\n",), at, within=min(length, p.line_bytes))
         if gap < 0 or gap + 4 > end:
             raise Damaged("no http header")
         for line in src.view(at, gap - at).split(b"\r\n"):
             name, _, value = line.partition(b":")
-            if name.lower() == b"content-length" and value.strip().isdigit():
-                told = int(value)
+            if name.lower() == b"content-length":
+                told = _length(value.strip().decode("latin-1"))
         at = gap + 4
     sums, kept, size = hashlib.sha1(), [], end - at
     while at < end:
@@ -421,7 +449,7 @@ def page_records(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
     The records and the gaps between them are written beside the archives first. Gaps, or records that are not as
     many as the manifest names, mean that an archive was damaged in between: the job then fails and
-    names the log.
+    names the log. Repeated rows, nulls and other columns: see `write_archives`.
     """
     spark = pages.sparkSession
     manifest = write_archives(pages, new_path(spark, "warc"), p)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,74 @@ def test_a_damaged_archive_fails_the_query(spark, monkeypatch):
     monkeypatch.setattr(warc, "write_archives", lambda *_: manifest)
     with pytest.raises(RuntimeError, match="39 of 40"):
         warc.page_records(pages)
+
+
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "-1", "1e3", "١٢", "", "9" * 18, "10000000000000000000"])
+def test_a_length_that_is_none_is_a_gap(length):
+    parts = archive(4, compressed=False)
+    head, _, rest = parts[1].partition(b"\r\n\r\n")
+    broken = re.sub(rb"Content-Length: \d+$", f"Content-Length: {length}".encode(), head) + b"\r\n\r\n" + rest
+    for hurt in (broken, parts[1].replace(b"Content-Length: ", b"Content-Length: \xb2", 1)):
+        data = b"".join([parts[0], hurt, *parts[2:]])
+        for whole in (data, warc.member(data, 1)):
+            found = read(whole)
+            assert [r["record_id"] for r in found if r["kind"] == "record"] == [f"urn:page:{i}" for i in (0, 2, 3)]
+            covers(found, len(whole))
+
+
+def test_any_header_bytes_give_gaps():
+    """Headers with bytes, lines and fields changed at random: no exception, and whole records behind them come back."""
+    rng = random.Random(8)
+    for _ in range(300):
+        parts = archive(5, compressed=False)
+        head, _, rest = parts[2].partition(b"\r\n\r\n")
+        head = bytearray(head)
+        for _ in range(rng.randrange(1, 6)):
+            kind, at = rng.randrange(4), rng.randrange(len(head))
+            if kind == 0:
+                head[at] = rng.randrange(256)
+            elif kind == 1:
+                del head[at : at + rng.randrange(1, 30)]
+            elif kind == 2:
+                head[at:at] = rng.choice([b"\r\n", b"\r\n\r\n", b":", "²".encode(), b"\xff\xfe", b"WARC/1.1\r\n", b"Content-Length: 99999999999\r\n"])
+            else:
+                head[at:at] = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 50)))
+            if not head:
+                break
+        data = b"".join([*parts[:2], bytes(head), b"\r\n\r\n", rest, *parts[3:]])
+        for p in (warc.Params(read_bytes=701), warc.Params()):
+            found = list(warc.salvage(io.BytesIO(data), p))
+            ids = [r["record_id"] for r in found if r["kind"] == "record"]
+            assert set(ids) >= {f"urn:page:{i}" for i in (0, 1)} and ids[-1] == "urn:page:4", head
+            covers(found, len(data))
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, size=-1):
+        out = super().read(size)
+        self.got += len(out)
+        return out
+
+
+@pytest.mark.parametrize("length", [10**17, 150_000, 99_999])
+def test_false_lengths_cost_no_reading_to_the_end(length):
+    """Thousands of records with lengths far ahead: each is refused by what stands there."""
+    bad = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {length}\r\n\r\nx\r\n\r\n".encode()
+    data = b"".join([bad * 3000, *archive(3, compressed=False)])
+    stream = Counted(data)
+    found = list(warc.salvage(stream, warc.Params(read_bytes=1 << 12)))
+    assert [r["record_id"] for r in found if r["kind"] == "record"] == [f"urn:page:{i}" for i in range(3)]
+    covers(found, len(data))
+    assert stream.got < 40 * len(data) + 3000 * (3 << 12)
+
+
+def test_what_only_begins_like_a_record_is_not_held():
+    noise = (b"WARC/1.0" + b"a:" * 200_000) * 5
+    found = list(warc.salvage(io.BytesIO(noise + archive(1, compressed=False)[0]), warc.Params(read_bytes=4096, line_bytes=65_536)))
+    assert [r["kind"] for r in found] == ["gap", "record"]
+    src = warc.Source(lambda offset: iter([noise[offset : offset + 4096]] if offset == 0 else []))
+    with pytest.raises(warc.Damaged):
+        warc._header(src, 0, warc.Params())
+    assert len(src.data) <= 8192
