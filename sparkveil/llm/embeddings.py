@@ -16,11 +16,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +37,8 @@ class Params:
     max_lists: coarse lists at most; sample_rows, sample_values: bounds of the sample that centroids are fitted on, in
     vectors and numbers; subspaces, codes: of the product quantiser; block_rows: largest part of a list that one
     task compares at once; crowded_rows: a list of more is cut by centroids of its own, `levels` times at most, fitted
-    on about refine_rows of its vectors; seed, rounds: of k-means."""
+    on about refine_rows of its vectors; rare_rows: vectors of a length that fewer have are compared without an index, all such
+    lengths in one job; seed, rounds: of k-means."""
 
     threshold: float = 0.93
     list_rows: int = 256
@@ -48,6 +51,7 @@ class Params:
     crowded_rows: int = 8192
     refine_rows: int = 4096
     levels: int = 2
+    rare_rows: int = 256
     seed: int = 7
     rounds: int = 8
 
@@ -143,7 +147,8 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
     without a label, link with nothing and are their own component. Equal vectors of a label are one
     class with a count, compared once. component_id is the smallest key reachable; kept says that it is
     the row's own. Repeated rows are vectors of their own: they count as each other's links. A null key
-    never names a component unless it stands alone; it is not kept.
+    never names a component unless it stands alone; it is not kept. An empty table gives no rows. Columns beside the three may have
+    any name and are not kept.
     """
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -152,10 +157,13 @@ def link(vectors: DataFrame, p: Params = Params(), key: str = "vec_id", vector:
     good = rows.where(usable)
     classes = good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumns({"class": F.monotonically_increasing_id(), "width": F.size("v")}), "vector-classes")
-    found = None
-    for width, n in classes.groupBy("width").count().collect():  # the lengths in use
-        own = _links_of(classes.where(F.col("width") == width), width, n, p)
-        found = own if found is None else found.union(own)
+    widths = classes.groupBy("width").count()
+    common = widths.where(F.col("count") >= p.rare_rows).collect()  # each an index of its own, and rows enough to be worth it
+    parts = [_links_of(classes.where(F.col("width") == width), width, n, p) for width, n in common]
+    rare = classes.where(~F.col("width").isin([width for width, _ in common]))
+    if rare.take(1):
+        parts.append(_links_of_rare(rare, p))
+    found = reduce(DataFrame.union, parts) if parts else None
     if found is None:
         ranked = classes.select("label", "v", (F.col("copies") - 1).alias("n_links"), F.col("least").alias("component_id"))
     else:
@@ -225,8 +233,22 @@ def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
             break
         rows = materialize(_refined(rows, sizes.where(crowded), width, p), "vector-parts")
 
+    return _compared(placed, shared, p)
+
+
+def _links_of_rare(classes: DataFrame, p: Params) -> DataFrame:
+    """`_links_of` for all lengths that few vectors have: those of a length and label are compared in pairs of blocks."""
+    plain = classes.select("class", F.col("label").cast("string").alias("label"), "copies", F.col("v").cast("array<double>").alias("v"), F.lit(0).alias("own"), F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+    rows = plain.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("role"), F.concat_ws("|", F.size("v"), "label").alias("cell"), F.lit(0).alias("at"), *CODED.names[:-1])
+    sizes = rows.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("stored"), F.count_if(F.col("role") == 1).alias("asked"))
+    return _compared(_blocked(rows, sizes, p), None, p)
+
+
+def _compared(placed: DataFrame, shared: Broadcast | None, p: Params) -> DataFrame:
+    """What the units of `placed` link, by the index or, without one, by all cosines."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, now, held = shared.value, None, []
+        ix, now, held = shared.value if shared else None, None, []
         unit_of: Unit | None = None
         for name, part in _runs(batches, "unit"):
             if name != now:
@@ -235,7 +257,7 @@ def _links_of(classes: DataFrame, width: int, n: int, p: Params) -> DataFrame:
                 if sum(len(h[0]) for h in held) > 50_000:
                     yield _found(held)
                     held = []
-                now, unit_of = name, Unit(ix, width, p)
+                now, unit_of = name, Unit(ix, len(part.column("v")[0]), p)
             unit_of.take(part)
         if unit_of:
             held.append(unit_of.result())
@@ -328,7 +350,7 @@ class Unit:
     """One block of a list against one block of its queries, taken in pieces: first all entries, then the
     queries in any number of batches."""
 
-    def __init__(self, index: Index, width: int, p: Params) -> None:
+    def __init__(self, index: Index | None, width: int, p: Params) -> None:
         self.index, self.width, self.p = index, width, p
         self.entries: list[pa.RecordBatch] = []
         self.ready = False
@@ -360,15 +382,21 @@ class Unit:
         self.cls, self.copies, self.error = (c[n].to_numpy(zero_copy_only=False) for n in ("class", "copies", "error"))
         self.raw = _matrix(c["v"], self.width)
         self.norm = np.sqrt((self.raw * self.raw).sum(1))
-        self.codes = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(self.size, -1)
+        if self.index:
+            self.codes = np.frombuffer(b"".join(c["codes"].to_pylist()), np.uint8).reshape(self.size, -1)
+        else:
+            self.unit = self.raw / self.norm[:, None]
 
     def _ask(self, b: pa.RecordBatch) -> None:
         if not self.size:
             return
         raw, cls, copies, own = _matrix(b.column("v"), self.width), *(b.column(n).to_numpy(zero_copy_only=False) for n in ("class", "copies", "own"))
         norm = np.sqrt((raw * raw).sum(1))
-        bound = self.index.distances(raw / norm[:, None], self.at, self.codes) - self.error[None, :]
-        q, e = np.nonzero(bound <= self.index.radius + 1e-9)
+        if self.index:
+            bound = self.index.distances(raw / norm[:, None], self.at, self.codes) - self.error[None, :]
+            q, e = np.nonzero(bound <= self.index.radius + 1e-9)
+        else:
+            q, e = np.nonzero((raw / norm[:, None]) @ self.unit.T >= self.p.threshold - 1e-9)
         first = (own[q] != self.at) | (cls[q] < self.cls[e])  # within a list each pair once
         q, e = q[first], e[first]
         keep = np.zeros(len(q), bool)

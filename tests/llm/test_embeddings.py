@@ -107,3 +107,17 @@ def test_recall_on_many_clustered_vectors(spark, tmp_path, params):
     got = embeddings.link(spark.read.parquet(str(tmp_path / "v.parquet")), params).select("vec_id", "n_links").toPandas().sort_values("vec_id")["n_links"].to_numpy()
     print("recall", got.sum() / expected.sum(), "of", expected.sum() // 2, "links")
     assert expected.sum() > 20_000 and (got == expected).all()
+
+
+def test_hundreds_of_lengths_take_one_index(spark, monkeypatch):
+    """Vectors of 300 lengths, one of which is common: one index, all other lengths in one job, cut into small blocks."""
+    fitted = []
+    plain = embeddings.fit
+    monkeypatch.setattr(embeddings, "fit", lambda sample, rows, p: fitted.append(sample.shape) or plain(sample, rows, p))
+    rng = np.random.default_rng(10)
+    rows = [(i, (np.ones(2 + i % 300) + rng.normal(scale=0.4, size=2 + i % 300)).tolist(), i % 2, "") for i in range(900)]
+    rows += [(1000 + i, (np.ones(5) + rng.normal(scale=0.4, size=5)).tolist(), 1, "") for i in range(120)] + [(2000, [1.0] * 900, 1, "")] * 3
+    got = sorted(map(tuple, embeddings.link(spark.createDataFrame(rows, SCHEMA), embeddings.Params(rare_rows=100, block_rows=16)).collect()))
+    assert got == brute(rows) and [shape[1] for shape in fitted] == [5]
+    got = sorted(map(tuple, embeddings.link(spark.createDataFrame(rows, SCHEMA), embeddings.Params(block_rows=16)).collect()))
+    assert got == brute(rows) and len(fitted) == 1
