@@ -45,7 +45,7 @@ def test_large_lexicon_in_parts_equals_brute_force(spark):
 
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)] + ["é", "naïve", "ß"]
-    phrases = {" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))) for _ in range(560_000)}
+    phrases = {" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))) for _ in range(800_000)}
     assert len(phrases) > 500_000
     lines = sorted(phrases)
     table = spark.createDataFrame([("\n".join(lines),)], "t string").selectExpr("explode(split(t, '\n')) AS phrase", "'k' AS kind", "'medium' AS confidence")
