@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import keyed
 from .detect import matches
 from .patterns import SECRET_TYPES, TOKENS
 
@@ -50,17 +51,19 @@ def mask_token(value: Column) -> Column:
 
 
 def tagged_hash(value: Column, algorithm: str = "sha256", salt: str = "") -> Column:
-    """`tag:hex` of salt and value. sha256 and sha512 are Spark's; hmac-sha3-256 (the salt is its key) and
-    blake2b run in Arrow. Others are not available here and raise."""
+    """`tag:hex` of salt and value. sha256, sha512, hmac-sha256 and hmac-sha512 (the salt is their key) are expressions;
+    hmac-sha3-256 and blake2b run in Arrow. Others are not available here and raise."""
     salted = F.concat(F.lit(salt), value)
     if algorithm in ("sha256", "sha512"):
         return F.concat(F.lit(f"{algorithm}:"), F.sha2(salted, int(algorithm[3:])))
+    if algorithm in ("hmac-sha256", "hmac-sha512"):
+        return F.concat(F.lit(f"{algorithm}:"), F.lower(F.hex(keyed.hmac(value, salt.encode(), int(algorithm[8:])))))
     if algorithm == "hmac-sha3-256":
         digest = lambda t: "hmac-sha3-256:" + _hmac.new(salt.encode(), t.encode(), hashlib.sha3_256).hexdigest()
     elif algorithm == "blake2b":
         digest = lambda t: "blake2b:" + hashlib.blake2b((salt + t).encode(), digest_size=32).hexdigest()
     else:
-        raise ValueError(f"hash {algorithm!r} is not supported; there are sha256, sha512, hmac-sha3-256 and blake2b")
+        raise ValueError(f"hash {algorithm!r} is not supported; there are sha256, sha512, hmac-sha256, hmac-sha512, hmac-sha3-256 and blake2b")
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -73,18 +76,29 @@ def is_secret_type(kind: Column) -> Column:
     return kind.isin(*sorted(SECRET_TYPES))
 
 
-def encrypt(value: Column, key: str, entity_type: Column, deterministic: bool = False) -> Column:
+#: What keys by entity type are derived for.
+PURPOSE = "sparkveil aead "
+
+
+def _key(key: str, entity_type: Column, derive: bool) -> Column:
+    """The 32 bytes of a cipher's key: the hash of `key`, or one derived from it for each entity type."""
+    return keyed.hkdf(key.encode(), F.concat(F.lit(PURPOSE), entity_type)) if derive else F.unhex(F.sha2(F.lit(key), 256))
+
+
+def encrypt(value: Column, key: str, entity_type: Column, deterministic: bool = False, derive: bool = False) -> Column:
     """AES-GCM, base64, bound to the entity type. Deterministic: the nonce comes from the value, so that
-    equal values stay equal."""
-    k, aad = F.unhex(F.sha2(F.lit(key), 256)), entity_type.cast("binary")
+    equal values stay equal. With `derive` each entity type has a key of its own (HKDF), and a deterministic nonce is
+    an HMAC under it."""
+    k, aad = _key(key, entity_type, derive), entity_type.cast("binary")
     if deterministic:
-        nonce = F.unhex(F.substring(F.sha2(F.concat(F.lit(key), F.lit("|"), entity_type, F.lit("|"), value), 256), 1, 24))
+        named = F.concat(entity_type, F.lit("|"), value)
+        nonce = F.substring(keyed.hmac(named, k), 1, 12) if derive else F.unhex(F.substring(F.sha2(F.concat(F.lit(key), F.lit("|"), named), 256), 1, 24))
         return F.base64(F.aes_encrypt(value.cast("binary"), k, F.lit("GCM"), F.lit("DEFAULT"), nonce, aad))
     return F.base64(F.aes_encrypt(value.cast("binary"), k, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), aad))
 
 
-def decrypt(value: Column, key: str, entity_type: Column, strict: bool = True) -> Column:
+def decrypt(value: Column, key: str, entity_type: Column, strict: bool = True, derive: bool = False) -> Column:
     """Inverse of `encrypt`; a value that doesn't authenticate raises, or gives null unless `strict`."""
-    k, aad = F.unhex(F.sha2(F.lit(key), 256)), entity_type.cast("binary")
+    k, aad = _key(key, entity_type, derive), entity_type.cast("binary")
     run = F.aes_decrypt if strict else F.try_aes_decrypt
     return run(F.unbase64(value), k, F.lit("GCM"), F.lit("DEFAULT"), aad).cast("string")

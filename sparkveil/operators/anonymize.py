@@ -38,7 +38,7 @@ def _check(entity: str, op: Operator) -> None:
     p = op.params
     known = {
         "replace": {"new_value"}, "redact": set(), "keep": set(), "mask": {"masking_char", "chars_to_mask", "from_end"}, "hash": {"algorithm", "salt"},
-        "encrypt": {"key", "deterministic"}, "decrypt": {"key", "strict"}, "custom": {"function", "reverse"},
+        "encrypt": {"key", "deterministic", "derive"}, "decrypt": {"key", "strict", "derive"}, "custom": {"function", "reverse"},
     }
     if op.name not in known:
         raise ValueError(f"{entity}: no operator {op.name!r}")
@@ -48,6 +48,8 @@ def _check(entity: str, op: Operator) -> None:
         raise ValueError(f"{entity}: masking_char is empty")
     if op.name == "hash" and 0 < len(p.get("salt", "").encode()) < 16:
         raise ValueError(f"{entity}: a salt has 16 bytes at least")
+    if op.name == "hash" and p.get("algorithm", "").startswith("hmac") and not p.get("salt"):
+        raise ValueError(f"{entity}: {p['algorithm']} needs a salt, which is its key")
     if op.name in ("encrypt", "decrypt") and not p.get("key"):
         raise ValueError(f"{entity}: {op.name} needs a key")
     if op.name == "custom" and not callable(p.get("function")):
@@ -75,9 +77,9 @@ def apply(op: Operator, value: Column, entity: Column) -> Column:
     if op.name == "hash":
         return tokens.tagged_hash(value, p.get("algorithm", "sha256"), p.get("salt", ""))
     if op.name == "encrypt":
-        return tokens.encrypt(value, p["key"], entity, p.get("deterministic", False))
+        return tokens.encrypt(value, p["key"], entity, p.get("deterministic", False), p.get("derive", False))
     if op.name == "decrypt":
-        return tokens.decrypt(value, p["key"], entity, p.get("strict", True))
+        return tokens.decrypt(value, p["key"], entity, p.get("strict", True), p.get("derive", False))
     return p["function"](value, entity)
 
 
@@ -123,7 +125,7 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
     detections count as none."""
     operators = operators or {}
     validate(operators)
-    if any(op.name == "hash" and op.params.get("algorithm", "sha256") not in ("sha256", "sha512") for op in operators.values()):
+    if any(op.name == "hash" and op.params.get("algorithm", "sha256") not in ("sha256", "sha512", "hmac-sha256", "hmac-sha512") for op in operators.values()):
         raise ValueError("this hash runs in Arrow and can't stand inside an array expression; use anonymize_frame")
     spans = resolve(F.coalesce(detections, F.array().cast(EMPTY)), strategy, F.length(text))
 
@@ -157,8 +159,8 @@ def _reverse(op: Operator, strict: bool) -> Operator:
     """What undoes an operator: decrypt, custom's reverse, or nothing. A value that doesn't decrypt fails the query if
     `strict`, else it stays as it is."""
     if op.name == "encrypt":
-        key = op.params["key"]
-        return Operator("decrypt", {"key": key}) if strict else Operator("custom", {"function": lambda v, kind: F.coalesce(tokens.decrypt(v, key, kind, False), v)})
+        key, derive = op.params["key"], op.params.get("derive", False)
+        return Operator("decrypt", {"key": key, "derive": derive}) if strict else Operator("custom", {"function": lambda v, kind: F.coalesce(tokens.decrypt(v, key, kind, False, derive), v)})
     if op.name == "custom" and op.params.get("reverse"):
         return Operator("custom", {"function": op.params["reverse"]})
     return Operator("keep")

@@ -310,6 +310,15 @@ def pseudonymize_user(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", tokens.tagged_hash(F.col("user_id").cast("string"), salt="sixteen-byte-salt").alias("pseudonym"))
 
 
+_HMAC_KEY = b"a key of the test tables"
+_PADDED = {mask: "".join(f"\\x{b ^ mask:02X}" for b in _HMAC_KEY.ljust(64, b"\0")) for mask in (0x36, 0x5C)}
+
+
+@query(f"""SELECT c_custkey, 'hmac-sha256:' || sha256('{_PADDED[0x5C]}'::BLOB || unhex(sha256('{_PADDED[0x36]}'::BLOB || encode(c_name)))) AS pseudonym FROM customer""")
+def hmac_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", tokens.tagged_hash(F.col("c_name"), "hmac-sha256", _HMAC_KEY.decode()).alias("pseudonym"))
+
+
 @query("SELECT c_custkey, c_name AS decrypted, TRUE AS stable FROM customer")
 def encrypt_round_trip(spark, sf_dir):
     kind = F.lit("name")
