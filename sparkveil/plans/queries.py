@@ -93,10 +93,38 @@ def find_cards(spark, sf_dir):
     return spans.spans_table(documents(spark, sf_dir), ["credit_card"]).select("doc_id", "matched_text")
 
 
-@query(f"""SELECT doc_id, m AS matched_text FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9+]', '', 'g') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, {pattern('phone')})) AS m FROM documents))
+def _number(factor: int, digits: int) -> str:
+    """Digits that follow from a customer's key."""
+    return f"lpad(CAST(c_custkey * {factor} % {10**digits} AS STRING), {digits}, '0')"
+
+
+# Texts made from the customers' keys, so that types which the documents lack are found, and refused, in rows of the tables; the
+# expressions mean the same in both engines.
+_A, _B, _C, _D = _number(7919, 3), _number(104_729, 3), _number(31, 4), _number(1, 2)
+_PHONE_TEXTS = f"""CASE c_custkey % 5 WHEN 0 THEN 'call +1-' || {_A} || '-' || {_B} || '-' || {_C} WHEN 1 THEN 'or +1 (' || {_A} || ') ' || {_B} || ' ' || {_C} || '.' WHEN 2 THEN '+44 20 ' || {_C} || ' ' || {_C}
+WHEN 3 THEN '+49' || {_A} || {_B} || {_C} || {_D} ELSE '1-' || {_A} || '-' || {_B} || '-' || {_C} END"""
+_SSN_TEXTS = f"""CASE c_custkey % 5 WHEN 0 THEN 'SSN: ' || {_A} || '-' || {_D} || '-' || {_C} WHEN 1 THEN 'Social Security: ' || {_A} || {_D} || {_C} WHEN 2 THEN 'no ' || {_A} || '-' || {_D} || '-' || {_C} || ' end'
+WHEN 3 THEN 'no ' || {_A} || ' ' || {_D} || ' ' || {_C} || '.' ELSE 'bare ' || {_A} || {_D} || {_C} END"""
+_HEX = "md5(CAST(c_custkey AS STRING))"
+_PAIR_TEXTS = f"""CASE c_custkey % 6 WHEN 0 THEN 'user' || {_A} || '@example.com' || chr(10) || 'password: Pw' || {_C} WHEN 1 THEN substr({_HEX}, 1, 8) || '-' || substr({_HEX}, 9, 4) || '-4' || substr({_HEX}, 13, 3) || '-8' || substr({_HEX}, 16, 3) || '-' || substr({_HEX}, 19, 12) || ' secret=' || {_HEX}
+WHEN 2 THEN 'https://oauth.example.com/cb password=pw' || {_C} WHEN 3 THEN 'token=public' || {_HEX} || ' and secret=' || {_HEX} WHEN 4 THEN 'user' || {_A} || '@example.com ' || repeat('far ', 130) || 'password: Pw' || {_C}
+ELSE 'user' || {_A} || '@example.com ' || repeat(chr(10), 6) || 'password: Pw' || {_C} END"""
+
+
+def _texts_sql(made: str) -> str:
+    return f"texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -c_custkey, {made} FROM customer)"
+
+
+def _texts(spark: SparkSession, sf_dir: str, made: str) -> DataFrame:
+    """The documents, and the texts made for the customers under negative ids."""
+    own = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("doc_id"), F.expr(made.replace("chr(10)", "char(10)")).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", "text").unionByName(own)
+
+
+@query(f"""WITH {_texts_sql(_PHONE_TEXTS)} SELECT doc_id, m AS matched_text FROM (SELECT doc_id, m, regexp_replace(m, '[^0-9+]', '', 'g') AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, {pattern('phone')})) AS m FROM texts))
 WHERE regexp_matches(v, '^[+][1-9][0-9]{{7,14}}$') AND (NOT starts_with(v, '+1') OR (regexp_matches(v, '^[+]1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$') AND substr(v, 6, 3) <> '555' AND substr(v, 7, 2) <> '11'))""")
 def find_phones(spark, sf_dir):
-    return spans.spans_table(documents(spark, sf_dir), ["phone"]).select("doc_id", "matched_text")
+    return spans.spans_table(_texts(spark, sf_dir, _PHONE_TEXTS), ["phone"]).select("doc_id", "matched_text")
 
 
 @query(_found_sql(PHONE_SHAPE))
@@ -109,9 +137,15 @@ def find_hex_secret(spark, sf_dir):
     return _raw(spark, sf_dir, HEX_SECRET)
 
 
-@query(_found_sql(BY_NAME["ssn"].patterns[1]))
+_LABELLED, *_BARE = BY_NAME["ssn"].patterns
+
+
+@query(f"""WITH {_texts_sql(_SSN_TEXTS)}, m AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(_LABELLED)})) AS matched_text FROM texts
+UNION ALL SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, {quoted(_LABELLED)}, ' # ', 'g'), {quoted('|'.join(f'(?:{p})' for p in _BARE))})) FROM texts)
+SELECT doc_id, matched_text FROM (SELECT *, regexp_replace(matched_text, '[^0-9]', '', 'g') AS d FROM m)
+WHERE length(d) = 9 AND d[1:3] NOT IN ('000', '666') AND d[1] <> '9' AND d[4:5] <> '00' AND d[6:9] <> '0000' AND d NOT IN ('123456789', '078051120', '219099999')""")
 def find_ssn(spark, sf_dir):
-    return spans.spans_table(documents(spark, sf_dir), ["ssn"]).select("doc_id", "matched_text")
+    return spans.spans_table(_texts(spark, sf_dir, _SSN_TEXTS), ["ssn"]).select("doc_id", "matched_text")
 
 
 @query(f"SELECT doc_id, unnest(regexp_extract_all(text, {pattern('api_key')})) AS matched_text FROM documents")
@@ -439,10 +473,10 @@ WHEN {a} IN ('url', 'domain') AND {b} IN ('api_key', 'password') AND regexp_matc
 WHEN {a} IN ('username', 'email') AND {b} = 'password' THEN 'username_password_pair' WHEN {a} = 'uuid' AND {b} IN ('api_key', 'password') THEN 'azure_service_principal' END"""
 
 
-@query(f"""WITH {_spans_sql(_PAIRED)}, p AS (SELECT *, coalesce({_ORDERED('primary_type', 'x', 'secondary_type', 'y')}, {_ORDERED('secondary_type', 'y', 'primary_type', 'x')}) AS pair_type FROM ({_pairs_sql(_PAIRED)}))
-SELECT doc_id, pair_type, x AS primary_text, y AS secondary_text, gap FROM p WHERE pair_type IS NOT NULL""")
+@query(f"""WITH {_texts_sql(_PAIR_TEXTS)}, """ + f"""{_spans_sql(_PAIRED)}, p AS (SELECT *, coalesce({_ORDERED('primary_type', 'x', 'secondary_type', 'y')}, {_ORDERED('secondary_type', 'y', 'primary_type', 'x')}) AS pair_type FROM ({_pairs_sql(_PAIRED)}))
+SELECT doc_id, pair_type, x AS primary_text, y AS secondary_text, gap FROM p WHERE pair_type IS NOT NULL""".replace("documents", "texts"))
 def credential_pairs(spark, sf_dir):
-    found = spans.spans_table(documents(spark, sf_dir), _PAIRED, lines=True)
+    found = spans.spans_table(_texts(spark, sf_dir, _PAIR_TEXTS), _PAIRED, lines=True)
     return correlate.credential_pairs(correlate.proximate_pairs(found)).select(
         "doc_id", "pair_type", F.col("primary_matched_text").alias("primary_text"), F.col("secondary_matched_text").alias("secondary_text"), F.col("gap").cast("int").alias("gap")
     )
@@ -622,10 +656,36 @@ def host_private(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(network.ip_class(ip).alias("ip_class")).groupBy("ip_class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, '' AS threats FROM pages WHERE NOT regexp_matches(url, '^https?://[^/?#@]*@') AND regexp_matches(url, '^https?://')")
+# Urls made from the pages' own: what follows "://" stays, before it comes a host, scheme or user that is dangerous, or nearly so.
+_HOSTS = ("example.com", "169.254.169.254", "localhost", "2130706433", "a.nip.io", "10.1.2.3", "0x7f000001", "127.0.0.1", "nip.io.example.com", "172.32.0.1", "db.internal", "100.100.100.200", "8.8.8.8", "[fd00:ec2::254]", "01.2.3.4")
+_URLS = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'http://' || {host} || '/' || page_id WHEN 2 THEN 'https://user:word@' || {host} || '/' ELSE {scheme} || '://' || {host} || ':80/x@y' END"
+_SCHEMES = ("https", "file", "gopher", "ftp", "ws")
+_PART = lambda i: f"try_cast(split_part(h, '.', {i}) AS BIGINT)"
+_IN = lambda names: "(" + ", ".join(quoted(n) for n in names) + ")"
+
+
+def _ssrf_sql(url: str) -> str:
+    return f"""WITH u AS (SELECT page_id, {url} AS url FROM pages),
+k AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)) AS h FROM u),
+i AS (SELECT *, CASE WHEN regexp_matches(h, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AND greatest(a, b, c, d) <= 255 THEN {_ip_case()} END AS kind FROM (SELECT *, {_PART(1)} AS a, {_PART(2)} AS b, {_PART(3)} AS c, {_PART(4)} AS d FROM k))
+SELECT page_id, coalesce(array_to_string(list_filter([CASE WHEN h IN {_IN(network.METADATA_HOSTS)} THEN 'cloud_metadata' END,
+CASE WHEN coalesce(kind IN ('loopback', 'private', 'link_local', 'shared', 'unspecified'), FALSE) OR regexp_matches(h, '^\\[?(?:::1|::|f[cd][0-9a-f]{{2}}:|fe80:)') OR h IN ('localhost', 'localhost.localdomain') OR regexp_matches(h, '\\.(?:local|internal|intranet|corp|lan|localhost)$') THEN 'internal_host' END,
+CASE WHEN regexp_matches(h, '^(?:[0-9]{{8,10}}|0x[0-9a-f]{{8}}|(?:0[0-7]{{1,3}}|0x[0-9a-f]{{1,2}})(?:\\.(?:0[0-7]{{1,3}}|0x[0-9a-f]{{1,2}}|[0-9]{{1,3}})){{3}})$') THEN 'encoded_ip' END,
+CASE WHEN {' OR '.join(f"h = '{n}' OR ends_with(h, '.{n}')" for n in network.REBINDING)} THEN 'dns_rebinding' END,
+CASE WHEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN {_IN(network.DANGEROUS_SCHEMES)} THEN 'dangerous_scheme' END,
+CASE WHEN regexp_matches(url, '://[^/?#]*@') THEN 'credentials' END], lambda x: x IS NOT NULL), ','), '') AS threats FROM i"""
+
+
+@query(_ssrf_sql("url"))
 def ssrf_flags(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(network.ssrf_threats(u), ",").alias("threats"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(network.ssrf_threats(F.col("url")), ",").alias("threats"))
+
+
+@query(_ssrf_sql(_URLS.format(host=f"[{', '.join(map(quoted, _HOSTS))}][page_id % {len(_HOSTS)} + 1]", scheme=f"[{', '.join(map(quoted, _SCHEMES))}][page_id % {len(_SCHEMES)} + 1]")))
+def ssrf_made_urls(spark, sf_dir):
+    pick = lambda names: f"element_at(array({', '.join(map(quoted, names))}), CAST(page_id % {len(names)} + 1 AS INT))"
+    made = table(spark, sf_dir, "pages").select("page_id", F.expr(_URLS.format(host=pick(_HOSTS), scheme=pick(_SCHEMES))).alias("url"))
+    return made.select("page_id", F.array_join(network.ssrf_threats(F.col("url")), ",").alias("threats"))
 
 
 def _any_sql(col: str, patterns: dict[str, str]) -> str:
