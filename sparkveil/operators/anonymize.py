@@ -17,7 +17,7 @@ from ..functions import masking, tokens
 from ..functions.arrays import bind, cut, pieces, scan
 from ..functions.patterns import SECRET_TYPES
 from ..schemas import DETECTION, ENGINE_RESULT, ITEM
-from .sweep import best_spans, trimmed_spans
+from .sweep import sweep_frame
 
 STRATEGIES = ("none", "keep_best", "trim")
 Custom = Callable[[Column, Column], Column]
@@ -86,28 +86,68 @@ def apply(op: Operator, value: Column, entity: Column) -> Column:
 EMPTY = f"array<{DETECTION.simpleString()}>"
 
 
+def _fold(spans: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(spans, F.array().cast(EMPTY), lambda acc, s: F.when(keep(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+
+
 def by_place(spans: Column) -> Column:
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"), s["entity_type"].alias("c"), (-s["score"]).alias("d"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
 
+def by_priority(spans: Column) -> Column:
+    """Best score first, then longest, then leftmost."""
+    keyed = F.transform(spans, lambda s: F.struct((-s["score"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["start"].alias("c"), s["entity_type"].alias("d"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda x: x["s"])
+
+
 def typed(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(*[s[f.name].cast(f.dataType).alias(f.name) for f in DETECTION.fields]))
 
 
+def _trimmed(spans: Column) -> Column:
+    """Each span, best first, cut to the longest part that better ones leave free (of equal ones the first): a part
+    begins with the span or where a better one ends, and ends with the span or where the next begins."""
+
+    def step(acc: Column, s: Column) -> Column:
+        def cut(near: Column) -> Column:
+            begins = F.concat(F.array(s["start"]), F.transform(near, lambda t: t["end"]))
+            free = F.filter(begins, lambda b: (b >= s["start"]) & (b < s["end"]) & ~F.exists(near, lambda t: (t["start"] <= b) & (b < t["end"])))
+            upto = lambda b: F.coalesce(F.array_min(F.filter(F.transform(near, lambda t: t["start"]), lambda x: x >= b)), s["end"])
+            return F.array_max(F.transform(free, lambda b: F.struct((F.least(upto(b), s["end"]) - b).alias("n"), (-b).alias("back"))))
+
+        part = cut(F.filter(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+        made = bind(part, lambda x: F.struct(s["entity_type"].alias("entity_type"), (-x["back"]).alias("start"), (x["n"] - x["back"]).alias("end"), s["score"].alias("score")))
+        return bind(made, lambda m: F.when(m["start"].isNotNull(), F.concat(acc, F.array(m))).otherwise(acc))
+
+    return F.aggregate(spans, F.array().cast(EMPTY), step)
+
+
+def _groups(spans: Column) -> Column:
+    """Spans by place, as arrays of those that hang together: a group begins where all before have ended."""
+    numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.alias("i")))
+    begins = scan(numbered, F.lit(-1), lambda reach, s: (F.greatest(reach, s["end"]), F.when(s["start"] >= reach, s["i"])), "int")
+    both = lambda at: F.zip_with(at, F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(spans))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.transform(bind(begins, both), lambda x: F.slice(spans, x["a"] + 1, x["b"] - x["a"]))
+
+
 def resolve(spans: Column, strategy: str = "keep_best", length: Column | None = None) -> Column:
     """Detections without overlaps, in order. none: a span that starts before the last one ends goes;
     keep_best: the better one of two that overlap stays; trim: the worse one keeps its longest free part. With the `length` of their
-    text, only spans with 0 <= start < end <= length count."""
+    text, only spans with 0 <= start < end <= length count.
+
+    An expression, so it may stand anywhere: n log n in the spans, but quadratic in those of one group that hangs together by
+    overlaps; `anonymize_frame(swept=True)` is n log n in these too."""
     if strategy not in STRATEGIES:
         raise ValueError(f"no strategy {strategy!r}; there are {STRATEGIES}")
     spans = typed(spans)
-    if strategy != "none":
-        return (best_spans if strategy == "keep_best" else trimmed_spans)(spans, F.lit(None).cast("int") if length is None else length)
-    if length is not None:
-        within = spans
-        spans = bind(length, lambda n: F.filter(within, lambda s: (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= n)))
-    return scan(by_place(spans), F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), DETECTION.simpleString())
+    sound = (lambda s: s["start"] < s["end"]) if length is None else (lambda s: (s["start"] >= 0) & (s["start"] < s["end"]))
+    whole = F.filter(spans, sound) if length is None else bind(length, lambda n: F.filter(spans, lambda s: sound(s) & (s["end"] <= n)))
+    if strategy == "none":
+        return scan(by_place(whole), F.lit(0), lambda end, s: (F.when(s["start"] >= end, s["end"]).otherwise(end), F.when(s["start"] >= end, s)), DETECTION.simpleString())
+    apart = lambda acc, s: ~F.exists(acc, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    best = (lambda g: _fold(by_priority(g), apart)) if strategy == "keep_best" else (lambda g: _trimmed(by_priority(g)))
+    return bind(by_place(whole), lambda p: F.when(F.size(p) > 0, F.flatten(F.transform(_groups(p), lambda g: F.when(F.size(g) > 1, by_place(best(g))).otherwise(g)))).otherwise(p))
 
 
 def _chosen(operators: dict[str, Operator], value: Column, entity: Column) -> tuple[Column, Column]:
@@ -150,9 +190,9 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
         tail = cut(whole, F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)), F.length(text))
         return bind(bind(F.transform(found, part), laid), lambda done: F.struct(F.concat(done["text"], tail).alias("text"), done["items"].alias("items")))
 
-    some = bind(F.struct(spans.alias("found"), pieces(text).alias("whole")), lambda x: over(x["found"], x["whole"]))
     none = F.struct(text.alias("text"), empty.alias("items"))
-    return F.when(text.isNotNull(), F.when(F.coalesce(F.size(detections), F.lit(0)) > 0, some).otherwise(none).cast(ENGINE_RESULT))
+    done = bind(spans, lambda found: F.when(F.size(found) > 0, bind(pieces(text), lambda whole: over(found, whole))).otherwise(none))
+    return F.when(text.isNotNull(), done.cast(ENGINE_RESULT))
 
 
 def _reverse(op: Operator, strict: bool) -> Operator:
@@ -177,9 +217,13 @@ def redact_all(text: Column, detections: Column) -> Column:
     return anonymize(text, detections, {"DEFAULT": Operator("redact")})["text"]
 
 
-def anonymize_frame(df: DataFrame, text: str, detections: str, operators: dict[str, Operator] | None = None, strategy: str = "keep_best", into: str = "anonymized") -> DataFrame:
-    """`df` with the result struct. Rows are independent, so the work follows the input's partitions."""
-    return df.withColumn(into, anonymize(F.col(text), F.col(detections), operators, strategy))
+def anonymize_frame(df: DataFrame, text: str, detections: str, operators: dict[str, Operator] | None = None, strategy: str = "keep_best", into: str = "anonymized", swept: bool = False) -> DataFrame:
+    """`df` with the result struct. Rows are independent, so the work follows the input's partitions. With `swept` conflicts are
+    resolved in Arrow batches first (see `sweep`), for texts in which thousands of spans hang together by overlaps."""
+    if not swept or strategy == "none":
+        return df.withColumn(into, anonymize(F.col(text), F.col(detections), operators, strategy))
+    ready = sweep_frame(df.withColumn(into, typed(F.coalesce(F.col(detections), F.array().cast(EMPTY)))), text, into, strategy == "trim")
+    return ready.withColumn(into, anonymize(F.col(text), F.col(into), operators, "none"))
 
 
 def anonymize_record(value: Column, fields: dict[str, Operator], kinds: dict[str, str] | None = None) -> Column:

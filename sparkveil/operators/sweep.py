@@ -8,12 +8,12 @@ sorted list of gaps in blocks that know their longest gap.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 from ..schemas import DETECTION
 
@@ -134,14 +134,13 @@ def resolved(spans: pa.ListArray, trim: bool, texts: pa.Array | None = None) ->
     return pa.ListArray.from_arrays(pa.array(bounds), values, mask=spans.is_null())
 
 
-KIND = T.ArrayType(DETECTION)
+def sweep_frame(df: DataFrame, text: str, spans: str, trim: bool) -> DataFrame:
+    """`df` with the arrays of `DETECTION` in `spans` resolved, within the lengths of `text`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(spans)
+            made = resolved(b.column(at), trim, pc.utf8_length(b.column(text)))
+            yield pa.RecordBatch.from_arrays([made if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-@F.arrow_udf(KIND)
-def best_spans(spans: pa.Array, length: pa.Array) -> pa.Array:
-    return resolved(spans, False, length)
-
-
-@F.arrow_udf(KIND)
-def trimmed_spans(spans: pa.Array, length: pa.Array) -> pa.Array:
-    return resolved(spans, True, length)
+    return df.mapInArrow(run, df.schema)

@@ -8,6 +8,7 @@ import time
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkveil.functions import arrays, detect
 from sparkveil.operators import anonymize as anon
@@ -133,3 +134,21 @@ def test_200_000_spans_in_one_text(spark, strategy):
     began = time.perf_counter()
     got = out.first()
     assert time.perf_counter() - began < 60 and got.n > n // 2 and got.left < 5 * n
+
+
+def test_expressions_and_sweep_agree(spark):
+    """Spans from `find` under both forms, and random overlaps, against the definition."""
+    rng = random.Random(9)
+    rows = [(i, "x" * 120, [("T", s := rng.randrange(110), s + 1 + rng.randrange(30), rng.randrange(4) / 4) for _ in range(rng.randrange(0, 30))]) for i in range(60)]
+    df = spark.createDataFrame([*rows, (99, "ab", None), (98, None, [("T", 0, 1, 0.5)])], f"i int, t string, d {T.ArrayType(DETECTION).simpleString()}")
+    for strategy in ("keep_best", "trim"):
+        ops = {"DEFAULT": anon.Operator("redact")}
+        forms = [anon.anonymize_frame(df, "t", "d", ops, strategy, "a", swept) for swept in (False, True)]
+        one, two = ({r.i: r.a for r in f.select("i", "a").collect()} for f in forms)
+        assert one == two and one[98] is None and one[99].text == "ab"
+        got = {r.i: [tuple(x) for x in r.s] for r in df.where("i < 98").select("i", anon.resolve(F.col("d"), strategy, F.length("t")).alias("s")).collect()}
+        assert all(got[i] == plain([x for x in d if x[2] <= 120], strategy == "trim") for i, _, d in rows)
+    found = F.transform(detect.find(F.col("t"), "email"), lambda s: F.struct(s["identifier_type"].alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.lit(1.0).alias("score")))
+    mail = spark.createDataFrame([("x a@b.co y",)], "t string")
+    assert mail.select(anon.anonymize(F.col("t"), found).alias("a")).first().a.text == "x <email> y"
+    assert anon.anonymize_frame(mail.select("t", found.alias("d")), "t", "d", swept=True).first().anonymized.text == "x <email> y"
