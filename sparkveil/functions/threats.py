@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .structure import has_external_entities, xml_threats
+
 SQL_KEYWORD = r"(?i)\b(?:select|insert|update|delete|drop|alter|create|truncate|exec(?:ute)?|union|grant|revoke|merge)\b"
 SQL_COMMENT = r"--|/\*|\*/|#\s*$"
 SQL = {
@@ -40,7 +42,6 @@ XSS = {
     "script": r"(?i)<\s*script\b", "handler": r"(?i)<[^>]*\bon[a-z]{3,}\s*=", "javascript_url": r"(?i)\bjavascript\s*:", "data_url": r"(?i)\bdata\s*:\s*text/html",
     "embedding": r"(?i)<\s*(?:iframe|object|embed|svg|base|meta|link)\b", "expression": r"(?i)expression\s*\(|vbscript\s*:",
 }
-XXE = {"doctype": r"(?i)<!DOCTYPE", "entity": r"(?i)<!ENTITY", "external": r"(?i)\b(?:SYSTEM|PUBLIC)\s+[\"']", "parameter_entity": r"<!ENTITY\s+%|%[A-Za-z_][\w.-]*;"}
 GRAPHQL = {"introspection": r"__schema\b|__type\b", "fragment": r"\bfragment\s+\w+\s+on\b|\.\.\.", "directive": r"@(?:include|skip|defer|stream)\b", "mutation": r"\bmutation\b"}
 
 
@@ -110,11 +111,11 @@ def xss_threats(value: Column) -> Column:
 
 
 def is_xxe(value: Column) -> Column:
-    return value.rlike(XXE["entity"]) | (value.rlike(XXE["doctype"]) & value.rlike(XXE["external"]))
+    return has_external_entities(value)
 
 
 def xxe_threats(value: Column) -> Column:
-    return _list(value, XXE)
+    return xml_threats(value)
 
 
 def graphql_depth(value: Column) -> Column:
