@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..schemas import CONFIDENCE, SPAN
 from .arrays import bind, cut, measured, pieces, scan as running
 from .checksums import VALIDATORS
+from .links import acceptable
 from .patterns import BY_NAME, GATES, POSTAL_WINDOW, POSTAL_WORDS, PRESETS, PROVIDERS, TYPES, Gate, Type
 from .words import AMBIGUOUS
 
@@ -53,6 +54,8 @@ def passes(kind: Type, match: Column) -> Column:
         return match.rlike("[_.-]") & ~match.rlike("^[0-9]+$")
     if kind.check == "postal":  # the short forms only count with context: see `find`
         return ~match.rlike("^[0-9]{4}$") & ~match.rlike("^[0-9]{6}$")
+    if kind.check == "link":
+        return acceptable(match)
     bare = match
     if kind.name in DIGITS_ONLY:
         bare = F.regexp_replace(match, r"[^0-9]", "")

@@ -31,7 +31,7 @@ PARTIAL: dict[str, Callable[[Column], Column]] = {
     "age": lambda v: masking.age_bucket(F.regexp_extract(v, "([0-9]{1,3})", 1).try_cast("int")),
     "gps_coordinates": lambda v: F.regexp_replace(v, r"(\.[0-9])[0-9]+", "$1"),
     "postal_code": lambda v: masking.show_first(v, 3),
-    "url": lambda v: F.regexp_extract(v, r"^[a-z]+://[^/?#]+", 0),
+    "url": lambda v: F.regexp_extract(v, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]+", 0),
     "vin": lambda v: masking.show_last(v, 6),
 }
 

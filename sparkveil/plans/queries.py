@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import checksums, context, dates, detect, entropy, files, masking, network, redact, text, threats, tokens, words
+from ..functions import checksums, context, dates, detect, entropy, files, masking, network, redact, structure, text, threats, tokens, words
 from ..functions.patterns import BY_NAME
 from ..functions.times import micros
 from ..operators import anonymize as anon
@@ -49,8 +49,14 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: Links of the web in texts without brackets, for the SQL.
+PLAIN_URL = r"https?://[^\s<>\"]*[A-Za-z0-9/]"
+
+
 def _all(name: str) -> str:
-    """All patterns of a type as one, which holds where they don't overlap."""
+    """All patterns of a type as one, which holds where they don't overlap. Links have a plain form for engines without look-around."""
+    if name == "url":
+        return PLAIN_URL
     return "|".join(f"(?:{p})" for p in BY_NAME[name].patterns)
 
 
@@ -153,7 +159,7 @@ def find_api_keys(spark, sf_dir):
     return spans.spans_table(documents(spark, sf_dir), ["api_key"]).select("doc_id", "matched_text")
 
 
-@query(f"SELECT page_id, unnest(regexp_extract_all(url, {pattern('url')})) AS matched_text FROM pages")
+@query(f"SELECT page_id, unnest(regexp_extract_all(url, {quoted(PLAIN_URL)})) AS matched_text FROM pages")
 def find_urls(spark, sf_dir):
     return spans.spans_table(table(spark, sf_dir, "pages"), ["url"], "page_id", "url").select("page_id", "matched_text")
 
@@ -811,3 +817,71 @@ def jwt_documents(spark, sf_dir):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers by language: the flagship report."""
     return pii_by_lang(spark, sf_dir)
+
+
+# ---- structured texts
+
+_STRUCTURED = f"""CASE c_custkey % 10 WHEN 0 THEN repeat('{{"a":[', c_custkey % 71) || '"]}}"' || repeat(']}}', c_custkey % 13) WHEN 1 THEN '<!DOCTYPE note><note>' || {_A} || '</note>'
+WHEN 2 THEN '<!DOCTYPE a [<!ENTITY x' || {_A} || ' SYSTEM "file:///etc/hosts">]><a>&x;</a>' WHEN 3 THEN '<!doctype a [<!ENTITY % p' || {_A} || ' "q">]><a/>' WHEN 4 THEN '<!DOCTYPE a [<!ENTITY a "ha"><!ENTITY b "' || repeat('&a;', c_custkey % 7) || '">]><a>&b;</a>'
+WHEN 5 THEN 'run: !!python/object/apply:os.system [' || {_A} || ']' WHEN 6 THEN 'base: &b' || chr(10) || '  k: 1' || chr(10) || 'all:' || chr(10) || repeat('- *b' || chr(10), c_custkey % 17) WHEN 7 THEN '- !!ruby/struct:' || {_A}
+WHEN 8 THEN 'plain: ' || {_A} || chr(10) || 'list: [1, 2]' ELSE '{{"id": ' || c_custkey || ', "tags": ["x", "y"]}}' END"""
+_JSON, _YAML = structure.JsonPolicy(max_depth=32, max_size=150), structure.YamlPolicy(max_aliases=2)
+
+
+def _depth_sql(key: str, marks: str, opening: str, closing: str, leaf: str = "''") -> str:
+    """Greatest depth by running sums: a closing mark too many lifts the ground."""
+    return f"""SELECT {key}, max(depth) AS depth FROM (SELECT {key}, s - least(0, min(s) OVER w) + CAST(leaf AS INT) AS depth FROM (SELECT {key}, i, leaf, sum(d) OVER w AS s FROM
+(SELECT {key}, i, c = {leaf} AS leaf, CASE WHEN c IN ({opening}) THEN 1 WHEN c IN ({closing}) THEN -1 ELSE 0 END AS d FROM (SELECT {key}, i, substr(m, i, 1) AS c FROM (SELECT {key}, m, unnest(range(1, length(m) + 1)) AS i FROM ({marks}))))
+WINDOW w AS (PARTITION BY {key} ORDER BY i)) WINDOW w AS (PARTITION BY {key} ORDER BY i)) GROUP BY {key}"""
+
+
+def _format_sql(key: str, rows: str) -> str:
+    """`rows` gives the key and a text t."""
+    has = lambda p: f"regexp_matches(t, {quoted(p)})"
+    n = lambda p: f"len(regexp_extract_all(t, {quoted(p)}))"
+    marks = f"SELECT {key}, regexp_replace(t, '[^{{}}\\[\\]]', '', 'g') AS m FROM r"
+    return f"""WITH r AS ({rows}), d AS ({_depth_sql(key, marks, "'{', '['", "'}', ']'", 'NULL').replace('+ CAST(leaf AS INT)', '')}),
+w AS (SELECT {key}, t, concat_ws(',', CASE WHEN {has(structure.EXTERNAL_ENTITY)} THEN 'xxe_external_entity' END, CASE WHEN {has(structure.PARAMETER_ENTITY)} THEN 'xxe_parameter_entity' END, CASE WHEN {has(structure.ENTITY_EXPANSION)} THEN 'xxe_billion_laughs' END) AS worse FROM r)
+SELECT w.{key}, concat_ws(',', CASE WHEN strlen(t) > {_JSON.max_size} THEN 'json_size_exceeded' END, CASE WHEN depth > {_JSON.max_depth} THEN 'json_depth_exceeded' END) AS json,
+CASE WHEN worse = '' AND {has(structure.DOCTYPE)} THEN 'dtd_present' ELSE worse END AS xml,
+concat_ws(',', CASE WHEN {has('|'.join(structure.UNSAFE_TAGS))} THEN 'yaml_unsafe_tag' END, CASE WHEN {n(structure.ALIAS)} > {_YAML.max_aliases} OR ({n(structure.ANCHOR)} > 0 AND {n(structure.ALIAS)} > 3 * {n(structure.ANCHOR)}) THEN 'yaml_anchor_bomb' END) AS yaml,
+worse = '' AND NOT {has(structure.DOCTYPE)} AS xml_safe FROM w LEFT JOIN d ON w.{key} = d.{key}"""
+
+
+def _format_threats(rows: DataFrame, key: str) -> DataFrame:
+    t = F.col("t")
+    joined = lambda threats: F.array_join(threats, ",")
+    return rows.select(
+        key, joined(structure.json_threats(t, _JSON)).alias("json"), joined(structure.xml_threats(t)).alias("xml"), joined(structure.yaml_threats(t, _YAML)).alias("yaml"), structure.xml_safe(t).alias("xml_safe"),
+    )
+
+
+@query(_format_sql("c_custkey", f"SELECT c_custkey, {_STRUCTURED} AS t FROM customer"))
+def format_threats(spark, sf_dir):
+    return _format_threats(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_STRUCTURED).alias("t")), "c_custkey")
+
+
+@query(_format_sql("page_id", "SELECT page_id, html AS t FROM pages WHERE html IS NOT NULL"))
+def page_format_threats(spark, sf_dir):
+    return _format_threats(table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", F.col("html").alias("t")), "page_id")
+
+
+# What is no element goes first; then a mark for each tag. The SQL's patterns are plain: it runs over pages without angle brackets in attributes.
+_TAGS = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Za-z][^\[<>]*>', '', 'g'), '[\x01-\x03]', '', 'g')"
+_QUOTED = """|"[^"]*"|''[^'']*''"""
+_MARKS = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TAGS}, '<[A-Za-z_:](?:[^<>"''/]{_QUOTED}|/+[^/>])*/>', chr(3), 'g'), '</[^<>]*>', chr(2), 'g'), '<[A-Za-z_:](?:[^<>"''/]{_QUOTED}|/+[^/>])*>', chr(1), 'g'), '[^\x01-\x03]', '', 'g')"""
+
+
+@query(f"""WITH r AS (SELECT page_id, {_MARKS} AS m FROM pages WHERE html IS NOT NULL), d AS ({_depth_sql('page_id', 'SELECT * FROM r', 'chr(1)', 'chr(2)', 'chr(3)')})
+SELECT r.page_id, CAST(coalesce(depth, 0) AS INT) AS depth, CAST(length(replace(m, chr(2), '')) AS INT) AS elements FROM r LEFT JOIN d ON r.page_id = d.page_id""")
+def page_shape(spark, sf_dir):
+    s = structure.xml_shape(F.col("html"))
+    return table(spark, sf_dir, "pages").where("html IS NOT NULL").select("page_id", s["depth"].alias("depth"), s["elements"].alias("elements"))
+
+
+@query()
+def format_limits(spark, sf_dir):
+    """Limits that the texts break; what entities and anchors expand to has no SQL."""
+    t, p = F.col("t"), structure.Limits(max_bytes=400, max_depth=20, max_elements=60, max_expansions=3)
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_STRUCTURED).alias("t"))
+    return made.select("c_custkey", *[F.array_join(structure.over_limits(t, kind, p), ",").alias(kind) for kind in structure.SHAPES])

@@ -110,7 +110,7 @@ def test_gates_let_every_match_through(spark, domain):
     @given(st.data())
     def make(data):
         for t in TYPES:
-            if t.domain == domain and t.name in GATES and not t.words:
+            if t.domain == domain and t.name in GATES and not t.words and t.name != "url":  # no pattern for Python; test_links
                 for p in t.patterns:
                     m = data.draw(st.from_regex(re.compile(p, re.ASCII), fullmatch=False))
                     rows.append((t.name, f"Some words, {m} and more 12 of them."))

@@ -47,3 +47,13 @@ def test_entropy_words_equal_plain(spark, sf_dir):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     expected = [(r.doc_id, w) for r in docs for w in re.split(r"[\s\"'`,;:=(){}\[\]<>|&]+", r.text or "", flags=re.ASCII) if len(w) >= 20 and high(w)]
     assert sorted(map(tuple, queries.QUERIES["entropy_words"](spark, folder).collect())) == sorted(expected)
+
+
+def test_format_limits_equal_plain(spark, sf_dir):
+    """What the made texts expand to, by their keys: each alias three nodes, the outer entity itself and its references."""
+    got = {r.c_custkey: r for r in queries.QUERIES["format_limits"](spark, sf_dir).collect()}
+    assert len(got) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    for key, r in got.items():
+        assert ("expansions" in r.xml) == (key % 10 == 4 and 1 + key % 7 > 3), key
+        assert ("expansions" in r.yaml) == (key % 10 == 6 and key % 17 * 3 > 3), key
+        assert ("depth" in r.json) == (key % 10 == 0 and 2 * (key % 71) > 20), key
