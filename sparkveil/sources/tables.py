@@ -17,17 +17,61 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataF
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def append_idempotent(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id") -> None:
-    """Append to a Parquet table what it doesn't hold; appending the same rows again changes nothing."""
+#: Up to so many days of incoming rows are named to the scan one by one, beyond it their range is; up to so many keys are held
+#: against the files' Bloom filters.
+MAX_DAYS, MAX_KEYS = 1000, 100
+
+
+def _existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     try:
-        existing = spark.read.schema(incoming.schema).parquet(path)
-        existing.take(1)
+        existing = spark.read.schema(schema).parquet(path)
+        existing.take(0)
+        return existing
     except Exception as e:  # the table doesn't exist yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        incoming.dropDuplicates([key]).write.parquet(path)
+        return None
+
+
+def append_idempotent(spark: SparkSession, path: str, incoming: DataFrame, key: str = "id", ts: str | None = None) -> None:
+    """Append to a Parquet table what it doesn't hold; appending the same rows again changes nothing. Null keys are not
+    there yet, ever; of them one row comes in each time.
+
+    With `ts`, a timestamp, the table is kept by day (column `day`): a row is there if its key is there on its day, and only
+    the days of the incoming rows are read (`candidates`). `incoming` is evaluated anew for its days, its keys and its rows.
+    """
+    rows = incoming if ts is None else incoming.withColumn("day", F.to_date(ts))
+    existing = _existing(spark, path, rows.schema)
+    if ts is None:
+        new = incoming.dropDuplicates([key]) if existing is None else new_rows(existing, incoming, key)
+        new.write.mode("append").parquet(path)
         return
-    new_rows(existing, incoming, key).write.mode("append").parquet(path)
+    new = rows.dropDuplicates([key, "day"])
+    if existing is not None:
+        same = (F.col("n." + key) == F.col("e." + key)) & F.col("n.day").eqNullSafe(F.col("e.day"))
+        new = new.alias("n").join(candidates(existing, rows, key).alias("e"), same, "left_anti")
+    # A task writes a file for each of its days; together in a task, a day's rows of an ordinary batch make one file.
+    new.repartition("day").write.partitionBy("day").option(f"parquet.bloom.filter.enabled#{key}", "true").mode("append").parquet(path)
+
+
+def candidates(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """(key, day) of the rows of a table kept by day that incoming rows may repeat. Days are pruned by name or range. Of a small
+    batch the keys are pushed to the scan, where files' Bloom filters refuse them; else a semi join leaves what the batch
+    names, for which Spark makes a Bloom filter of its own where the table is large."""
+    days = [r[0] for r in incoming.select("day").distinct().limit(MAX_DAYS + 1).collect()]
+    if len(days) > MAX_DAYS:
+        low, high, nulls = incoming.agg(F.min("day"), F.max("day"), F.count_if(F.col("day").isNull())).first()
+        within = F.col("day").between(low, high) | (F.col("day").isNull() if nulls else F.lit(False))
+    else:
+        within = F.col("day").isin([d for d in days if d is not None]) | (F.col("day").isNull() if None in days else F.lit(False))
+    found = existing.where(within).select(key, "day")
+    keys = [r[0] for r in incoming.select(key).where(F.col(key).isNotNull()).distinct().limit(MAX_KEYS + 1).collect()]
+    if len(keys) > MAX_KEYS:
+        return found.join(incoming.select(key).distinct(), key, "left_semi")
+    some = F.lit(False)
+    for k in keys:
+        some = some | (F.col(key) == F.lit(k))
+    return found.where(some)
 
 
 def retained(events: DataFrame, days: int, now, ts: str = "timestamp") -> DataFrame:
@@ -49,9 +93,33 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 1000, **options
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode("append").save()
 
 
+def _head(path: str, size: int) -> bytes:
+    """The first bytes of a file, wherever pyarrow finds it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        files, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as f:
+        return f.read_at(size, 0)
+
+
+def read_heads(spark: SparkSession, path: str, size: int = 512, opener: Callable[[str, int], bytes] = _head) -> DataFrame:
+    """(path, length, head) of files: Spark lists them, and each task reads `size` bytes of its own, so that memory doesn't
+    depend on their lengths. Spark lists no empty files. `opener` reads from stores that pyarrow doesn't know."""
+
+    @F.pandas_udf("binary")
+    def heads(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: opener(p, size))
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return listed.withColumn("head", heads("path"))
+
+
 def read_typed_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, file_type) of binary files by their first bytes."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", file_type(F.substring("content", 1, 512)).alias("file_type"))
+    return read_heads(spark, path).select("path", "length", file_type(F.col("head")).alias("file_type"))
 
 
 def read_format(spark: SparkSession, path: str, kind: str, schema: T.StructType, row_tag: str = "row") -> DataFrame:
