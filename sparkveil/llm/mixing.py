@@ -1,8 +1,8 @@
 """Mixing to target weights: iterative proportional fitting of token mass to source, language and topic
 marginals, then sampling by the calibrated probabilities.
 
-Tokens are those of the tokenizer that packs them. Topics are clusters of hashed words, fitted on a bounded
-sample; what the languages share is taken out first, so that topics don't repeat the languages. Raking is
+Tokens are those of the tokenizer that packs them. Topics are clusters of hashed words, fitted on all
+documents; what the languages share is taken out first, so that topics don't repeat the languages. Raking is
 bounded: a probability never exceeds one, and what a full cell can't give, its neighbours give within the
 same marginals. Where the wanted share of the corpus is too much for the targets, less is kept.
 """
@@ -10,8 +10,8 @@ same marginals. Where the wanted share of the corpus is too much for the targets
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, positional, sliced, texts_of
-from .packing import tokenizer
-from .words import FIRST, owners, scattered, word_hashes
+from .common import materialize, positional, sliced
+from .packing import split_words, tokenizer
+from .words import FIRST, owners, scattered, word_features, word_hashes
 
 #: What stands for null and for values that have no target.
 OTHER = "other"
@@ -35,15 +35,16 @@ TARGETS = {
 @dataclass(frozen=True)
 class Params:
     """targets: for columns of the documents the wanted share of the tokens by value; topics: clusters to
-    fit; temper: a topic's target is its share of the sample to this power; topic_rows, topic_bits: bound of
-    the sample, hashed dimensions; keep: wanted share of all tokens, lowered to `least_keep` at worst where the
+    fit; temper: a topic's target is its share of the words to this power; topic_starts, topic_rounds: words whose
+    documents' mean may start a topic, rounds at most; topic_bits: hashed dimensions, 16 at most; keep: wanted share of all tokens, lowered to `least_keep` at worst where the
     targets need it; sweeps, tolerance: of the raking, in shares; salt: of the sampling hash; max_cells:
     bound of the product of the targets' sizes, which reach the driver; cache_words: as in packing."""
 
     targets: dict[str, dict[str, float]] = field(default_factory=lambda: TARGETS)
     topics: int = 6
     temper: float = 0.5
-    topic_rows: int = 2000
+    topic_starts: int = 32
+    topic_rounds: int = 20
     topic_bits: int = 11
     keep: float = 0.7
     least_keep: float = 0.2
@@ -56,8 +57,8 @@ class Params:
 
 @dataclass(frozen=True)
 class Topics:
-    """weight: of each hashed word for each topic; offset: by language, what its mean text scores; share: of the
-    sample's words by topic."""
+    """weight: of each hashed word for each topic; offset: by language, what its mean text scores; share: of all
+    words by topic."""
 
     bits: int
     weight: np.ndarray
@@ -70,10 +71,12 @@ class Topics:
 
     def assign(self, texts: list[str], langs: list[str]) -> list[str]:
         """The topic of each whole text; texts without words have none."""
-        counts = word_counts(texts, self.bits)
-        n = counts.sum(1)
-        rows = np.array([self.langs.get(x, self.langs[OTHER]) for x in langs])
-        best = (counts @ self.weight / np.maximum(n, 1)[:, None] - self.offset[rows]).argmax(1)
+        return self.of_bags(Bags.of(word_counts(texts, self.bits)), langs)
+
+    def of_bags(self, bags: Bags, langs: list[str]) -> list[str]:
+        rows = np.array([self.langs.get(x, self.langs[OTHER]) for x in langs], dtype=np.int64)
+        n = bags.sums(bags.times)
+        best = (bags.scores(bags.times, self.weight.T) / np.maximum(n, 1)[:, None] - self.offset[rows]).argmax(1)
         return [f"topic{i}" if m else OTHER for i, m in zip(best.tolist(), n.tolist(), strict=True)]
 
 
@@ -82,59 +85,168 @@ def word_counts(texts: list[str], bits: int) -> np.ndarray:
     h, bounds = word_hashes(texts)
     with np.errstate(over="ignore"):
         feature = scattered(h * FIRST, bits)
-    return np.bincount((owners(bounds) << bits) | feature, minlength=len(texts) << bits).reshape(len(texts), -1).astype(np.float64)
-
-
-def cluster(counts: np.ndarray, langs: list[str], p: Params, seed: int = 3, rounds: int = 20) -> Topics:
-    """Spherical k-means over word frequencies, weighted by rarity, less their language's mean."""
-    some = np.flatnonzero(counts.sum(1))
-    counts, langs = counts[some], [langs[i] for i in some]
-    n = counts.sum(1)
-    rarity = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))
-    x = counts / n[:, None] * rarity
-    names = sorted({*langs, OTHER})
-    rows = np.array([names.index(v) for v in langs])
-    means = np.stack([x[rows == i].mean(0) if (rows == i).any() else x.mean(0) for i in range(len(names))])
-    r = x - means[rows]
-    r /= np.maximum(np.sqrt((r * r).sum(1, keepdims=True)), 1e-12)
-    rng = np.random.default_rng(seed)
-    picks = [int(rng.integers(len(r)))]
-    for _ in range(min(p.topics, len(r)) - 1):  # seeds far from those before
-        picks.append(int((r @ r[picks].T).max(1).argmin()))
-    centres = r[picks]
-    for _ in range(rounds):
-        own = (r @ centres.T).argmax(1)
-        sums = np.stack([r[own == i].sum(0) if (own == i).any() else centres[i] for i in range(len(centres))])
-        centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
-    own = (r @ centres.T).argmax(1)
-    share = np.bincount(own, n, minlength=len(centres)) / n.sum()
-    by = np.argsort(-share, kind="stable")
-    return Topics(p.topic_bits, (centres[by] * rarity).T.copy(), {v: i for i, v in enumerate(names)}, means @ centres[by].T, share[by])
+    return tallied(feature, bounds, bits)
 
 
-def fit_topics(docs: DataFrame, p: Params, key: str, text: str, lang: str | None) -> Topics | None:
-    """Topics from the documents whose keys have the smallest hashes; None if no text has words. Only their word
-    counts, at most `topic_rows` times 2**`topic_bits`, reach the driver."""
-    some = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    chosen = some.select(key).distinct().orderBy(F.xxhash64(key), key).limit(p.topic_rows)
-    value = F.lit(OTHER) if lang is None else F.coalesce(F.col(lang).cast("string"), F.lit(OTHER))
-    rows = some.select(F.col(key).alias("key"), F.col(text).alias("text"), value.alias("lang")).join(F.broadcast(chosen.select(F.col(key).alias("key"))), "key")
-    rows = rows.groupBy("key").agg(F.min(F.struct("text", "lang")).alias("t")).select(F.xxhash64("key").alias("order"), F.col("key").cast("string").alias("name"), "t.text", "t.lang")
+def tallied(feature: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    n = len(bounds) - 1
+    return np.bincount((owners(bounds) << bits) | feature, minlength=n << bits).reshape(n, -1).astype(np.float64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text", max_rows=500):
-            counts = word_counts(texts_of(b), p.topic_bits)
-            at = [np.flatnonzero(c) for c in counts]
-            yield pa.RecordBatch.from_arrays([b.column("order"), b.column("name"), b.column("lang"), pa.array(at), pa.array([c[i] for c, i in zip(counts, at, strict=True)])], names=["order", "name", "lang", "at", "n"])
 
-    found = rows.mapInArrow(run, "order long, name string, lang string, at array<long>, n array<double>").toPandas().sort_values(["order", "name"])
-    if not found["at"].map(len).any():
+@dataclass(frozen=True)
+class Bags:
+    """The different hashed words of some texts, one text after the other, how often each occurs, and the bounds of each text."""
+
+    at: np.ndarray
+    times: np.ndarray
+    bounds: np.ndarray
+
+    @staticmethod
+    def of(counts: np.ndarray) -> Bags:
+        own, at = np.nonzero(counts)
+        return Bags(at, counts[own, at], np.searchsorted(own, np.arange(len(counts) + 1)))
+
+    def scores(self, values: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """By text and row of `of` the sum of values by word times what the row has for it."""
+        return np.stack([self.sums(values * row[self.at]) for row in np.ascontiguousarray(of)], axis=1)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """The sums over each text of values by word."""
+        out, some = np.zeros(len(self.bounds) - 1), np.diff(self.bounds) > 0
+        if some.any():
+            out[some] = np.add.reduceat(values, self.bounds[:-1][some])
+        return out
+
+
+#: Sums over documents are of multiples of this, so that they are exact and the same in any order up to 2**29 documents
+#: (as many hundreds fewer as a text is close to its language's mean).
+UNIT = 2.0**-24
+Step = Callable[[Bags, np.ndarray], np.ndarray]
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / UNIT)
+
+
+def tally(at: np.ndarray, weights: np.ndarray | None, rows: int, columns: int) -> np.ndarray:
+    return np.bincount(at, weights, minlength=rows * columns).astype(np.float64).reshape(rows, columns)
+
+
+def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str], p: Params) -> Topics | None:
+    """Spherical k-means over word frequencies, weighted by rarity, less their language's mean; None without words.
+
+    `total` adds up what a step makes of all documents (their words, and their languages' places in `names`) to an
+    array of the shape given. Topics start from the mean documents of the heaviest words, taken far from those
+    before; rounds end when no sum changes, or after `topic_rounds`."""
+    size, k = 1 << p.topic_bits, len(names)
+
+    def seen(bags: Bags, rows: np.ndarray) -> np.ndarray:
+        own, n = owners(bags.bounds), bags.sums(bags.times)
+        docs = np.resize(np.bincount(rows[n > 0], minlength=k), (1, size)) * (np.arange(size) < k)
+        return np.vstack([np.bincount(bags.at, minlength=size), tally(rows[own] * size + bags.at, units(bags.times / n[own]), k, size), docs])
+
+    got = total(seen, (k + 2, size))
+    held, sums, docs = got[0], got[1:-1] * UNIT, got[-1][:k]
+    if not docs.sum():
         return None
-    counts = np.zeros((len(found), 1 << p.topic_bits))
-    for row, at, n in zip(counts, found["at"], found["n"], strict=True):
-        row[np.asarray(at, dtype=np.int64)] = n
-    langs = [v if v in p.targets.get("lang", {}) else OTHER for v in found["lang"]]
-    return cluster(counts, langs, p)
+    rarity = np.log((1 + docs.sum()) / (1 + held))
+    means = np.where(docs[:, None] > 0, sums / np.maximum(docs, 1)[:, None], sums.sum(0) / docs.sum()) * rarity
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), 0.0)
+
+    def weighed(bags: Bags, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By word its text and its weight; by text what brings weights less the language's mean to length 1 (0 where that is nothing)."""
+        own = owners(bags.bounds)
+        x = bags.times / bags.sums(bags.times)[own] * rarity[bags.at]
+        apart = bags.sums(x * (x - 2 * means[rows[own], bags.at])) + (means * means).sum(1)[rows]
+        return own, x, np.where(apart > 1e-12, 1 / np.sqrt(np.maximum(apart, 1e-12)), 0.0)
+
+    def less_means(got: np.ndarray) -> np.ndarray:
+        """Summed weights, then summed scales by language, as sums of texts of length 1 less their means."""
+        return unit((got[:, :size] - got[:, size:] @ means) * UNIT)
+
+    mass = sums.sum(0) * rarity
+    heavy = np.argsort(-mass, kind="stable")[: p.topic_starts]
+
+    def around(bags: Bags, rows: np.ndarray) -> np.ndarray:
+        own, x, scale = weighed(bags, rows)
+        dense = tally(own * size + bags.at, units(x * scale[own]), len(rows), size)
+        has = tally(own * size + bags.at, None, len(rows), size)[:, heavy].T
+        return np.hstack([has @ dense, has @ (units(scale)[:, None] * (rows[:, None] == np.arange(k)))])
+
+    starts = less_means(total(around, (len(heavy), size + k)))
+    starts = starts[(mass[heavy] > 0) & starts.any(1)]
+    if not len(starts):  # all texts are alike
+        starts = np.zeros((1, size))
+    picks = [0]
+    for _ in range(min(p.topics, len(starts)) - 1):
+        near = (starts @ starts[picks].T).max(1)
+        near[picks] = np.inf
+        picks.append(int(near.argmin()))
+    centres, last = starts[picks], None
+
+    def nearest(bags: Bags, rows: np.ndarray, x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return (bags.scores(x, centres) - (means @ centres.T)[rows]).argmax(1)
+
+    for _ in range(p.topic_rounds):
+
+        def moved(bags: Bags, rows: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
+            own, x, scale = weighed(bags, rows)
+            topic, n = nearest(bags, rows, x, centres), len(centres)
+            return np.hstack([tally(topic[own] * size + bags.at, units(x * scale[own]), n, size), tally(topic * k + rows, units(scale), n, k)])
+
+        now = total(moved, (len(centres), size + k))
+        if last is not None and (now == last).all():
+            break
+        last, new = now, less_means(now)
+        centres = np.where(new.any(1, keepdims=True), new, centres)
+
+    def words(bags: Bags, rows: np.ndarray) -> np.ndarray:
+        return tally(nearest(bags, rows, weighed(bags, rows)[1], centres), bags.sums(bags.times), len(centres), 1)
+
+    held = total(words, (len(centres), 1))[:, 0]
+    by = np.argsort(-held, kind="stable")
+    return Topics(p.topic_bits, (centres[by] * rarity).T.copy(), {v: i for i, v in enumerate(names)}, means @ centres[by].T, (held / held.sum())[by])
+
+
+def cluster(counts: np.ndarray, langs: list[str], p: Params) -> Topics | None:
+    """`fit` of word counts in memory."""
+    some, names = np.flatnonzero(counts.sum(1)), sorted({*langs, OTHER})
+    rows = np.array([names.index(v) for v in langs], dtype=np.int64)[some]
+    return fit(lambda step, shape: step(Bags.of(counts[some]), rows), names, p)
+
+
+def fit_worded(rows: DataFrame, p: Params) -> Topics | None:
+    """Topics from the hashed words of all rows of `worded`. Each task adds up its own documents, a few hundred at a time;
+    only the sums over all, whose number `Params` bounds, reach the driver."""
+    names = sorted({*p.targets.get("lang", {}), OTHER})
+    lang = F.col("in_lang") if "lang" in p.targets else F.lit(OTHER)
+    read = rows.select(lang.alias("lang"), "words", "times").where(F.length("words") > 0)
+
+    def total(step: Step, shape: tuple[int, int]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(shape)
+            for bags, b in bagged(batches):
+                out += step(bags, np.array([names.index(v) for v in b.column("lang").to_pylist()], dtype=np.int64))
+            at = np.flatnonzero(out)
+            for i in range(0, len(at), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000].astype(np.int32)), pa.array(out.ravel()[at[i : i + 10_000]])], names=["at", "value"])
+
+        found = read.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
+        out = np.zeros(shape)
+        out.ravel()[found["at"].to_numpy(dtype=np.int64)] = found["value"].to_numpy(dtype=float)
+        return out
+
+    return fit(total, names, p)
+
+
+def fit_topics(docs: DataFrame, p: Params, key: str, text: str, lang: str | None) -> Topics | None:
+    """Topics from all documents, repeated keys and none included; None if no text has words."""
+    plain, of = positional(docs)
+    p = p if lang is not None else replace(p, targets={})
+    return fit_worded(materialize(worded(plain, {"lang": of[lang]} if lang is not None else {}, replace(p, targets={d: t for d, t in p.targets.items() if d == "lang"}), None, [], of[text]), "mix-words"), p)
 
 
 def wanted(p: Params, topics: Topics | None) -> dict[str, dict[str, float]]:
@@ -145,27 +257,65 @@ def wanted(p: Params, topics: Topics | None) -> dict[str, dict[str, float]]:
     return p.targets | {"topic": dict(zip(topics.names(), (flat / flat.sum()).tolist(), strict=True))}
 
 
-def celled(docs: DataFrame, of: dict[str, str], goals: dict, p: Params, topics: Topics | None, path: str, keep: list[str], text: str, mass: bool) -> DataFrame:
-    """The columns `keep` of `docs` (named by position), an `in_` column for each dimension and, with `mass`, the document's tokens and end id. The
-    text is read once, whole, in Arrow batches; null counts as empty."""
-    dims = [d for d in goals if d in of]
-    base = docs.select(*dict.fromkeys([*keep, *(of[d] for d in dims), text]))
-    fields = [*[base.schema[c] for c in keep], *[T.StructField(f"in_{d}", T.StringType()) for d in goals], *([T.StructField("mass", T.LongType())] if mass else [])]
-    known = {d: frozenset(shares) - {OTHER} for d, shares in goals.items()}
+def bagged(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[Bags, pa.RecordBatch]]:
+    """The words of the rows of `worded`, some rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            b = batch.slice(start, rows)
+            words = b.column("words").to_numpy(zero_copy_only=False).tolist()
+            times = b"".join(b.column("times").to_numpy(zero_copy_only=False).tolist())
+            bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in words])])
+            yield Bags(np.frombuffer(b"".join(words), dtype="<u2").astype(np.int64), np.frombuffer(times, dtype="<u4").astype(np.float64), bounds), b
+
+
+def worded(docs: DataFrame, of: dict[str, str], p: Params, path: str | None, keep: list[str], text: str) -> DataFrame:
+    """The columns `keep` of `docs` (named by position), an `in_` column for each target, the document's hashed words
+    (two bytes each, each once) and how often each occurs (four bytes) unless there are no topics and, with the `path` of a tokenizer, its mass, tokens and
+    end id. The text is read once, whole, in Arrow batches; null counts as empty."""
+    if p.topic_bits > 16:
+        raise ValueError("topic_bits is 16 at most")
+    base = docs.select(*dict.fromkeys([*keep, *(of[d] for d in p.targets), text]))
+    fields = [*[base.schema[c] for c in keep], *[T.StructField(f"in_{d}", T.StringType()) for d in p.targets], *([T.StructField(c, T.BinaryType()) for c in ("words", "times")] if p.topics else []), *([T.StructField("mass", T.LongType())] if path else [])]
+    known = {d: frozenset(shares) - {OTHER} for d, shares in p.targets.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, p.cache_words) if mass else None
-        for b in sliced(batches, text, max_rows=500):
-            values = {d: [v if v in known[d] else OTHER for v in b.column(of[d]).to_pylist()] for d in dims}
-            if topics is not None:
-                values["topic"] = topics.assign(texts_of(b, text), values.get("lang", [OTHER] * b.num_rows))
-            cells = [pa.array(values.get(d, [OTHER] * b.num_rows), pa.string()) for d in goals]
-            tokens = [pa.array(t.count(b.column(text)) + 1)] if mass else []
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cells, *tokens], names=[f.name for f in fields])
+        t = tokenizer(path, p.cache_words) if path else None
+        for b in sliced(batches, text, max_bytes=2 << 20):
+            cells = [pa.array([v if v in known[d] else OTHER for v in b.column(of[d]).to_pylist()], pa.string()) for d in p.targets]
+            coded, bounds = split_words(b.column(text))
+            more = []
+            if p.topics:
+                index = coded.indices.to_numpy(zero_copy_only=False)
+                pool, sizes = word_features(coded.dictionary, p.topic_bits)
+                starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+                ends = np.concatenate([[0], np.cumsum(lengths)])
+                feature = pool[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+                # the different words of each text, and how often each occurs
+                found, times = np.unique((owners(ends[bounds]) << p.topic_bits) | feature, return_counts=True)
+                at = np.searchsorted(found, np.arange(b.num_rows + 1) << p.topic_bits).tolist()
+                for raw, width in (((found & ((1 << p.topic_bits) - 1)).astype("<u2").tobytes(), 2), (times.astype("<u4").tobytes(), 4)):
+                    more.append(pa.array([raw[width * i : width * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+            if t is not None:
+                more.append(pa.array(t.count(coded, bounds) + 1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cells, *more], names=[f.name for f in fields])
 
     return base.mapInArrow(run, T.StructType(fields))
 
 
+def placed(rows: DataFrame, topics: Topics | None, p: Params) -> DataFrame:
+    """Rows of `worded` with their topic in place of their words."""
+    if topics is None:
+        return rows.drop("words", "times")
+    fields = [f for f in rows.schema if f.name not in ("words", "times")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bags, b in bagged(batches):
+            own = topics.of_bags(bags, b.column("in_lang").to_pylist() if "lang" in p.targets else [OTHER] * b.num_rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(own, pa.string())], names=[*(f.name for f in fields), "in_topic"])
+
+    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("in_topic", T.StringType())]))
+
+
 def _factor(u: np.ndarray, mass: np.ndarray, goal: float) -> float:
     """The f with which sum(min(1, f * u) * mass) is `goal`; where all of the mass is less, the least f that gives all."""
     u, by = np.sort(u)[::-1], np.argsort(-u, kind="stable")
@@ -246,16 +396,18 @@ def _sampled(key: str, p: Params) -> F.Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32) < F.col("probability")
 
 
-def _plan(docs: DataFrame, p: Params, key: str, text: str) -> tuple:
+def _plan(docs: DataFrame, path: str, p: Params, key: str, text: str, keep: tuple[str, ...]) -> tuple:
+    """`docs` by position, the names there, its rows with their cells and mass, the topics, and the cells' table."""
     plain, of = positional(docs)
     if missing := [d for d in p.targets if d not in of]:
         raise ValueError(f"no columns {missing}")
-    topics = fit_topics(plain, p, of[key], of[text], of["lang"] if "lang" in p.targets else None) if p.topics else None
-    goals = wanted(p, topics)
-    size = math.prod(len(shares) + 1 for shares in goals.values())
+    size = math.prod(len(shares) + 1 for shares in p.targets.values()) * (p.topics + 1)
     if size > p.max_cells:
         raise ValueError(f"the targets span {size} cells; max_cells is {p.max_cells}")
-    return plain, of, topics, goals
+    rows = materialize(worded(plain, of, p, path, list(dict.fromkeys(of[c] for c in keep)), of[text]), "mix-rows")
+    topics = fit_worded(rows, p) if p.topics else None
+    goals, rows = wanted(p, topics), placed(rows, topics, p)
+    return plain, of, rows, topics, goals, _table(rows.groupBy(*[f"in_{d}" for d in goals]).agg(F.sum("mass").alias("mass")), goals, p)
 
 
 def weigh(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -267,20 +419,14 @@ def weigh(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id",
     keys share their fate. Null and empty texts have one token, the end id, and no topic. An empty table
     stays empty; columns that aren't kept may have any name.
     """
-    plain, of, topics, goals = _plan(docs, p, key, text)
-    own = list(dict.fromkeys([of[c] for c in keep] + [of[key]]))
-    rows = materialize(celled(plain, of, goals, p, topics, path, own, of[text], True), "mix-rows")
-    names = [f"in_{d}" for d in goals]
-    table = _table(rows.groupBy(*names).agg(F.sum("mass").alias("mass")), goals, p)
-    found = rows.join(F.broadcast(table), names).withColumn("sampled", _sampled(of[key], p))
+    _, of, rows, _, goals, table = _plan(docs, path, p, key, text, (*keep, key))
+    found = rows.join(F.broadcast(table), [f"in_{d}" for d in goals]).withColumn("sampled", _sampled(of[key], p))
     shown = [c for d in goals for c in (F.col(f"in_{d}").alias(f"{d}_group"), F.col(f"{d}_wanted"), F.col(f"{d}_achieved"))]
     return found.select(*[F.col(of[c]).alias(c) for c in keep], *shown, F.col("mass").alias("tokens"), "weight", "probability", "sampled")
 
 
 def mix(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The sampled rows of `docs`; columns, whatever their names, and their order stay. See `weigh`."""
-    plain, of, topics, goals = _plan(docs, p, key, text)
-    names = [f"in_{d}" for d in goals]
-    table = _table(celled(plain, of, goals, p, topics, path, [], of[text], True).groupBy(*names).agg(F.sum("mass").alias("mass")), goals, p)
-    rows = celled(plain, of, goals, p, topics, path, plain.columns, of[text], False)
-    return rows.join(F.broadcast(table), names).where(_sampled(of[key], p)).select(*plain.columns).toDF(*docs.columns)
+    plain, of, _, topics, goals, table = _plan(docs, path, p, key, text, ())
+    rows = placed(worded(plain, of, p, None, plain.columns, of[text]), topics, p)
+    return rows.join(F.broadcast(table), [f"in_{d}" for d in goals]).where(_sampled(of[key], p)).select(*plain.columns).toDF(*docs.columns)

@@ -85,18 +85,16 @@ class WordTokenizer:
             raw = ids.tobytes()
             self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(e + skip for e in ends[:-1])], ends, strict=True))
 
-    def _pieces(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The ids of what words are made of, which of these each word has (two: a head and a tail, which is empty
-        for most), and the bounds of each text in words."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.dictionary_encode(lists.flatten())
-        heads = pc.utf8_rtrim(coded.dictionary, characters=STOPS)
+    def _parts(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """The ids of what `words` are made of, and which of these each word has (two: a head and a tail, which is
+        empty for most)."""
+        heads = pc.utf8_rtrim(words, characters=STOPS)
         simple = pc.match_substring_regex(heads, LETTERS)
         # what stands behind the letters: the word without its leading letters, in ASCII or not
-        tails = pc.if_else(simple, pc.replace_substring_regex(coded.dictionary, f"^[^{re.escape(STOPS)}]+", ""), "")
-        heads = pc.dictionary_encode(pc.if_else(simple, pc.utf8_lower(heads), coded.dictionary))
+        tails = pc.if_else(simple, pc.replace_substring_regex(words, f"^[^{re.escape(STOPS)}]+", ""), "")
+        heads = pc.dictionary_encode(pc.if_else(simple, pc.utf8_lower(heads), words))
         tails = pc.dictionary_encode(tails)
-        head_words, tail_words = heads.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        head_words, tail_words = _strings(heads.dictionary), _strings(tails.dictionary)
         needed = {*head_words, *tail_words}
         new = needed.difference(self.known)
         size = sum(map(len, new))
@@ -106,16 +104,14 @@ class WordTokenizer:
             size = sum(map(len, new))
         self.held += size
         self._learn(list(new))
-        raw = list(map(self.known.__getitem__, head_words + tail_words))
         number = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        index = number(coded)
-        parts = np.stack([number(heads)[index], number(tails)[index] + len(head_words)], axis=1).ravel()
-        words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return raw, parts, words
+        return list(map(self.known.__getitem__, head_words + tail_words)), np.stack([number(heads), number(tails) + len(head_words)], axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the bounds of each text."""
-        raw, parts, words = self._pieces(texts)
+        coded, words = split_words(texts)
+        raw, parts = self._parts(coded.dictionary)
+        parts = parts[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
         pool, starts = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
         lengths = sizes[parts]
@@ -123,14 +119,25 @@ class WordTokenizer:
         ids = pool[np.repeat(starts[parts] - ends[:-1], lengths) + np.arange(ends[-1])]
         return ids, ends[::2][words]
 
-    def count(self, texts: pa.Array) -> np.ndarray:
-        """The number of ids of each text."""
-        raw, parts, words = self._pieces(texts)
+    def count(self, coded: pa.DictionaryArray, words: np.ndarray) -> np.ndarray:
+        """The number of ids of each text, from `split_words`."""
+        raw, parts = self._parts(coded.dictionary)
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-        ends = np.concatenate([[0], np.cumsum(sizes[parts])])[::2]
+        ends = np.concatenate([[0], np.cumsum(sizes[parts].sum(1)[coded.indices.to_numpy(zero_copy_only=False)])])
         return np.diff(ends[words])
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """As `to_pylist`, without a scalar for each."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The white-space words of all texts (null: none) one after the other, and the bounds of each text in words."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    return pc.dictionary_encode(lists.flatten()), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 _tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: ASCII characters that are neither letters nor digits become spaces.
 PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: The same, but for line feeds.
+LINES = PUNCTUATION[:10] + b"\n" + PUNCTUATION[11:]
 #: Odd multipliers that keep the orders of words apart.
 FIRST, SECOND, SKIPPED, FINAL = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -43,6 +45,21 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))[index] if words else np.zeros(0, np.uint64), bounds
 
 
+def word_features(words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed words of each string of `words`, which holds no white space, one after the other, and how many each has."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lines = "\n".join(words.to_numpy(zero_copy_only=False).tolist()).lower().encode("utf-8", "replace").translate(LINES)
+    flat = lines.split()
+    at = np.frombuffer(b"\n" + lines, dtype=np.uint8)
+    gap = (at == 32) | (at == 10)
+    begins = gap[:-1] & ~gap[1:]
+    sizes = np.bincount(np.cumsum(at[1:] == 10)[begins], minlength=len(words))
+    h = np.fromiter(map(zlib.crc32, flat), dtype=np.uint64, count=len(flat))
+    with np.errstate(over="ignore"):
+        return scattered(h * FIRST, bits), sizes
+
+
 def ngram_features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words, word pairs and pairs that skip one word: (text position, feature), with repeats."""
     h, bounds = word_hashes(texts)

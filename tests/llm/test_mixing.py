@@ -135,3 +135,20 @@ def test_edges(spark):
     assert mixing.mix(docs.limit(0), PATH).count() == 0 == mixing.weigh(docs.limit(0), PATH).count()
     with pytest.raises(ValueError):
         mixing.weigh(docs, PATH, mixing.Params(max_cells=10))
+
+
+def test_topics_are_fitted_on_every_document(spark):
+    """The fit over Spark equals the one in memory over all texts, however they are spread; a theme that only few documents
+    hold has its topic, and copies and null keys count."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join([f"w{w}" for w in rng.integers(0, 40, 30)] + [f"theme{int(i >= 2400)}x{w}" for w in rng.integers(0, 12, 20)]) for i in range(2600)]
+    langs = [("en", "de", None)[i % 3] for i in range(2600)]
+    p = mixing.Params(topics=2)
+    rows = [(None if i % 7 == 0 else i // 2, t, lang) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
+    docs = spark.createDataFrame([*rows, (1, None, "en"), (2, " \n", "de")], "doc_id long, text string, lang string")
+    plain = mixing.cluster(mixing.word_counts(texts, p.topic_bits), [v or "other" for v in langs], p)
+    for n in (1, 5):
+        got = mixing.fit_topics(docs.repartition(n), p, "doc_id", "text", "lang")
+        assert np.array_equal(got.share, plain.share) and all(np.array_equal(got.weight[:, i], plain.weight[:, i]) for i in range(2))
+    table = pd.crosstab(np.arange(2600) >= 2400, np.array(plain.assign(texts, [v or "other" for v in langs])))
+    assert table.shape == (2, 2) and np.isclose(plain.share.min(), 200 / 2600) and np.isclose(got.share.sum(), 1)
