@@ -45,18 +45,21 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Col
         zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
         return bind(F.aggregate(starts, zero, chunk), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
 
-    return F.when(items.isNotNull(), bind(items, lambda x: run(x, zero, LEVELS))["out"])
+    def whole(x: Column) -> Column:  # short arrays, which most are, need no chunks
+        return F.when(F.size(x) <= CHUNK, run(x, zero, 0)["out"]).otherwise(run(x, zero, LEVELS)["out"])
+
+    return F.when(items.isNotNull(), bind(items, whole))
 
 
 def pieces(text: Column) -> Column:
     """A text in parts of `PIECE` characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.length(text).between(1, PIECE), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
 
 
 def cut(parts: Column, start: Column, end: Column) -> Column:
     """Characters [start, end) of a text given in `pieces`."""
     first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
-    return F.when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
+    return F.when((end > start) & (F.size(parts) == 1), F.substring(F.get(parts, F.lit(0)), start + 1, end - start)).when(end > start, F.substring(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start % PIECE + 1, end - start)).otherwise("")
 
 
 def measured(text: Column, measure: Callable[[Column], Column], body: Callable[[Callable[[Column], Column]], Column]) -> Column:

@@ -159,10 +159,10 @@ def _chosen(operators: dict[str, Operator], value: Column, entity: Column) -> tu
     return out, name
 
 
-def anonymize(text: Column, detections: Column, operators: dict[str, Operator] | None = None, strategy: str = "keep_best") -> Column:
+def anonymize(text: Column, detections: Column, operators: dict[str, Operator] | None = None, strategy: str = "keep_best", items: bool = True) -> Column:
     """struct(text, items): the text with each resolved detection replaced by its operator's output, and
-    where each output stands. Detections outside the text are left out; null text gives null, null
-    detections count as none."""
+    where each output stands; without `items` the text alone. Detections outside the text are left out; null text gives
+    null, null detections count as none."""
     operators = operators or {}
     validate(operators)
     if any(op.name == "hash" and op.params.get("algorithm", "sha256") not in ("sha256", "sha512", "hmac-sha256", "hmac-sha512") for op in operators.values()):
@@ -179,6 +179,8 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
             return end, F.struct(start.alias("start"), end.alias("end"), x["entity_type"].alias("entity_type"), x["new"].alias("text"), x["name"].alias("operator"))
 
         joined = F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
+        if not items:
+            return F.struct(joined.alias("text"))
         return F.struct(joined.alias("text"), scan(parts, F.lit(0), step, ITEM.simpleString()).alias("items"))
 
     def over(found: Column, whole: Column) -> Column:
@@ -188,11 +190,11 @@ def anonymize(text: Column, detections: Column, operators: dict[str, Operator] |
             return F.struct(gap.alias("gap"), new.alias("new"), name.alias("name"), s["entity_type"].alias("entity_type"))
 
         tail = cut(whole, F.coalesce(F.get(found, F.size(found) - 1)["end"], F.lit(0)), F.length(text))
-        return bind(bind(F.transform(found, part), laid), lambda done: F.struct(F.concat(done["text"], tail).alias("text"), done["items"].alias("items")))
+        return bind(bind(F.transform(found, part), laid), lambda done: F.struct(F.concat(done["text"], tail).alias("text"), done["items"].alias("items")) if items else F.concat(done["text"], tail))
 
-    none = F.struct(text.alias("text"), empty.alias("items"))
+    none = F.struct(text.alias("text"), empty.alias("items")) if items else text
     done = bind(spans, lambda found: F.when(F.size(found) > 0, bind(pieces(text), lambda whole: over(found, whole))).otherwise(none))
-    return F.when(text.isNotNull(), done.cast(ENGINE_RESULT))
+    return F.when(text.isNotNull(), done.cast(ENGINE_RESULT) if items else done)
 
 
 def _reverse(op: Operator, strict: bool) -> Operator:
@@ -214,7 +216,7 @@ def deanonymize(text: Column, items: Column, operators: dict[str, Operator], str
 
 
 def redact_all(text: Column, detections: Column) -> Column:
-    return anonymize(text, detections, {"DEFAULT": Operator("redact")})["text"]
+    return anonymize(text, detections, {"DEFAULT": Operator("redact")}, items=False)
 
 
 def anonymize_frame(df: DataFrame, text: str, detections: str, operators: dict[str, Operator] | None = None, strategy: str = "keep_best", into: str = "anonymized", swept: bool = False) -> DataFrame:

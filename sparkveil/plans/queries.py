@@ -342,7 +342,7 @@ def _synthetic_spans(spark, sf_dir) -> DataFrame:
 def anonymize_conflicts(spark, sf_dir):
     """The three conflict strategies over the same overlapping detections."""
     made = _synthetic_spans(spark, sf_dir)
-    return made.select("l_orderkey", *[anon.anonymize(F.col("text"), F.col("spans"), {"T1": anon.Operator("redact")}, s)["text"].alias(s) for s in anon.STRATEGIES])
+    return made.select("l_orderkey", *[anon.anonymize(F.col("text"), F.col("spans"), {"T1": anon.Operator("redact")}, s, items=False).alias(s) for s in anon.STRATEGIES])
 
 
 @query("SELECT event_id, 'sha256:' || sha256('sixteen-byte-salt' || user_id::VARCHAR) AS pseudonym FROM events")

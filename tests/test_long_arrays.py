@@ -152,3 +152,21 @@ def test_expressions_and_sweep_agree(spark):
     mail = spark.createDataFrame([("x a@b.co y",)], "t string")
     assert mail.select(anon.anonymize(F.col("t"), found).alias("a")).first().a.text == "x <email> y"
     assert anon.anonymize_frame(mail.select("t", found.alias("d")), "t", "d", swept=True).first().anonymized.text == "x <email> y"
+
+
+@pytest.mark.parametrize("strategy", anon.STRATEGIES)
+def test_text_alone_equals_the_text_with_items(spark, strategy):
+    """Without items, on both sides of the lengths up to which arrays and texts are taken in one part."""
+    rng = random.Random(9)
+    rows = [(None, []), ("", []), ("ab", None)]
+    for n in (0, 1, arrays.CHUNK, arrays.CHUNK + 1):
+        for size in (arrays.PIECE - 1, arrays.PIECE, arrays.PIECE + 1):
+            rows.append(("é\n" * (size // 2) + "x" * (size % 2), [("T1" if i % 2 else "T2", s := rng.randrange(size - 9), s + 1 + rng.randrange(9), rng.randrange(3) / 4) for i in range(n)]))
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("t", T.StringType()), T.StructField("d", T.ArrayType(DETECTION))]))
+    ops = {"T1": anon.Operator("redact")}
+    both = df.select("t", anon.resolve(F.col("d"), strategy, F.length("t")).alias("s"), anon.anonymize(F.col("t"), F.col("d"), ops, strategy).alias("a"), anon.anonymize(F.col("t"), F.col("d"), ops, strategy, items=False).alias("b")).collect()
+    for r in both:
+        want, at = "", 0
+        for kind, start, end, _ in r.s or []:
+            want, at = want + r.t[at:start] + ("" if kind == "T1" else "<T2>"), end
+        assert r.b == (None if r.t is None else want + r.t[at:]) and (r.a is None or r.a.text == r.b)
