@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, positional, sliced
+from .common import discard, materialize, positional, sliced, written
 from .packing import split_words, tokenizer
 from .words import FIRST, owners, scattered, word_features, word_hashes
 
@@ -71,10 +71,10 @@ class Topics:
 
     def assign(self, texts: list[str], langs: list[str]) -> list[str]:
         """The topic of each whole text; texts without words have none."""
-        return self.of_bags(Bags.of(word_counts(texts, self.bits)), langs)
+        return self.of_bags(Bags.of(word_counts(texts, self.bits)), np.array([self.langs.get(x, self.langs[OTHER]) for x in langs], dtype=np.int64))
 
-    def of_bags(self, bags: Bags, langs: list[str]) -> list[str]:
-        rows = np.array([self.langs.get(x, self.langs[OTHER]) for x in langs], dtype=np.int64)
+    def of_bags(self, bags: Bags, rows: np.ndarray) -> list[str]:
+        """As `assign`, of words and the languages' places."""
         n = bags.sums(bags.times)
         best = (bags.scores(bags.times, self.weight.T) / np.maximum(n, 1)[:, None] - self.offset[rows]).argmax(1)
         return [f"topic{i}" if m else OTHER for i, m in zip(best.tolist(), n.tolist(), strict=True)]
@@ -106,13 +106,20 @@ class Bags:
         own, at = np.nonzero(counts)
         return Bags(at, counts[own, at], np.searchsorted(own, np.arange(len(counts) + 1)))
 
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """For each word the value of its text."""
+        return np.repeat(values, np.diff(self.bounds))
+
     def scores(self, values: np.ndarray, of: np.ndarray) -> np.ndarray:
         """By text and row of `of` the sum of values by word times what the row has for it."""
         return np.stack([self.sums(values * row[self.at]) for row in np.ascontiguousarray(of)], axis=1)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """The sums over each text of values by word."""
-        out, some = np.zeros(len(self.bounds) - 1), np.diff(self.bounds) > 0
+        some = np.diff(self.bounds) > 0
+        if some.all() and len(some):
+            return np.add.reduceat(values, self.bounds[:-1])
+        out = np.zeros(len(some))
         if some.any():
             out[some] = np.add.reduceat(values, self.bounds[:-1][some])
         return out
@@ -125,7 +132,7 @@ Step = Callable[[Bags, np.ndarray], np.ndarray]
 
 
 def units(x: np.ndarray) -> np.ndarray:
-    return np.rint(x / UNIT)
+    return np.rint(x * (1 / UNIT))
 
 
 def tally(at: np.ndarray, weights: np.ndarray | None, rows: int, columns: int) -> np.ndarray:
@@ -141,9 +148,9 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
     size, k = 1 << p.topic_bits, len(names)
 
     def seen(bags: Bags, rows: np.ndarray) -> np.ndarray:
-        own, n = owners(bags.bounds), bags.sums(bags.times)
+        n = bags.sums(bags.times)
         docs = np.resize(np.bincount(rows[n > 0], minlength=k), (1, size)) * (np.arange(size) < k)
-        return np.vstack([np.bincount(bags.at, minlength=size), tally(rows[own] * size + bags.at, units(bags.times / n[own]), k, size), docs])
+        return np.vstack([np.bincount(bags.at, minlength=size), tally(bags.spread(rows * size) + bags.at, units(bags.times / bags.spread(n)), k, size), docs])
 
     got = total(seen, (k + 2, size))
     held, sums, docs = got[0], got[1:-1] * UNIT, got[-1][:k]
@@ -152,16 +159,24 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
     rarity = np.log((1 + docs.sum()) / (1 + held))
     means = np.where(docs[:, None] > 0, sums / np.maximum(docs, 1)[:, None], sums.sum(0) / docs.sum()) * rarity
 
+    twice, lengths = (2 * means).ravel(), (means * means).sum(1)
+
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.sqrt((x * x).sum(1, keepdims=True))
         return np.where(norm > 1e-6, x / np.maximum(norm, 1e-6), 0.0)
 
-    def weighed(bags: Bags, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By word its text and its weight; by text what brings weights less the language's mean to length 1 (0 where that is nothing)."""
-        own = owners(bags.bounds)
-        x = bags.times / bags.sums(bags.times)[own] * rarity[bags.at]
-        apart = bags.sums(x * (x - 2 * means[rows[own], bags.at])) + (means * means).sum(1)[rows]
-        return own, x, np.where(apart > 1e-12, 1 / np.sqrt(np.maximum(apart, 1e-12)), 0.0)
+    def weights(bags: Bags) -> np.ndarray:
+        """By word its share of its text by its rarity."""
+        x = bags.times / bags.spread(bags.sums(bags.times))
+        x *= rarity[bags.at]
+        return x
+
+    def scales(bags: Bags, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """By text what brings weights less the language's mean to length 1 (0 where that is nothing)."""
+        less = x - twice[bags.spread(rows * size) + bags.at]
+        less *= x
+        apart = bags.sums(less) + lengths[rows]
+        return np.where(apart > 1e-12, 1 / np.sqrt(np.maximum(apart, 1e-12)), 0.0)
 
     def less_means(got: np.ndarray) -> np.ndarray:
         """Summed weights, then summed scales by language, as sums of texts of length 1 less their means."""
@@ -171,9 +186,10 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
     heavy = np.argsort(-mass, kind="stable")[: p.topic_starts]
 
     def around(bags: Bags, rows: np.ndarray) -> np.ndarray:
-        own, x, scale = weighed(bags, rows)
-        dense = tally(own * size + bags.at, units(x * scale[own]), len(rows), size)
-        has = tally(own * size + bags.at, None, len(rows), size)[:, heavy].T
+        x = weights(bags)
+        scale, at = scales(bags, rows, x), bags.spread(np.arange(len(rows)) * size) + bags.at
+        dense = tally(at, units(x * bags.spread(scale)), len(rows), size)
+        has = tally(at, None, len(rows), size)[:, heavy].T
         return np.hstack([has @ dense, has @ (units(scale)[:, None] * (rows[:, None] == np.arange(k)))])
 
     starts = less_means(total(around, (len(heavy), size + k)))
@@ -193,9 +209,10 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
     for _ in range(p.topic_rounds):
 
         def moved(bags: Bags, rows: np.ndarray, centres: np.ndarray = centres) -> np.ndarray:
-            own, x, scale = weighed(bags, rows)
-            topic, n = nearest(bags, rows, x, centres), len(centres)
-            return np.hstack([tally(topic[own] * size + bags.at, units(x * scale[own]), n, size), tally(topic * k + rows, units(scale), n, k)])
+            x, n = weights(bags), len(centres)
+            topic, scale = nearest(bags, rows, x, centres), scales(bags, rows, x)
+            x *= bags.spread(scale)
+            return np.hstack([tally(bags.spread(topic * size) + bags.at, units(x), n, size), tally(topic * k + rows, units(scale), n, k)])
 
         now = total(moved, (len(centres), size + k))
         if last is not None and (now == last).all():
@@ -204,7 +221,7 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
         centres = np.where(new.any(1, keepdims=True), new, centres)
 
     def words(bags: Bags, rows: np.ndarray) -> np.ndarray:
-        return tally(nearest(bags, rows, weighed(bags, rows)[1], centres), bags.sums(bags.times), len(centres), 1)
+        return tally(nearest(bags, rows, weights(bags), centres), bags.sums(bags.times), len(centres), 1)
 
     held = total(words, (len(centres), 1))[:, 0]
     by = np.argsort(-held, kind="stable")
@@ -218,18 +235,21 @@ def cluster(counts: np.ndarray, langs: list[str], p: Params) -> Topics | None:
     return fit(lambda step, shape: step(Bags.of(counts[some]), rows), names, p)
 
 
+def languages(p: Params) -> list[str]:
+    """What a text's language may be to the topics, by place."""
+    return sorted({*p.targets.get("lang", {}), OTHER})
+
+
 def fit_worded(rows: DataFrame, p: Params) -> Topics | None:
-    """Topics from the hashed words of all rows of `worded`. Each task adds up its own documents, a few hundred at a time;
-    only the sums over all, whose number `Params` bounds, reach the driver."""
-    names = sorted({*p.targets.get("lang", {}), OTHER})
-    lang = F.col("in_lang") if "lang" in p.targets else F.lit(OTHER)
-    read = rows.select(lang.alias("lang"), "words", "times").where(F.length("words") > 0)
+    """Topics from the hashed words of all rows of `worded`. Each task adds up its own documents, some tens of thousands of
+    words at a time; only the sums over all, whose number `Params` bounds, reach the driver."""
+    read = rows.select(*BLOB)
 
     def total(step: Step, shape: tuple[int, int]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(shape)
-            for bags, b in bagged(batches):
-                out += step(bags, np.array([names.index(v) for v in b.column("lang").to_pylist()], dtype=np.int64))
+            for bags, langs in bagged(batches, some=True):
+                out += step(bags, langs)
             at = np.flatnonzero(out)
             for i in range(0, len(at), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000].astype(np.int32)), pa.array(out.ravel()[at[i : i + 10_000]])], names=["at", "value"])
@@ -239,7 +259,7 @@ def fit_worded(rows: DataFrame, p: Params) -> Topics | None:
         out.ravel()[found["at"].to_numpy(dtype=np.int64)] = found["value"].to_numpy(dtype=float)
         return out
 
-    return fit(total, names, p)
+    return fit(total, languages(p), p)
 
 
 def fit_topics(docs: DataFrame, p: Params, key: str, text: str, lang: str | None) -> Topics | None:
@@ -257,63 +277,115 @@ def wanted(p: Params, topics: Topics | None) -> dict[str, dict[str, float]]:
     return p.targets | {"topic": dict(zip(topics.names(), (flat / flat.sum()).tolist(), strict=True))}
 
 
-def bagged(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[tuple[Bags, pa.RecordBatch]]:
-    """The words of the rows of `worded`, some rows at a time."""
+#: The columns of `worded` with the words of a slice of documents: the hashed words of each (two bytes each, each once), how
+#: often each occurs (one, two or four bytes), by document how many there are and the place of its language.
+BLOB = ("words", "times", "sizes", "langs")
+
+
+def bagged(batches: Iterator[pa.RecordBatch], some: bool = False, entries: int = 1 << 15) -> Iterator[tuple[Bags, np.ndarray]]:
+    """Of the rows of `worded` the words and languages of about as many documents at a time as hold `entries` different
+    words, so that they stay in a core's cache; with `some` only of documents with words."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            b = batch.slice(start, rows)
-            words = b.column("words").to_numpy(zero_copy_only=False).tolist()
-            times = b"".join(b.column("times").to_numpy(zero_copy_only=False).tolist())
-            bounds = np.concatenate([[0], np.cumsum([len(x) // 2 for x in words])])
-            yield Bags(np.frombuffer(b"".join(words), dtype="<u2").astype(np.int64), np.frombuffer(times, dtype="<u4").astype(np.float64), bounds), b
+        for i in range(batch.num_rows):
+            words, times, sizes, langs = (memoryview(batch.column(c)[i].as_buffer()) for c in BLOB)
+            at, sizes, langs = np.frombuffer(words, "<u2"), np.frombuffer(sizes, "<u4").astype(np.int64), np.frombuffer(langs, "<u2").astype(np.int64)
+            times = np.frombuffer(times, f"<u{len(times) // max(len(at), 1) or 1}")
+            if some:
+                sizes, langs = sizes[sizes > 0], langs[sizes > 0]
+            bounds, start = np.concatenate([[0], np.cumsum(sizes)]), 0
+            while start < len(sizes):
+                stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + entries, side="right")) - 1)
+                stop = min(stop, start + 2000, len(sizes))
+                first, past = bounds[start], bounds[stop]
+                yield Bags(at[first:past].astype(np.int64), times[first:past].astype(np.float64), bounds[start : stop + 1] - first), langs[start:stop]
+                start = stop
+
+
+class Reader:
+    """What the texts of a slice hold: values of the targets, hashed words, languages' places and tokens. One a task."""
+
+    def __init__(self, of: dict[str, str], p: Params, path: str | None) -> None:
+        self.of, self.p, self.tokens = of, p, tokenizer(path, p.cache_words) if path else None
+        self.known = {d: frozenset(shares) - {OTHER} for d, shares in p.targets.items()}
+        self.places = {v: i for i, v in enumerate(languages(p))}
+
+    def cells(self, b: pa.RecordBatch) -> list[pa.Array]:
+        return [pa.array([v if v in known else OTHER for v in b.column(self.of[d]).to_pylist()], pa.string()) for d, known in self.known.items()]
+
+    def langs(self, b: pa.RecordBatch) -> np.ndarray:
+        if "lang" not in self.known:
+            return np.zeros(b.num_rows, np.int64)
+        return np.array([self.places.get(v, self.places[OTHER]) for v in b.column(self.of["lang"]).to_pylist()], dtype=np.int64)
+
+    def bags(self, coded: pa.DictionaryArray, bounds: np.ndarray) -> Bags:
+        bits = self.p.topic_bits
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        pool, sizes = word_features(coded.dictionary, bits)
+        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        feature = pool[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        found, times = np.unique((owners(ends[bounds]) << bits) | feature, return_counts=True)
+        return Bags(found & ((1 << bits) - 1), times.astype(np.float64), np.searchsorted(found, np.arange(len(bounds)) << bits))
 
 
 def worded(docs: DataFrame, of: dict[str, str], p: Params, path: str | None, keep: list[str], text: str) -> DataFrame:
-    """The columns `keep` of `docs` (named by position), an `in_` column for each target, the document's hashed words
-    (two bytes each, each once) and how often each occurs (four bytes) unless there are no topics and, with the `path` of a tokenizer, its mass, tokens and
-    end id. The text is read once, whole, in Arrow batches; null counts as empty."""
+    """A row for a slice of documents of `docs` (named by position): `BLOB` unless there are no topics, and as lists with an item
+    for each document the columns `keep`, an `in_` column for each target and, with the `path` of a tokenizer, the mass, tokens
+    and end id. The text is read once, whole, in Arrow batches; null counts as empty."""
     if p.topic_bits > 16:
         raise ValueError("topic_bits is 16 at most")
     base = docs.select(*dict.fromkeys([*keep, *(of[d] for d in p.targets), text]))
-    fields = [*[base.schema[c] for c in keep], *[T.StructField(f"in_{d}", T.StringType()) for d in p.targets], *([T.StructField(c, T.BinaryType()) for c in ("words", "times")] if p.topics else []), *([T.StructField("mass", T.LongType())] if path else [])]
-    known = {d: frozenset(shares) - {OTHER} for d, shares in p.targets.items()}
+    items = [*[(c, base.schema[c].dataType) for c in keep], *[(f"in_{d}", T.StringType()) for d in p.targets], *([("mass", T.LongType())] if path else [])]
+    fields = [*([T.StructField(c, T.BinaryType()) for c in BLOB] if p.topics else []), *[T.StructField(c, T.ArrayType(t)) for c, t in items]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, p.cache_words) if path else None
+        reader = Reader(of, p, path)
         for b in sliced(batches, text, max_bytes=2 << 20):
-            cells = [pa.array([v if v in known[d] else OTHER for v in b.column(of[d]).to_pylist()], pa.string()) for d in p.targets]
             coded, bounds = split_words(b.column(text))
-            more = []
+            blob, columns = [], [*(b.column(c) for c in keep), *reader.cells(b)]
             if p.topics:
-                index = coded.indices.to_numpy(zero_copy_only=False)
-                pool, sizes = word_features(coded.dictionary, p.topic_bits)
-                starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                feature = pool[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
-                # the different words of each text, and how often each occurs
-                found, times = np.unique((owners(ends[bounds]) << p.topic_bits) | feature, return_counts=True)
-                at = np.searchsorted(found, np.arange(b.num_rows + 1) << p.topic_bits).tolist()
-                for raw, width in (((found & ((1 << p.topic_bits) - 1)).astype("<u2").tobytes(), 2), (times.astype("<u4").tobytes(), 4)):
-                    more.append(pa.array([raw[width * i : width * j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()))
-            if t is not None:
-                more.append(pa.array(t.count(coded, bounds) + 1))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *cells, *more], names=[f.name for f in fields])
+                bags = reader.bags(coded, bounds)
+                most = bags.times.max(initial=0)
+                width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+                blob = [x.astype(t).tobytes() for x, t in zip((bags.at, bags.times, np.diff(bags.bounds), reader.langs(b)), ("<u2", f"<u{width}", "<u4", "<u2"), strict=True)]
+            if path:
+                columns.append(pa.array(reader.tokens.count(coded, bounds) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in blob), *lists], names=[f.name for f in fields])
 
     return base.mapInArrow(run, T.StructType(fields))
 
 
 def placed(rows: DataFrame, topics: Topics | None, p: Params) -> DataFrame:
-    """Rows of `worded` with their topic in place of their words."""
-    if topics is None:
-        return rows.drop("words", "times")
-    fields = [f for f in rows.schema if f.name not in ("words", "times")]
+    """The documents of `worded`, a row each, with their topic in place of their words."""
+    fields = [T.StructField(f.name, f.dataType.elementType) for f in rows.schema if f.name not in BLOB]
+    shown = [*fields, *([T.StructField("in_topic", T.StringType())] if topics is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bags, b in bagged(batches):
-            own = topics.of_bags(bags, b.column("in_lang").to_pylist() if "lang" in p.targets else [OTHER] * b.num_rows)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(own, pa.string())], names=[*(f.name for f in fields), "in_topic"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = batch.slice(i, 1)
+                columns = [b.column(f.name).flatten() for f in fields]
+                if topics is not None:
+                    columns.append(pa.array([x for bags, langs in bagged([b]) for x in topics.of_bags(bags, langs)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in shown])
+
+    return rows.mapInArrow(run, T.StructType(shown))
+
+
+def marked(docs: DataFrame, of: dict[str, str], topics: Topics | None, p: Params, text: str) -> DataFrame:
+    """`docs` (named by position) with an `in_` column for each target and the topic."""
+    fields = [*docs.schema.fields, *[T.StructField(f"in_{d}", T.StringType()) for d in p.targets], *([T.StructField("in_topic", T.StringType())] if topics is not None else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(of, p, None)
+        for b in sliced(batches, text, max_bytes=2 << 20):
+            columns = [*b.columns, *reader.cells(b)]
+            if topics is not None:
+                columns.append(pa.array(topics.of_bags(reader.bags(*split_words(b.column(text))), reader.langs(b)), pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("in_topic", T.StringType())]))
+    return docs.mapInArrow(run, T.StructType(fields))
 
 
 def _factor(u: np.ndarray, mass: np.ndarray, goal: float) -> float:
@@ -404,9 +476,10 @@ def _plan(docs: DataFrame, path: str, p: Params, key: str, text: str, keep: tupl
     size = math.prod(len(shares) + 1 for shares in p.targets.values()) * (p.topics + 1)
     if size > p.max_cells:
         raise ValueError(f"the targets span {size} cells; max_cells is {p.max_cells}")
-    rows = materialize(worded(plain, of, p, path, list(dict.fromkeys(of[c] for c in keep)), of[text]), "mix-rows")
+    rows, words = written(worded(plain, of, p, path, list(dict.fromkeys(of[c] for c in keep)), of[text]), "mix-words")
     topics = fit_worded(rows, p) if p.topics else None
-    goals, rows = wanted(p, topics), placed(rows, topics, p)
+    goals, rows = wanted(p, topics), materialize(placed(rows, topics, p), "mix-rows")
+    discard(docs.sparkSession, words)
     return plain, of, rows, topics, goals, _table(rows.groupBy(*[f"in_{d}" for d in goals]).agg(F.sum("mass").alias("mass")), goals, p)
 
 
@@ -428,5 +501,5 @@ def weigh(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id",
 def mix(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The sampled rows of `docs`; columns, whatever their names, and their order stay. See `weigh`."""
     plain, of, _, topics, goals, table = _plan(docs, path, p, key, text, ())
-    rows = placed(worded(plain, of, p, None, plain.columns, of[text]), topics, p)
+    rows = marked(plain, of, topics, p, of[text])
     return rows.join(F.broadcast(table), [f"in_{d}" for d in goals]).where(_sampled(of[key], p)).select(*plain.columns).toDF(*docs.columns)

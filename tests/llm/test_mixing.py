@@ -152,3 +152,24 @@ def test_topics_are_fitted_on_every_document(spark):
         assert np.array_equal(got.share, plain.share) and all(np.array_equal(got.weight[:, i], plain.weight[:, i]) for i in range(2))
     table = pd.crosstab(np.arange(2600) >= 2400, np.array(plain.assign(texts, [v or "other" for v in langs])))
     assert table.shape == (2, 2) and np.isclose(plain.share.min(), 200 / 2600) and np.isclose(got.share.sum(), 1)
+
+
+def test_passes_read_slices_of_documents(spark):
+    """The topics' passes read a row for a slice, not for a document, whatever the words' numbers; what `mix` keeps comes from
+    one Python step."""
+    texts = ["a b a", None, "w " * 300, "", "v " * 70_000 + "a", " \n", *[f"x{i} y z" for i in range(3000)]]
+    docs = spark.createDataFrame([(i, t, "src0", ("en", "xx")[i % 2]) for i, t in enumerate(texts)], "c0 long, c1 string, c2 string, c3 string").coalesce(1)
+    p, of = mixing.Params(topics=2), {"source": "c2", "lang": "c3"}
+    rows = mixing.worded(docs, of, p, PATH, ["c0"], "c1")
+    batches = rows.toArrow().to_batches()
+    assert 1 < sum(b.num_rows for b in batches) < 10
+    plain, names = mixing.word_counts([t or "" for t in texts], p.topic_bits), mixing.languages(p)
+    for some in (False, True):
+        at = [i for i in range(len(texts)) if plain[i].any() or not some]
+        got = list(mixing.bagged(batches, some=some, entries=1000))
+        counts = np.vstack([mixing.tally(bags.spread(np.arange(len(langs)) << p.topic_bits) + bags.at, bags.times, len(langs), 1 << p.topic_bits) for bags, langs in got])
+        assert len(got) > 5 and np.array_equal(counts, plain[at])
+        assert np.concatenate([langs for _, langs in got]).tolist() == [names.index(("en", "other")[i % 2]) for i in at]
+    assert [r.c0 for r in mixing.placed(rows, None, p).collect()] == list(range(len(texts)))
+    out = mixing.mix(docs.toDF("doc_id", "text", "source", "lang"), PATH, p)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and out.count() > 0
