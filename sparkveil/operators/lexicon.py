@@ -82,6 +82,8 @@ def hits(df: DataFrame, lexicon: DataFrame, key: str = "doc_id", text: str = "te
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in part.collect()]))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            if not shared.value[1]:  # an automaton without words can't be asked
+                return
             found_by = _automaton(*shared.value)
             for whole in batches:
                 for b in _steps(whole):
