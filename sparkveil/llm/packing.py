@@ -164,7 +164,8 @@ def pieces(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = tokenizer(path, p.cache_words), np.array([p.end_id], dtype="<u4").tobytes()
         number = None
-        for b in sliced(batches, text, max_bytes=4 << 20, max_rows=4000):
+        # with ids a slice and its output lie side by side
+        for b in sliced(batches, text, max_bytes=(2 if with_ids else 4) << 20, max_rows=4000):
             if number is None:  # the rows' high bits are the partition's own
                 number = b.column("_row")[0].as_py() >> 33 << 33
             at, start, length, crc, total, ids = [], [], [], [], [], []
