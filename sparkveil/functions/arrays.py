@@ -46,9 +46,9 @@ def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Col
         return bind(F.aggregate(starts, zero, chunk), lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
 
     def whole(x: Column) -> Column:  # short arrays, which most are, need no chunks
-        return F.when(F.size(x) <= CHUNK, run(x, zero, 0)["out"]).otherwise(run(x, zero, LEVELS)["out"])
+        return F.when(F.size(x) <= CHUNK, run(x, zero, 0)["out"]).when(x.isNotNull(), run(x, zero, LEVELS)["out"])
 
-    return F.when(items.isNotNull(), bind(items, whole))
+    return bind(items, whole)
 
 
 def pieces(text: Column) -> Column:

@@ -88,10 +88,20 @@ def _valid_spans(kind: Type, text: Column, pattern: str) -> Column:
     return F.filter(spans, _in_place(kind, text))
 
 
+#: What stands for matches where a text is cut at them.
+MARK = "\u0001"
+
+
+def gaps(text: Column, pattern: str) -> Column:
+    """What stands before, between and after the matches. `split` compiles its pattern anew for each text, which for long
+    patterns takes far longer than the search: matches become a mark first, unless the text holds it itself."""
+    return F.when(text.contains(MARK), F.split(text, pattern, -1)).otherwise(F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK)), MARK, -1))
+
+
 def raw_spans(text: Column, pattern: str) -> Column:
-    """All matches of one pattern as array<struct(start, end, matched_text)>. The gaps that `split`
-    leaves and the matches' lengths add up to the offsets; both are found once a text."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
+    """All matches of one pattern as array<struct(start, end, matched_text)>. The gaps between matches and the
+    matches' lengths add up to the offsets; both are found once a text."""
+    pairs = F.zip_with(gaps(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start, end = at + x["gap"], at + x["gap"] + F.length(x["m"])
@@ -104,7 +114,7 @@ def raw_spans(text: Column, pattern: str) -> Column:
 def replaced(text: Column, pattern: str, rewrite: Callable[[Column], Column]) -> Column:
     """`text` with each match of `pattern` rewritten (or left, where `rewrite` gives it back): gaps and matches are
     laid side by side and joined once."""
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, F.coalesce(rewrite(m), F.lit("")))))
+    parts = F.zip_with(gaps(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.when(m.isNull(), gap).otherwise(F.concat(gap, F.coalesce(rewrite(m), F.lit("")))))
     return F.array_join(parts, "")
 
 

@@ -40,8 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, over four partitions a core where their files give fewer: scanning a text costs far more than
     moving it. A table of many files or row groups stays as it is."""
-    df = table(spark, sf_dir, "documents")
-    parts = 4 * spark.sparkContext.defaultParallelism
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    parts = 4 * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
@@ -123,7 +126,7 @@ def _texts_sql(made: str) -> str:
 
 def _texts(spark: SparkSession, sf_dir: str, made: str) -> DataFrame:
     """The documents, and the texts made for the customers under negative ids."""
-    own = table(spark, sf_dir, "customer").select((-F.col("c_custkey")).alias("doc_id"), F.expr(made.replace("chr(10)", "char(10)")).alias("text"))
+    own = spread(table(spark, sf_dir, "customer").select("c_custkey")).select((-F.col("c_custkey")).alias("doc_id"), F.expr(made.replace("chr(10)", "char(10)")).alias("text"))
     return documents(spark, sf_dir).select("doc_id", "text").unionByName(own)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import pyarrow as pa
@@ -170,3 +171,20 @@ def test_text_alone_equals_the_text_with_items(spark, strategy):
         for kind, start, end, _ in r.s or []:
             want, at = want + r.t[at:start] + ("" if kind == "T1" else "<T2>"), end
         assert r.b == (None if r.t is None else want + r.t[at:]) and (r.a is None or r.a.text == r.b)
+
+
+def test_spans_of_long_patterns(spark):
+    """The pattern isn't compiled anew for each text."""
+    df = spark.range(4000).selectExpr("concat('see https://a.example.com/x', id, ' or b', id, '.com') AS t").coalesce(1).cache()
+    df.count()
+    began = time.perf_counter()
+    got = df.select(F.expr("t"), detect.find(F.col("t"), "url").alias("s")).collect()
+    assert time.perf_counter() - began < 12
+    assert all([r.t[s.start : s.end] for s in r.s] == [s.matched_text for s in r.s] == [r.t.split()[1], r.t.split()[3]] for r in got)
+
+
+def test_spans_beside_the_mark(spark):
+    """A text that holds what stands for matches."""
+    rows = [("\u0001a1b\u000122\u0001",), ("\u00013",), ("4\u0001",), ("\u0001",), ("5x6",), ("",)]
+    got = {r.t: [(s.start, s.end, s.matched_text) for s in r.s] for r in spark.createDataFrame(rows, "t string").select("t", detect.raw_spans(F.col("t"), "[0-9]+").alias("s")).collect()}
+    assert got == {t: [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t)] for (t,) in rows}

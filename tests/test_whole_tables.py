@@ -57,3 +57,12 @@ def test_format_limits_equal_plain(spark, sf_dir):
         assert ("expansions" in r.xml) == (key % 10 == 4 and 1 + key % 7 > 3), key
         assert ("expansions" in r.yaml) == (key % 10 == 6 and key % 17 * 3 > 3), key
         assert ("depth" in r.json) == (key % 10 == 0 and 2 * (key % 71) > 20), key
+
+
+def test_made_texts_are_spread(spark, tmp_path):
+    """The texts made for the customers of one file are scanned on all cores."""
+    spark.range(1, 50).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "x")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    made = queries._texts(spark, str(tmp_path), queries._PAIR_TEXTS)
+    assert made.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+    assert made.count() == 50
