@@ -7,6 +7,7 @@ Null text gives null.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -64,14 +65,18 @@ def passes(kind: Type, match: Column) -> Column:
     return F.coalesce(VALIDATORS[kind.check](bare), F.lit(False))
 
 
+def _meant(kind: Type, match: Column) -> Column:
+    """Whether a match of a lexical type counts: names that are words as well need a capital."""
+    return match.rlike(r"^\p{Lu}") | ~F.lower(match).isin(*AMBIGUOUS) if set(kind.words) & AMBIGUOUS else F.lit(True)
+
+
 def _in_place(kind: Type, text: Column) -> Callable[[Column], Column]:
     """`passes` for a span of a text, or of its pieces for types that also look at what stands around."""
 
     def holds(span: Column) -> Column:
         match = span["matched_text"]
         if kind.words:
-            capital = match.rlike(r"^\p{Lu}")
-            return capital | ~F.lower(match).isin(*AMBIGUOUS) if set(kind.words) & AMBIGUOUS else F.lit(True)
+            return _meant(kind, match)
         if kind.check != "postal":
             return passes(kind, match)
         near = cut(text, F.greatest(span["start"] - POSTAL_WINDOW, F.lit(0)), span["end"] + POSTAL_WINDOW).rlike(POSTAL_WORDS)
@@ -146,10 +151,33 @@ def densest(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(F.split(joined, "[^0-9]+", -1), F.length)), F.lit(0))
 
 
+def any_word(words: Iterable[str]) -> str:
+    """A pattern of any of the words, as a whole word of letters and digits: a tree of their letters, so that a word that is
+    none of them fails at its first letters, however many they are."""
+
+    def tree(some: list[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for w in some:
+            by.setdefault(w[:1], []).append(w[1:])
+        made = [re.escape(c) + tree(rest) for c, rest in sorted(by.items()) if c]
+        return "" if not made else (made[0] if len(made) == 1 and "" not in by else f"(?:{'|'.join(made)})" + ("?+" if "" in by else ""))
+
+    return rf"(?<![\p{{L}}\p{{N}}]){tree(sorted(set(words)))}(?![\p{{L}}\p{{N}}])"
+
+
+def firsts(kind: Type) -> list[str]:
+    """The first words of a lexical type's phrases."""
+    return [w.split()[0] for w in kind.words]
+
+
+#: Any first word of a lexical type.
+FIRST_WORDS = any_word(w for t in TYPES for w in firsts(t))
+
+
 def facts(text: Column) -> Column:
-    """What the gates of all types look at, once a text."""
+    """What the gates of all types look at, once a text; of its words those that a phrase of a lexical type begins with."""
     lower = F.lower(text)
-    words = F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    words = F.regexp_extract_all(lower, F.lit(FIRST_WORDS), F.lit(0))
     return F.struct(text.alias("text"), lower.alias("lower"), F.when(text.rlike("[0-9]"), densest(text)).otherwise(0).alias("digits"), words.alias("words"))
 
 
@@ -164,8 +192,10 @@ def open_gate(seen: Column, kind: Type) -> Column:
     """Whether a text, by its `facts`, may hold the type at all."""
     g = GATES.get(kind.name, Gate())
     out = F.lit(True) if not g.digits else seen["digits"] >= g.digits
+    if g.otherwise:
+        out = out | _marked(seen["lower"], g.otherwise)
     if kind.words:
-        out = out & F.arrays_overlap(seen["words"], F.array(*[F.lit(w.split()[0]) for w in kind.words]))
+        out = out & (F.size(seen["words"]) > 0) & F.arrays_overlap(seen["words"], F.array(*[F.lit(w) for w in firsts(kind)]))
     if g.marks:
         out = out & _marked(seen["lower"], g.marks)
     if g.hint:
@@ -196,8 +226,11 @@ def _holds(text: Column, kind: Type) -> Column:
     out = F.lit(False)
     for pattern in kind.patterns:
         some = text.rlike(pattern)
-        if kind.check == "postal" or set(kind.words) & AMBIGUOUS:
-            some = some & (F.size(_valid_spans(kind, text, pattern)) > 0)
+        if kind.check == "postal":  # most forms count anywhere; the others only in a text with one of the words
+            anywhere = F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: passes(kind, m))
+            some = some & (anywhere | text.rlike(POSTAL_WORDS.replace(r"\b", "")) & (F.size(_valid_spans(kind, text, pattern)) > 0))
+        elif set(kind.words) & AMBIGUOUS:
+            some = some & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _meant(kind, m))
         elif kind.check is not None:
             some = some & F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: passes(kind, m))
         out = out | some

@@ -184,3 +184,11 @@ def test_labelled_and_bare_forms(one, name, text, expected):
 def test_values_alone(one):
     assert one(detect.matches(F.col("v"), "sweden_personnummer"), v="811228-9874") is True and one(detect.matches(F.col("v"), "sweden_personnummer"), v="811228-9875") is False
     assert one(detect.matches(F.col("v"), "italy_vat"), v="12345678903") is True
+
+
+def test_facts_hold_the_first_words_of_phrases(spark):
+    """Of a text's words the facts hold only those that a phrase begins with, as whole words."""
+    texts = ["The old Guinea-Bissau and newyork, New York; x2peru peru2 Peru", "São Tomé, san-marino éperu GERMANY's", "", "nothing here", "german germany germanys united"]
+    known = {w for t in TYPES for w in detect.firsts(t)}
+    got = [sorted(r.w) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(detect.facts(F.col("t"))["words"].alias("w")).collect()]
+    assert got == [sorted(w for w in re.findall(r"[^\W_]+", t.lower()) if w in known) for t in texts]
