@@ -129,6 +129,8 @@ class Bags:
 #: (as many hundreds fewer as a text is close to its language's mean).
 UNIT = 2.0**-24
 Step = Callable[[Bags, np.ndarray], np.ndarray]
+#: Sums go from the tasks to where they are added up in pieces of so many.
+CHUNK = 1 << 12
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -250,13 +252,20 @@ def fit_worded(rows: DataFrame, p: Params) -> Topics | None:
             out = np.zeros(shape)
             for bags, langs in bagged(batches, some=True):
                 out += step(bags, langs)
-            at = np.flatnonzero(out)
-            for i in range(0, len(at), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 10_000].astype(np.int32)), pa.array(out.ravel()[at[i : i + 10_000]])], names=["at", "value"])
-
-        found = read.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()
-        out = np.zeros(shape)
-        out.ravel()[found["at"].to_numpy(dtype=np.int64)] = found["value"].to_numpy(dtype=float)
+            flat = out.ravel()
+            for i in range(0, len(flat), CHUNK):
+                if flat[i : i + CHUNK].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([flat[i : i + CHUNK].astype("<f8").tobytes()], pa.binary())], names=["chunk", "sums"])
+
+        def add(part: pa.Table) -> pa.Table:
+            sums = sum(np.frombuffer(x.as_buffer(), "<f8") for x in part.column("sums"))
+            return pa.table({"chunk": part.column("chunk")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+        schema = "chunk int, sums binary"
+        out = np.zeros(math.prod(shape))
+        for chunk, sums in read.mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(sums, "<f8")
+        out = out.reshape(shape)
         return out
 
     return fit(total, languages(p), p)

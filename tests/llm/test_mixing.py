@@ -173,3 +173,12 @@ def test_passes_read_slices_of_documents(spark):
     assert [r.c0 for r in mixing.placed(rows, None, p).collect()] == list(range(len(texts)))
     out = mixing.mix(docs.toDF("doc_id", "text", "source", "lang"), PATH, p)
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and out.count() > 0
+
+
+def test_sums_travel_in_pieces(spark, monkeypatch):
+    """Each pass of the fit hands on rows of whole pieces, however few values a piece has, and none of single values."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} alone{i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    whole = mixing.fit_topics(docs, mixing.Params(), "doc_id", "text", "lang")
+    monkeypatch.setattr(mixing, "CHUNK", 1000)
+    parts = mixing.fit_topics(docs.repartition(5), mixing.Params(), "doc_id", "text", "lang")
+    assert (whole.weight == parts.weight).all() and (whole.offset == parts.offset).all() and (whole.share == parts.share).all()
