@@ -175,11 +175,11 @@ def test_text_alone_equals_the_text_with_items(spark, strategy):
 
 def test_spans_of_long_patterns(spark):
     """The pattern isn't compiled anew for each text."""
-    df = spark.range(4000).selectExpr("concat('see https://a.example.com/x', id, ' or b', id, '.com') AS t").coalesce(1).cache()
+    df = spark.range(12000).selectExpr("concat('see https://a.example.com/x', id, ' or b', id, '.com') AS t").coalesce(1).cache()
     df.count()
     began = time.perf_counter()
     got = df.select(F.expr("t"), detect.find(F.col("t"), "url").alias("s")).collect()
-    assert time.perf_counter() - began < 12
+    assert time.perf_counter() - began < 24
     assert all([r.t[s.start : s.end] for s in r.s] == [s.matched_text for s in r.s] == [r.t.split()[1], r.t.split()[3]] for r in got)
 
 
