@@ -93,6 +93,11 @@ def tallied(feature: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
     return np.bincount((owners(bounds) << bits) | feature, minlength=n << bits).reshape(n, -1).astype(np.float64)
 
 
+def taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """`values[at]` for places within bounds, which aren't checked one by one."""
+    return values.take(at, mode="clip")
+
+
 @dataclass(frozen=True)
 class Bags:
     """The different hashed words of some texts, one text after the other, how often each occurs, and the bounds of each text."""
@@ -112,7 +117,7 @@ class Bags:
 
     def scores(self, values: np.ndarray, of: np.ndarray) -> np.ndarray:
         """By text and row of `of` the sum of values by word times what the row has for it."""
-        return np.stack([self.sums(values * row[self.at]) for row in np.ascontiguousarray(of)], axis=1)
+        return np.stack([self.sums(values * taken(row, self.at)) for row in np.ascontiguousarray(of)], axis=1)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """The sums over each text of values by word."""
@@ -170,12 +175,12 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
     def weights(bags: Bags) -> np.ndarray:
         """By word its share of its text by its rarity."""
         x = bags.times / bags.spread(bags.sums(bags.times))
-        x *= rarity[bags.at]
+        x *= taken(rarity, bags.at)
         return x
 
     def scales(bags: Bags, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
         """By text what brings weights less the language's mean to length 1 (0 where that is nothing)."""
-        less = x - twice[bags.spread(rows * size) + bags.at]
+        less = x - taken(twice, bags.spread(rows * size) + bags.at)
         less *= x
         apart = bags.sums(less) + lengths[rows]
         return np.where(apart > 1e-12, 1 / np.sqrt(np.maximum(apart, 1e-12)), 0.0)
@@ -186,12 +191,14 @@ def fit(total: Callable[[Step, tuple[int, int]], np.ndarray], names: list[str],
 
     mass = sums.sum(0) * rarity
     heavy = np.argsort(-mass, kind="stable")[: p.topic_starts]
+    order = np.full(size, -1)
+    order[heavy] = np.arange(len(heavy))
 
     def around(bags: Bags, rows: np.ndarray) -> np.ndarray:
         x = weights(bags)
-        scale, at = scales(bags, rows, x), bags.spread(np.arange(len(rows)) * size) + bags.at
-        dense = tally(at, units(x * bags.spread(scale)), len(rows), size)
-        has = tally(at, None, len(rows), size)[:, heavy].T
+        scale, own, at = scales(bags, rows, x), bags.spread(np.arange(len(rows))), order[bags.at]
+        dense = tally(own * size + bags.at, units(x * bags.spread(scale)), len(rows), size)
+        has = tally(at[at >= 0] * len(rows) + own[at >= 0], None, len(heavy), len(rows))
         return np.hstack([has @ dense, has @ (units(scale)[:, None] * (rows[:, None] == np.arange(k)))])
 
     starts = less_means(total(around, (len(heavy), size + k)))
@@ -244,8 +251,11 @@ def languages(p: Params) -> list[str]:
 
 def fit_worded(rows: DataFrame, p: Params) -> Topics | None:
     """Topics from the hashed words of all rows of `worded`. Each task adds up its own documents, some tens of thousands of
-    words at a time; only the sums over all, whose number `Params` bounds, reach the driver."""
+    words at a time, and reads several files, since there are many passes over few bytes; only the sums over all, whose number
+    `Params` bounds, reach the driver."""
     read = rows.select(*BLOB)
+    parts = read.rdd.getNumPartitions()
+    read = read.coalesce(max(1, parts // 4, min(parts, rows.sparkSession.sparkContext.defaultParallelism)))
 
     def total(step: Step, shape: tuple[int, int]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,11 +336,16 @@ class Reader:
             return np.zeros(b.num_rows, np.int64)
         return np.array([self.places.get(v, self.places[OTHER]) for v in b.column(self.of["lang"]).to_pylist()], dtype=np.int64)
 
-    def bags(self, coded: pa.DictionaryArray, bounds: np.ndarray) -> Bags:
+    def bags(self, coded: pa.DictionaryArray, bounds: np.ndarray, places: np.ndarray | None = None) -> Bags:
+        """From `split_words`, with a tokenizer also from the `places` of its dictionary: what follows a head holds no word."""
         bits = self.p.topic_bits
         index = coded.indices.to_numpy(zero_copy_only=False)
-        pool, sizes = word_features(coded.dictionary, bits)
-        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        if places is None:
+            pool, sizes = word_features(coded.dictionary, bits)
+            starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        else:
+            (pool, ends), at = self.tokens.features(bits), places[:, 0]
+            starts, lengths = ends[at][index], (ends[at + 1] - ends[at])[index]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         feature = pool[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
         found, times = np.unique((owners(ends[bounds]) << bits) | feature, return_counts=True)
@@ -351,14 +366,15 @@ def worded(docs: DataFrame, of: dict[str, str], p: Params, path: str | None, kee
         reader = Reader(of, p, path)
         for b in sliced(batches, text, max_bytes=2 << 20):
             coded, bounds = split_words(b.column(text))
+            places = reader.tokens.places(coded.dictionary) if path else None
             blob, columns = [], [*(b.column(c) for c in keep), *reader.cells(b)]
             if p.topics:
-                bags = reader.bags(coded, bounds)
+                bags = reader.bags(coded, bounds, places)
                 most = bags.times.max(initial=0)
                 width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
                 blob = [x.astype(t).tobytes() for x, t in zip((bags.at, bags.times, np.diff(bags.bounds), reader.langs(b)), ("<u2", f"<u{width}", "<u4", "<u2"), strict=True)]
             if path:
-                columns.append(pa.array(reader.tokens.count(coded, bounds) + 1))
+                columns.append(pa.array(reader.tokens.count(places, coded, bounds) + 1))
             lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c) for c in columns]
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in blob), *lists], names=[f.name for f in fields])
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, sliced
+from .words import word_features
 
 
 @dataclass(frozen=True)
@@ -36,97 +39,158 @@ class Params:
 
 
 CACHE_BYTES = 96 << 20
-#: What may follow a word of letters without changing how it is encoded.
-STOPS = ".,;:!?"
+#: What may follow a word of letters without changing how it is encoded: all ASCII punctuation but the apostrophe.
+STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin letters that are composed already and have one lower case: all but the dotted capital i.
 LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+_letters = re.compile(LETTERS).match
+
+
+#: What byte-level models write for bytes that aren't printable in Latin-1: characters from 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in {*range(33, 127), *range(161, 173), *range(174, 256)})}
+
+
+def byte_level(words: list[str]) -> list[str]:
+    """Words of letters as byte-level models see them."""
+    return "\n".join(words).encode().decode("latin-1").translate(BYTE_LETTERS | {10: 10}).split("\n") if words else []
 
 
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that drops white space, splits letters from other characters
-    and never merges across either: each distinct word is encoded once and remembered. The result
+    and never merges across either: each distinct word is encoded once and remembered, by its place in one array of ids. The result
     equals encoding the whole text."""
 
     def __init__(self, path: str, cache_words: int) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.separator = "<|endoftext|>"
         self.separator_id = self.tokenizer.token_to_id(self.separator)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self.direct = self._is_direct()
+        self._forget()
+
+    def _is_direct(self) -> bool:
+        """Whether a lower-case word of `LETTERS` goes to the model as its bytes and no added token can lie in it."""
+        lower = sorted({c.lower() for c in map(chr, range(0x250)) if _letters(c)})
+        return not any(_letters(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) and all(
+            self._encode(c).tolist() == [t.id for t in self.model.tokenize(x)] for c, x in zip(lower, byte_level(lower), strict=True)
+        )
+
+    def _forget(self) -> None:
+        """Words by place: `ids` from `bounds` of the place to the next one, and with `features` their hashed words likewise."""
+        self.known: dict[str, int] = {"": 0}
+        self.held, self.ids, self.bounds = 0, np.zeros(0, "<u4"), np.zeros(2, np.int64)
+        self.bits, self.hashed, self.hashed_bounds = 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]
+        """Remember the ids of new words, each once."""
+        names, ids, sizes = [], [], []
+
+        def keep(part: list[str], found: np.ndarray, ends: np.ndarray, skip: int = 0) -> None:
+            """Take the ids up to each end; `skip` ids lie between two words. Unless there is an end for each word, all are encoded alone."""
+            if len(ends) != len(part):
+                each = [self._encode(w) for w in part]
+                found, ends, skip = np.concatenate(each), np.cumsum([len(x) for x in each]), 0
+            names.extend(part)
+            ids.append(np.delete(found, ends[:-1]) if skip else found)
+            sizes.append(np.diff(ends, prepend=-skip) - skip)
+
+        letters = [w for w in words if self.direct and _letters(w)]
+        found, ends = array("I"), []
+        for w in byte_level(letters):
+            found.extend([t.id for t in self.model.tokenize(w)])
+            ends.append(len(found))
+        keep(letters, np.array(found, dtype="<u4"), np.array(ends, dtype=np.int64))
+        others = [w for w in words if not (self.direct and _letters(w))]
+        plain = [w for w in others if w.isalpha()]
         for start in range(0, len(plain), 500):  # a run of letters ends with its only word-end piece
             part = plain[start : start + 500]
-            ids = self._encode(" ".join(part))
-            self._keep(part, ids, (4 * np.flatnonzero(self.last[ids]) + 4).tolist(), 0)
-        mixed = [w for w in words if not w.isalpha() and self.separator not in w]
+            found = self._encode(" ".join(part))
+            keep(part, found, np.flatnonzero(self.last[found]) + 1)
+        mixed = [w for w in others if not w.isalpha() and self.separator not in w]
         for start in range(0, len(mixed), 500):
             part = mixed[start : start + 500]
-            ids = self._encode(f" {self.separator} ".join(part))
-            self._keep(part, ids, [*(4 * np.flatnonzero(ids == self.separator_id)).tolist(), 4 * len(ids)], 4)
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self._encode(w).tobytes()
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: list[int], skip: int) -> None:
-        """Remember the ids up to each end; `skip` bytes lie between two words. Unless there is an end for
-        each word, all are left to be encoded alone."""
-        if len(ends) == len(words):
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *(e + skip for e in ends[:-1])], ends, strict=True))
-
-    def _parts(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
-        """The ids of what `words` are made of, and which of these each word has (two: a head and a tail, which is
-        empty for most)."""
+            found = self._encode(f" {self.separator} ".join(part))
+            keep(part, found, np.append(np.flatnonzero(found == self.separator_id), len(found)), 1)
+        for w in others:
+            if self.separator in w:
+                found = self._encode(w)
+                keep([w], found, np.array([len(found)]))
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))])
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where the two parts of each of `words` are known (a head and a tail, which is empty for most), until the next call."""
         heads = pc.utf8_rtrim(words, characters=STOPS)
         simple = pc.match_substring_regex(heads, LETTERS)
-        # what stands behind the letters: the word without its leading letters, in ASCII or not
-        tails = pc.if_else(simple, pc.replace_substring_regex(words, f"^[^{re.escape(STOPS)}]+", ""), "")
+        cut = pc.and_(simple, pc.not_equal(pc.binary_length(heads), pc.binary_length(words)))
         heads = pc.dictionary_encode(pc.if_else(simple, pc.utf8_lower(heads), words))
-        tails = pc.dictionary_encode(tails)
-        head_words, tail_words = _strings(heads.dictionary), _strings(tails.dictionary)
-        needed = {*head_words, *tail_words}
-        new = needed.difference(self.known)
-        size = sum(map(len, new))
-        if new and (len(self.known) + len(new) > self.cache_words or self.held + size > CACHE_BYTES):
-            self.known, self.held = {"": b""}, 0
-            new = needed - {""}
+        # what stands behind the letters: the word without its leading letters, in ASCII or not
+        tails = pc.dictionary_encode(pc.replace_substring_regex(words.filter(cut), f"^[^{re.escape(STOPS)}]+", ""))
+        head_words = _strings(heads.dictionary)
+        names = head_words + _strings(tails.dictionary)
+        found = self._found(names)
+        unknown = found < 0
+        if unknown.any():
+            new = dict.fromkeys(compress(names, unknown.tolist()))
             size = sum(map(len, new))
-        self.held += size
-        self._learn(list(new))
-        number = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        return list(map(self.known.__getitem__, head_words + tail_words)), np.stack([number(heads), number(tails) + len(head_words)], axis=1)
+            if len(self.known) + len(new) > self.cache_words or self.held + size > CACHE_BYTES:
+                self._forget()
+                new = dict.fromkeys(names)
+                new.pop("", None)
+                size, unknown = sum(map(len, new)), np.ones(len(names), dtype=bool)
+            self.held += size
+            self._learn(list(new))
+            found[unknown] = self._found(list(compress(names, unknown.tolist())))
+        out = np.zeros((len(words), 2), dtype=np.int64)
+        out[:, 0] = found[: len(head_words)][_indices(heads)]
+        out[cut.to_numpy(zero_copy_only=False), 1] = found[len(head_words) :][_indices(tails)]
+        return out
+
+    def features(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashed words (`word_features`) of all that is known by place, and the bounds of each place."""
+        if bits != self.bits:
+            self.bits, self.hashed, self.hashed_bounds = bits, self.hashed[:0], self.hashed_bounds[:1]
+        have = len(self.hashed_bounds) - 1
+        if have < len(self.known):
+            found, sizes = word_features(pa.array(list(islice(self.known, have, None)), pa.string()), bits)
+            self.hashed = np.concatenate([self.hashed, found.astype(np.int32)])
+            self.hashed_bounds = np.concatenate([self.hashed_bounds, self.hashed_bounds[-1] + np.cumsum(sizes)])
+        return self.hashed, self.hashed_bounds
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the bounds of each text."""
         coded, words = split_words(texts)
-        raw, parts = self._parts(coded.dictionary)
-        parts = parts[coded.indices.to_numpy(zero_copy_only=False)].ravel()
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-        pool, starts = np.frombuffer(b"".join(raw), dtype="<u4"), np.cumsum(sizes) - sizes
-        lengths = sizes[parts]
+        parts = self.places(coded.dictionary)[_indices(coded)].ravel()
+        starts = self.bounds[parts]
+        lengths = self.bounds[parts + 1] - starts
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = pool[np.repeat(starts[parts] - ends[:-1], lengths) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
         return ids, ends[::2][words]
 
-    def count(self, coded: pa.DictionaryArray, words: np.ndarray) -> np.ndarray:
-        """The number of ids of each text, from `split_words`."""
-        raw, parts = self._parts(coded.dictionary)
-        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4
-        ends = np.concatenate([[0], np.cumsum(sizes[parts].sum(1)[coded.indices.to_numpy(zero_copy_only=False)])])
+    def count(self, places: np.ndarray, coded: pa.DictionaryArray, words: np.ndarray) -> np.ndarray:
+        """The number of ids of each text, from `split_words` and the `places` of its dictionary."""
+        sizes = (self.bounds[places + 1] - self.bounds[places]).sum(1)
+        ends = np.concatenate([[0], np.cumsum(sizes[_indices(coded)])])
         return np.diff(ends[words])
 
 
+def _indices(coded: pa.DictionaryArray) -> np.ndarray:
+    return coded.indices.to_numpy(zero_copy_only=False)
+
+
 def _strings(words: pa.Array) -> list[str]:
     """As `to_pylist`, without a scalar for each."""
     return words.to_numpy(zero_copy_only=False).tolist()

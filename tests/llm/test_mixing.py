@@ -182,3 +182,19 @@ def test_sums_travel_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK", 1000)
     parts = mixing.fit_topics(docs.repartition(5), mixing.Params(), "doc_id", "text", "lang")
     assert (whole.weight == parts.weight).all() and (whole.offset == parts.offset).all() and (whole.share == parts.share).all()
+
+
+def test_passes_read_several_files_a_task(spark, monkeypatch):
+    """The fit's many passes over few bytes run in a quarter of the tasks that reading would take, or a task for each core."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} alone{i}", "en") for i in range(200)], "doc_id long, text string, lang string").repartition(64)
+    seen, whole = [], mixing.fit
+
+    def counted(total, names, p):
+        rows = next(c.cell_contents for c in total.__closure__ if hasattr(c.cell_contents, "rdd"))
+        seen.append(rows.rdd.getNumPartitions())
+        return whole(total, names, p)
+
+    monkeypatch.setattr(mixing, "fit", counted)
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: df)
+    assert mixing.fit_topics(docs, mixing.Params(topic_rounds=1), "doc_id", "text", "lang") is not None
+    assert seen == [max(16, min(64, spark.sparkContext.defaultParallelism))]

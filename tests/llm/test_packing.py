@@ -109,3 +109,30 @@ def test_best_fit_equals_plain_search():
                 room.append(100)
             assert o == 100 - room[i]
             room[i] -= n
+
+
+def test_words_of_letters_go_to_the_model_alone(whole, monkeypatch):
+    """Words of Latin letters, whatever punctuation follows, are learned without the whole tokenizer, once for all cases and endings;
+    their hashed words are those of the words themselves. A small cache that forgets gives the same."""
+    from sparkveil.llm.words import word_features
+
+    letters = [c for c in map(chr, range(0x250)) if packing._letters(c) and packing._letters(c.lower())]
+    words = [*letters, *(x + y for x, y in zip(letters, letters[7:])), "Ciónaqueue$$$", "éeuxen,***", "ZÖTZ|<>", "zötz", "zötz.", 'zötz"}']
+    t = packing.WordTokenizer(PATH, 1_000_000)
+    assert t.direct
+    encode, texts = t._encode, []
+    monkeypatch.setattr(t, "_encode", lambda text: texts.append(text) or encode(text))
+    for _ in range(2):
+        ids, bounds = t.encode(pa.array(words))
+        for w, a, b in zip(words, bounds[:-1], bounds[1:], strict=True):
+            assert ids[a:b].tolist() == whole.encode(w, add_special_tokens=False).ids
+    assert not any(c.isalpha() for text in texts for c in text.replace(t.separator, ""))  # what follows the letters
+    assert len({*t.places(pa.array(words[-4:]))[:, 0].tolist()}) == 1
+    monkeypatch.undo()
+    words += ["a-b", "don't.", "İstanbul", "(x", "١٣ª"]
+    for known in (t, packing.WordTokenizer(PATH, 10)):
+        at = known.places(pa.array(words))[:, 0]
+        got, bounds = known.features(11)
+        plain, sizes = word_features(pa.array(words), 11)
+        assert np.concatenate([got[bounds[i] : bounds[i + 1]] for i in at]).tolist() == plain.tolist()
+        assert (np.diff(bounds)[at] == sizes).all()
